@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +22,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repetition
+
+    return repetition.rules(documents(spark, sf_dir))
+
+
 def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import content_store, scratch
 
@@ -32,8 +42,20 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import cotraining
+
+    return cotraining.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_content_store, op10_sum_of_squares_packing)}
+    every = (
+        op5_repetition_coverage,
+        op7_content_store,
+        op9_cotraining_quality,
+        op10_sum_of_squares_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
