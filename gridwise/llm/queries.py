@@ -22,6 +22,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repetition
 
@@ -50,6 +56,7 @@ def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
+        op1_ngram_jaccard_join,
         op5_repetition_coverage,
         op7_content_store,
         op9_cotraining_quality,
