@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,15 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (numbers of the lines that went, from 0), kept_crc32 (of the text that stays)."""
+    from . import lines
+
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n")).cast("bigint"))
+    out = lines.dedup(docs, removed="removed")
+    return out.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed", F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
 def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import cotraining
 
@@ -59,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_ngram_jaccard_join,
         op5_repetition_coverage,
         op7_content_store,
+        op8_fuzzy_line_dedup,
         op9_cotraining_quality,
         op10_sum_of_squares_packing,
     )
