@@ -29,6 +29,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontamination
+
+    return decontamination.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repetition
 
@@ -67,6 +73,7 @@ def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join,
+        op2_spaced_seed_decontamination,
         op5_repetition_coverage,
         op7_content_store,
         op8_fuzzy_line_dedup,
