@@ -41,6 +41,12 @@ def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(documents(spark, sf_dir))
 
 
+def op6_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_tree
+
+    return suffix_tree.score(documents(spark, sf_dir))
+
+
 def op7_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import content_store, scratch
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_ngram_jaccard_join,
         op2_spaced_seed_decontamination,
         op5_repetition_coverage,
+        op6_suffix_tree_scoring,
         op7_content_store,
         op8_fuzzy_line_dedup,
         op9_cotraining_quality,
