@@ -56,15 +56,16 @@ def minima_of_one(keys: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
     out = out.reshape(n, k)
     source = np.where(out == none, -1, np.arange(k))
     some = np.diff(begin) > 0
+    row, col = np.nonzero((source < 0) & some[:, None])
     for probe in _PROBES[:, :k] % k:
-        row, col = np.nonzero((source < 0) & some[:, None])
         if not len(row):
             break
-        found = out[row, probe[col]] != none
-        source[row[found], col[found]] = probe[col[found]]
-    left = (source < 0) & some[:, None]
-    if left.any():
-        source[left] = np.argmin(out, axis=1)[np.nonzero(left)[0]]
+        to = probe[col]
+        found = out[row, to] != none
+        source[row[found], col[found]] = to[found]
+        row, col = row[~found], col[~found]
+    if len(row):
+        source[row, col] = np.argmin(out, axis=1)[row]
     return np.take_along_axis(out, np.maximum(source, 0), 1) * some[:, None].astype(np.uint64)
 
 

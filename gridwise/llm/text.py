@@ -82,6 +82,11 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def separators(buf: np.ndarray) -> np.ndarray:
+    """Which bytes stand between words."""
+    return _SPACE[buf]
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the first word of each text."""
     return spans(~_SPACE[buf], offsets)
