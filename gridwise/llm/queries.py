@@ -35,6 +35,12 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontamination.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_layout
+
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repetition
 
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join,
         op2_spaced_seed_decontamination,
+        op4_html_layout,
         op5_repetition_coverage,
         op6_suffix_tree_scoring,
         op7_content_store,
