@@ -35,6 +35,12 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontamination.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tool_calls
+
+    return tool_calls.link(table(spark, sf_dir, "conversations"))
+
+
 def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_layout
 
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join,
         op2_spaced_seed_decontamination,
+        op3_tool_call_linking,
         op4_html_layout,
         op5_repetition_coverage,
         op6_suffix_tree_scoring,
@@ -97,5 +104,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: The same rows from DuckDB; the table's turns hold no structured calls and no two share a conversation and number.
+TOOL_CALLS_SQL = """
+with parts as (
+  select conv_id, turn, role, text, count(*) as copies,
+    case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind,
+    case role when 'user' then concat('turn-', conv_id, '-', turn) when 'assistant' then concat('turn-', conv_id, '-', turn - 1) end as call_id
+  from conversations group by conv_id, turn, role, text),
+joined as (
+  select p.*, o.turn is not null as met from parts p left join parts o
+    on p.kind in ('call', 'result') and o.conv_id = p.conv_id and o.call_id = p.call_id and o.kind = case p.kind when 'call' then 'result' else 'call' end),
+placed as (
+  select *, case kind when 'call' then case when met then 'linked' else 'unanswered' end when 'result' then case when met then 'linked' else 'orphan' end end as status,
+    case when kind = 'call' then 0 when kind = 'result' and met then 1 end as step,
+    case when kind = 'call' and text is null then 'text: missing' when kind = 'call' and length(text) > 400 then 'text: longer than 400' else '' end as errors
+  from joined)
+select conv_id, turn, cast(0 as int) as place, copies, kind, call_id, cast(step as int) as step, status, errors = '' as valid, errors,
+  case kind
+    when 'call' then concat('{"arguments":{"text":', coalesce(cast(to_json(text) as varchar), 'null'), ',"turn":', turn, '},"call_id":"', call_id, '","kind":"call","name":"reply","step":', step, ',"turn":', turn, '}')
+    when 'result' then concat('{"call_id":"', call_id, '","content":', coalesce(cast(to_json(text) as varchar), 'null'), ',"kind":"result","step":', coalesce(cast(step as varchar), 'null'), ',"turn":', turn, '}')
+    else concat('{"content":', coalesce(cast(to_json(text) as varchar), 'null'), ',"kind":"message","role":"', role, '","turn":', turn, '}') end as json
+from placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_tool_call_linking": TOOL_CALLS_SQL}
