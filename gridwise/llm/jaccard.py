@@ -85,7 +85,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     coarse = minhash.candidates(packed).withColumnRenamed("label", "comp")
     wanted = scratch.table(nodes.join(coarse, "node").select("node", "comp", "weight", "digest", "doc_id"), "wanted")
     bodies = plain.select(F.col("doc_id").alias("_d"), F.unhex(F.md5("text")).alias("_h"), "text")
-    found = bodies.join(wanted, (F.col("_h") == F.col("digest")) & F.col("_d").eqNullSafe(F.col("doc_id")))
+    # Both lists that texts are joined with grow with the input: never broadcast.
+    found = bodies.join(wanted.hint("merge"), (F.col("_h") == F.col("digest")) & F.col("_d").eqNullSafe(F.col("doc_id")))
     members = found.groupBy("node").agg(F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.first("text").alias("text"))
     counts, labels = minhash.links(members, shingles, THRESHOLD)
     named = nodes.select("node", "digest", "doc_id", "copies").join(counts, "node", "left").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
@@ -109,7 +110,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("_key").isNull(), "_key", "_digest")
     best = rows.groupBy("class").agg(F.min(rank).alias("best"))
     gone = rows.join(best, "class").filter(rank != F.col("best")).select(F.col("_digest").alias("d"), F.col("_key").alias("k"))
-    kept = marked.join(gone, (F.col("_digest") == F.col("d")) & F.col("_key").eqNullSafe(F.col("k")), "left_anti")
+    kept = marked.join(gone.hint("merge"), (F.col("_digest") == F.col("d")) & F.col("_key").eqNullSafe(F.col("k")), "left_anti")
     if not rows.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates(["_digest", "_key"])
     return kept.select(*docs.columns)
