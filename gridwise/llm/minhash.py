@@ -86,8 +86,8 @@ def pack(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     keys, nodes = keys[order], nodes[order]
     parts = (keys >> np.uint64(64 - PART_BITS)).astype(np.int32)
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(keys))
-    blobs = [[x[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)] for x in (keys, nodes.astype(np.int64))]
+    ends = [*at[1:].tolist(), len(keys)]
+    blobs = [[x[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=False)] for x in (keys, nodes.astype(np.int64))]
     return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "keys", "nodes"])
 
 
