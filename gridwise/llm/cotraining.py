@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", names: tupl
     free = _some(ids.join(known, "doc_id", "left_anti").distinct(), pool, 2).withColumn("label", F.lit(-1))
     chosen = by_class[0].unionByName(by_class[1]).unionByName(free)  # labelled + pool ids at most
     meta = list(dict.fromkeys([*names, *([length] if length else [])]))
-    found = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "label", *meta).dropDuplicates(["doc_id"])
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta)
+    found = plain.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", *meta).dropDuplicates(["doc_id"])
 
     def extract(batches):
         for batch in batches:

@@ -109,8 +109,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = scratch.table(rows, "members")
     rank = F.struct(F.col("_key").isNull(), "_key", "_digest")
     best = rows.groupBy("class").agg(F.min(rank).alias("best"))
-    gone = rows.join(best, "class").filter(rank != F.col("best")).select(F.col("_digest").alias("d"), F.col("_key").alias("k"))
-    kept = marked.join(gone.hint("merge"), (F.col("_digest") == F.col("d")) & F.col("_key").eqNullSafe(F.col("k")), "left_anti")
+    gone = rows.join(best, "class").filter(rank != F.col("best")).select(F.col("_digest").alias("_gone_digest"), F.col("_key").alias("_gone_key"))
+    kept = marked.join(gone.hint("merge"), (F.col("_digest") == F.col("_gone_digest")) & F.col("_key").eqNullSafe(F.col("_gone_key")), "left_anti")
     if not rows.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates(["_digest", "_key"])
     return kept.select(*docs.columns)

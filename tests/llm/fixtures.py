@@ -37,7 +37,7 @@ def documents(seed: int = 3, n: int = 60) -> list[tuple]:
     return rows
 
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, comp bigint"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, label string, k bigint"
 
 
 def frame(spark, rows=None):
