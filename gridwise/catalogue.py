@@ -122,13 +122,16 @@ def blank_rules(spark, sf_dir):
     return spark.sql(rows_of(TEXTS)).select("k", V.target_blank(x).alias("target_blank"), V.source_blank(x).alias("source_blank"), V.audit_blank(x).alias("audit_blank"))
 
 
-_GUARD = f"select p.k * 10000 + t.k * 100 + s.k as k, t.x as target, s.x as source, p.x as policy from ({rows_of(TEXTS)}) t cross join ({rows_of(TEXTS)}) s cross join ({rows_of(['fill_blank', 'overwrite', 'conflict', 'never', 'other'])}) p"
+_RULES = ["fill_blank", "overwrite", "conflict", "never", "other"]
+_GUARD = f"select p.k * 10000 + t.k * 100 + s.k as k, t.x as target, s.x as source, p.x as policy from ({rows_of(TEXTS)}) t cross join ({rows_of(TEXTS)}) s cross join ({rows_of(_RULES)}) p"
 
 
 @query(f"select k, {sql_decide('target', 'source', 'policy')} as action, {sql_decide('target', 'source', 'policy', 'reason')} as reason from ({_GUARD}) q")
 def guard_truth_table(spark, sf_dir):
+    cases = spark.range(1).select(F.posexplode(F.array(*map(F.lit, TEXTS))).alias("t", "target"))
+    cases = cases.select("*", F.posexplode(F.array(*map(F.lit, TEXTS))).alias("s", "source")).select("*", F.posexplode(F.array(*map(F.lit, _RULES))).alias("p", "policy"))
     v = guard.decide(F.col("target"), F.col("source"), F.col("policy"))
-    return spark.sql(_GUARD).withColumn("v", v).select("k", "v.action", "v.reason")
+    return cases.withColumn("v", v).select((F.col("p") * 10000 + F.col("t") * 100 + F.col("s")).alias("k"), "v.action", "v.reason")
 
 
 @query(f"""select k, case when p in ('fill', 'fill_blank', 'fill_blanks', 'fill_blank_only') then 'fill_blank' when p in ('overwrite', 'replace') then 'overwrite'
@@ -276,6 +279,31 @@ def pull_folder_first_wins(spark, sf_dir):
     return pull.first_wins(captain(spark, sf_dir)).select("sheet", "sheet_row", "resident_id", "phone")
 
 
+_WINS = "fx_wins as (select * from (select *, row_number() over (partition by resident_id order by sheet, sheet_row) r from fx_captain) q where r = 1)"
+_FOLDER = CTE("fx_captain") + f", {_WINS}, j as (select c.sheet, c.sheet_row, c.resident_id as identity, " + ", ".join(f"m.{c} as t_{c}, c.{c} as s_{c}" for c in COLUMNS) + " from fx_wins c join fx_master m on c.resident_id = m.resident_id)"
+
+
+@query(f"{_FOLDER} {sql_changes('j', COLUMNS, RULES, 'conflict', PLANNED)}")
+def pull_folder_changes(spark, sf_dir):
+    return pull.pull_folder(master(spark, sf_dir), captain(spark, sf_dir), COLUMNS, RULES)[0]
+
+
+@query(CTE("fx_captain") + f", {_WINS}, n as (select * from fx_wins where resident_id not in (select resident_id from fx_master)) select sheet, sheet_row, resident_id, (select max(src_row) from fx_master) + row_number() over (order by sheet, sheet_row) as src_row from n")
+def pull_folder_appends(spark, sf_dir):
+    return pull.pull_folder(master(spark, sf_dir), captain(spark, sf_dir), COLUMNS, RULES)[1].select("sheet", "sheet_row", "resident_id", "src_row")
+
+
+@query(CTE("fx_captain") + f""", m as (select min(resident_id) id, {_plain('resident_name')} nm from fx_master group by {_plain('resident_name')}) select c.sheet, c.sheet_row, c.resident_id as identity, case when m.id is null then 'not on the master' else 'name under another id' end as verdict, coalesce(m.id, '') as matched_id
+  from fx_captain c left join m on m.nm = {_plain('c.resident_name')} where c.resident_id not in (select resident_id from fx_master)""")
+def unmatched_verdicts(spark, sf_dir):
+    return pull.verdicts(master(spark, sf_dir), captain(spark, sf_dir))
+
+
+@query(f"{_FILL} select * from (select sheet, filled + overwritten + conflicts as weight from (select sheet, {_SUMMARY} from ({sql_changes('j', COLUMNS, RULES, 'fill_blank', PLANNED)}) p group by sheet) s) w where weight > 0")
+def sheets_by_weight(spark, sf_dir):
+    return fill.busiest(cell_fill_summary(spark, sf_dir)).select("sheet", "weight")
+
+
 # Audit.
 _MISSING = f"""{_MODE}, missing as (select d.sheet, d.zone, m.resident_id, m.resident_name, m.src_row as master_row from modes d join fx_master m on m.zone = d.zone where not exists (select 1 from fx_captain c where c.sheet = d.sheet and c.resident_id = m.resident_id))"""
 _EXTRA = """extra as (select c.sheet, c.sheet_row, d.zone, c.resident_id, case when m.resident_id is null then 'Not in master' else 'Wrong zone' end as reason, case when m.resident_id is null then '' when m.zone = '' then '(unassigned)' else m.zone end as other_zone

@@ -169,7 +169,8 @@ def summary(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> DataFra
     )
     twice = duplicates(sheets, n).agg(F.countDistinct("resident_id").alias("duplicate_ids"))
     situs = missing_situs(sheets, n).agg(F.count("*").alias("missing_situs"))
-    return totals.crossJoin(twice).crossJoin(situs)  # a row each
+    parts = totals.unionByName(twice, allowMissingColumns=True).unionByName(situs, allowMissingColumns=True)  # a row each
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def report(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ action, reason, will_write. Nothing is written here.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
@@ -47,11 +48,15 @@ def matched(target: DataFrame, source: DataFrame, target_key: str, source_key: s
     return t.join(s, F.col("identity") == F.col("_key")).drop("_key")
 
 
-def plan(target: DataFrame, source: DataFrame, target_key: str, source_key: str, columns: Mapping[str, str], order: str, policies: Mapping[str, str] | None = None, default: str = "fill_blank", protected: Iterable[str] = guard.PROTECTED, keep: str = "first", all_cells: bool = False) -> DataFrame:
+def plan(target: DataFrame, source: DataFrame, target_key: str, source_key: str, columns: Mapping[str, str], order: str, policies: Mapping[str, str] | None = None, default: str = "fill_blank", protected: Iterable[str] = guard.PROTECTED, keep: str = "first", all_cells: bool = False, dates: bool = False) -> DataFrame:
     """Changes for the target's cells; equal cells and blank sources are left out unless they are under the policy never.
 
-    Columns that the target lacks are added by :func:`with_columns` first. Equal keys in the target are all filled.
+    Columns that the target lacks are added by :func:`with_columns` first. Equal keys in the target are all filled. With
+    ``dates``, source cells of a mapping that has the word date in a name are read as dates where they can be.
     """
+    if dates:
+        named = [s for s, t in columns.items() if re.search(r"\bdate\b", f"{s} {t}".replace("_", " "), re.IGNORECASE)]
+        source = source.withColumns({c: F.coalesce(V.to_date(F.col(c)).cast("string"), F.col(c).cast("string")) for c in named})
     wanted = with_columns(target, columns.values())
     out = compare(matched(wanted, lookup(source, source_key, order, keep), target_key, source_key), columns, policies or {}, default, protected)
     return out if all_cells else out.filter((F.col("action").isin("fill", "overwrite", "conflict")) | ((F.col("action") == "skip") & (F.col("policy") == "never")))
@@ -78,6 +83,12 @@ def unmatched(source: DataFrame, target: DataFrame, source_key: str, target_key:
     return source.withColumn("_key", V.identity(F.col(source_key))).filter("_key <> ''").join(keys, "_key", "left_anti").drop("_key")
 
 
+def busiest(summaries: DataFrame, by: str = "sheet") -> DataFrame:
+    """Sheets with changes, those with the most first."""
+    weight = F.col("filled") + F.col("overwritten") + F.col("conflicts")
+    return summaries.withColumn("weight", weight).filter("weight > 0").orderBy(F.col("weight").desc(), by)
+
+
 def summary(changes: DataFrame, by: str = "sheet") -> DataFrame:
     """Fills, overwrites, conflicts, skips and rows touched for each sheet."""
     return changes.groupBy(by).agg(

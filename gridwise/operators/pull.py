@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import values as V
 from . import audit, fill, guard, keyed
@@ -59,6 +60,39 @@ def first_wins(sheets: DataFrame, key: str = "resident_id", ordinal: str = "shee
     return keyed.one_per_key(sheets, key, [ordinal, "sheet_row"] if ordinal != "sheet" else ["sheet", "sheet_row"])
 
 
+def pull_folder(master: DataFrame, sheets: DataFrame, columns: Mapping[str, str], policies: Mapping[str, str] | None = None, default: str = "conflict", key: str = "resident_id", order: str = "src_row") -> tuple[DataFrame, DataFrame]:
+    """(changes of known residents, new rows) of a whole folder: each id is taken from the first sheet and row that has it."""
+    rows = first_wins(sheets, key)
+    known = master.select(V.identity(F.col(key)).alias("_id")).filter("_id <> ''").distinct()
+    new = rows.withColumn("_id", V.identity(F.col(key))).join(known, "_id", "left_anti").drop("_id")
+    return pull_changes(master, rows, columns, policies, default, key, order), numbered(new, master, order)
+
+
+def numbered(new: DataFrame, target: DataFrame, order: str, by: tuple[str, ...] = ("sheet", "sheet_row")) -> DataFrame:
+    """New rows with the row numbers (``order``) that follow the target's last.
+
+    Numbers are counted up part by part: rows are ranked within range parts, and each part starts after those before it.
+    """
+    last = target.agg(F.coalesce(F.max(order), F.lit(1)).cast("long")).first()[0]
+    parts = new.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
+    sizes = ranked.groupBy("_part").agg(F.max("_rank").alias("_n"))
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row a part
+    out = ranked.join(F.broadcast(starts), "_part")
+    return out.withColumn(order, F.lit(last) + F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+
+
+def verdicts(master: DataFrame, sheets: DataFrame, key: str = "resident_id", name: str = "resident_name") -> DataFrame:
+    """sheet, sheet_row, identity, verdict, matched_id for ids that the master lacks: the id in another spelling, the name, or neither."""
+    m = master.select(V.identity(F.col(key)).alias("id"), F.nullif(V.normal_key(F.col(key)), F.lit("")).alias("loose"), F.nullif(V.normal_key(F.col(name)), F.lit("")).alias("name")).filter("id <> ''")
+    rows = sheets.select("sheet", "sheet_row", V.identity(F.col(key)).alias("identity"), F.nullif(V.normal_key(F.col(key)), F.lit("")).alias("loose"), F.nullif(V.normal_key(F.col(name)), F.lit("")).alias("name")).filter("identity <> ''")
+    rows = rows.join(m.select(F.col("id").alias("identity")).distinct(), "identity", "left_anti")
+    for column in ("loose", "name"):
+        rows = rows.join(m.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("id").alias(f"by_{column}")), column, "left")
+    verdict = F.when(F.col("by_loose").isNotNull(), "id in another spelling").when(F.col("by_name").isNotNull(), "name under another id").otherwise("not on the master")
+    return rows.select("sheet", "sheet_row", "identity", verdict.alias("verdict"), F.coalesce("by_loose", "by_name", F.lit("")).alias("matched_id"))
+
+
 def fingerprint(changes: DataFrame) -> DataFrame:
     """n, fingerprint: of a plan's writes, one line (identity, column, value) each, sorted. One row."""
     line = F.concat_ws("\t", "identity", "column", V.text(F.col("incoming")))

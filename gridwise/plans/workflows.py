@@ -36,6 +36,9 @@ WORKFLOWS = {
         Workflow("push_missing", pull.push_missing, ("master", "sheets"), "residents that copies lack"),
         Workflow("pull_to_master", pull.pull_changes, ("master", "sheets", "columns"), "edits of copies for the master"),
         Workflow("pull_skips", pull.pull_skips, ("master", "sheets"), "rows of copies that can't be pulled, and why"),
+        Workflow("pull_folder", lambda **o: pull.pull_folder(**o)[0], ("master", "sheets", "columns"), "edits of a whole folder, the first sheet winning"),
+        Workflow("append_missing", lambda **o: pull.pull_folder(**o)[1], ("master", "sheets", "columns"), "rows of a folder that the master lacks"),
+        Workflow("unmatched_verdicts", pull.verdicts, ("master", "sheets"), "why ids of copies aren't on the master"),
         Workflow("new_residents", pull.new_residents, ("master", "sheet"), "residents that the master lacks, screened for duplicates"),
         Workflow("audit", audit.report, ("master", "sheets"), "eight tables on drift, completeness and membership"),
         Workflow("zone_check", zones.reconcile, ("master", "zones", "current"), "what polygons say about the master's zones"),
@@ -55,6 +58,10 @@ WORKFLOWS = {
 }
 
 
+#: How a run of each kind is undone.
+REVERTS = {"push_master": "revert_cells", "pull_to_master": "revert_cells", "zone_enrichment": "revert_cells", "guarded_writes": "revert_cells", "push_missing": "revert_appends", "append_missing": "revert_appends", "guarded_appends": "revert_appends", "guarded_deletes": "restore_rows", "guarded_moves": "restore_rows"}
+
+
 def readiness(name: str, options: dict[str, Any]) -> list[Check]:
     """What stands in a workflow's way, before any data is read."""
     if name not in WORKFLOWS:

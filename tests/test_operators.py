@@ -219,3 +219,27 @@ def test_stream_of_edits(spark, tmp_path):
     stream = changes.edits(spark, f"file://{tmp_path}/in", schema)
     changes.pull_stream(stream, f"file://{tmp_path}/master", {"phone": "phone"}, f"file://{tmp_path}/out", f"file://{tmp_path}/check", {"phone": "fill_blank"}).awaitTermination(120)
     assert cells(spark.read.parquet(f"file://{tmp_path}/out"), "identity", "incoming", "action") == [("1", "555", "fill")]
+
+
+def test_config_round_trip(tmp_path):
+    from gridwise.plans.config import Config
+
+    c = Config([H.Field("Phone", ("Cell",)), H.Field("id", identity=True)], {"push": {"a": "b"}}, {"push": {"b": "never"}}, ["Notes"])
+    c.save(str(tmp_path / "c.json"))
+    assert Config.load(str(tmp_path / "c.json")) == c
+    assert [f.name for f in c.find("CELL")] == ["Phone"] and c.counts() == {"fields": 2, "identity": 1, "sensitive": 0, "aliases": 1}
+
+
+def test_fill_reads_dates_where_a_name_says_date(spark):
+    target = spark.createDataFrame([("A", 2, "1", "", "")], "sheet string, sheet_row int, resident_id string, sale_date string, note string")
+    source = spark.createDataFrame([(2, "1", "45000", "45000")], "src_row int, resident_id string, sold string, note string")
+    plan = fill.plan(target, source, "resident_id", "resident_id", {"sold": "sale_date", "note": "note"}, "src_row", dates=True)
+    assert cells(plan, "column", "incoming") == [("note", "45000"), ("sale_date", "2023-03-15")]
+
+
+def test_unmatched_verdicts_and_numbers(spark):
+    m = spark.createDataFrame([(2, "R-1", "Ann"), (9, "R2", "Bob")], "src_row int, resident_id string, resident_name string")
+    s = spark.createDataFrame([("A", 2, "r1", "x"), ("A", 3, "q", "bob"), ("B", 2, "z", ""), ("B", 3, "R2", "Bob")], "sheet string, sheet_row int, resident_id string, resident_name string")
+    assert cells(pull.verdicts(m, s), "identity", "verdict", "matched_id") == [("q", "name under another id", "R2"), ("r1", "id in another spelling", "R-1"), ("z", "not on the master", "")]
+    _, new = pull.pull_folder(m, s, {"resident_name": "resident_name"})
+    assert cells(new, "src_row", "resident_id") == [(10, "r1"), (11, "q"), (12, "z")]
