@@ -22,7 +22,7 @@ from . import text
 #: Pieces held by a worker before it starts anew.
 KEPT_PIECES = 1_000_000
 #: Text bytes encoded at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 _SPACE, _LETTER, _DIGIT, _SIGN, _LINE, _BAD = range(6)
 _open: dict[str, Encoder] = {}
 
