@@ -68,11 +68,14 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(weight, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "digest", "weight", "bands"])
 
 
-def _pack(batches):
-    for batch in batches:
-        keys = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-        if keys:
-            yield minhash.pack(np.concatenate(keys), np.repeat(batch.column(0).to_numpy(), BANDS))
+def _pack(bits: int):
+    def run(batches):
+        for batch in batches:
+            keys = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if keys:
+                yield minhash.pack(np.concatenate(keys), np.repeat(batch.column(0).to_numpy(), BANDS), bits)
+
+    return run
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +84,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = scratch.table(plain.mapInArrow(_sign, "doc_id bigint, digest binary, weight bigint, bands binary"), "signed")
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("weight").alias("weight"), F.max("bands").alias("bands"))
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
-    packed = nodes.filter("bands is not null").select("node", "bands").mapInArrow(_pack, minhash.PACKED)
+    packed = nodes.filter("bands is not null").select("node", "bands").mapInArrow(_pack(minhash.part_bits(docs.sparkSession)), minhash.PACKED)
     coarse = minhash.candidates(packed).withColumnRenamed("label", "comp")
     wanted = scratch.table(nodes.join(coarse, "node").select("node", "comp", "weight", "digest", "doc_id"), "wanted")
     bodies = plain.select(F.col("doc_id").alias("_d"), F.unhex(F.md5("text")).alias("_h"), "text")

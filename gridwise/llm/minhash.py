@@ -14,14 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch, text
 from .components import components
 
-#: Key space parts; a Spark partition takes whole parts.
-PART_BITS = 10
+#: Key space parts for each shuffle partition; a Spark partition takes whole parts.
+PARTS = 4
 #: n-grams of the texts in a chunk.
 MOST_ITEMS = 256_000
 PACKED = "part int, keys binary, nodes binary"
@@ -80,11 +80,16 @@ def band_keys(signature: np.ndarray, count: int, rows: int) -> np.ndarray:
     return out
 
 
-def pack(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+def part_bits(spark: SparkSession) -> int:
+    """Leading bits of a key that tell its part: PARTS parts or more for each of the session's shuffle partitions."""
+    return max(8, (PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def pack(keys: np.ndarray, nodes: np.ndarray, bits: int) -> pa.RecordBatch:
     """Rows of PACKED for parallel keys and nodes."""
     order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    parts = (keys >> np.uint64(64 - PART_BITS)).astype(np.int32)
+    parts = (keys >> np.uint64(64 - bits)).astype(np.int32)
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, np.int64)
     ends = [*at[1:].tolist(), len(keys)]
     blobs = [[x[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=False)] for x in (keys, nodes.astype(np.int64))]
