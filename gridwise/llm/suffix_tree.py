@@ -1,8 +1,7 @@
 """LM scoring by a probabilistic suffix tree over words.
 
 A state of the tree is a context: the last 1 to DEPTH words. A context is a candidate if it occurs ``MIN_CONTEXT`` times in
-the training texts (more in large corpora: the usual least probability of a context, softened so that a tree keeps growing
-with its corpus while the share of tokens that longer contexts are counted for stays level); it is retained if the divergence of its next-word distribution from that of its suffix (the context
+the training texts; it is retained if the divergence of its next-word distribution from that of its suffix (the context
 without its first word) is ``MIN_DIVERGENCE`` nats or more. A next word is listed at a context from ``MIN_NEXT`` occurrences;
 all others share what is left in proportion to the suffix's distribution, down to add-one unigrams:
 
@@ -13,7 +12,8 @@ The longest retained context at each token scores it; its shorter retained suffi
 How it runs: texts are coded in blocks of about ``BLOCK_BYTES``, kept as a table bucketed by block, so later passes read
 them without a shuffle. A pass counts the n-grams of one length: every block sends each distinct n-gram once, with its
 count, to the part of its hash; the part adds up and answers every block. A block sends an n-gram only if both its
-(n-1)-grams are frequent enough, which the pass before told it. Another pass adds up divergences by context. No vocabulary
+(n-1)-grams are frequent enough, which the pass before told it. One more pass adds up divergences by context and answers what
+is listed at the retained ones. Answers are shuffled once, into tables bucketed like the blocks. No vocabulary
 or model is broadcast or collected: a task holds a block and the answers about its own n-grams, or a part. N-grams are
 known by 64-bit hashes.
 
@@ -36,24 +36,23 @@ from . import minhash, scratch, text
 
 DEPTH = 3
 MIN_CONTEXT, MIN_NEXT, MIN_DIVERGENCE, MU = 32, 4, 0.05, 1.0
-#: Both least counts hold up to BASE_TOKENS training tokens and grow with this power of them beyond.
-BASE_TOKENS, GROWTH = 25_000_000, 0.6
 HELD_OUT, FOLDS = 2, 7
 BLOCK_BYTES = 5 << 20
 
 END = np.uint64(0x5EED0FE2D0C5AB1E)
 BLOCK = "block bigint, ids array<bigint>, held binary, first binary, codes binary, words binary"
 SENT = "block bigint, part int, keys binary, counts binary, sums binary"
-ANSWER = "block bigint, part int, counts binary, sums binary"
+ANSWER = "block bigint, part int, counts binary, totals binary"
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 #: Of the answer with the totals over all words.
 ALL = -1
+#: The pass over contexts, after those over n-grams, which go by length.
+CONTEXTS = DEPTH + 2
 
 
 def least_counts(n: int) -> tuple[int, int]:
-    """(of a context, of a next word at a context) for n training tokens."""
-    more = max(1.0, n / BASE_TOKENS) ** GROWTH
-    return round(MIN_CONTEXT * more), round(MIN_NEXT * more)
+    """(of a context, of a next word at a context) for n training tokens: the same for any n."""
+    return MIN_CONTEXT, MIN_NEXT
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -110,18 +109,15 @@ class Block:
         size = np.diff(self.first)
         self.place = np.arange(len(self.codes)) - np.repeat(self.first[:-1], size)
         self.train = np.repeat(~self.held, size)
-        self.told: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
-        for x in sorted(row["told"] or [], key=lambda x: (x["level"], x["part"])):
-            self.told.setdefault(x["level"], ([], []))
-            self.told[x["level"]][0].append(unplanes(x["counts"]))
-            self.told[x["level"]][1].append(np.frombuffer(x["sums"] or b"", np.float64))
-        none = (np.zeros(0, np.uint32), np.zeros(0))  # where a block had nothing to ask
-        self.told = defaultdict(lambda: none, {k: tuple(np.concatenate(y) for y in v) for k, v in self.told.items()})
+        self.told = defaultdict(lambda: np.zeros(0, np.uint32))  # where a block had nothing to ask
+        for name, parts in row.items():
+            if name.startswith("told") and parts:
+                self.told[int(name[4:])] = np.concatenate([unplanes(x["counts"]) for x in sorted(parts, key=lambda x: x["part"])])
         word = self.words[self.codes]
         self.keys, self.totals = {1: word}, {}
         self.word = word
         if 1 in self.told:
-            self.totals[1] = self.told[1][0][self.codes]  # a block has a word at least, its end
+            self.totals[1] = self.told[1][self.codes]  # a block has a word at least, its end
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions, distinct keys, number of each position's key) of the n-grams of length k that are asked about."""
@@ -141,7 +137,7 @@ class Block:
         for k in range(2, upto + 1):
             at, _, code = self.grams(k)
             self.totals[k] = np.zeros(len(self.codes), np.uint32)
-            self.totals[k][at] = self.told[k][0][code]
+            self.totals[k][at] = self.told[k][code]
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions of the word after it, distinct keys, numbers) of candidate contexts of length k."""
@@ -152,23 +148,26 @@ class Block:
         return at, distinct, code
 
     def divergences(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, listed occurrences, summed log ratios) of this block's training tokens after contexts of length k."""
+        """(keys, listed occurrences, summed log ratios less what all occurrences ask) of this block's training tokens after
+        contexts of length k. Over all blocks a sum of 0 or more retains the context."""
         at, distinct, code = self.contexts(k)
         listed = self.train[at] & (self.totals[k + 1][at] >= self.min_next)
         i, c = at[listed], code[listed]
         shorter = self.totals[k - 1][i - 1] if k > 1 else n
         ratio = np.log(self.totals[k + 1][i] / self.totals[k][i - 1]) - np.log(self.totals[k][i] / shorter)
-        return distinct, np.bincount(c, minlength=len(distinct)), np.bincount(c, ratio, minlength=len(distinct))
+        asked = MIN_DIVERGENCE * np.bincount(code[self.train[at]], minlength=len(distinct))
+        return distinct, np.bincount(c, minlength=len(distinct)), np.bincount(c, ratio, minlength=len(distinct)) - asked
 
     def probabilities(self, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
         """Base and model probability of each token."""
         base = (self.totals[1] + 1.0) / (n + v + 1)
         p = base.copy()
+        rest = self.told[CONTEXTS]
         for k in range(1, DEPTH + 1):
-            at, _, code = self.contexts(k)
-            listed, sums = self.told[10 + k][0][code], self.told[10 + k][1][code]
+            at, distinct, code = self.contexts(k)
+            listed, rest = rest[: len(distinct)][code], rest[len(distinct) :]
             count = self.totals[k][at - 1]
-            retained = (listed > 0) & (sums >= MIN_DIVERGENCE * count)
+            retained = listed > 0
             at, listed, count = at[retained], listed[retained], count[retained]
             own = self.totals[k + 1][at]
             own = np.where(own >= self.min_next, own, 0)
@@ -182,28 +181,29 @@ def _rows(batch: pa.RecordBatch):
         yield {k: c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray | None) -> pa.RecordBatch:
-    """Rows of SENT; ``keys`` are sorted."""
-    parts = (keys >> np.uint64(64 - bits)).astype(np.int32)
+def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray | None, k: int = 0) -> pa.RecordBatch:
+    """Rows of SENT; ``keys`` are sorted. Parts of contexts of length ``k`` come after those of shorter ones."""
+    parts = (keys >> np.uint64(64 - bits)).astype(np.int32) + np.int32(k << bits)
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, np.int64)
     cut = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(parts[at], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["block", "part", "keys", "counts", "sums"])
 
 
 def _ask(bits: int, level: int, n: int = 0):
-    """Sends of all blocks for n-grams of length ``level``, or (above 10) for contexts of length ``level`` - 10."""
+    """Sends of all blocks for n-grams of length ``level``, or for contexts of all lengths."""
 
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
                 block = Block(row, n)
-                if level < 10:
+                if level < CONTEXTS:
                     block.learn(level - 1)
                     at, keys, code = block.grams(level)
                     yield _send(bits, row["block"], keys, np.bincount(code[block.train[at]], minlength=len(keys)), None)
                 else:
-                    block.learn(level - 9)
-                    yield _send(bits, row["block"], *block.divergences(level - 10, n))
+                    block.learn(DEPTH + 1)
+                    for k in range(1, DEPTH + 1):
+                        yield _send(bits, row["block"], *block.divergences(k, n), k)
 
     return run
 
@@ -223,17 +223,18 @@ def _add_up(totals: bool):
         group[order] = np.cumsum(new) - 1
         total = np.add.reduceat(counts[order], starts)
         sums = np.concatenate([np.frombuffer(x["sums"], np.float64) for x in rows])
-        added = np.add.reduceat(sums[order], starts) if len(sums) else None
+        if len(sums):
+            total[np.add.reduceat(sums[order], starts) < 0] = 0
         ends = np.cumsum([len(x["keys"]) // 8 for x in rows])
         out = [[], [], [], []]
         for x, b in zip(rows, ends.tolist(), strict=True):
             own = group[b - len(x["keys"]) // 8 : b]
-            for c, y in zip(out, (x["block"], x["part"], planes(total[own]), b"" if added is None else added[own].tobytes()), strict=True):
+            for c, y in zip(out, (x["block"], x["part"], planes(total[own]), b""), strict=True):
                 c.append(y)
         if totals:
             for c, y in zip(out, (ALL, rows[0]["part"], b"", np.array([total.sum(), (total > 0).sum()], float).tobytes()), strict=True):
                 c.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["block", "part", "counts", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["block", "part", "counts", "totals"])
 
     return run
 
@@ -256,31 +257,33 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
     """Learn from the documents outside the held-out fold, and score all: a row per document."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).cast("string").alias("text"))
-    name = f"blocks_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen.mapInArrow(_encode, BLOCK).write.bucketBy(buckets, "block").option("path", scratch.folder(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+
+    def bucketed(df: DataFrame, kind: str) -> DataFrame:
+        """Written by block, so that a join by block shuffles nothing."""
+        name = f"{kind}_{uuid.uuid4().hex[:12]}"
+        df.write.bucketBy(buckets, "block").option("path", scratch.folder(spark, kind)).option("compression", "zstd").saveAsTable(name)
+        return spark.table(name)
+
+    blocks = bucketed(chosen.mapInArrow(_encode, BLOCK), "blocks")
     bits = minhash.part_bits(spark)
-    answers: list[DataFrame] = []
+    answers: dict[int, DataFrame] = {}
 
     def told() -> DataFrame:
         """The blocks, each with all answers so far."""
-        if not answers:
-            return blocks.withColumn("told", F.expr("cast(null as array<struct<level: int, part: int, counts: binary, sums: binary>>)"))
-        every = answers[0]
-        for x in answers[1:]:
-            every = every.unionByName(x)
-        return blocks.join(every.groupBy("block").agg(F.collect_list(F.struct("level", "part", "counts", "sums")).alias("told")), "block", "left")
+        every = blocks
+        for level, x in answers.items():
+            every = every.join(x.select("block", F.col("told").alias(f"told{level}")).hint("shuffle_hash"), "block", "left")
+        return every
 
     def ask(level: int, n: int = 0) -> None:
-        sent = told().mapInArrow(_ask(bits, level, n), SENT).repartition("part").mapInArrow(_add_up(level == 1), ANSWER)
-        answers.append(scratch.table(sent.withColumn("level", F.lit(level)), f"level{level}"))
+        added = told().mapInArrow(_ask(bits, level, n), SENT).repartition("part").mapInArrow(_add_up(level == 1), ANSWER)
+        lists = added.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "totals")).alias("told"))
+        answers[level] = bucketed(lists, f"level{level}")
 
     ask(1)
-    sizes = [np.frombuffer(r["sums"]) for r in answers[0].filter(F.col("block") == ALL).select("sums").collect()]  # a row per part
+    sizes = [np.frombuffer(x["totals"]) for r in answers[1].filter(F.col("block") == ALL).collect() for x in r["told"]]  # one for each part
     n, v = (int(sum(x[k] for x in sizes)) for k in (0, 1))
-    for k in range(2, DEPTH + 2):
+    for k in range(2, CONTEXTS + 1):
         ask(k, n)
-    for k in range(1, DEPTH + 1):
-        ask(10 + k, n)
     return told().mapInArrow(_score(n, v), SCHEMA)

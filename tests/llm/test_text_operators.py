@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from gridwise.llm import cotraining, decontamination, html_layout, queries, repetition, suffix_tree, tool_calls
@@ -271,6 +272,13 @@ def test_suffix_tree_of_nothing(spark):
     assert sorted(r["n_tokens"] for r in one) == [1, 3]
 
 
+def test_suffix_tree_has_the_same_least_counts_at_any_size():
+    row = {"first": np.array([0, 1]).tobytes(), "codes": np.zeros(1, np.int32).tobytes(), "words": np.array([suffix_tree.END]).tobytes(), "held": np.zeros(1, bool).tobytes(), "told": None}
+    for n in (0, 16_000_000, 81_000_000, 5_000_000_000):
+        block = suffix_tree.Block(row, n)
+        assert (block.min_context, block.min_next) == suffix_tree.least_counts(n) == (suffix_tree.MIN_CONTEXT, suffix_tree.MIN_NEXT)
+
+
 # Op 9.
 def junk(r):
     return " | ".join("".join(r.choice("abc") for _ in range(5)) for _ in range(60)) + " ###"
