@@ -8,7 +8,7 @@ contaminated by an item if that stretch has ``LEAST_MATCHES`` equal words, or fo
 The benchmark side of the join is sent to the tasks in slices of at most ``SLICE_WORDS`` words of whole items, whatever the
 benchmark's size; with more than one slice the documents are read once for each. Documents are never shuffled.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case.
+Words are ``[^\\x20\\x09-\\x0D]+`` without regard to case, by Unicode's full case folding (so that STRASSE is straße).
 
 Defined results: null or empty texts and items of fewer than ``LEAST_WORDS`` words contaminate nothing and aren't
 contaminated; of items with equal texts the least item_id is named (null only if all are null); repeated rows and null
@@ -53,8 +53,7 @@ class Index:
     def __init__(self, ids: list, texts: list[str]) -> None:
         self.ids = ids
         buf, offsets = text.flat(pa.array(texts, pa.string()))
-        starts, ends, self.first = text.words(buf, offsets)
-        self.words = text.span_hash(text.prefix(buf, True), starts, ends)
+        self.words, self.first = _word_hashes(buf, offsets)
         item = text.owner(self.first)
         self.by_mask = []
         for k, mask in enumerate(MASKS):
@@ -115,7 +114,18 @@ def _indexes(benchmark: DataFrame) -> list:
     return out
 
 
+def _folded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a slice, case-folded where they hold more than ASCII; A-Z are folded by their hash."""
+    if not (buf & 0x80).any():
+        return buf, offsets
+    data = buf.tobytes()
+    texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    texts = [x if x.isascii() else x.decode(errors="surrogateescape").casefold().encode(errors="surrogateescape") for x in texts]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    buf, offsets = _folded(buf, offsets)
     starts, ends, first = text.words(buf, offsets)
     return text.span_hash(text.prefix(buf, True), starts, ends), first
 

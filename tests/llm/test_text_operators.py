@@ -113,6 +113,15 @@ def test_decontamination(spark):
     assert decontamination.overlaps(df, none).count() == 0 and decontamination.clean(df, none).count() == len(docs)
 
 
+def test_decontamination_of_upper_cased_accents(spark):
+    item = "où êtes-vous allé dès l’été près de l’île où la forêt était brûlée à côté de la grande straße"
+    df = spark.createDataFrame([(1, "one two three " + item.upper()), (2, item), (3, "ou etes vous")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(5, item), (6, "ÇA ÉTÉ À ÖL ÜBER ÄHRE ÎLE ÔTER ÛN")], "item_id bigint, text string")
+    n = len(item.split())
+    assert sorted((r["doc_id"], r["item_id"], r["n_matched"]) for r in decontamination.overlaps(df, bench).collect()) == [(1, 5, n), (2, 5, n)]
+    assert [r["doc_id"] for r in decontamination.clean(df, bench).collect()] == [3]
+
+
 def test_benchmark_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SLICE_WORDS", 40)
     r = random.Random(4)
