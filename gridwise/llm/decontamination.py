@@ -4,6 +4,8 @@ Each mask ignores fixed positions of a window of words, so windows that differ t
 of all benchmark windows are joined with those of all windows of all documents; around each hit the item is laid over
 the document and the best stretch, matches scoring 1 and substitutions -4, is verified on whole words. A document is
 contaminated by an item if that stretch has ``LEAST_MATCHES`` equal words, or four fifths of the item where that is less.
+It is also contaminated if the item, laid over it whole, has ``SHARE`` equal words wherever the others stand; such an
+item has three or four equal words in a row (``seed``), by which all these places are found.
 
 The benchmark side of the join is sent to the tasks in slices of at most ``SLICE_WORDS`` words of whole items, whatever the
 benchmark's size; with more than one slice the documents are read once for each. Documents are never shuffled.
@@ -31,6 +33,10 @@ from . import text
 MASKS = ("111011001101", "110101110011", "101110011011", "110011101101", "11111111")
 LEAST_WORDS = 8
 LEAST_MATCHES, SHARE, MISMATCH = 13, 0.8, -4
+#: Masks by which items are laid whole over documents; see seed().
+SEEDS = ("111", "1111")
+#: Words that are compared at once.
+COMPARED = 1 << 20
 SLICE_WORDS = 500_000
 SCHEMA = "doc_id bigint, item_id bigint, n_matched bigint, item_words bigint, doc_start bigint, doc_end bigint"
 
@@ -47,6 +53,12 @@ def windows(h: np.ndarray, mask: str, seed: int) -> np.ndarray:
     return text.mix(out)
 
 
+def seed(n: np.ndarray) -> np.ndarray:
+    """Equal words in a row that an item of n words has at least where SHARE of it is equal, up to the longest of SEEDS."""
+    equal = np.ceil(SHARE * n)
+    return np.minimum(np.ceil(equal / (n - equal + 1)), len(SEEDS[-1])).astype(np.int64)
+
+
 class Index:
     """The windows of a slice of items, sorted by hash."""
 
@@ -56,20 +68,24 @@ class Index:
         self.words, self.first = _word_hashes(buf, offsets)
         item = text.owner(self.first)
         self.by_mask = []
-        for k, mask in enumerate(MASKS):
+        size = np.diff(self.first)[item]
+        for k, mask in enumerate((*MASKS, *SEEDS)):
             h = windows(self.words, mask, k)
-            at = np.flatnonzero(item[: len(h)] == item[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
+            fits = item[: len(h)] == item[len(mask) - 1 :] if len(h) else np.zeros(0, bool)
+            if k >= len(MASKS):
+                fits = fits & (size[: len(h)] >= LEAST_WORDS) & (seed(size[: len(h)]) == len(mask))
+            at = np.flatnonzero(fits)
             order = at[np.argsort(h[at], kind="stable")]
             h = h[order]
             bits = int(np.clip(np.ceil(np.log2(max(len(h), 1))) + 7, 12, 26))
             sieve = np.zeros(1 << bits, bool)
             sieve[h >> np.uint64(64 - bits)] = True
-            self.by_mask.append((h, order, item[order], sieve, np.uint64(64 - bits)))
+            self.by_mask.append((mask, k, h, order, item[order], sieve, np.uint64(64 - bits)))
 
-    def hits(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def hits(self, h: np.ndarray, doc: np.ndarray, masks: slice = slice(len(MASKS))) -> np.ndarray:
         """(document, item, word of the document under the item's first) of all hits, each once; h: words of documents."""
         found = []
-        for k, (mask, (keys, where, item, sieve, shift)) in enumerate(zip(MASKS, self.by_mask, strict=True)):
+        for mask, k, keys, where, item, sieve, shift in self.by_mask[masks]:
             if not len(keys) or len(h) < len(mask):
                 continue
             got = windows(h, mask, k)
@@ -82,6 +98,25 @@ class Index:
             found.append(np.column_stack([doc[at], item[spot], at - (where[spot] - self.first[item[spot]])]))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def laid(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(document, item, equal words, first and past the last word) of items that are laid whole and have SHARE equal."""
+        hits = self.hits(h, text.owner(first), slice(len(MASKS), None))
+        size = np.diff(self.first)[hits[:, 1]]
+        total, out, a = np.cumsum(size), [], 0
+        while a < len(hits):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + COMPARED, "right")))
+            d, t, lay = hits[a:b].T
+            n, a = size[a:b], b
+            begin = np.cumsum(n) - n
+            j = np.arange(n.sum()) - np.repeat(begin, n)
+            at, lo, hi = np.repeat(lay, n) + j, np.maximum(lay, first[d]), np.minimum(lay + n, first[d + 1])
+            inside = (at >= np.repeat(lo, n)) & (at < np.repeat(hi, n))
+            same = inside & (h[np.where(inside, at, 0)] == self.words[np.repeat(self.first[t], n) + j])
+            equal = np.add.reduceat(same.astype(np.int64), begin)
+            good = (equal >= np.ceil(SHARE * n)) & (hi - lo >= LEAST_WORDS)
+            out.append(np.column_stack([d, t, equal, lo - first[d], hi - first[d]])[good])
+        return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+
     def verified(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(document, item, equal words, item's words, first and past the last word in the document); one for each pair."""
         best: dict[tuple[int, int], tuple] = {}
@@ -98,7 +133,11 @@ class Index:
             n = int(same[start:end].sum())
             if n >= min(LEAST_MATCHES, np.ceil(SHARE * (b - a))) and n > best.get((d, t), (0,))[0]:
                 best[d, t] = (n, int(b - a), lo + start - int(first[d]), lo + end - int(first[d]))
-        return [(d, t, *x) for (d, t), x in sorted(best.items())]
+        whole: dict[tuple[int, int], tuple] = {}
+        for d, t, n, start, end in self.laid(h, first).tolist():
+            if (d, t) not in best and n > whole.get((d, t), (0,))[0]:
+                whole[d, t] = (n, int(self.first[t + 1] - self.first[t]), start, end)
+        return [(d, t, *x) for (d, t), x in sorted((best | whole).items())]
 
 
 def _indexes(benchmark: DataFrame) -> list:

@@ -1,5 +1,6 @@
 """Ops 2, 3, 4, 5, 6, 9 against brute force, known answers and held-out labels."""
 
+import itertools
 import json
 import math
 import random
@@ -122,6 +123,24 @@ def test_decontamination_of_upper_cased_accents(spark):
     assert [r["doc_id"] for r in decontamination.clean(df, bench).collect()] == [3]
 
 
+def test_substitutions_anywhere_in_short_items(spark):
+    r = random.Random(12)
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (*range(8, 21), 25)}
+    docs, expected = [], set()
+    for n, words in items.items():
+        most = n - math.ceil(0.8 * n)
+        places = [p for m in (1, 2) for p in itertools.combinations(range(n), m)] + [tuple(sorted(r.sample(range(n), most))) for _ in range(30)] + [tuple(range(3, n, 4))[:most]]
+        for p in places:
+            changed = ["other" if k in p else w for k, w in enumerate(words)]
+            docs.append((len(docs), " ".join(["before"] * 5 + changed + ["after"] * 5)))
+            if len(p) <= most:
+                expected.add((docs[-1][0], n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    got = decontamination.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert expected <= {(x["doc_id"], x["item_id"]) for x in got}
+    assert all(x["n_matched"] >= min(13, math.ceil(0.8 * x["item_words"])) for x in got)
+
+
 def test_benchmark_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SLICE_WORDS", 40)
     r = random.Random(4)
