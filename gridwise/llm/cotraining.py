@@ -1,11 +1,13 @@
 """Quality classifier by co-training: one classifier reads the text, another the page's metadata.
 
-Two logistic regressions are fitted on a bounded sample (``LABELLED`` labelled and ``POOL`` unlabelled documents, chosen
-by a hash of doc_id, whole texts). In each of ``ROUNDS`` rounds either view labels the pool, and its most confident
-documents of each class join the other view's training rows with those pseudo-labels. Labelled rows kept aside then
+Two logistic regressions are fitted on at most ``LABELLED`` labelled documents, chosen by a hash of doc_id (whole texts).
+In each of ``ROUNDS`` rounds either view scores all unlabelled documents, and its ``PER_ROUND`` most confident of both
+classes join the other view's training rows with those pseudo-labels. Features are scaled by the means of all documents;
+of each metadata column the ``VALUES`` most frequent values of all documents have an indicator, others share ``SHARED``. Labelled rows kept aside then
 calibrate each view (Platt scaling) and weigh the two log-odds into one score, with which every document is scored.
 
-Fitting happens on the driver over the bounded sample; feature extraction and scoring are Spark jobs over whole texts.
+Features are extracted once, into a table, which every round reads; a task sends on its own most confident documents only.
+The regressions are fitted on the driver, over at most ``LABELLED`` + ``ROUNDS`` * ``PER_ROUND`` rows and a few for rounding.
 
 Defined results: a null or empty text has text features of zero; null metadata is a category of its own; labels that are
 null, or whose document is missing, aren't used; a doc_id labelled twice counts with its lowest label; without labels of
@@ -14,16 +16,19 @@ both classes every document is kept with the score 1.0; an empty table gives no
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import text
+from . import scratch, text
 
-LABELLED, POOL = 4000, 4000
+LABELLED = 4000
 ROUNDS, PER_ROUND = 5, 200
+VALUES, SHARED = 256, 32
 THRESHOLD = 0.5
 BUCKETS = 64
 SCHEMA = "doc_id bigint, text_score double, page_score double, score double, kept boolean"
@@ -66,8 +71,8 @@ def text_features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Scaler:
-    def __init__(self, x: np.ndarray) -> None:
-        self.mean, self.sd = x.mean(0), x.std(0) + 1e-6
+    def __init__(self, mean: np.ndarray, sd: np.ndarray) -> None:
+        self.mean, self.sd = mean, sd + 1e-6
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.sd, -6, 6)
@@ -100,11 +105,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Pages:
-    """Metadata as numbers: indicators of the values that the sample holds, and the length in five steps."""
+    """Metadata as numbers: indicators of the values, by column, shared ones of all other values, and the length in five steps."""
 
-    def __init__(self, rows: pd.DataFrame, names: list[str], length: str | None) -> None:
-        self.names, self.length = names, length
-        self.values = {c: sorted({str(v) for v in rows[c] if v is not None and v == v}) for c in names}
+    def __init__(self, values: dict[str, list[str]], length: str | None) -> None:
+        self.names, self.length, self.values = list(values), length, values
 
     def __call__(self, rows: pd.DataFrame) -> np.ndarray:
         cols = [np.ones(len(rows))]
@@ -112,6 +116,10 @@ class Pages:
             cells = rows[c].astype("object").where(rows[c].notna(), None)
             cols += [(cells.map(lambda v: v is not None and str(v) == value)).to_numpy(float) for value in self.values[c]]
             cols.append(cells.isna().to_numpy(float))
+            if len(self.values[c]) == VALUES:
+                own = set(self.values[c])
+                bucket = cells.map(lambda v: -1 if v is None or str(v) in own else zlib.crc32(str(v).encode()) % SHARED)  # noqa: B023
+                cols += [(bucket == k).to_numpy(float) for k in range(SHARED)]
         if self.length:
             n = np.log1p(pd.to_numeric(rows[self.length], errors="coerce").fillna(0).clip(lower=0).to_numpy(float))
             cols += [n / 10] + [(n > k).astype(float) for k in (4, 5, 6, 7, 8)]
@@ -121,9 +129,8 @@ class Pages:
 class Model:
     """Both views, their calibration and their weights."""
 
-    def __init__(self, rows: pd.DataFrame, pool: pd.DataFrame, names: list[str], length: str | None, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> None:
+    def __init__(self, rows: pd.DataFrame, every: DataFrame, values: dict[str, list[str]], length: str | None, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> None:
         rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        pool = pool.sort_values("doc_id", kind="stable").reset_index(drop=True)
         y = rows["label"].to_numpy(float)
         self.ready = 0 < y.sum() < len(y)
         if not self.ready:
@@ -131,37 +138,35 @@ class Model:
         aside = np.arange(len(rows)) % 4 == 3
         if min(y[aside].sum(), (1 - y[aside]).sum()) == 0 or not 0 < y[~aside].sum() < (~aside).sum():
             aside[:] = False
-        every = pd.concat([rows, pool], ignore_index=True)
-        self.pages = Pages(every, names, length)
-        views = [np.array(every["x"].tolist(), float), self.pages(every)]
-        self.scale = [Scaler(v) for v in views]
-        views = [s(v) for s, v in zip(self.scale, views, strict=True)]
-        train, free = np.flatnonzero(~aside), np.arange(len(rows), len(every))
-        given = [dict(zip(train.tolist(), y[train].tolist(), strict=True)) for _ in views]  # row -> label, by view
-        share = y[train].mean()
+        self.pages = Pages(values, length)
+        self.scale = _moments(every, self.pages)
+        views = self.scaled(np.array(rows["x"].tolist(), float), rows)
+        train = [v[~aside] for v in views]
+        known = [y[~aside], y[~aside]]
+        taken: list[set[int]] = [set(), set()]  # pseudo-labelled, by view
+        share = y[~aside].mean()
+        most = max(1, round(per_round * (1 - share))), max(1, round(per_round * share))  # of each class, a round
         for step in range(rounds + 1):
-            self.views = []
-            for v, known in zip(views, given, strict=True):
-                at = np.fromiter(known, np.int64)
-                self.views.append(Logistic(v[at], np.fromiter(known.values(), float)))
-            if step == rounds or not len(free):
+            self.views = [Logistic(v, labels) for v, labels in zip(train, known, strict=True)]
+            if step == rounds:
                 break
+            more = _confident(every, self, taken, most)
             for k in (0, 1):
-                other = given[1 - k]
-                left = np.array([i for i in free.tolist() if i not in other], np.int64)
-                if not len(left):
-                    continue
-                z = self.views[k](views[k][left])
-                order = np.argsort(z, kind="stable")
-                good, poor = max(1, round(per_round * share)), max(1, round(per_round * (1 - share)))
-                other |= {int(i): 1.0 for i in left[order[::-1][:good]] if sigmoid(self.views[k](views[k][[i]]))[0] > 0.9}
-                other |= {int(i): 0.0 for i in left[order[:poor]] if sigmoid(self.views[k](views[k][[i]]))[0] < 0.1}
+                part = more[more["view"] == k]
+                if len(part):
+                    train[1 - k] = np.vstack([train[1 - k], self.scaled(np.array(part["x"].tolist(), float), part)[1 - k]])
+                    known[1 - k] = np.concatenate([known[1 - k], part["good"].to_numpy(float)])
+                    taken[1 - k] |= set(part["doc_id"].tolist())
         held = np.flatnonzero(aside) if aside.any() else np.arange(len(rows))
         z = np.column_stack([m(v[held]) for m, v in zip(self.views, views, strict=True)])
         self.platt = [Logistic(z[:, [k]], y[held], 1e-2, even=False) for k in (0, 1)]
         z = np.column_stack([p(z[:, [k]]) for k, p in enumerate(self.platt)])
         self.joint = Logistic(z, y[held], 1e-2, even=False)
 
+    def scaled(self, x: np.ndarray, rows: pd.DataFrame) -> list[np.ndarray]:
+        """Both views' numbers."""
+        return [s(v) for s, v in zip(self.scale, (x, self.pages(rows)), strict=True)]
+
     def __call__(self, x: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, page and joint scores."""
         if not self.ready:
@@ -171,21 +176,72 @@ class Model:
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(self.joint(np.column_stack(z)))
 
 
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, pd.DataFrame]:
+    """Text features and the other columns of a batch of the table of features."""
+    x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False)
+    return x.reshape(batch.num_rows, -1), batch.select([c for c in batch.schema.names if c != "x"]).to_pandas()
+
+
+def _moments(every: DataFrame, pages: Pages) -> list[Scaler]:
+    """Scalers of both views by all documents."""
+
+    def add(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, rows = _read(batch)
+                for k, v in enumerate((x, pages(rows))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(v.shape[1], k), pa.int32()), pa.array(np.arange(v.shape[1]), pa.int32()), pa.array(np.full(v.shape[1], float(len(v)))), pa.array(v.sum(0)), pa.array((v**2).sum(0))], ["view", "at", "n", "s", "q"])
+
+    got = every.mapInArrow(add, "view int, at int, n double, s double, q double").groupBy("view", "at").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas().sort_values("at")  # a row for each feature
+    out = []
+    for k in (0, 1):
+        n, s, q = (got.loc[got["view"] == k, c].to_numpy() for c in "nsq")
+        out.append(Scaler(s / n, np.sqrt(np.maximum(q / n - (s / n) ** 2, 0))))
+    return out
+
+
+def _confident(every: DataFrame, model: Model, taken: list[set[int]], most: tuple[int, int]) -> pd.DataFrame:
+    """view, good, doc_id and features of the documents, among all unlabelled ones, that each view is surest of."""
+    free = every.filter("label = -1 and doc_id is not null")
+    gone = [np.array(sorted(x), np.int64) for x in taken]
+
+    def best(batches):
+        found = {(k, good): pd.DataFrame({"doc_id": np.zeros(0, np.int64), "rank": np.zeros(0)}) for k in (0, 1) for good in (0, 1)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, rows = _read(batch)
+            ids = rows["doc_id"].to_numpy(np.int64)
+            for k, v in enumerate(model.scaled(x, rows)):
+                z = model.views[k](v)
+                new = ~np.isin(ids, gone[1 - k])
+                for good, rank in ((0, z), (1, -z)):
+                    sure = new & (sigmoid(rank) < 0.1)
+                    both = pd.concat([found[k, good], pd.DataFrame({"doc_id": ids[sure], "rank": rank[sure]})])
+                    found[k, good] = both.sort_values(["rank", "doc_id"]).drop_duplicates("doc_id").head(most[good])
+        for (k, good), x in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), pa.array(np.full(len(x), good), pa.int32()), pa.array(x["doc_id"].to_numpy()), pa.array(x["rank"].to_numpy())], ["view", "good", "doc_id", "rank"])
+
+    sure = scratch.table(free.mapInArrow(best, "view int, good int, doc_id bigint, rank double"), "confident")
+    tops = [sure.filter((F.col("view") == k) & (F.col("good") == good)).groupBy("view", "good", "doc_id").agg(F.min("rank").alias("rank")).orderBy("rank", "doc_id").limit(most[good]) for k in (0, 1) for good in (0, 1)]
+    top = [(r["view"], r["good"], r["doc_id"]) for x in tops for r in x.collect()]  # about 2 * PER_ROUND rows
+    ids = every.sparkSession.createDataFrame(top, "view int, good int, doc_id bigint")
+    return free.join(F.broadcast(ids), "doc_id").dropDuplicates(["view", "doc_id"]).toPandas().sort_values(["view", "good", "doc_id"])
+
+
 def _some(ids: DataFrame, n: int, seed: int) -> DataFrame:
     """At most n ids, the lowest by hash."""
     return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", names: tuple[str, ...] = ("source", "lang"), length: str | None = "n_chars", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on a sample of at most ``labelled`` + ``pool`` documents (of ``doc_id``, ``text`` and metadata)."""
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", names: tuple[str, ...] = ("source", "lang"), length: str | None = "n_chars", labelled: int = LABELLED) -> Model:
+    """Fit on at most ``labelled`` labelled documents and on all others (of ``doc_id``, ``text`` and metadata)."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(target).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null")
     by_class = [_some(known.filter(F.col("label") == c), labelled // 2, 1) for c in (0, 1)]
-    free = _some(ids.join(known, "doc_id", "left_anti").distinct(), pool, 2).withColumn("label", F.lit(-1))
-    chosen = by_class[0].unionByName(by_class[1]).unionByName(free)  # labelled + pool ids at most
+    chosen = by_class[0].unionByName(by_class[1]).select("doc_id", F.lit(True).alias("chosen"))  # labelled ids at most
+    known = known.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", F.when(F.col("chosen"), F.col("label")).otherwise(-2).alias("label"))
     meta = list(dict.fromkeys([*names, *([length] if length else [])]))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta)
-    found = plain.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", *meta).dropDuplicates(["doc_id"])
 
     def extract(batches):
         for batch in batches:
@@ -193,11 +249,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", names: tupl
                 x = text_features(buf, offsets)
                 cut = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.ListArray.from_arrays(cut, pa.array(x.ravel()))], ["doc_id", "label", *meta, "x"])
-
-    kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in meta)
-    rows = found.mapInArrow(extract, f"doc_id bigint, label int, {kinds + ', ' if meta else ''}x array<double>").toPandas()
-    return Model(rows[rows["label"] >= 0], rows[rows["label"] < 0], list(names), length)
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.ListArray.from_arrays(cut, pa.array(x.ravel()))], ["doc_id", *meta, "x"])
+
+    kinds = ", ".join(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in meta)
+    features = plain.mapInArrow(extract, f"doc_id bigint, {kinds + ', ' if meta else ''}x array<double>")
+    every = scratch.table(features.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1))), "features")
+    rows = every.filter("label >= 0").dropDuplicates(["doc_id"]).toPandas()
+    values = {c: sorted(str(r[0]) for r in every.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES).collect()) for c in names}
+    return Model(rows, every, values, length)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:

@@ -336,6 +336,17 @@ def test_cotraining_without_labels_keeps_all(spark):
     assert cotraining.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_cotraining_learns_from_all_unlabelled_documents(spark):
+    r = random.Random(9)
+    docs = [(k, prose(r, 12) if k % 2 else junk(r)[:90], "en", "common" if k < 4400 else "rare", 80, "a", k) for k in range(4500)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id bigint, quality int")
+    # The source "last" is that of the documents which a sample of 4,000 would leave out.
+    sampled = {x["doc_id"] for x in cotraining._some(spark.range(200, 4500).withColumnRenamed("id", "doc_id"), 4000, 2).collect()}
+    docs = [(*x[:3], "last", *x[4:]) if x[0] >= 200 and x[0] not in sampled else x for x in docs]
+    model = cotraining.fit(frame(spark, docs), labels)
+    assert model.pages.values["source"] == ["common", "last", "rare"]
+
+
 def test_cotraining_query_on_held_out_labels(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
