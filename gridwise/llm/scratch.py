@@ -1,7 +1,9 @@
 """Tables between the steps of an operator, in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder is used. A
-written table cuts lineage and survives lost executors, and Parquet keeps column pruning, which a checkpoint lacks.
+The folder is ``spark.checkpoint.dir``. Where that is unset, a local session (tests, a laptop) gets a temporary folder, and
+a cluster an error, since its executors share no local folder. A written table cuts lineage and survives lost executors,
+and Parquet keeps column pruning, which a checkpoint lacks. Operators drop the tables that no later plan reads; those that
+a result still reads stay until :func:`clear`.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ def root(spark: SparkSession) -> str:
     """The shared folder, with this library's own subfolder."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        app = spark.sparkContext.applicationId
-        top = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="gridwise-"))
-    return f"{top.rstrip('/')}/gridwise"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gridwise-"))
+    return f"{top.rstrip('/')}/gridwise/{spark.sparkContext.applicationId}"
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -32,15 +35,36 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it again."""
     path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table that :func:`table` wrote and no later plan reads."""
-    spark = df.sparkSession
-    top = root(spark)
-    for name in df.inputFiles()[:1]:
-        path = name.rpartition("/")[0]
-        if path.replace("file:///", "file:/").startswith(top.replace("file:///", "file:/")):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def extend(df: DataFrame, more: DataFrame) -> None:
+    """Append rows to a table that :func:`table` wrote; :func:`again` reads it with them."""
+    more.select(*df.columns).write.mode("append").option("compression", "zstd").parquet(df._scratch)
+
+
+def again(df: DataFrame) -> DataFrame:
+    out = df.sparkSession.read.schema(df.schema).parquet(df._scratch)
+    out._scratch = df._scratch
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`table` wrote and no later plan reads."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; results that still read them are lost."""
+    for row in spark.catalog.listTables():
+        if row.name.startswith("gridwise_scratch_"):
+            spark.sql(f"drop table {row.name}")
+    _delete(spark, root(spark))

@@ -8,11 +8,13 @@ and object keys in sorted order.
 Where turns hold no calls (JSON with ``tool_calls``, answered by turns of the role ``tool``), a user's turn is a call of
 the tool ``reply`` and an assistant's turn right after it is its result.
 
-Defined results: a row for each distinct turn; ``copies`` counts equal rows, so nothing is dropped. Calls and results that
-share an id beyond the first (by turn, then text) have the status ``duplicate``; a null id, conversation or turn never links
-(``unanswered`` or ``orphan``); a result before its call is ``early``; calls that wait for each other, or for a call that
-the conversation lacks, are ``blocked`` and have no step. A null text is a null content. Arguments that aren't a JSON object are
-invalid and written as null. An empty table gives no rows; other columns are not read.
+Defined results: a row for each part of each distinct turn; ``copies`` counts equal rows, so nothing is dropped. Of calls (or
+results) that share an id the first by turn, arguments or content, place and a digest of the whole turn counts, so exactly
+one does; the others have the status ``duplicate``. A null id, conversation or turn never links (``unanswered`` or
+``orphan``); a result before its call is ``early``; calls that wait for each other, or for a call that the conversation lacks,
+are ``blocked`` and have no step. A null text is a null content. Arguments that aren't a JSON object are invalid; JSON of
+another kind is written as it is, what isn't JSON as a string. An empty table gives no rows; other columns are not read.
+conv_id and turn are integers (a text that isn't one is an error).
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-MOST_STEPS = 10_000
-
 
 @dataclass(frozen=True)
 class Field:
@@ -103,14 +103,19 @@ def _parts(turns: DataFrame) -> DataFrame:
         .when(F.col("role") == "assistant", F.array(part("result", before, content=F.col("text"))))
         .otherwise(F.array(part("message", content=F.col("text"))))
     )
-    return parsed.select("conv_id", "turn", "role", "copies", F.posexplode(parts).alias("place", "p")).select("conv_id", "turn", "role", "copies", "place", "p.*")
+    whole = F.sha2(F.to_json(F.struct("role", "text")), 256)  # tells two turns of one number apart
+    return parsed.select("conv_id", "turn", "role", "copies", whole.alias("whole"), F.posexplode(parts).alias("place", "p")).select("conv_id", "turn", "role", "copies", "whole", "place", "p.*")
+
+
+def _rank() -> Column:
+    """Which part comes first; no two parts of a conversation have the same."""
+    return F.struct("turn", F.coalesce("arguments", "content", F.lit("")).alias("body"), "place", "whole")
 
 
 def _firsts(parts: DataFrame, kind: str) -> DataFrame:
     """The first part of this kind with each id."""
     known = parts.filter((F.col("kind") == kind) & F.col("call_id").isNotNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    rank = F.struct("turn", F.coalesce("arguments", "content", F.lit("")).alias("body"), "place")
-    return known.groupBy("conv_id", "call_id").agg(F.min(rank).alias("rank"))
+    return known.groupBy("conv_id", "call_id").agg(F.min(_rank()).alias("rank"))
 
 
 def steps(calls: DataFrame) -> DataFrame:
@@ -125,18 +130,20 @@ def steps(calls: DataFrame) -> DataFrame:
         return roots
     edges = scratch.table(edges, "needs")
     degree = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("degree"))
-    done = frontier = scratch.table(roots, "steps")
-    met = None
-    for level in range(1, MOST_STEPS):
+    frontier, met, level = scratch.table(roots, "steps"), None, 0
+    done = scratch.table(frontier, "done")
+    while not frontier.isEmpty():  # each round places a call at least, so this ends
+        level += 1
         now = edges.join(frontier.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
-        met = now if met is None else met.unionByName(now).groupBy("conv_id", "call_id").agg(F.sum("n").alias("n"))
-        met = scratch.table(met, "met")
+        old, met = met, scratch.table(now if met is None else met.unionByName(now).groupBy("conv_id", "call_id").agg(F.sum("n").alias("n")), "met")
         ready = met.join(degree, ["conv_id", "call_id"]).filter("n = degree").select("conv_id", "call_id")
-        frontier = scratch.table(ready.join(done, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "steps")
-        if frontier.isEmpty():
-            return done
-        done = done.unionByName(frontier)
-    raise RuntimeError(f"calls are nested deeper than {MOST_STEPS}")
+        was, frontier = frontier, scratch.table(ready.join(done, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "steps")
+        scratch.extend(done, frontier)
+        done = scratch.again(done)
+        for x in (old, was):
+            if x is not None:
+                scratch.drop(x)
+    return done
 
 
 def link(turns: DataFrame, schemas: dict[str, dict[str, Field]] | None = None) -> DataFrame:
@@ -145,10 +152,10 @@ def link(turns: DataFrame, schemas: dict[str, dict[str, Field]] | None = None) -
     parts = scratch.table(_parts(_distinct(turns)), "parts")
     calls, results = _firsts(parts, "call"), _firsts(parts, "result")
     pairs = calls.select("conv_id", "call_id", F.col("rank").alias("call")).join(results.select("conv_id", "call_id", F.col("rank").alias("result")), ["conv_id", "call_id"], "full")
-    first = parts.filter("kind = 'call'").join(calls, ["conv_id", "call_id"]).filter(F.struct("turn", F.coalesce("arguments", "content", F.lit("")).alias("body"), "place") == F.col("rank"))
+    first = parts.filter("kind = 'call'").join(calls, ["conv_id", "call_id"]).filter(_rank() == F.col("rank"))
     order = steps(first.select("conv_id", "call_id", "needs"))
     pairs = pairs.join(order, ["conv_id", "call_id"], "left").withColumnsRenamed({"conv_id": "_conv", "call_id": "_id"})
-    own = F.struct("turn", F.coalesce("arguments", "content", F.lit("")).alias("body"), "place")
+    own = _rank()
     joined = parts.join(pairs, (F.col("conv_id") == F.col("_conv")) & (F.col("call_id") == F.col("_id")), "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     status = (
@@ -169,7 +176,7 @@ def link(turns: DataFrame, schemas: dict[str, dict[str, Field]] | None = None) -
         return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
     json = (
-        F.when(is_call, F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"call_id":'), quoted(F.col("call_id")), F.lit(',"kind":"call","name":'), quoted(F.col("name")), F.lit(',"step":'), number("step"), F.lit(',"turn":'), number("turn"), F.lit("}")))
+        F.when(is_call, F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), quoted(F.col("arguments"))), F.lit(',"call_id":'), quoted(F.col("call_id")), F.lit(',"kind":"call","name":'), quoted(F.col("name")), F.lit(',"step":'), number("step"), F.lit(',"turn":'), number("turn"), F.lit("}")))
         .when(is_result, F.concat(F.lit('{"call_id":'), quoted(F.col("call_id")), F.lit(',"content":'), quoted(F.col("content")), F.lit(',"kind":"result","step":'), number("step"), F.lit(',"turn":'), number("turn"), F.lit("}")))
         .otherwise(F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"kind":"message","role":'), quoted(F.col("role")), F.lit(',"turn":'), number("turn"), F.lit("}")))
     )
