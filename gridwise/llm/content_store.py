@@ -38,14 +38,11 @@ _POLY = 0xEDB88320
 
 def boundaries(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where chunks start (all ids; the end included) and each document's first chunk. No document is empty."""
-    value = text.mix(ids.astype(np.uint64) + np.uint64(0x51ED2701))
-    sums = np.zeros(len(ids) + 1, np.uint64)
-    up, down = text.powers(len(ids) + 1)
-    np.cumsum(value * up[:-1], out=sums[1:])
+    rolling = text.Rolling(text.mix(ids.astype(np.uint64) + np.uint64(0x51ED2701)))
     cut = np.zeros(len(ids) + 1, bool)
-    if len(ids) >= WINDOW:
-        rolled = text.mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(ids) - WINDOW + 1])
-        cut[WINDOW:] = (rolled & np.uint64(MEAN - 1)) == 0
+    for at in range(0, len(ids) - WINDOW + 1, text.PIECE):
+        begin = np.arange(at, min(at + text.PIECE, len(ids) - WINDOW + 1))
+        cut[begin + WINDOW] = (rolling(begin, WINDOW) & np.uint64(MEAN - 1)) == 0
     found = np.flatnonzero(cut)
     lo, hi = np.searchsorted(found, offsets[:-1] + LEAST), np.searchsorted(found, offsets[1:])
     out, first = [], [0]

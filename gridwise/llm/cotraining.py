@@ -54,7 +54,7 @@ def text_features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     many = np.maximum(words, 1)
     length = ends - starts
     cols += [np.log1p(words) / 10, text.per_text(length, first) / many / 10, text.per_text(np.minimum(length, 50) ** 2, first) / many / 100]
-    h = text.span_hash(text.prefix(buf, True), starts, ends)
+    h = text.hashes(buf, starts, ends, True)
     # Words that differ, of all of a text: sorting by text first keeps each text's words together.
     order = np.lexsort((h, doc))
     fresh = np.ones(len(h), bool)

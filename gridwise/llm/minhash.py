@@ -96,13 +96,33 @@ def pack(keys: np.ndarray, nodes: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["part", "keys", "nodes"])
 
 
-def _stars(batches):
-    keys, nodes = [], []
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows that are equal in the first columns (integers), as slices of batches; rows come sorted by these."""
+    held, last = [], None
     for batch in batches:
-        keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-        nodes += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-    if keys:
-        k, v = np.concatenate(keys), np.concatenate(nodes)
+        ids = [batch.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for x in ids:
+            change[1:] |= x[1:] != x[:-1]
+        at = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(at, at[1:], strict=False):
+            if a == b:
+                continue
+            key = tuple(int(x[a]) for x in ids)
+            if key != last and held:
+                yield held
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def _stars(batches):
+    """Edges from each key's nodes to the least of them, part by part."""
+    for rows in groups(batches, 1):
+        k = np.concatenate([np.frombuffer(x, np.uint64) for r in rows for x in r.column(1).to_pylist()])
+        v = np.concatenate([np.frombuffer(x, np.int64) for r in rows for x in r.column(2).to_pylist()])
         order = np.lexsort((v, k))
         k, v = k[order], v[order]
         new = np.concatenate(([True], k[1:] != k[:-1]))
@@ -113,7 +133,7 @@ def _stars(batches):
 
 def candidates(packed: DataFrame) -> DataFrame:
     """node, comp: the coarse component of each node that shares a band with another."""
-    return components(packed.repartition("part").mapInArrow(_stars, "a bigint, b bigint"))
+    return components(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_stars, "a bigint, b bigint"))
 
 
 def linked(sets: tuple[np.ndarray, np.ndarray], side: np.ndarray, across: bool, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -184,24 +204,8 @@ def _compare(shingles: Callable, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit]), pa.array(node[[find(x) for x in hit.tolist()]], pa.int64())], ["node", "links", "near"])
 
     def run(batches):
-        held, last = [], None
-        for batch in batches:
-            ids = [batch.column(k).to_numpy() for k in range(3)]
-            change = np.zeros(batch.num_rows, bool)
-            for x in ids:
-                change[1:] |= x[1:] != x[:-1]
-            at = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(at, at[1:], strict=False):
-                if a == b:
-                    continue
-                key = tuple(int(x[a]) for x in ids)
-                if key != last and held:
-                    yield block(held)
-                    held = []
-                last = key
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield block(held)
+        for rows in groups(batches, 3):
+            yield block(rows)
 
     return run
 

@@ -1,6 +1,6 @@
 """Quality rules: how much of a text stands in repeated n-grams and lines.
 
-Word n-grams are hashed by rolling (prefix) sums in numpy, many texts at once. For each length in DUPLICATED the rule
+One running sum over the words' hashes gives the hash of every n-gram of every length, in numpy, many texts at once. For each length in DUPLICATED the rule
 measures the share of word characters inside n-grams that occur twice or more in their text (an overlap counts once);
 for each length in TOP, the share that the most frequent n-gram's occurrences hold; and the share of characters, and
 of lines, that repeat an earlier line. A text is kept if it passes the base rules and no share is over its limit.
@@ -33,6 +33,8 @@ SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
+#: Bytes that begin a code point.
+_POINT = (np.arange(256) & 0xC0) != 0x80
 
 
 def repeats(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,23 +63,20 @@ def covered(at: np.ndarray, hit: np.ndarray, k: int, n: int) -> np.ndarray:
 def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """All counts and shares of the texts of a slice."""
     starts, ends, first = text.words(buf, offsets)
-    sums = text.prefix(buf)
-    points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))  # code points before each byte
-    size = points[ends] - points[starts]
-    h, doc = text.span_hash(sums, starts, ends), text.owner(first)
+    size = text.before(_POINT, buf, ends) - text.before(_POINT, buf, starts)
+    rolling, doc = text.Rolling(text.hashes(buf, starts, ends)), text.owner(first)
     out = {"n_words": np.diff(first), "word_chars": text.per_text(size, first)}
-    out["n_symbols"] = np.diff(np.concatenate(([0], np.cumsum(_IS_SYMBOL[buf])))[offsets])
+    out["n_symbols"] = np.diff(text.before(_IS_SYMBOL, buf, offsets))
     chars = np.maximum(out["word_chars"], 1)
 
-    a, b, line = text.spans(buf != 0x0A, offsets)
-    seen = np.concatenate(([0], np.cumsum(np.bincount(starts, minlength=len(buf) + 1))))
-    real = seen[b] > seen[a]  # lines with a word
+    a, b, line = text.filled_lines(buf, offsets)
+    real = text.letters(buf, b) > text.letters(buf, a)  # lines with a word
     a, b = a[real], b[real]
     line = np.concatenate(([0], np.cumsum(real)))[line]
-    _, earlier, _ = repeats(text.span_hash(sums, a, b), text.owner(line))
+    _, earlier, _ = repeats(text.hashes(buf, a, b), text.owner(line))
     out["n_dup_lines"] = text.per_text(earlier, line)
     out["dup_lines"] = out["n_dup_lines"] / np.maximum(np.diff(line), 1)
-    width = points[b] - points[a]
+    width = text.before(_POINT, buf, b) - text.before(_POINT, buf, a)
     out["dup_line_chars"] = text.per_text(earlier * width, line) / np.maximum(text.per_text(width, line), 1)
 
     lengths = list(DUPLICATED)
@@ -85,10 +84,10 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     for n in lengths:
         at, begin = text.windows(first, n)
         at = at[live[text.owner(begin)]]
-        hits = np.zeros(len(h), bool)
+        hits = np.zeros(len(doc), bool)
         if len(at):
-            count, _, _ = repeats(text.window_hash(h, at, n), doc[at])
-            hits = covered(at, count > 1, n, len(h))
+            count, _, _ = repeats(rolling(at, n), doc[at])
+            hits = covered(at, count > 1, n, len(doc))
         if n == lengths[0]:
             out["n_repeat_words"] = text.per_text(hits, first)
         out[f"dup_{n}"] = text.per_text(hits * size, first) / chars
@@ -97,14 +96,14 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         at, _ = text.windows(first, n)
         share = np.zeros(len(offsets) - 1)
         if len(at):
-            count, _, own = repeats(text.window_hash(h, at, n), doc[at])
+            count, _, own = repeats(rolling(at, n), doc[at])
             most = np.zeros(len(share), np.int64)
             np.maximum.at(most, doc[at], count)
             top = (count == most[doc[at]]) & (count >= TOP_LEAST)
             least = np.full(len(share), np.iinfo(np.uint64).max, np.uint64)  # of several equally frequent ones, one
             np.minimum.at(least, doc[at[top]], own[top])
             top &= own == least[doc[at]]
-            share = text.per_text(covered(at, top, n, len(h)) * size, first) / chars
+            share = text.per_text(covered(at, top, n, len(doc)) * size, first) / chars
         out[f"top_{n}"] = share
     out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * out["n_words"])
     bad = out["base_failed"] | (out["dup_line_chars"] > LINE_CHARS) | (out["dup_lines"] > LINES)

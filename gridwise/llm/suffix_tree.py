@@ -41,7 +41,7 @@ BLOCK_BYTES = 5 << 20
 
 END = np.uint64(0x5EED0FE2D0C5AB1E)
 BLOCK = "block bigint, ids array<bigint>, held binary, first binary, codes binary, words binary"
-SENT = "block bigint, part int, keys binary, counts binary, sums binary"
+SENT = "part int, block bigint, keys binary, counts binary, sums binary"
 ANSWER = "block bigint, part int, counts binary, totals binary"
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 #: Of the answer with the totals over all words.
@@ -78,7 +78,7 @@ def _encode(batches):
     for batch in batches:
         for a, b, buf, offsets in text.slices(batch.column(1)):
             starts, ends, first = text.words(buf, offsets)
-            h = text.span_hash(text.prefix(buf, True), starts, ends)
+            h = text.hashes(buf, starts, ends, True)
             n = np.diff(first) + 1
             every = np.full(int(n.sum()), END, np.uint64)
             spot = np.ones(len(every), bool)
@@ -186,7 +186,7 @@ def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np
     parts = (keys >> np.uint64(64 - bits)).astype(np.int32) + np.int32(k << bits)
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, np.int64)
     cut = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(parts[at], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["block", "part", "keys", "counts", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), pa.array(np.full(len(at), number)), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "block", "keys", "counts", "sums"])
 
 
 def _ask(bits: int, level: int, n: int = 0):
@@ -209,11 +209,8 @@ def _ask(bits: int, level: int, n: int = 0):
 
 
 def _add_up(totals: bool):
-    def run(batches):
-        rows = [x for batch in batches for x in batch.to_pylist()]
-        if not rows:
-            return
-        rows.sort(key=lambda x: (x["part"], x["block"]))
+    def part(rows: list[dict]) -> pa.RecordBatch:
+        rows.sort(key=lambda x: x["block"])
         keys = np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in rows])
         counts = np.concatenate([unplanes(x["counts"]) for x in rows]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
@@ -234,7 +231,11 @@ def _add_up(totals: bool):
         if totals:
             for c, y in zip(out, (ALL, rows[0]["part"], b"", np.array([total.sum(), (total > 0).sum()], float).tobytes()), strict=True):
                 c.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["block", "part", "counts", "totals"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["block", "part", "counts", "totals"])
+
+    def run(batches):
+        for rows in minhash.groups(batches, 1):
+            yield part([x for batch in rows for x in batch.to_pylist()])
 
     return run
 
@@ -261,7 +262,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
 
     def bucketed(df: DataFrame, kind: str) -> DataFrame:
         """Written by block, so that a join by block shuffles nothing."""
-        name = f"{kind}_{uuid.uuid4().hex[:12]}"
+        name = f"gridwise_scratch_{kind}_{uuid.uuid4().hex[:12]}"
         df.write.bucketBy(buckets, "block").option("path", scratch.folder(spark, kind)).option("compression", "zstd").saveAsTable(name)
         return spark.table(name)
 
@@ -277,7 +278,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
         return every
 
     def ask(level: int, n: int = 0) -> None:
-        added = told().mapInArrow(_ask(bits, level, n), SENT).repartition("part").mapInArrow(_add_up(level == 1), ANSWER)
+        added = told().mapInArrow(_ask(bits, level, n), SENT).repartition("part").sortWithinPartitions("part").mapInArrow(_add_up(level == 1), ANSWER)
         lists = added.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "totals")).alias("told"))
         answers[level] = bucketed(lists, f"level{level}")
 

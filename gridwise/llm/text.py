@@ -1,7 +1,8 @@
 """Vectorised work on the UTF-8 bytes of many texts at once: words, windows, hashes.
 
 All functions take the bytes of a slice of texts (``buf``) and where each text starts (``offsets``, one more than
-texts). Words are ``[^\\x20\\x09-\\x0D]+``; these separators are single bytes in UTF-8, so bytes suffice.
+texts). Words are ``[^\\x20\\x09-\\x0D]+``; these separators are single bytes in UTF-8, so bytes suffice. Bytes are gone
+through in pieces of ``PIECE``, so what is held beside the bytes of a very long text grows with its words only.
 """
 
 from __future__ import annotations
@@ -13,26 +14,46 @@ import pyarrow as pa
 
 #: Text bytes that are worked on at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes or items whose running sums are held at once.
+PIECE = 1 << 20
+
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+_MASK = (1 << 64) - 1
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_LINE = np.ones(256, bool)
+_LINE[0x0A] = False
 _VALUES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Upper-case A-Z have the values of a-z.
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
-            full = np.full(size, base, np.uint64)
+def powers() -> list[np.ndarray]:
+    """The first PIECE powers of an odd number and of its inverse, modulo 2**64."""
+    if not _powers:
+        for base in (_ODD, _INVERSE):
+            full = np.full(PIECE, base, np.uint64)
             full[0] = 1
-            _powers[k] = np.cumprod(full, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            _powers.append(np.cumprod(full, dtype=np.uint64))
+    return _powers
+
+
+def _steps(base: int, n: int) -> np.ndarray:
+    """Powers of base ** PIECE for pieces 0 to n."""
+    out, step = [1], pow(base, PIECE, 1 << 64)
+    for _ in range(n):
+        out.append(out[-1] * step & _MASK)
+    return np.array(out, np.uint64)
+
+
+def _unshift(at: np.ndarray) -> np.ndarray:
+    """The power that takes a sum that begins at ``at`` back to place 0."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    return powers()[1][at % PIECE] * _steps(_INVERSE, int(at.max()) // PIECE)[at // PIECE]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,41 +88,69 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True within each text, and the first run of each text."""
-    n = len(inside)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, inside[:-1]
-    before[offsets[:-1][offsets[:-1] < n]] = False
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, inside[1:]
-    after[offsets[1:][offsets[1:] > 0] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-def separators(buf: np.ndarray) -> np.ndarray:
-    """Which bytes stand between words."""
-    return _SPACE[buf]
+def spans(member: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs, within each text, of bytes that ``member`` has; and the first run of each text."""
+    n, starts, ends = len(buf), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n, PIECE):
+        b = min(a + PIECE, n)
+        wide = np.zeros(b - a + 2, bool)
+        wide[1:-1] = member[buf[a:b]]
+        wide[0] = a > 0 and member[buf[a - 1]]
+        wide[-1] = b < n and member[buf[b]]
+        inside = wide[1:-1]
+        opens, closes = inside & ~wide[:-2], inside & ~wide[2:]
+        at = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
+        opens[at] = inside[at]
+        at = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "right")] - 1 - a
+        closes[at] = inside[at]
+        starts.append(np.flatnonzero(opens) + a)
+        ends.append(np.flatnonzero(closes) + a + 1)
+    begin = np.concatenate(starts)
+    return begin, np.concatenate(ends), np.searchsorted(begin, offsets)
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the first word of each text."""
-    return spans(~_SPACE[buf], offsets)
+    return spans(_WORD, buf, offsets)
+
 
+def filled_lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of lines with a byte, and the first one of each text."""
+    return spans(_LINE, buf, offsets)
 
-def prefix(buf: np.ndarray, folded: bool = False) -> np.ndarray:
-    """Running sums from which :func:`span_hash` gets the hash of any span."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_FOLDED if folded else _VALUES)[buf] * powers(len(buf))[0], out=out[1:])
+
+def before(member: np.ndarray, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bytes that ``member`` has stand before each place; places ascend."""
+    out, total = np.zeros(len(at), np.int64), 0
+    for a in range(0, len(buf) + 1, PIECE):
+        own = np.concatenate(([0], np.cumsum(member[buf[a : a + PIECE]])))
+        i, j = np.searchsorted(at, (a, a + PIECE))
+        out[i:j] = total + own[at[i:j] - a]
+        total += int(own[-1])
+    return out
+
+
+def letters(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many words' bytes stand before each place."""
+    return before(_WORD, buf, at)
+
+
+def _sums(values: np.ndarray, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' values times powers, before each place; places ascend."""
+    out, total, step = np.zeros(len(at), np.uint64), np.zeros(1, np.uint64), _steps(_ODD, len(buf) // PIECE)
+    for k, a in enumerate(range(0, len(buf) + 1, PIECE)):
+        own = np.zeros(min(PIECE, len(buf) - a) + 1, np.uint64)
+        np.cumsum(values[buf[a : a + PIECE]] * powers()[0][: len(own) - 1], out=own[1:])
+        i, j = np.searchsorted(at, (a, a + PIECE))
+        out[i:j] = total + step[k] * own[at[i:j] - a]
+        total = total + step[k] * own[-1:]
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, wherever it stands."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, wherever it stands; starts ascend, and so do ends."""
+    values = _FOLDED if folded else _VALUES
+    return mix((_sums(values, buf, ends) - _sums(values, buf, starts)) * _unshift(starts))
 
 
 def windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +160,20 @@ def windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], counts), begin
 
 
-def window_hash(items: np.ndarray, at: np.ndarray, k: int, used: tuple[int, ...] | None = None) -> np.ndarray:
-    """Hash of the items (hashes) of each window; ``used``: the places in a window that count."""
-    h = np.full(len(at), k, np.uint64)
-    for j in used or range(k):
-        h = mix(h * _ODD + items[at + j])
-    return h
+class Rolling:
+    """Hashes of windows of items (hashes) by one running sum, whatever the windows' lengths."""
+
+    def __init__(self, items: np.ndarray) -> None:
+        n = len(items)
+        self.sums = np.zeros(n + 1, np.uint64)
+        step = _steps(_ODD, n // PIECE)
+        for k, a in enumerate(range(0, n, PIECE)):
+            part = items[a : a + PIECE]
+            np.cumsum(part * powers()[0][: len(part)] * step[k], out=self.sums[a + 1 : a + 1 + len(part)])
+            self.sums[a + 1 : a + 1 + len(part)] += self.sums[a]
+
+    def __call__(self, at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+        return mix((self.sums[at + k] - self.sums[at]) * _unshift(at) + np.asarray(k, np.uint64))
 
 
 def owner(first: np.ndarray) -> np.ndarray:

@@ -128,7 +128,7 @@ class Encoder:
             has[starts > 0] = kind[starts[starts > 0] - 1] == _SPACE
             has[first[:-1][first[:-1] < first[1:]]] = False
             starts = starts - has
-        codes, distinct = pd.factorize(text.span_hash(text.prefix(buf), starts, ends))
+        codes, distinct = pd.factorize(text.hashes(buf, starts, ends))
         codes = self._codes(distinct, codes, starts, ends, buf)[codes]
         ids2, ends2 = self.whole([x for x, whole in zip(texts.to_pylist(), uneven, strict=True) if whole] if uneven.any() else [])
         n = len(self.ends) - 1
