@@ -1,17 +1,27 @@
 """Distributed union-find: connected components of an edge table by alternating large and small stars.
 
-Each round is two group-bys and two joins over the edges; the edges are written after each round, which cuts lineage
-and survives lost executors. The number of rounds grows with the logarithm of the longest path.
+A node with very many edges is no hot key: a key's rows are dealt over SALTS tasks, each of which finds its own least, and the
+least of these goes back to just those tasks. The edges are written after each round, which cuts lineage and survives lost
+executors. The number of rounds grows with the logarithm of the longest path; every round but the last changes an edge.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 
-MOST_ROUNDS = 100
+#: Tasks that one key's rows may be dealt over.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str | Column, name: str, by: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the least ``value`` of all rows of the same ``key``; ``by``: columns that tell a key's rows apart."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias(name))
+    whole = parts.groupBy(key).agg(F.min(name).alias(name), F.collect_list("_salt").alias("_salts"))  # SALTS at most
+    return salted.join(whole.select(key, name, F.explode("_salts").alias("_salt")), [key, "_salt"]).drop("_salt")
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -22,29 +32,29 @@ def _pointed(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return with_least(both, "a", F.least("a", "b"), "m", ("b",)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours point to the least of these."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    marked = with_least(edges, "a", "b", "m", ("b",))
+    # Each edge gives its lower end's pointer, and the node's own: the same for all of a node's edges.
+    moved = marked.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+    return moved.select("e.*").filter("a <> b").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges go from a node to its root."""
+    ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    nodes = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return not nodes.agg(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0)))).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of every node of ``edges`` (a, b: bigint); loops count for nothing."""
     now = scratch.table(_pointed(edges), "edges")
-    for _ in range(MOST_ROUNDS):
-        degree = now.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if degree is None:
-            break
-        if degree == 1 and now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            break  # all edges go from a node to its root
+    while not _settled(now):
         now, old = scratch.table(_small(_large(now)), "edges"), now
         scratch.drop(old)
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, scratch, text
+from .components import with_least
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BANDS, ROWS = minhash.bands(THRESHOLD, RECALL, 5)
@@ -28,24 +29,20 @@ BANDS, ROWS = minhash.bands(THRESHOLD, RECALL, 5)
 def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n-grams (repeats included), and where each text's begin."""
     starts, ends, first = text.words(buf, offsets)
-    h = text.span_hash(text.prefix(buf), starts, ends)
+    rolling = text.Rolling(text.hashes(buf, starts, ends))
     at, begin = text.windows(first, WORDS)
-    keys = text.window_hash(h, at, WORDS)
+    keys = rolling(at, WORDS)
     count = np.diff(first)
     short = np.flatnonzero((count > 0) & (count < WORDS))
     if not len(short):
         return keys, begin
-    extra = np.full(len(short), 99, np.uint64)
-    for k in range(WORDS - 1):
-        has = count[short] > k
-        extra[has] = text.mix(extra[has] * np.uint64(0x9E3779B97F4A7C15) + h[first[:-1][short[has]] + k])
     size = np.diff(begin)
     size[short] = 1
     to = np.concatenate(([0], np.cumsum(size)))
     every = np.empty(to[-1], np.uint64)
     spot = np.zeros(to[-1], bool)
     spot[to[:-1][short]] = True
-    every[spot], every[~spot] = extra, keys
+    every[spot], every[~spot] = rolling(first[:-1][short], count[short]), keys
     return every, to
 
 
@@ -107,13 +104,13 @@ def join(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without the others of each class: that of least doc_id stays (of rows equal in doc_id, the least digest)."""
     _, texts = _classes(docs)
-    marked = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))).withColumn("_key", F.col("doc_id").cast("bigint"))
-    rows = marked.groupBy("_digest", "_key").agg(F.count("*").alias("n")).join(texts.select(F.col("digest").alias("_digest"), "class"), "_digest")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("digest"), F.col("doc_id").cast("bigint").alias("key"))
+    rows = marked.groupBy("digest", "key").agg(F.count("*").alias("n")).join(texts.select("digest", "class"), "digest")
     rows = scratch.table(rows, "members")
-    rank = F.struct(F.col("_key").isNull(), "_key", "_digest")
-    best = rows.groupBy("class").agg(F.min(rank).alias("best"))
-    gone = rows.join(best, "class").filter(rank != F.col("best")).select(F.col("_digest").alias("_gone_digest"), F.col("_key").alias("_gone_key"))
-    kept = marked.join(gone.hint("merge"), (F.col("_digest") == F.col("_gone_digest")) & F.col("_key").eqNullSafe(F.col("_gone_key")), "left_anti")
+    rank = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("digest").alias("digest"))
+    best = with_least(rows.select("class", "digest", "key", rank.alias("rank")), "class", "rank", "best", ("digest", "key"))
+    gone = best.filter("rank <> best").select(F.col("digest").alias("gone_digest"), F.col("key").alias("gone_key"))
+    kept = marked.join(gone.hint("merge"), (F.col("digest") == F.col("gone_digest")) & F.col("key").eqNullSafe(F.col("gone_key")), "left_anti")
     if not rows.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_digest", "_key"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["digest", "key"])
+    return kept.select("doc.*")
