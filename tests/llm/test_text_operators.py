@@ -5,13 +5,14 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from gridwise.llm import cotraining, decontamination, html_layout, queries, repetition, suffix_tree, tool_calls
+from gridwise.llm import cotraining, decontamination, html_layout, queries, repetition, sieve, suffix_tree, tool_calls
 
 from ..comparing import oracle, rows
 from .fixtures import documents, frame, prose, words_of
@@ -77,7 +78,7 @@ def best_stretch(doc, item):
         same = [doc[lay + k] == w for k, w in enumerate(item) if 0 <= lay + k < len(doc)]
         score, n, top, top_n = 0, 0, 0, 0
         for s in same:
-            if score <= 0:
+            if score < 0:  # of equally good stretches the longest counts
                 score, n = 0, 0
             score, n = score + (1 if s else -4), n + s
             if score > top:
@@ -86,6 +87,20 @@ def best_stretch(doc, item):
     return best
 
 
+def most_equal(doc, item):
+    """The most equal words over all ways to lay the whole item on the document."""
+    return max((sum(0 <= lay + k < len(doc) and doc[lay + k] == w for k, w in enumerate(item)) for lay in range(-len(item), len(doc))), default=0)
+
+
+def contaminated(doc, item):
+    """Equal words of an item that contaminates a document, else None."""
+    doc, item = words_of(lower(doc)), words_of(lower(item))
+    least = math.ceil(0.8 * len(item) - 1e-9)
+    if item and (n := best_stretch(doc, item)) >= min(13, least):
+        return n
+    return n if item and (n := most_equal(doc, item)) >= least else None
+
+
 def test_decontamination(spark):
     r = random.Random(2)
     items = [(k, prose(r, n)) for k, n in enumerate((16, 30, 50, 9, 5))] + [(7, None), (8, ""), (9, prose(r, 3)), (11, "x")]
@@ -97,21 +112,46 @@ def test_decontamination(spark):
         w[6] = "other"
         docs.append((10 * k + 2, prose(r, 20) + " " + " ".join(w)))
         docs.append((10 * k + 3, prose(r, 40) + " " + " ".join(t.split()[:6])))
-    docs += [(50, items[3][1]), (51, items[4][1]), (52, None), (53, ""), (None, items[1][1]), (54, prose(r, 3000))]
+    docs += [(50, items[3][1]), (51, items[4][1]), (52, None), (53, ""), (None, items[1][1]), (54, prose(r, 3000)), (55, "X marks"), (56, items[7][1] + " x"), (57, items[7][1].split()[0])]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(x["doc_id"], x["item_id"]): x["n_matched"] for x in decontamination.overlaps(df, bench).collect()}
-    expected = {}
-    for i, t in docs:
-        for k in (0, 1, 2, 3):
-            item, doc = words_of(lower(items[k][1])), words_of(lower(t))
-            if len(doc) >= 8 and (n := best_stretch(doc, item)) >= min(13, math.ceil(0.8 * len(item))):
-                expected[i, k] = n
-    assert got == expected and len(got) >= 10
+    expected = {(i, k): n for i, t in docs for k, item in dict(reversed(items)).items() if k != 20 and (n := contaminated(t, item)) is not None}
+    assert got == expected and len(got) >= 14
     kept = decontamination.clean(df, bench)
-    assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(str(i) for i, _ in docs if not any((i, k) in expected for k in range(4)))
+    assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(str(i) for i, _ in docs if i not in {x for x, _ in expected})
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.overlaps(df, none).count() == 0 and decontamination.clean(df, none).count() == len(docs)
+    assert decontamination.overlaps(df.limit(0), bench).count() == 0 and decontamination.clean(df.limit(0), bench).count() == 0
+
+
+def test_items_of_every_length_with_substitutions(spark):
+    """All pairs of which four fifths are equal are found, from one word to fifty."""
+    r = random.Random(21)
+    items = {n: [f"v{n}x{k}" for k in range(n)] for n in range(1, 51)}
+    docs = []
+    for n, w in items.items():
+        for m in range(4):
+            for _ in range(4 if m else 1):
+                p = set(r.sample(range(n), min(m, n)))
+                docs.append((len(docs), " ".join(["before"] * 3 + ["other" if k in p else x for k, x in enumerate(w)] + ["after"] * 3)))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): x["n_matched"] for x in decontamination.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    expected = {}
+    for i, t in docs:
+        n = int(re.search(r"v(\d+)x", t)[1]) if "v" in t else 0
+        if n and (m := contaminated(t, " ".join(items[n]))) is not None:
+            expected[i, n] = m
+    assert got == expected
+
+
+def test_equal_words_take_linear_time(spark):
+    docs = [(1, "a " * 50_000), (2, "b " * 30 + "a " * 900), (3, "c")]
+    items = [(1, "a " * 1000), (2, "a " * 500 + " ".join(f"z{k}" for k in range(500))), (3, "a " * 12 + " ".join(f"y{k}" for k in range(80)))]
+    began = time.perf_counter()
+    got = decontamination.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): x["n_matched"] for x in got} == {(1, 1): 1000, (1, 2): 500, (2, 1): 900, (2, 2): 500}
+    assert time.perf_counter() - began < 60
 
 
 def test_decontamination_of_upper_cased_accents(spark):
@@ -141,13 +181,13 @@ def test_substitutions_anywhere_in_short_items(spark):
     assert all(x["n_matched"] >= min(13, math.ceil(0.8 * x["item_words"])) for x in got)
 
 
-def test_benchmark_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "SLICE_WORDS", 40)
+def test_a_benchmark_that_fills_the_sieve(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "BITS", 64)
+    monkeypatch.setattr(sieve.make, "__defaults__", (64,))
     r = random.Random(4)
     items = [(k, prose(r, 20)) for k in range(9)]
     df = spark.createDataFrame([(k, prose(r, 9) + " " + t) for k, t in items] + [(99, prose(r, 50))], "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    assert len(decontamination._indexes(bench)) > 3
     assert sorted((x["doc_id"], x["item_id"]) for x in decontamination.overlaps(df, bench).collect()) == [(k, k) for k in range(9)]
     assert [x["doc_id"] for x in decontamination.clean(df, bench).collect()] == [99]
 
@@ -202,6 +242,25 @@ def test_structured_tool_calls(spark):
     assert tool_calls.link(df.limit(0), schemas).count() == 0
 
 
+def test_tool_calls_with_ties_give_a_row_each(spark):
+    """Turns of one number whose calls share id and arguments: one is first, nothing is multiplied."""
+    def call(name, needs=()):
+        return json.dumps({"tool_calls": [{"id": "a", "name": name, "arguments": "{}", "needs": list(needs)}]})
+
+    turns = [(1, 1, "assistant", call("f")), (1, 1, "assistant", call("g")), (1, 1, "assistant", call("f", ("z",))), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "r"})), (1, 2, "tool", json.dumps({"content": "r", "tool_call_id": "a"}))]
+    out = tool_calls.link(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), {}).collect()
+    assert sorted((r["kind"], r["status"]) for r in out if r["status"] != "blocked") in ([("call", "duplicate")] * 2 + [("call", "linked"), ("result", "duplicate"), ("result", "linked")], [("call", "duplicate")] * 2 + [("result", "duplicate"), ("result", "linked")])
+    assert len(out) == 5
+    odd = spark.createDataFrame([(1, 1, "assistant", json.dumps({"tool_calls": [{"id": "b", "name": "f", "arguments": "not {json"}]}))], "conv_id bigint, turn bigint, role string, text string")
+    assert '"arguments":"not {json"' in tool_calls.link(odd, {}).first()["json"]
+
+
+def test_long_chains_of_tool_calls(spark):
+    calls = [(1, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(12)] + [(2, "x", ["y"]), (2, "y", ["x"])]
+    got = {r["call_id"]: r["level"] for r in tool_calls.steps(spark.createDataFrame(calls, "conv_id bigint, call_id string, needs array<string>")).collect()}
+    assert got == {f"c{k}": k for k in range(12)}
+
+
 def test_tool_calls_are_native(spark, sf_dir):
     plan = queries.op3_tool_call_linking(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
