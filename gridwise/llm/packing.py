@@ -1,40 +1,47 @@
 """Packing: documents into sequences of at most ``SIZE`` tokens by the Sum-of-Squares rule.
 
-Each task packs the documents that it reads, one after another, with the ids at hand; nothing is shuffled. A document
-longer than a sequence fills whole sequences first; what remains goes to the fill level that leaves the least sum, over
-levels, of the squared number of open sequences at that level. The level array has SIZE + 1 places. When a task's
-documents are through, its open sequences are joined by cutting pieces: all but the last get full, and the last is cut
-into runs whose lengths are powers of two, which need no padding.
-
-Defined results: a null text is empty (one piece, the end id); null and repeated doc_ids are packed as they come; an
-empty table gives no pieces; other columns are not read.
+Each task packs the documents that it reads, one after another, with the ids at hand. A document longer than a sequence fills
+whole sequences first; what remains goes to the fill level that leaves the least sum, over levels, of the squared number of
+open sequences at that level. The level array has SIZE + 1 places.
+
+What is open when a task's documents are through is carried on: the pieces in the open sequences of MERGED tasks, and nothing
+else, are shuffled to one, where each is placed anew by the same rule, and so on in rounds until one task is left. (Placed as
+whole sequences they would find no fitting level.) Only what is still open there is cut: pieces are joined so that all sequences but the last get full, and the last is cut into runs whose lengths
+are powers of two, which need no padding. ``by_rule`` tells where the rule alone filled a sequence.
+
+Defined results: a null text is empty (one piece, the end id); null and repeated doc_ids are packed as they come; a doc_id that
+isn't an integer is an error; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import scratch, tokens
 from .content_store import with_end
 
 SIZE = 4096
 END_ID = 2
-SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+#: Tasks whose open sequences go to one.
+MERGED = 32
+SCHEMA = "sequence_id bigint, offset bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, by_rule boolean"
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "by_rule")
 
 
 class Packer:
-    """Open sequences by fill level. A piece is (document, start, ids); ``out`` gets (sequence, pieces)."""
+    """Open sequences by fill level. A piece is (document, start, ids); ``out`` gets (pieces, whether by the rule)."""
 
     def __init__(self, size: int = SIZE) -> None:
         self.size = size
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(size + 1)]
-        self.out: list[list] = []
+        self.out: list[tuple[list, bool]] = []
 
     def level(self, n: int) -> int:
         """The level (0: a new sequence) at which a piece of n tokens leaves the least sum of squares."""
@@ -50,22 +57,25 @@ class Packer:
             return top
         return at
 
+    def place(self, piece: tuple) -> None:
+        """Put a piece of fewer ids than a sequence holds where the rule says."""
+        n = len(piece[2])
+        at = self.level(n)
+        own = self.open[at].pop() if at else []
+        self.count[at] -= bool(at)
+        own.append(piece)
+        if at + n == self.size:
+            self.out.append((own, True))
+        else:
+            self.open[at + n].append(own)
+            self.count[at + n] += 1
+
     def add(self, doc: tuple, ids: np.ndarray) -> None:
-        size, n = self.size, len(ids)
-        whole = n - n % size
-        for a in range(0, whole, size):
-            self.out.append([(doc, a, ids[a : a + size])])
-        if whole < n:
-            piece, n = (doc, whole, ids[whole:].copy()), n - whole
-            at = self.level(n)
-            pieces = self.open[at].pop() if at else []
-            self.count[at] -= bool(at)
-            pieces.append(piece)
-            if at + n == size:
-                self.out.append(pieces)
-            else:
-                self.open[at + n].append(pieces)
-                self.count[at + n] += 1
+        whole = len(ids) - len(ids) % self.size
+        for a in range(0, whole, self.size):
+            self.out.append(([(doc, a, ids[a : a + self.size])], True))
+        if whole < len(ids):
+            self.place((doc, whole, ids[whole:].copy()))
 
     def close(self) -> None:
         """Join what is open; pieces are cut where a sequence gets full."""
@@ -81,23 +91,51 @@ class Packer:
                 pieces.append((doc, at, took))
                 ids, at, room, left = ids[len(took) :], at + len(took), room - len(took), left - len(took)
                 if not room:
-                    self.out.append(pieces)
+                    self.out.append((pieces, False))
                     pieces, room = [], self.size
                     if left < room:
                         room = 1 << max(left.bit_length() - 1, 0)
         self.open, self.count = [[] for _ in range(self.size + 1)], np.zeros(self.size + 1, np.int64)
 
+    def carry(self) -> None:
+        """Hand out what is open as it is; its rows have their ids."""
+        self.out += [(pieces, None) for level in self.open for pieces in level]
+
     def rows(self, part: int, number: int) -> pa.RecordBatch:
-        """All sequences that are full; they are numbered from ``number`` in the part."""
-        cols: list[list] = [[] for _ in range(7)]
-        for k, pieces in enumerate(self.out):
+        """The sequences of ``out``; they are numbered from ``number`` in the part."""
+        cols: list[list] = [[] for _ in range(9)]
+        for k, (pieces, by_rule) in enumerate(self.out):
             offset = 0
             for (doc_id, tokens_), start, ids in pieces:
-                for c, v in zip(cols, (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens_, (part << 40) + number + k, offset), strict=True):
+                data = ids.astype("<u4").tobytes()
+                for c, v in zip(cols, ((part << 32) + number + k, offset, doc_id, start, len(ids), zlib.crc32(data), tokens_, by_rule, data if by_rule is None else None), strict=True):
                     c.append(v)
                 offset += len(ids)
         self.out = []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        kinds = [*[pa.int64()] * 7, pa.bool_(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*(x.split()[0] for x in SCHEMA.split(", ")), "ids"])
+
+
+def _merge(round_: int, last: bool, size: int):
+    """Place the pieces of open sequences anew; the last round cuts what stays open."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, number, packer = (round_ << 24) + TaskContext.get().partitionId(), 0, Packer(size)
+        for batch in batches:
+            for x in batch.to_pylist():
+                packer.place(((x["doc_id"], x["doc_tokens"]), x["start"], np.frombuffer(x["ids"], "<u4")))
+            full = len(packer.out)
+            yield packer.rows(part, number)
+            number += full
+        if last:
+            packer.close()
+        else:
+            packer.carry()
+        yield packer.rows(part, number)
+
+    return run
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
@@ -116,7 +154,19 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID, d
                 full = len(packer.out)
                 yield packer.rows(part, number)
                 number += full
-        packer.close()
+        packer.carry()
         yield packer.rows(part, number)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    held = f"{SCHEMA}, ids binary"
+    chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).cast("string").alias("text"))
+    now, out, round_ = scratch.table(chosen.mapInArrow(run, held), "packed"), [], 0
+    while True:
+        out.append(now.filter("by_rule is not null").select(*COLUMNS))
+        left = now.filter("by_rule is null")
+        tasks = left.select(F.shiftright("sequence_id", 32).alias("t")).distinct().count()
+        if not tasks:
+            break
+        n, round_ = -(-tasks // MERGED), round_ + 1
+        dealt = left.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+        now = scratch.table(dealt.mapInArrow(_merge(round_, n == 1, size), held), "packed")
+    return reduce(DataFrame.unionByName, out)
