@@ -7,7 +7,8 @@ chunks. Three Parquet tables make up a store at ``path``:
               each digest once
 ``recipes``   a row per document in ascending doc_id order over the part files: doc_id, n_tokens, part, index (in the
               part), before (ids in the part before it), chunks (digest, n), root (Merkle root of the digests)
-``manifest``  part, level, node, n, root: a Merkle tree of FAN_OUT over the documents' roots in each part
+``manifest``  level, part, node, n, root: a Merkle tree of FAN_OUT over the documents' roots in each part (levels 1 to 3), and
+              over the parts (part -1, levels 4 and 5) up to one root for the whole store
 
 Defined results: a null text is empty (only the end id); a null doc_id sorts first; repeated doc_ids are documents of
 their own, in an order fixed by their ids; an empty table gives an empty store; other columns are not read.
@@ -17,10 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch, text, tokens
@@ -29,6 +31,8 @@ END_ID = 2
 #: Ids that the rolling hash sees, the mean distance of its cuts, and the least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 FAN_OUT = 1024
+#: The manifest's levels, and the first one whose nodes gather parts.
+LEVELS, PARTS_LEVEL = 5, 4
 #: Digests that a task remembers so as to send a chunk's ids once.
 SEEN = 200_000
 
@@ -118,16 +122,26 @@ def _recipes(batches):
         before = int(ends[-1]) if n else before
 
 
+def _above(level: DataFrame, k: int) -> DataFrame:
+    """Level k of the manifest from the one below it; each node gathers FAN_OUT roots at most."""
+    across = k == PARTS_LEVEL  # this level's nodes gather parts
+    below = level.select("part", F.col("part").cast("bigint").alias("node"), "n", "root") if across else level
+    part = F.lit(-1) if k >= PARTS_LEVEL else F.col("part")
+    group = below.groupBy(part.alias("part"), F.floor(F.col("node") / FAN_OUT).alias("node")).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("node", "root"))).alias("below"))
+    return group.select(F.lit(k).alias("level"), "part", "node", "n", F.unhex(F.sha2(F.array_join(F.transform("below", lambda x: F.hex(x["root"])), ""), 256)).alias("root"))
+
+
+def _leaves(recipes: DataFrame, root: Column) -> DataFrame:
+    return recipes.select("part", F.col("index").alias("node"), F.lit(1).cast("bigint").alias("n"), root.alias("root"))
+
+
 def _tree(recipes: DataFrame) -> DataFrame:
-    """Manifest rows; each node gathers FAN_OUT roots at most, so no part is too large for its parent."""
-    level = recipes.select("part", F.col("index").alias("node"), "root", F.lit(1).cast("bigint").alias("n"))
-    out = None
-    for k in range(1, 4):
-        group = level.groupBy("part", F.floor(F.col("node") / FAN_OUT).alias("node")).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("node", "root"))).alias("below"))
-        level = group.select("part", "node", "n", F.unhex(F.sha2(F.array_join(F.transform("below", lambda x: F.hex(x["root"])), ""), 256)).alias("root"))
-        rows = level.select("part", F.lit(k).alias("level"), "node", "n", "root")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """All manifest rows."""
+    level, out = _leaves(recipes, F.col("root")), []
+    for k in range(1, LEVELS + 1):
+        level = _above(level, k)
+        out.append(level)
+    return reduce(DataFrame.unionByName, out)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", body: str = "text") -> None:
@@ -190,11 +204,29 @@ def starts(recipes: DataFrame) -> DataFrame:
     return totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
 
+def root(spark: SparkSession, path: str) -> bytes | None:
+    """The one root of the store: equal roots, equal documents in equal order. None for an empty store."""
+    top = spark.read.parquet(f"{path}/manifest").filter(F.col("level") == LEVELS).select("root").collect()  # a row
+    return bytes(top[0][0]) if top else None
+
+
+def _differing(fresh: DataFrame, kept: DataFrame) -> DataFrame:
+    keys = ["level", "part", "node"]
+    both = fresh.select(*keys, "root").join(kept.select(*keys, F.col("root").alias("kept")), keys, "full")
+    return both.filter(~F.col("root").eqNullSafe(F.col("kept"))).select(*keys)
+
+
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """The parts whose Merkle nodes, made anew from the recipes, differ from the manifest (none, if all is well)."""
-    fresh = _tree(spark.read.parquet(f"{path}/recipes").select("part", "index", _root_of("chunks").alias("root")))
-    kept = spark.read.parquet(f"{path}/manifest").select("part", "level", "node", F.col("root").alias("kept"))
-    return fresh.join(kept, ["part", "level", "node"], "full").filter(~F.col("root").eqNullSafe(F.col("kept"))).select("part").distinct()
+    """level, part, node of the manifest's nodes that differ from what stands below them (none, if all is well).
+
+    Level 1 is made anew from the digests in the recipes, each further level from the stored one below it, so what differs
+    names the documents (or nodes) that were changed.
+    """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    out = _differing(_above(_leaves(spark.read.parquet(f"{path}/recipes"), _root_of("chunks")), 1), manifest.filter("level = 1"))
+    for k in range(2, LEVELS + 1):
+        out = out.unionByName(_differing(_above(manifest.filter(F.col("level") == k - 1).drop("level"), k), manifest.filter(F.col("level") == k)))
+    return out
 
 
 def _root_of(column: str):
@@ -210,7 +242,8 @@ def _root_of(column: str):
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks, verified: of each document, from the files.
 
-    Each stored chunk is hashed again; a document's CRC-32 is joined from those of its chunks, so ids aren't shuffled.
+    Each stored chunk is hashed again; a document's CRC-32 is joined from those of its chunks, so ids aren't shuffled. A
+    document is verified if its chunks are what their digests say, and the manifest, up to its root, what the recipes say.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "width", "data").mapInArrow(_check_chunks, "digest binary, crc bigint, good boolean")
@@ -220,7 +253,17 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     joined = parts.join(chunks, "digest", "left").select("row", "crc", "zeros", F.coalesce("good", F.lit(False)).alias("good"))
     whole = joined.mapInArrow(_shift, "row bigint, crc bigint, good boolean").groupBy("row").agg(F.bit_xor("crc").alias("ids_crc32"), F.count_if(~F.col("good")).alias("bad"), F.count("*").alias("n_chunks"))
     rows = recipes.select(row, "doc_id", "n_tokens", "part", "before").join(F.broadcast(starts(recipes)), "part")  # a row per part file
-    return rows.join(whole, "row").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", (F.col("bad") == 0).alias("verified"))
+    out = rows.join(whole, "row").withColumn("good", F.col("bad") == 0)
+    wrong = scratch.table(verify(spark, path), "wrong")
+    if not wrong.isEmpty():
+        # A wrong node of level k covers FAN_OUT ** k documents of its part, or parts.
+        under = wrong.select("level", F.col("part").alias("p"), F.col("node").alias("w")).filter(F.col("level") < PARTS_LEVEL).distinct()
+        places = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.shiftright("index", 10 * k)).alias("w")) for k in range(1, PARTS_LEVEL)]))
+        index = recipes.select(row, "part", "index").select("row", "part", places.alias("x")).select("row", "part", "x.*")
+        hit = index.join(under.withColumnRenamed("p", "part"), ["level", "part", "w"]).select("row").distinct()
+        above = not wrong.filter(F.col("level") >= PARTS_LEVEL).isEmpty()
+        out = out.join(hit.withColumn("hit", F.lit(True)), "row", "left").withColumn("good", F.col("good") & F.col("hit").isNull() & F.lit(not above))
+    return out.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", F.col("good").alias("verified"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from gridwise.llm import content_store, cotraining, decontamination, packing, queries, scratch, tokens
 
 from .fixtures import documents, frame, prose
@@ -58,6 +60,25 @@ def test_store_query(spark, sf_dir):
         start += len(ids) + 1
 
 
+def test_a_changed_recipe_is_found(spark):
+    rows = [(k, f"text number {k} " * (k + 1)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path, other = scratch.folder(spark, "test"), scratch.folder(spark, "test")
+    content_store.write(df, path, BYTES)
+    content_store.write(df, other, BYTES)
+    assert content_store.root(spark, path) == content_store.root(spark, other) != None  # noqa: E711
+    assert all(r["verified"] for r in content_store.digests(spark, path).collect())
+    recipes = spark.read.parquet(f"{path}/recipes")
+    first = recipes.filter("doc_id = 0").first()["chunks"][0]["digest"]
+    changed = recipes.withColumn("chunks", F.when(F.col("doc_id") == 7, F.transform("chunks", lambda c: F.struct(F.lit(first).alias("digest"), c["n"].alias("n")))).otherwise(F.col("chunks")))
+    moved = scratch.table(changed, "test").collect()
+    spark.createDataFrame(moved, recipes.schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    bad = content_store.verify(spark, path).collect()
+    assert [r["level"] for r in bad] == [1]
+    part = next(r["part"] for r in moved if r["doc_id"] == 7)
+    assert {r["doc_id"] for r in content_store.digests(spark, path).collect() if not r["verified"]} == {r["doc_id"] for r in moved if r["part"] == part}
+
+
 def test_store_of_nothing(spark):
     path = scratch.folder(spark, "test")
     content_store.write(frame(spark, []), path, BYTES)
@@ -94,6 +115,14 @@ def test_packing(spark, sf_dir):
     assert packing.pack(frame(spark, []), WORDS).count() == 0
 
 
+def test_what_tasks_leave_open_is_placed_by_the_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(8)
+    pieces = packing.pack(docs, WORDS)
+    tokens_ = {r["by_rule"]: r["n"] for r in pieces.groupBy("by_rule").agg(F.sum("length").alias("n")).collect()}
+    assert pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).filter("n <> m").count() == 0
+    assert tokens_[True] > 5 * tokens_[False]  # of each task alone, less than half
+
+
 def test_sum_of_squares_level_is_the_best():
     r = np.random.default_rng(3)
     p = packing.Packer(32)
@@ -129,8 +158,8 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in got.filter("kept").collect()}
         elif name == "line_dedup":
             gone = expected_lines(rows)
-            assert {r["doc_id"]: r["text"] for r in after} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t]) for i, t in rows}
-            assert all(r["n_chars"] == len(r["text"]) for r in after if gone[r["doc_id"], dict(rows)[r["doc_id"]]])
+            assert {r["doc_id"]: r["text"] for r in after} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[n]) for n, (i, t) in enumerate(rows)}
+            assert all(r["n_chars"] == len(r["text"]) for r in after if gone[[i for i, _ in rows].index(r["doc_id"])])
         elif name == "ngram_jaccard":
             assert sorted(str(r["doc_id"]) for r in after) == sorted({x[1] for x in expected_join(rows)})
         elif name == "decontamination":
