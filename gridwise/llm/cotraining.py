@@ -113,13 +113,12 @@ class Pages:
     def __call__(self, rows: pd.DataFrame) -> np.ndarray:
         cols = [np.ones(len(rows))]
         for c in self.names:
-            cells = rows[c].astype("object").where(rows[c].notna(), None)
-            cols += [(cells.map(lambda v: v is not None and str(v) == value)).to_numpy(float) for value in self.values[c]]
-            cols.append(cells.isna().to_numpy(float))
-            if len(self.values[c]) == VALUES:
-                own = set(self.values[c])
-                bucket = cells.map(lambda v: -1 if v is None or str(v) in own else zlib.crc32(str(v).encode()) % SHARED)  # noqa: B023
-                cols += [(bucket == k).to_numpy(float) for k in range(SHARED)]
+            # Each distinct value of a batch is looked up once.
+            codes, distinct = pd.factorize(rows[c].astype("object"))
+            own = {v: k for k, v in enumerate(self.values[c])}
+            most, size = len(own), len(own) + 1 + (SHARED if len(own) == VALUES else 0)
+            to = [own.get(str(v), most + 1 + zlib.crc32(str(v).encode()) % SHARED if len(own) == VALUES else size) for v in distinct]
+            cols.append(np.eye(size + 1)[np.array([*to, most])[codes]][:, :size])
         if self.length:
             n = np.log1p(pd.to_numeric(rows[self.length], errors="coerce").fillna(0).clip(lower=0).to_numpy(float))
             cols += [n / 10] + [(n > k).astype(float) for k in (4, 5, 6, 7, 8)]
