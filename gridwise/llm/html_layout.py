@@ -3,7 +3,9 @@
 A tree builder reads tags and adds those that HTML implies (ends of paragraphs, items, cells and rows; rows and cells that
 a table lacks; ends of what is still open), and a renderer writes what its open elements make visible: blocks on lines of
 their own, a blank line around paragraphs, headings, lists and tables, list items with markers and indents, preformatted
-text as it stands, and table cells padded so that columns align. Both work on explicit stacks, so depth is no limit.
+text as it stands, and table cells padded so that columns align. A line of more than WIDEST characters in a cell moves only
+what follows it in its own row, and columns that begin beyond WIDEST_TABLE aren't padded, so padding stays in proportion to
+the page. Both work on explicit stacks, so depth is no limit.
 
 Invisible: head, title, script, style, template, noscript, comments, elements with ``hidden``, ``display: none``, and,
 unless something inside is ``visible``, ``visibility: hidden``. Style sheets aren't applied. No visible text is dropped.
@@ -54,6 +56,8 @@ IMPLIED = {
 #: An end tag doesn't reach past these.
 BARRIERS = frozenset("table td th caption".split())
 MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
+#: Characters of a cell, and of the columns before one, for which others are padded.
+WIDEST, WIDEST_TABLE = 100, 400
 
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -170,13 +174,13 @@ class Table:
         for row in self.rows:
             for c, (across, lines) in row.items():
                 if across == 1:
-                    width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
+                    width[c] = max(width.get(c, 0), max((len(x) for x in lines if len(x) <= WIDEST), default=0))
                 else:
                     width.setdefault(c, 0)
         columns = sorted(width)
         start, at = {}, 0
         for c in columns:
-            start[c] = at
+            start[c] = at if at <= WIDEST_TABLE else 0
             at += width[c] + 2 if width[c] else 0
         out = list(self.above)
         for row in self.rows:
