@@ -64,6 +64,15 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def key_planes(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys, all leading bytes first: these hardly differ within a part, so they compress well."""
+    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes_of_keys(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
 def _encode(batches):
     from pyspark import TaskContext
 
@@ -186,7 +195,7 @@ def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np
     parts = (keys >> np.uint64(64 - bits)).astype(np.int32) + np.int32(k << bits)
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, np.int64)
     cut = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
-    return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), pa.array(np.full(len(at), number)), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "block", "keys", "counts", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), pa.array(np.full(len(at), number)), pa.array([key_planes(keys[a:b]) for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "block", "keys", "counts", "sums"])
 
 
 def _ask(bits: int, level: int, n: int = 0):
@@ -211,7 +220,7 @@ def _ask(bits: int, level: int, n: int = 0):
 def _add_up(totals: bool):
     def part(rows: list[dict]) -> pa.RecordBatch:
         rows.sort(key=lambda x: x["block"])
-        keys = np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in rows])
+        keys = np.concatenate([unplanes_of_keys(x["keys"]) for x in rows])
         counts = np.concatenate([unplanes(x["counts"]) for x in rows]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         new = np.ones(len(keys), bool)
