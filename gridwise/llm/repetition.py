@@ -70,7 +70,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     chars = np.maximum(out["word_chars"], 1)
 
     a, b, line = text.filled_lines(buf, offsets)
-    real = text.letters(buf, b) > text.letters(buf, a)  # lines with a word
+    real = text.lettered(buf, a, b)  # lines with a word
     a, b = a[real], b[real]
     line = np.concatenate(([0], np.cumsum(real)))[line]
     _, earlier, _ = repeats(text.hashes(buf, a, b), text.owner(line))

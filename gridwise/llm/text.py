@@ -14,8 +14,8 @@ import pyarrow as pa
 
 #: Text bytes that are worked on at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Bytes or items whose running sums are held at once.
-PIECE = 1 << 20
+#: Bytes or items whose running sums are held at once; more than most slices have.
+PIECE = 1 << 21
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -53,6 +53,8 @@ def _unshift(at: np.ndarray) -> np.ndarray:
     """The power that takes a sum that begins at ``at`` back to place 0."""
     if not len(at):
         return np.zeros(0, np.uint64)
+    if at.max() < PIECE:
+        return powers()[1][at]
     return powers()[1][at % PIECE] * _steps(_INVERSE, int(at.max()) // PIECE)[at // PIECE]
 
 
@@ -130,9 +132,12 @@ def before(member: np.ndarray, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def letters(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many words' bytes stand before each place."""
-    return before(_WORD, buf, at)
+def lettered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which spans hold a byte of a word; starts ascend, and so do ends."""
+    if len(buf) < PIECE:
+        count = np.concatenate(([0], np.cumsum(_WORD[buf], dtype=np.int32)))
+        return count[ends] > count[starts]
+    return before(_WORD, buf, ends) > before(_WORD, buf, starts)
 
 
 def _sums(values: np.ndarray, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -150,6 +155,10 @@ def _sums(values: np.ndarray, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
     """A 64-bit hash of each span's bytes, wherever it stands; starts ascend, and so do ends."""
     values = _FOLDED if folded else _VALUES
+    if len(buf) < PIECE:
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(values[buf] * powers()[0][: len(buf)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * powers()[1][starts])
     return mix((_sums(values, buf, ends) - _sums(values, buf, starts)) * _unshift(starts))
 
 
