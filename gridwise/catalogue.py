@@ -86,11 +86,11 @@ def sql_decide(t: str, s: str, policy: str, what: str = "action") -> str:
         return literal(action if what == "action" else reason)
 
     blank = f"({t} is null or {t} = '')"
-    return f"""(case when {s} is null or {s} = '' then {pick('skip', 'Source value is blank')} when {policy} = 'never' then {pick('skip', 'Policy is never')}
-      when {sql_key(t)} = {sql_key(s)} then {pick('equal', 'Target already equals source')}
-      when {blank} and {policy} not in ('fill_blank', 'overwrite') then {pick('conflict', 'Conflict policy logs without writing')}
-      when {blank} then {pick('fill', 'Target is blank')} when {policy} = 'overwrite' then {pick('overwrite', 'Overwrite policy replaces non-blank value')}
-      else {pick('conflict', 'Values differ and policy does not allow overwrite')} end)"""
+    return f"""(case when {s} is null or {s} = '' then {pick('skip', 'nothing to write')} when {policy} = 'never' then {pick('skip', 'policy never')}
+      when {sql_key(t)} = {sql_key(s)} then {pick('equal', 'cells are equal')}
+      when {blank} and {policy} not in ('fill_blank', 'overwrite') then {pick('conflict', 'policy conflict')}
+      when {blank} then {pick('fill', 'blank cell')} when {policy} = 'overwrite' then {pick('overwrite', 'policy overwrite')}
+      else {pick('conflict', 'cells differ')} end)"""
 
 
 def sql_written(s: str) -> str:
@@ -214,7 +214,7 @@ _PUSH = CTE("fx_captain") + f""", {_MODE}, w as (select d.sheet, m.resident_id,
   from modes d join fx_master m on m.zone = d.zone left join (select distinct sheet, resident_id from fx_captain) c on c.sheet = d.sheet and c.resident_id = m.resident_id)"""
 
 
-@query(_PUSH + " select sheet, resident_id, zone, master_row, case when here then 'skip' else 'append' end as action, case when here then 'resident_id already present' else '' end as reason from w")
+@query(_PUSH + " select sheet, resident_id, zone, master_row, case when here then 'skip' else 'append' end as action, case when here then 'on the sheet already' else '' end as reason from w")
 def push_missing(spark, sf_dir):
     return pull.push_missing(master(spark, sf_dir), captain(spark, sf_dir)).drop("flags")
 
@@ -244,7 +244,7 @@ _DOUBLED = "fx_double as (select resident_id, src_row from fx_master union all s
 
 
 @query(CTE("fx_captain") + f""", {_DOUBLED}, n as (select resident_id, count(*) n from fx_double group by resident_id), q as (select c.sheet, c.sheet_row, c.resident_id as identity,
-  case when c.r > 1 then 'Repeated on the sheet; only the first row was used' when n.n is null then 'Not on the master' when n.n > 1 then 'More than once on the master; row is ambiguous' end as reason
+  case when c.r > 1 then 'later row of its id' when n.n is null then 'not on the master' when n.n > 1 then 'on several rows of the master' end as reason
   from {_PULL_FROM} c left join n on n.resident_id = c.resident_id) select * from q where reason is not null""")
 def pull_ambiguous(spark, sf_dir):
     m = master(spark, sf_dir)
@@ -252,9 +252,11 @@ def pull_ambiguous(spark, sf_dir):
     return pull.pull_skips(doubled, captain(spark, sf_dir))
 
 
-@query(f"{_PULL} select count(*) as n, sha256(string_agg(line, chr(10) order by line)) as fingerprint from (select concat(identity, chr(9), \"column\", chr(9), incoming) as line from ({_PULLED}) p where will_write and sheet = 'Captain 3') q")
+@query(f"""{_PULL}, l as (select sheet, line, substr(sha256(line), 1, 3) as part from (select sheet, concat(identity, chr(9), "column", chr(9), incoming) as line from ({_PULLED}) p where will_write) q),
+  d as (select sheet, part, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as digest from l group by sheet, part)
+  select sheet, cast(sum(n) as bigint) as n, sha256(string_agg(digest, chr(10) order by part)) as fingerprint from d group by sheet""")
 def pull_fingerprint(spark, sf_dir):
-    return pull.fingerprint(pull.pull_changes(master(spark, sf_dir), captain(spark, sf_dir).filter("sheet = 'Captain 3'"), COLUMNS, RULES))
+    return pull.fingerprint(pull_plan(spark, sf_dir), "sheet")
 
 
 def _plain(e: str) -> str:
@@ -415,7 +417,7 @@ def zone_enrichment(spark, sf_dir):
 
 
 @query(_RECONCILED.replace(_HITS, CTE("fx_captain", "fx_zone_hits"), 1) + """, s as (select c.sheet_row, c.resident_id, r.outcome, r.multi_zone, r.computed_zone from fx_captain c left join rec r on r.resident_id = c.resident_id where c.sheet = 'Captain 7'),
-  q as (select resident_id, sheet_row, case when outcome is null or outcome = 'missing_coords' then 'Missing or invalid coordinates' when outcome = 'unassigned' then 'Point is not inside any zone polygon' when multi_zone then 'Point falls in more than one zone; left for manual review' else '' end as reason, coalesce(computed_zone, '') as computed_zone from s)
+  q as (select resident_id, sheet_row, case when outcome is null or outcome = 'missing_coords' then 'no coordinates' when outcome = 'unassigned' then 'in no zone' when multi_zone then 'in several zones' else '' end as reason, coalesce(computed_zone, '') as computed_zone from s)
   select resident_id, sheet_row, case when reason = '' then 'move' else 'skip' end as action, reason, computed_zone from q where reason <> '' or computed_zone = 'Zone 8'""")
 def zone_moves(spark, sf_dir):
     sheet = captain(spark, sf_dir).filter("sheet = 'Captain 7'")
@@ -444,8 +446,8 @@ def _proposals(spark, sf_dir):
 
 @query(CTE("fx_master") + f""", {_TARGET}, {_PROPOSALS}, q as (select p.*, tn.n, case p."column" when 'phone' then m.phone when 'resident_id' then m.resident_id end as existing, p.identity <> '' and row_number() over (partition by p.identity, p."column" order by proposal_id) > 1 as again
   from props p left join tn on tn.resident_id = p.identity left join fx_master m on m.resident_id = p.identity),
-  r as (select *, case when identity = '' then 'Blank resident_id' when n is null then 'resident_id not found in current target' when n > 1 then 'Duplicate resident_id in current target; row is ambiguous' when "column" = 'nothing' then 'Column not found in current target'
-    when again then 'Duplicate proposal for the same resident and column' end as bad, case when "column" = 'resident_id' then 'never' else policy end as rule from q)
+  r as (select *, case when identity = '' then 'no resident_id' when n is null then 'resident_id not in the target' when n > 1 then 'resident_id on several rows of the target' when "column" = 'nothing' then 'no such column in the target'
+    when again then 'cell proposed before' end as bad, case when "column" = 'resident_id' then 'never' else policy end as rule from q)
   select proposal_id, identity, "column", existing, incoming, case when bad is not null then 'skip' else {sql_decide('existing', 'incoming', 'rule')} end as action, coalesce(bad, {sql_decide('existing', 'incoming', 'rule', 'reason')}) as reason from r""")
 def guarded_writes(spark, sf_dir):
     return live.writes(_doubled(spark, sf_dir), _proposals(spark, sf_dir))
@@ -460,7 +462,7 @@ def _ids(spark, sf_dir):
 
 
 @query(CTE("fx_master") + f""", {_IDS}, q as (select i.*, m.resident_id is not null as here, i.identity <> '' and row_number() over (partition by i.identity order by proposal_id) > 1 as again from ids i left join fx_master m on m.resident_id = i.identity)
-  select proposal_id, identity, case when identity = '' or here or again then 'skip' else 'append' end as action, case when identity = '' then 'Blank resident_id' when here or again then 'resident_id already exists in current target' else '' end as reason,
+  select proposal_id, identity, case when identity = '' or here or again then 'skip' else 'append' end as action, case when identity = '' then 'no resident_id' when here or again then 'resident_id in the target already' else '' end as reason,
   case when phone = '' then 0 else 1 end + case when email = '' then 0 else 1 end + case when identity = '' then 0 else 1 end as n_cells from q""")
 def guarded_appends(spark, sf_dir):
     rows = _ids(spark, sf_dir).withColumn("resident_id", F.col("identity")).drop("identity")
@@ -468,7 +470,7 @@ def guarded_appends(spark, sf_dir):
 
 
 @query(CTE("fx_master") + f""", {_TARGET}, {_IDS}, q as (select i.*, tn.n, i.identity <> '' and row_number() over (partition by i.identity order by proposal_id) > 1 as again from ids i left join tn on tn.resident_id = i.identity),
-  r as (select *, case when identity = '' then 'Blank resident_id' when again then 'Duplicate delete proposal for the same resident' when n is null then 'resident_id not found in current target' when n > 1 then 'Duplicate resident_id in current target; row is ambiguous' else '' end as reason from q)
+  r as (select *, case when identity = '' then 'no resident_id' when again then 'delete proposed before' when n is null then 'resident_id not in the target' when n > 1 then 'resident_id on several rows of the target' else '' end as reason from q)
   select proposal_id, identity, case when reason = '' then 'delete' else 'skip' end as action, reason from r""")
 def guarded_deletes(spark, sf_dir):
     return live.deletes(_doubled(spark, sf_dir), _ids(spark, sf_dir).select("proposal_id", "identity")).drop("row")
@@ -476,7 +478,7 @@ def guarded_deletes(spark, sf_dir):
 
 @query(CTE("fx_captain") + f""", {_IDS}, f as (select * from fx_captain where sheet = 'Captain 5'), t as (select distinct resident_id from fx_captain where sheet = 'Captain 6'), fn as (select resident_id, count(*) n, arg_min(phone, sheet_row) phone from f group by resident_id),
   q as (select i.proposal_id, i.identity, fn.n, fn.phone as own, t.resident_id is not null as there, i.identity <> '' and row_number() over (partition by i.identity order by proposal_id) > 1 as again from ids i left join fn on fn.resident_id = i.identity left join t on t.resident_id = i.identity),
-  r as (select *, case when identity = '' then 'Blank resident_id' when again then 'Duplicate move proposal for the same resident' when n is null then 'resident_id not found on the source sheet' when n > 1 then 'Duplicate resident_id on the source sheet; row is ambiguous' when there then 'resident_id already exists on the destination sheet' else '' end as reason from q)
+  r as (select *, case when identity = '' then 'no resident_id' when again then 'move proposed before' when n is null then 'resident_id not on the source sheet' when n > 1 then 'resident_id on several rows of the source sheet' when there then 'resident_id on the destination sheet already' else '' end as reason from q)
   select proposal_id, identity, case when reason = '' then 'move' else 'skip' end as action, reason, 'Zone 6' as zone, coalesce(own, '') as phone from r""")
 def guarded_moves(spark, sf_dir):
     c = captain(spark, sf_dir)
@@ -493,7 +495,7 @@ def _edited(spark, sf_dir):
 
 @query(CTE("fx_cell_snapshots") + f""", q as (select *, {sql_key('current_value')} kc, {sql_key('before_value')} kb, {sql_key('after_value')} ka from fx_cell_snapshots)
   select snapshot_id, resident_id as identity, column_name as "column", before_value as before, case when kc = kb then 'skip' when kc <> ka then 'conflict' else 'restore' end as action,
-  case when kc = kb then 'Cell already matches its pre-run value' when kc <> ka then 'The cell changed after this run, so it was left in place' else '' end as reason from q""")
+  case when kc = kb then 'cell is as before the run' when kc <> ka then 'cell was edited after the run' else '' end as reason from q""")
 def cell_revert(spark, sf_dir):
     snaps = fx(spark, sf_dir, "fx_cell_snapshots").select("snapshot_id", F.col("resident_id").alias("identity"), F.col("column_name").alias("column"), F.col("before_value").alias("before"), F.col("after_value").alias("after"))
     return live.revert_cells(_edited(spark, sf_dir), snaps)
@@ -513,13 +515,13 @@ _STATE = "left join tn on tn.resident_id = r.identity left join fx_master m on m
 
 
 @query(CTE("fx_master") + f""", {_TARGET}, {_ROWS}, q as (select r.*, tn.n, {sql_key('m.phone')} = {sql_key('r.phone')} as same from rows_ r {_STATE}) select snapshot_id, identity, case when n is null then 'skip' when n > 1 or not same then 'conflict' else 'delete' end as action,
-  case when n is null then 'Appended row is no longer present' when n > 1 then 'Duplicate resident_id; row is ambiguous' when not same then 'The row changed after this run, so it was left in place' else '' end as reason from q""")
+  case when n is null then 'appended row is gone' when n > 1 then 'resident_id on several rows' when not same then 'row was edited after the run' else '' end as reason from q""")
 def append_revert(spark, sf_dir):
     return live.revert_appends(_doubled(spark, sf_dir).select("resident_id", "phone", "src_row"), _row_snapshots(spark, sf_dir))
 
 
 @query(CTE("fx_master") + f""", {_TARGET}, {_ROWS}, q as (select r.*, tn.n, {sql_key('m.phone')} = {sql_key('r.phone')} as same from rows_ r {_STATE}) select snapshot_id, identity, case when n is null then 'append' when n > 1 or not same then 'conflict' else 'skip' end as action,
-  case when n is null then '' when n > 1 then 'Duplicate resident_id; restore is ambiguous' when not same then 'The resident reappeared with different values, so the row was left in place' else 'Resident row is already present with matching values' end as reason from q""")
+  case when n is null then '' when n > 1 then 'resident_id on several rows; not restored' when not same then 'row is back with other values' else 'row is back as it was' end as reason from q""")
 def row_restore(spark, sf_dir):
     return live.restore_rows(_doubled(spark, sf_dir).select("resident_id", "phone", "src_row"), _row_snapshots(spark, sf_dir))
 
@@ -620,8 +622,12 @@ def schema_rename(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalogue_runs  # noqa: F401  (registers the queries of applied plans, undo, impacts and full reports)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalogue_runs  # noqa: F401
+
     return dict(SQL)

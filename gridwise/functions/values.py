@@ -167,3 +167,22 @@ def fingerprint(lines: Column) -> Column:
 def safe_name(c: Column, most: int = 180) -> Column:
     """A text that can name a file or a sheet."""
     return F.left(trim(F.regexp_replace(text(c), r"[\\/?*\[\]:]", " ")), F.lit(most))
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first text that isn't blank; empty if all are, or there is none."""
+    return F.coalesce(*[F.nullif(text(c), F.lit("")) for c in columns], F.lit(""))
+
+
+def any_filled(*columns: Column) -> Column:
+    """Whether a row holds anything but white space."""
+    return F.greatest(*[text(c) != "" for c in columns], F.lit(False)) if columns else F.lit(False)
+
+
+def is_uuid(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False))
+
+
+def strictly_true(c: Column, kind: str) -> Column:
+    """Whether a cell is a boolean true; the text TRUE and the number 1 aren't."""
+    return F.coalesce(c, F.lit(False)) if kind == "boolean" else F.lit(False)

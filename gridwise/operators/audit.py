@@ -173,6 +173,56 @@ def summary(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> DataFra
     return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
+def full_overview(master: DataFrame, sheets: DataFrame, n: Names, statuses: DataFrame) -> DataFrame:
+    """A row for each sheet of a folder with all sixteen fields; sheets that can't be read (ERROR) or are empty have null counts.
+
+    ``statuses``: sheet, url, error. Null is what a shown report calls N/A.
+    """
+    spark = master.sparkSession
+    rows = [(s, len([x for x in h if x]), H.missing(h, n.master_headers), [x for x in H.missing(n.master_headers, h)]) for s, h in n.sheet_headers.items()]
+    heads = spark.createDataFrame(rows, "sheet string, total_columns int, missing_columns array<string>, extra_columns array<string>")  # a row a sheet
+    counts = overview(master, sheets, Names(**{**n.__dict__, "sheet_headers": {}})).drop("status")
+    out = statuses.select("sheet", "url", "error").join(heads, "sheet", "left").join(counts, "sheet", "left")
+    lacking, extra, bad, empty = F.size("missing_columns") > 0, F.size("extra_columns") > 0, F.col("error") != "", F.col("data_rows").isNull()
+    verdict = F.when(bad, "ERROR").when(empty, "Empty").when(lacking & extra, "Missing + Extra").when(lacking, "Missing Columns").when(extra, "Extra Columns").otherwise("Match")
+    none = bad | empty
+    zero = {"data_rows": F.coalesce("data_rows", F.lit(0)), "apn_inconsistent": F.coalesce("apn_inconsistent", F.lit(0)), "zone": F.coalesce("zone", F.lit("")), "total_columns": F.when(none, 0).otherwise(F.col("total_columns"))}
+    lists = {c: F.when(none, "").otherwise(F.array_join(c, ", ")) for c in ("missing_columns", "extra_columns")}
+    return out.withColumn("status", verdict).withColumns(zero | lists)
+
+
+def full_summary(full: DataFrame, sheets: DataFrame, n: Names = Names(), skipped: str = "") -> DataFrame:
+    """One row of fourteen totals over :func:`full_overview`; ``skipped``: why row membership wasn't looked at, if it wasn't."""
+    s = F.col("status")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("data_rows", "total_data_rows"), ("addresses_missing_apn", "addresses_missing_apn"), ("apn_inconsistent", "apn_inconsistencies"), ("missing_rows", "missing_rows"), ("extra_not_in_master", "extra_not_in_master"), ("extra_wrong_zone", "extra_wrong_zone"))]
+    totals = full.agg(
+        F.count("*").alias("sheets_scanned"), F.count_if(s == "ERROR").alias("sheets_with_errors"), F.count_if(s == "Empty").alias("sheets_empty"), F.count_if(s == "Match").alias("sheets_matching"),
+        F.count_if(s.isin("Missing Columns", "Extra Columns", "Missing + Extra")).alias("sheets_with_drift"), *sums,
+    )
+    twice = duplicates(sheets, n).agg(F.countDistinct("resident_id").alias("duplicate_ids"))
+    situs = missing_situs(sheets, n).agg(F.count("*").alias("missing_situs"))
+    parts = totals.unionByName(twice, allowMissingColumns=True).unionByName(situs, allowMissingColumns=True)  # a row each
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns]).withColumn("skipped_because", F.lit(skipped))
+
+
+def master_columns(master: DataFrame, headers: list[str]) -> DataFrame:
+    """position (from 1), letter, column of the master's headers."""
+    return master.sparkSession.createDataFrame([(k + 1, H.column_letter(k), h) for k, h in enumerate(headers)], "position int, letter string, column string")
+
+
+def count_true(sheets: DataFrame, column: str) -> DataFrame:
+    """sheet, n: cells that are a boolean true."""
+    return sheets.groupBy("sheet").agg(F.count_if(V.strictly_true(F.col(column), V.kind_of(sheets.schema[column].dataType))).alias("n"))
+
+
+def same_ids(sheets: DataFrame, master: DataFrame, n: Names = Names()) -> DataFrame:
+    """sheet, same: whether a sheet has exactly the ids of its zone's roster."""
+    theirs = _ids(sheets, n).select("sheet", "id", F.lit(1).alias("here"))
+    ours = zones(sheets, n).join(roster(master, n), "zone").select("sheet", "id", F.lit(1).alias("there"))
+    both = theirs.join(ours, ["sheet", "id"], "full")
+    return both.groupBy("sheet").agg(F.count_if(F.col("here").isNull() | F.col("there").isNull()).alias("odd")).select("sheet", (F.col("odd") == 0).alias("same"))
+
+
 def report(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> dict[str, DataFrame]:
     """The eight tables of an audit by name."""
     columns = [c for c in sheets.columns if c not in ("sheet", "sheet_row")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -74,7 +74,7 @@ def to_add(target: DataFrame, names: Iterable[str]) -> list[str]:
 def plan_with_policies_of_old(changes: DataFrame) -> DataFrame:
     """The older rule for a plan of all cells: a blank target is filled even under the policy conflict."""
     blank = (F.col("action") == "conflict") & V.target_blank(F.col("existing"))
-    return changes.withColumns({"will_write": F.col("will_write") | blank, "reason": F.when(blank, "Target is blank").otherwise(F.col("reason")), "action": F.when(blank, "fill").otherwise(F.col("action"))})
+    return changes.withColumns({"will_write": F.col("will_write") | blank, "reason": F.when(blank, "blank cell").otherwise(F.col("reason")), "action": F.when(blank, "fill").otherwise(F.col("action"))})
 
 
 def unmatched(source: DataFrame, target: DataFrame, source_key: str, target_key: str) -> DataFrame:
@@ -100,10 +100,46 @@ def summary(changes: DataFrame, by: str = "sheet") -> DataFrame:
     )
 
 
-def apply(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The target with all changes that will be written, found by sheet and identity. Compose with a sink to store it."""
-    writes = changes.filter("will_write").groupBy("sheet", "identity").agg(F.map_from_entries(F.collect_set(F.struct("column", "incoming"))).alias("_new"))
-    joined = target.withColumn("identity", V.identity(F.col(key))).join(writes, ["sheet", "identity"], "left")
+def _by_sheet(target: DataFrame, by_sheet: bool | None) -> list[str]:
+    return ["sheet"] if by_sheet or (by_sheet is None and "sheet" in target.columns) else []
+
+
+def _ranked(changes: DataFrame) -> Column:
+    return F.struct(*[c for c in ("sheet", "sheet_row", "incoming") if c in changes.columns])
+
+
+def winners(changes: DataFrame, by: list[str]) -> DataFrame:
+    """What will be written, one change for each cell (``by``, identity, column): of several the first by sheet and row."""
+    writes = changes.filter("will_write").withColumn("identity", V.identity(F.col("identity"))).filter("identity <> ''")
+    return writes.groupBy(*by, "identity", "column").agg(F.min(_ranked(writes)).alias("w")).select(*by, "identity", "column", "w.incoming")
+
+
+def losers(changes: DataFrame, by: list[str]) -> DataFrame:
+    """Changes that will be written, but for one of their cell that comes first."""
+    keys = [*by, "identity", "column"]
+    writes = changes.filter("will_write").withColumn("identity", V.identity(F.col("identity")))
+    first = writes.groupBy(*keys).agg(F.min(_ranked(writes)).alias("w"))
+    return writes.join(first, keys).filter(_ranked(writes) != F.col("w")).select(*changes.columns)
+
+
+def unapplied(target: DataFrame, changes: DataFrame, key: str, by_sheet: bool | None = None) -> DataFrame:
+    """Cells that will be written, but whose row or column the target doesn't have."""
+    by = _by_sheet(target, by_sheet)
+    rows = target.select(*by, V.identity(F.col(key)).alias("identity")).distinct()
+    wanted = winners(changes, by)
+    return wanted.join(rows, [*by, "identity"], "left_anti").unionByName(wanted.filter(~F.col("column").isin(*target.columns))).distinct()
+
+
+def apply(target: DataFrame, changes: DataFrame, key: str, by_sheet: bool | None = None) -> DataFrame:
+    """The target with all changes that will be written, found by identity, and by sheet if the target has sheets.
+
+    Of several changes of a cell the first counts. A null is written as a null. With ``by_sheet`` False the changes' sheet
+    only says where they come from, as in a plan that pulls edits of copies to the master. Compose with a sink to store it.
+    """
+    by = _by_sheet(target, by_sheet)
+    writes = winners(changes, by).groupBy(*by, "identity").agg(F.map_from_entries(F.collect_list(F.struct("column", "incoming"))).alias("_new"))  # a row's cells
+    joined = target.withColumn("identity", V.identity(F.col(key))).join(writes, [*by, "identity"], "left")
     names = [c for c in target.columns if c not in ("sheet", "sheet_row", key)]
-    cells = {c: F.coalesce(F.try_element_at("_new", F.lit(c)).cast(target.schema[c].dataType), F.col(c)) for c in names}
+    has = lambda c: F.coalesce(F.map_contains_key("_new", c), F.lit(False))
+    cells = {c: F.when(has(c), F.try_element_at("_new", F.lit(c)).cast(target.schema[c].dataType)).otherwise(F.col(c)) for c in names}
     return joined.withColumns(cells).select(*target.columns)

@@ -35,13 +35,13 @@ def decide_keys(target_key: Column, source_key: Column, target_blank: Column, so
         return F.struct(F.lit(action).alias("action"), rule.alias("policy"), F.lit(reason).alias("reason"), F.lit(write).alias("will_write"))
 
     return (
-        F.when(source_blank, verdict("skip", "Source value is blank"))
-        .when(rule == "never", verdict("skip", "Policy is never"))
-        .when(target_key == source_key, verdict("equal", "Target already equals source"))
-        .when(target_blank & (rule == "conflict"), verdict("conflict", "Conflict policy logs without writing"))
-        .when(target_blank, verdict("fill", "Target is blank", True))
-        .when(rule == "overwrite", verdict("overwrite", "Overwrite policy replaces non-blank value", True))
-        .otherwise(verdict("conflict", "Values differ and policy does not allow overwrite"))
+        F.when(source_blank, verdict("skip", "nothing to write"))
+        .when(rule == "never", verdict("skip", "policy never"))
+        .when(target_key == source_key, verdict("equal", "cells are equal"))
+        .when(target_blank & (rule == "conflict"), verdict("conflict", "policy conflict"))
+        .when(target_blank, verdict("fill", "blank cell", True))
+        .when(rule == "overwrite", verdict("overwrite", "policy overwrite", True))
+        .otherwise(verdict("conflict", "cells differ"))
     )
 
 

@@ -158,3 +158,39 @@ def mapping_lines(text: str) -> dict[str, str]:
 
 def comma_list(text: str) -> list[str]:
     return [x.strip() for x in (text or "").split(",") if x.strip()]
+
+
+def with_dashes(header: object) -> str:
+    """Lower case with dashes and single spaces kept: dashes of any kind are one, without spaces around."""
+    t = re.sub("[\u2010-\u2015]", "-", str(header if header is not None else "").lower())
+    return re.sub("[^a-z0-9 -]", "", re.sub(r"\s*-\s*", "-", re.sub(r"\s+", " ", t))).strip()
+
+
+def yes(value: object) -> bool:
+    """A switch of a settings table; blank is on."""
+    return str(value or "").strip().lower() in ("", "yes", "y", "true", "enabled")
+
+
+def a1(tab: str, range_: str = "") -> str:
+    """A range with its quoted tab."""
+    quoted = "'" + (tab or "").replace("'", "''") + "'"
+    return f"{quoted}!{range_}" if range_ else quoted
+
+
+def schema_names(mappings: Iterable[tuple[str, str]]) -> list[str]:
+    """Column names that mappings (source, target) ask of a target, each once: the target's name, else the source's."""
+    return [x for x in dict.fromkeys((t or s or "").strip() for s, t in mappings) if x]
+
+
+# The logical fields of a zone check.
+ZONE_FIELDS = {"lat": "Latitude", "lon": "Longitude", "zone": "ZoneName", "contact_name": "NC Name", "contact_phone": "NC Phone", "contact_email": "NC Email", "id": "resident_id", "name": "Resident Name"}
+
+
+def zone_fields(headers: list[str], fields: Iterable[Field]) -> dict[str, str | None]:
+    """The header for each logical field of a zone check, by its name or a dictionary alias; None where there is none."""
+    known = {f.name: f for f in fields}
+    out = {}
+    for role, name in ZONE_FIELDS.items():
+        at = find(headers, (name, *(known[name].aliases if name in known else ())))
+        out[role] = None if at is None else headers[at]
+    return out

@@ -18,8 +18,9 @@ ENDED = ("succeeded", "failed", "interrupted")
 SCHEMAS = {
     "runs": "run_id string, seq bigint, workflow string, status string, dry boolean, fingerprint string, at timestamp",
     "log": "run_id string, entry_id bigint, type string, identity string, column string, message string, at timestamp",
-    "snapshots": "run_id string, snapshot_id bigint, operation string, identity string, column string, before string, after string, cells map<string,string>, at timestamp",
+    "snapshots": "run_id string, snapshot_id bigint, operation string, sheet string, identity string, column string, before string, after string, cells map<string,string>, at timestamp",
     "reverts": "run_id string, snapshot_id bigint, at timestamp",
+    "settings": "name string, value string, seq bigint, at timestamp",
     "conflicts": "run_id string, sheet string, identity string, column string, existing string, incoming string, status string, seq bigint, at timestamp",
 }
 
@@ -59,6 +60,60 @@ class Ledger:
         return mine.join(self.read("reverts").select("run_id", "snapshot_id"), ["run_id", "snapshot_id"], "left_anti")
 
 
+    def put(self, name: str, value: str | None) -> None:
+        """Set one setting; a null takes it away."""
+        seq = (self.read("settings").filter(F.col("name") == name).agg(F.max("seq")).first()[0] or 0) + 1
+        row = self.spark.createDataFrame([(name, value, seq)], "name string, value string, seq bigint")
+        self.append("settings", row.withColumn("at", F.current_timestamp()))
+
+    def settings(self) -> DataFrame:
+        return latest(self.read("settings"), "name").filter("value is not null").select("name", "value")
+
+    def seed(self, values: dict[str, str]) -> bool:
+        """Settings of a new project; nothing is done where there are some already."""
+        if not values or not self.read("settings").isEmpty():
+            return False
+        rows = [(k, v, 1) for k, v in values.items()]
+        self.append("settings", self.spark.createDataFrame(rows, "name string, value string, seq bigint").withColumn("at", F.current_timestamp()))
+        return True
+
+    def resolve(self, conflicts: DataFrame, status: str = "resolved") -> None:
+        """A new state for conflicts (run_id, sheet, identity, column), whatever they were."""
+        known = latest(self.read("conflicts"), "run_id", "sheet", "identity", "column")
+        chosen = known.join(conflicts.select("run_id", "sheet", "identity", "column").distinct(), ["run_id", "sheet", "identity", "column"], "left_semi")
+        self.append("conflicts", chosen.withColumns({"status": F.lit(status), "seq": F.col("seq") + 1, "at": F.current_timestamp()}))
+
+    def open_conflicts(self) -> DataFrame:
+        return latest(self.read("conflicts"), "run_id", "sheet", "identity", "column").filter("status = 'open'")
+
+
+def without_runs(table: DataFrame, gone: DataFrame, detach: bool = False) -> DataFrame:
+    """A table after runs were deleted: their rows go too, or (``detach``) stay without a run."""
+    ids = gone.select(F.col("run_id").alias("_gone")).distinct()
+    if not detach:
+        return table.join(ids, F.col("run_id") == F.col("_gone"), "left_anti")
+    return table.join(ids, F.col("run_id") == F.col("_gone"), "left").withColumn("run_id", F.when(F.col("_gone").isNull(), F.col("run_id"))).drop("_gone")
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, parent_key: str, fields: list[str], name: str = "children") -> DataFrame:
+    """Parents with their children as an ordered list of ``fields``: one join, not a lookup for each parent."""
+    lists = children.groupBy(F.col(parent_key).alias("_parent")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    out = parents.join(lists, F.col(key) == F.col("_parent"), "left").drop("_parent")
+    return out.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+
+def next_position(rows: DataFrame, column: str = "sort_order") -> DataFrame:
+    """One row: the place after the last one (0 if there is none)."""
+    return rows.agg((F.coalesce(F.max(column), F.lit(-1)) + 1).cast("long").alias("next"))
+
+
+def first_of_each(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """At most ``most`` rows of each group; tasks send on no more than that of each."""
+    from pyspark.sql.window import Window
+
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
 def latest(events: DataFrame, *keys: str, order: str = "seq") -> DataFrame:
     """The last event of each key."""
     rank = F.struct(order, *[c for c in events.columns if c != order and c not in keys])

@@ -20,13 +20,13 @@ def push_missing(master: DataFrame, sheets: DataFrame, n: audit.Names = audit.Na
     flags = F.array_join(F.array_compact(F.array(*[F.when(~V.source_blank(F.col(c), V.kind_of(master.schema[c].dataType)), F.lit(c)) for c in sensitive])), ", ") if sensitive else F.lit("")
     rows = master.select(V.identity(F.col(n.id)).alias("resident_id"), V.text(F.col(n.zone)).alias("zone"), F.col(order).alias("master_row"), flags.alias("flags"))
     wanted = audit.zones(sheets, n).join(rows, "zone")
-    blank = wanted.filter("resident_id = ''").select("sheet", "resident_id", "zone", "master_row", F.lit("skip").alias("action"), F.lit("Blank resident_id").alias("reason"), "flags")
+    blank = wanted.filter("resident_id = ''").select("sheet", "resident_id", "zone", "master_row", F.lit("skip").alias("action"), F.lit("no resident_id").alias("reason"), "flags")
     real = wanted.filter("resident_id <> ''")
     first = real.groupBy("sheet", "resident_id").agg(F.min(F.struct("master_row", "zone", "flags")).alias("r")).select("sheet", "resident_id", "r.*")
     here = sheets.select("sheet", V.identity(F.col(n.id)).alias("resident_id"), F.lit(True).alias("here")).filter("resident_id <> ''").distinct()
     marked = first.join(here, ["sheet", "resident_id"], "left")
     is_here = F.col("here").isNotNull()
-    planned = marked.select("sheet", "resident_id", "zone", "master_row", F.when(is_here, "skip").otherwise("append").alias("action"), F.when(is_here, "resident_id already present").otherwise("").alias("reason"), F.when(is_here, "").otherwise(F.col("flags")).alias("flags"))
+    planned = marked.select("sheet", "resident_id", "zone", "master_row", F.when(is_here, "skip").otherwise("append").alias("action"), F.when(is_here, "on the sheet already").otherwise("").alias("reason"), F.when(is_here, "").otherwise(F.col("flags")).alias("flags"))
     return planned.unionByName(blank)
 
 
@@ -34,8 +34,8 @@ def pull_changes(master: DataFrame, sheets: DataFrame, columns: Mapping[str, str
     """Changes for the master from the sheets' cells: ids that the master has once; of a sheet's equal ids the first row."""
     target = keyed.multiplicity(master, key, order)
     mine = target.filter("_n = 1").select(V.identity(F.col(key)).alias("identity"), F.struct(*master.columns).alias("t"))
-    theirs = keyed.multiplicity(sheets, key, "sheet_row", ["sheet"]).select("sheet", "sheet_row", V.identity(F.col(key)).alias("_key"), F.struct(*sheets.columns).alias("s"))
-    joined = theirs.join(mine, F.col("_key") == F.col("identity")).drop("_key")
+    theirs = keyed.multiplicity(sheets, key, "sheet_row", ["sheet"]).select("sheet", "sheet_row", V.identity(F.col(key)).alias("identity"), F.struct(*sheets.columns).alias("s"))
+    joined = theirs.join(mine, "identity")
     out = fill.compare(joined, columns, policies or {}, default, protected)
     return out if all_cells else out.filter(F.col("action").isin("fill", "overwrite", "conflict") | ((F.col("action") == "skip") & (F.col("policy") == "never")))
 
@@ -47,10 +47,10 @@ def pull_skips(master: DataFrame, sheets: DataFrame, key: str = "resident_id", o
     first = rows.filter("identity <> ''").groupBy("sheet", "identity").agg(F.min("sheet_row").alias("first"))
     seen = rows.join(first, ["sheet", "identity"], "left").join(many, "identity", "left")
     reason = (
-        F.when(F.col("identity") == "", "Blank resident_id")
-        .when(F.col("sheet_row") > F.col("first"), "Repeated on the sheet; only the first row was used")
-        .when(F.col("in_master").isNull(), "Not on the master")
-        .when(F.col("in_master") > 1, "More than once on the master; row is ambiguous")
+        F.when(F.col("identity") == "", "no resident_id")
+        .when(F.col("sheet_row") > F.col("first"), "later row of its id")
+        .when(F.col("in_master").isNull(), "not on the master")
+        .when(F.col("in_master") > 1, "on several rows of the master")
     )
     return seen.select("sheet", "sheet_row", "identity", reason.alias("reason")).filter("reason is not null")
 
@@ -93,14 +93,39 @@ def verdicts(master: DataFrame, sheets: DataFrame, key: str = "resident_id", nam
     return rows.select("sheet", "sheet_row", "identity", verdict.alias("verdict"), F.coalesce("by_loose", "by_name", F.lit("")).alias("matched_id"))
 
 
-def fingerprint(changes: DataFrame) -> DataFrame:
-    """n, fingerprint: of a plan's writes, one line (identity, column, value) each, sorted. One row."""
+def fingerprint(changes: DataFrame, *by: str) -> DataFrame:
+    """by, n, fingerprint: of a plan's writes, one line (identity, column, value) each. A row for each ``by``, or one.
+
+    Lines are dealt by the first three digits of their SHA-256; the fingerprint is that of the parts' own, in order, so that
+    no task gathers a whole plan and the result doesn't depend on how rows were dealt.
+    """
     line = F.concat_ws("\t", "identity", "column", V.text(F.col("incoming")))
-    return changes.filter("will_write").agg(F.count("*").alias("n"), V.fingerprint(F.collect_list(line)).alias("fingerprint"))
+    lines = changes.filter("will_write").select(*by, line.alias("line")).withColumn("part", F.substring(F.sha2("line", 256), 1, 3))
+    parts = lines.groupBy(*by, "part").agg(F.count("*").alias("n"), V.fingerprint(F.collect_list("line")).alias("digest"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])  # 4,096 at most
+    return parts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(whole, "\n"), 256).alias("fingerprint"))
+
+
+def push_rows(master: DataFrame, planned: DataFrame, columns: Iterable[str], key: str = "resident_id", order: str = "src_row") -> DataFrame:
+    """sheet and ``columns`` (a copy's headers) of the rows that :func:`push_missing` appends; the master's columns by header."""
+    new = planned.filter("action = 'append'").select("sheet", "master_row")
+    cells = [F.col(c) if c in master.columns else F.lit("").alias(c) for c in columns]
+    return new.join(master.withColumn("master_row", F.col(order)), "master_row").select("sheet", *cells)
+
+
+def append_missing(master: DataFrame, sheets: DataFrame, key: str = "resident_id", order: str = "src_row") -> DataFrame:
+    """The master with columns that only the sheets have (empty) and with the rows that it lacks, the first of each id."""
+    own = [c for c in sheets.columns if c not in ("sheet", "sheet_row")]
+    wide = fill.with_columns(master, own)
+    known = master.select(V.identity(F.col(key)).alias("_id")).filter("_id <> ''").distinct()
+    new = first_wins(sheets, key).withColumn("_id", V.identity(F.col(key))).join(known, "_id", "left_anti").drop("_id")
+    placed = numbered(new, master, order)
+    cells = [F.col(c).cast(wide.schema[c].dataType) if c in placed.columns else F.lit("" if wide.schema[c].dataType.simpleString() == "string" else None).cast(wide.schema[c].dataType).alias(c) for c in wide.columns]
+    return wide.unionByName(placed.select(*cells))
 
 
-def new_residents(master: DataFrame, sheet: DataFrame, key: str = "resident_id", name: str = "resident_name", apn: str = "apn", email: str = "email", required: Iterable[str] = ("resident_name",), order: str = "src_row", per_sheet: bool = True) -> DataFrame:
-    """sheet, sheet_row, resident_id, risk, reason, matched_id, missing: residents that the master lacks, screened.
+def new_residents(master: DataFrame, sheet: DataFrame, key: str = "resident_id", name: str = "resident_name", apn: str = "apn", email: str = "email", required: Iterable[str] = ("resident_name",), order: str = "src_row", per_sheet: bool = True, house: Iterable[str] = ("house",), street: Iterable[str] = ("street",)) -> DataFrame:
+    """sheet, sheet_row, resident_id, risk, reason, matched_id, missing, property, filled_columns: residents that the master lacks, screened.
 
     The first of these decides: name and parcel on the master, email on the master, name and parcel on an earlier row of
     the batch, email on an earlier row, name on the master (possible). All else is none.
@@ -123,12 +148,17 @@ def new_residents(master: DataFrame, sheet: DataFrame, key: str = "resident_id",
         found = out.filter(F.col(column).isNotNull()).groupBy(*group, column).agg(F.min(F.struct("sheet_row", "_id")).alias(as_))
         out = out.join(found, [*group, column], "left").withColumn(as_, F.when(F.col(f"{as_}.sheet_row") < F.col("sheet_row"), F.col(f"{as_}._id")))
     rules = [
-        ("m_np", "likely", "The master already has this name at this same parcel, under a different resident_id."),
-        ("m_email", "likely", "The master already has this email address, under a different resident_id."),
-        ("b_np", "likely", "Another row in this same batch has this name at this parcel."),
-        ("b_email", "likely", "Another row in this same batch has this email address."),
-        ("m_name", "possible", "Someone with this name is already on the master, but at a different parcel."),
+        ("m_np", "likely", "name and parcel on the master"),
+        ("m_email", "likely", "email on the master"),
+        ("b_np", "likely", "name and parcel earlier in the batch"),
+        ("b_email", "likely", "email earlier in the batch"),
+        ("m_name", "possible", "name on the master, at another parcel"),
     ]
     hit = F.coalesce(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(r).alias("risk"), F.lit(t).alias("reason"), F.col(c).alias("id"))) for c, r, t in rules], F.struct(F.lit("none").alias("risk"), F.lit("").alias("reason"), F.lit("").alias("id")))
     lacking = F.array_join(F.array_compact(F.array(*[F.when(V.text(F.col(c)) == "", F.lit(c)) for c in required])), ", ")
-    return out.withColumn("hit", hit).select("sheet", "sheet_row", F.col("_id").alias("resident_id"), "hit.risk", "hit.reason", F.col("hit.id").alias("matched_id"), lacking.alias("missing"))
+    # The first of several columns that is filled; columns that the sheet lacks don't count.
+    at = V.trim(F.concat_ws(" ", *(V.first_filled(*[F.col(c) for c in names if c in sheet.columns]) for names in (house, street))))
+    parcel = V.text(F.col(apn))
+    place = F.concat_ws(" · ", F.nullif(at, F.lit("")), F.when(parcel != "", F.concat(F.lit("APN "), parcel)))
+    filled = sum((F.when(V.text(F.col(c)) != "", 1).otherwise(0) for c in master.columns if c in sheet.columns), F.lit(0))
+    return out.withColumn("hit", hit).select("sheet", "sheet_row", F.col("_id").alias("resident_id"), "hit.risk", "hit.reason", F.col("hit.id").alias("matched_id"), lacking.alias("missing"), place.alias("property"), filled.alias("filled_columns"))

@@ -67,9 +67,17 @@ def from_geojson(features: DataFrame, column: str = "feature") -> DataFrame:
     return read.select("ordinal", geometry.alias("geometry"), "f.properties").filter("geometry is not null")
 
 
-def hits(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat", cell: float = 1.0) -> DataFrame:
+def cell_of(boxed: DataFrame) -> float:
+    """A grid cell about as wide as half a zone's box, in the units of the coordinates: few cells a box, few boxes a cell."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    typical = boxed.agg(F.percentile_approx(side, 0.5)).first()[0]  # a number
+    return typical / 2 if typical and typical > 0 else 1.0
+
+
+def hits(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat", cell: float | None = None) -> DataFrame:
     """All pairs of a point and a zone that holds it: the points' columns and ``z`` (the zone's)."""
     boxed = with_box(zones)
+    cell = cell or cell_of(boxed)
     z = boxed.select(F.struct(*zones.columns).alias("z"), "x0", "y0", "x1", "y1")
 
     def cells(a: str, b: str) -> Column:
@@ -81,12 +89,12 @@ def hits(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat", ce
     return near.filter(in_multipolygon(F.col("z.geometry"), F.col(x), F.col(y))).select(*points.columns, "z")
 
 
-def first_hit(points: DataFrame, zones: DataFrame, key: str, x: str = "lon", y: str = "lat", cell: float = 1.0) -> DataFrame:
+def first_hit(points: DataFrame, zones: DataFrame, key: str, x: str = "lon", y: str = "lat", cell: float | None = None) -> DataFrame:
     """key, n_zones, z: of the zones that hold a point the one of least ordinal; ``key`` is unique among the points."""
     return hits(points.select(key, x, y), zones, x, y, cell).groupBy(key).agg(F.count("*").alias("n_zones"), F.min_by("z", "z.ordinal").alias("z"))
 
 
-def reconcile(master: DataFrame, zones: DataFrame, current: Mapping[str, str], key: str = "resident_id", row: str = "src_row", x: str = "lon", y: str = "lat", cell: float = 1.0) -> DataFrame:
+def reconcile(master: DataFrame, zones: DataFrame, current: Mapping[str, str], key: str = "resident_id", row: str = "src_row", x: str = "lon", y: str = "lat", cell: float | None = None) -> DataFrame:
     """A row for each resident: outcome, current and computed zone, multi_zone, contact_updates and the computed fields.
 
     ``current`` names the master's columns for FIELDS; one that is missing there counts as blank.
@@ -106,6 +114,21 @@ def reconcile(master: DataFrame, zones: DataFrame, current: Mapping[str, str], k
     return found.select("master_row", "resident_id", outcome.alias("outcome"), now.alias("current_zone"), F.when(F.col("z").isNull(), "").otherwise(then).alias("computed_zone"), (F.coalesce("n_zones", F.lit(0)) > 1).alias("multi_zone"), changed.alias("contact_updates"), "now", "new")
 
 
+def joined(points: DataFrame, zones: DataFrame, key: str, fields: Mapping[str, str], x: str = "lon", y: str = "lat") -> DataFrame:
+    """All columns of the points, and ``fields`` (name there: the zone's column) of the first zone that holds each; empty if none."""
+    found = first_hit(points, zones, key, x, y).select(F.col(key).alias("_key"), "z")
+    out = points.join(found, F.col(key) == F.col("_key"), "left")
+    return out.select(*points.columns, *[V.text(F.col(f"z.{c}")).alias(name) for name, c in fields.items()])
+
+
+def full_summary(reconciled: DataFrame, zones: DataFrame, current: Mapping[str, str]) -> DataFrame:
+    """:func:`summary` with features_loaded, and columns_to_add: zone fields that the master has no column for."""
+    totals = summary(reconciled).withColumn("columns_to_add", F.lit(len([f for f in FIELDS if f not in current])))
+    loaded = with_box(zones).agg(F.count("*").alias("features_loaded"))
+    both = totals.unionByName(loaded, allowMissingColumns=True)  # a row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def detail(reconciled: DataFrame, most: int = DETAIL) -> DataFrame:
     """What needs attention, quiet matches left out; only if there are more than ``most``, the first by outcome, multi-zone and row."""
     rows = reconciled.filter(~((F.col("outcome") == "match") & (F.col("contact_updates") == 0) & ~F.col("multi_zone")))
@@ -135,7 +158,7 @@ def enrichment(reconciled: DataFrame, sheet: str = "master") -> DataFrame:
     return out.filter("will_write").select(*CHANGES)
 
 
-def moves(sheet: DataFrame, master: DataFrame, zones: DataFrame, to_zone: str, key: str = "resident_id", row: str = "sheet_row", x: str = "lon", y: str = "lat", cell: float = 1.0) -> DataFrame:
+def moves(sheet: DataFrame, master: DataFrame, zones: DataFrame, to_zone: str, key: str = "resident_id", row: str = "sheet_row", x: str = "lon", y: str = "lat", cell: float | None = None) -> DataFrame:
     """resident_id, sheet_row, action (move or skip), reason, computed_zone: who stands in ``to_zone``, by the master's coordinates.
 
     The sheet's own coordinates (``x``, ``y``, if it has them) count only for ids that the master lacks.
@@ -148,10 +171,10 @@ def moves(sheet: DataFrame, master: DataFrame, zones: DataFrame, to_zone: str, k
     found = placed.join(first_hit(placed, zones, "sheet_row", "x", "y", cell), "sheet_row", "left")
     zone = V.text(F.col("z.zone"))
     reason = (
-        F.when(F.col("x").isNull() | F.col("y").isNull(), "Missing or invalid coordinates")
-        .when(F.col("z").isNull(), "Point is not inside any zone polygon")
-        .when(F.col("n_zones") > 1, "Point falls in more than one zone; left for manual review")
-        .when(zone == "", "Matched polygon has a blank ZoneName")
+        F.when(F.col("x").isNull() | F.col("y").isNull(), "no coordinates")
+        .when(F.col("z").isNull(), "in no zone")
+        .when(F.col("n_zones") > 1, "in several zones")
+        .when(zone == "", "zone without a name")
     )
     out = found.select("resident_id", "sheet_row", F.when(reason.isNull(), "move").otherwise("skip").alias("action"), F.coalesce(reason, F.lit("")).alias("reason"), F.coalesce(zone, F.lit("")).alias("computed_zone"))
     return out.filter((F.col("action") == "skip") | (F.col("computed_zone") == to_zone))

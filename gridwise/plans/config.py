@@ -34,3 +34,21 @@ class Config:
 
     def counts(self) -> dict[str, int]:
         return {"fields": len(self.fields), "identity": sum(f.identity for f in self.fields), "sensitive": sum(f.sensitive for f in self.fields), "aliases": sum(len(f.aliases) for f in self.fields)}
+
+    def put(self, new: Field) -> None:
+        """Add a field, or take the place of the one of its name."""
+        at = next((k for k, f in enumerate(self.fields) if f.name == new.name), len(self.fields))
+        self.fields[at : at + 1] = [new]
+
+    def remove(self, name: str) -> bool:
+        """Take away a field, and the mappings and policies of its name."""
+        left = [f for f in self.fields if f.name != name]
+        found, self.fields = len(left) < len(self.fields), left
+        for table in (self.mappings, self.policies):
+            for values in table.values():
+                values.pop(name, None)
+        self.sensitive = [x for x in self.sensitive if x != name]
+        return found
+
+    def alphabetical(self) -> list[Field]:
+        return sorted(self.fields, key=lambda f: (f.name.lower(), f.name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -62,13 +62,55 @@ WORKFLOWS = {
 REVERTS = {"push_master": "revert_cells", "pull_to_master": "revert_cells", "zone_enrichment": "revert_cells", "guarded_writes": "revert_cells", "push_missing": "revert_appends", "append_missing": "revert_appends", "guarded_appends": "revert_appends", "guarded_deletes": "restore_rows", "guarded_moves": "restore_rows"}
 
 
+#: Columns that a workflow reads under fixed names, by option; ``key``, ``x`` and ``y`` rename ids and coordinates.
+READS = {
+    "push_missing": {"master": ["resident_id", "zone"], "sheets": ["resident_id", "zone"]},
+    "pull_to_master": {"master": ["resident_id"], "sheets": ["resident_id"]},
+    "pull_skips": {"master": ["resident_id"], "sheets": ["resident_id"]},
+    "pull_folder": {"master": ["resident_id"], "sheets": ["resident_id"]},
+    "append_missing": {"master": ["resident_id"], "sheets": ["resident_id"]},
+    "unmatched_verdicts": {"master": ["resident_id", "resident_name"], "sheets": ["resident_id", "resident_name"]},
+    "new_residents": {"master": ["resident_id", "resident_name", "apn", "email"], "sheet": ["resident_id", "resident_name", "apn", "email"]},
+    "audit": {"master": ["resident_id", "zone", "resident_name"], "sheets": ["resident_id", "zone", "apn", "damage"]},
+    "zone_check": {"master": ["resident_id", "lon", "lat"], "zones": ["ordinal", "geometry"]},
+    "zone_enrichment": {"master": ["resident_id", "lon", "lat"], "zones": ["ordinal", "geometry"]},
+    "zone_moves": {"sheet": ["resident_id"], "master": ["resident_id", "lon", "lat"], "zones": ["ordinal", "geometry"]},
+    "guarded_writes": {"proposals": ["proposal_id", "identity", "column", "incoming", "policy"]},
+    "guarded_deletes": {"ids": ["proposal_id", "identity"]},
+    "guarded_moves": {"ids": ["proposal_id", "identity"]},
+    "revert_cells": {"snapshots": ["snapshot_id", "identity", "column", "before", "after"]},
+}
+
+
 def readiness(name: str, options: dict[str, Any]) -> list[Check]:
-    """What stands in a workflow's way, before any data is read."""
+    """What stands in a workflow's way, from its options and the headers of its tables; no rows are read."""
     if name not in WORKFLOWS:
         return [Check("error", f"no such workflow: {name}")]
     out = [Check("error", f"{n} is missing") for n in WORKFLOWS[name].needs if options.get(n) is None]
-    if "columns" in WORKFLOWS[name].needs and options.get("columns") is not None and not options["columns"]:
+    columns = options.get("columns")
+    if "columns" in WORKFLOWS[name].needs and columns is not None and not columns:
         out.append(Check("warning", "no columns are mapped"))
+    if any(c.state == "error" for c in out):
+        return out
+
+    def lacking(option: str, wanted: list[str | None]) -> list[str]:
+        table = options.get(option)
+        return [w for w in wanted if w and isinstance(table, DataFrame) and w not in table.columns]
+
+    renamed = {"resident_id": options.get("key"), "lon": options.get("x"), "lat": options.get("y")}
+    for option, wanted in READS.get(name, {}).items():
+        if found := lacking(option, [renamed.get(w) or w for w in wanted]):
+            out.append(Check("error", f"{option} lacks {', '.join(found)}"))
+    if name in ("push_master", "import_feed"):
+        for option, key in (("source", "source_key"), ("target", "target_key")):
+            if found := lacking(option, [options.get(key)]):
+                out.append(Check("error", f"{option} lacks {', '.join(found)}"))
+    if columns:
+        source, target = ("source", "target") if "source" in options else ("sheets", "master")
+        if found := lacking(source, list(columns)):
+            out.append(Check("error", f"{source} lacks mapped columns: {', '.join(found)}"))
+        if isinstance(columns, Mapping) and (found := lacking(target, list(columns.values()))):
+            out.append(Check("warning", f"{target} gets new columns: {', '.join(found)}"))
     return out or [Check("ok", "ready")]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import values as V
 from ..operators import headers as H
 
 FORMATS = ("csv", "json", "parquet", "orc")
@@ -96,3 +97,29 @@ def settings(rows: Mapping[str, str] | list[tuple[str, str]]) -> dict[str, str]:
     """Keys and values of a settings table; placeholder rows, in round brackets, are left out."""
     pairs = rows.items() if isinstance(rows, Mapping) else rows
     return {str(k).strip(): str(v or "").strip() for k, v in pairs if k and not str(k).strip().startswith("(")}
+
+
+def choose(spark: SparkSession, folder: str, sheet: str = "") -> tuple[str, str]:
+    """(sheet, path) of a named entry, or of the first one if no name is given."""
+    found = files(spark, folder)
+    wanted = [x for x in found if x[0] == sheet.strip()] if sheet.strip() else found[:1]
+    if not wanted:
+        raise ValueError(f"no sheet {sheet!r} in {folder}")
+    return wanted[0]
+
+
+def metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """sheet, path, ordinal, bytes of a folder's entries."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = [(name, path, k, fs.getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(path)).getLength()) for k, (name, path) in enumerate(files(spark, folder))]
+    return spark.createDataFrame(rows, "sheet string, path string, ordinal int, bytes bigint")
+
+
+def report_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A report's rows without those that only hold a message: at most one filled cell, and a first one that is blank, says that
+    something was skipped, or that none was found."""
+    first = V.text(F.col(columns[0]))
+    filled = sum((F.when(F.col(c).isNotNull() & (F.col(c) != ""), 1).otherwise(0) for c in columns), F.lit(0))
+    message = (first == "") | first.rlike(r"(?i)^no .*found\.?$") | first.rlike("(?i)skipped")
+    return rows.filter(~((filled <= 1) & message))

@@ -243,3 +243,132 @@ def test_unmatched_verdicts_and_numbers(spark):
     assert cells(pull.verdicts(m, s), "identity", "verdict", "matched_id") == [("q", "name under another id", "R2"), ("r1", "id in another spelling", "R-1"), ("z", "not on the master", "")]
     _, new = pull.pull_folder(m, s, {"resident_name": "resident_name"})
     assert cells(new, "src_row", "resident_id") == [(10, "r1"), (11, "q"), (12, "z")]
+
+
+def test_a_pull_is_applied_and_undone_once(spark, tmp_path):
+    """Through the ledger: nulls come back, padded ids are found, a run is applied once, lost cells are an error."""
+    path = f"file://{tmp_path}/master"
+    kinds = "src_row int, resident_id string, phone string, damage string"
+    spark.createDataFrame([(2, " 1 ", None, "x"), (3, "2", "7", ""), (4, "3", "8", "z")], kinds).write.parquet(path)
+    before = spark.read.parquet(path)
+    sheets = spark.createDataFrame([("A", 2, "1", "555", ""), ("B", 2, "1", "556", ""), ("B", 3, "2", "666", "Z"), ("B", 4, "9", "1", "")], SHEET)
+    plan = pull.pull_changes(before, sheets, {"phone": "phone", "damage": "damage"}, {"phone": "overwrite"}, "fill_blank")
+    plan = spark.createDataFrame(plan.collect(), plan.schema)  # as approved: it doesn't follow the table
+    assert plan.filter("will_write").count() == 4
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    sinks.apply_plan(ledger, "r1", before, plan, path, "resident_id", "a", "a", by_sheet=False)
+    after = spark.read.parquet(path)
+    assert cells(after, "src_row", "phone", "damage") == [(2, "555", "x"), (3, "666", "Z"), (4, "8", "z")]
+    with pytest.raises(ValueError, match="already"):
+        sinks.apply_plan(ledger, "r1", after, plan, path, "resident_id", "a", "a", by_sheet=False)
+    lost = plan.withColumn("identity", F.when(F.col("identity") == "2", "77").otherwise(F.col("identity")))
+    with pytest.raises(ValueError, match="no row or column"):
+        sinks.apply_plan(ledger, "r2", after, lost, path, "resident_id", "a", "a", by_sheet=False)
+    assert ledger.read("log").filter("type = 'skip' and message like 'an earlier row%'").count() == 1
+    sinks.undo(ledger, "r1", after, path, "resident_id", "src_row")
+    assert cells(spark.read.parquet(path), "src_row", "phone", "damage") == [(2, None, "x"), (3, "7", ""), (4, "8", "z")]
+    assert ledger.open_snapshots("r1").count() == 0
+
+
+def test_undo_counts_only_what_it_takes_back(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    spark.createDataFrame([("M", 2, "1", "", ""), ("M", 3, "2", "", "")], SHEET).write.parquet(path)
+    source = spark.createDataFrame([(2, "1", "5"), (3, "2", "6")], "src_row int, resident_id string, phone string")
+    before = spark.read.parquet(path)
+    plan = fill.plan(before, source, "resident_id", "resident_id", {"phone": "phone"}, "src_row")
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    sinks.apply_plan(ledger, "r", before, plan, path, "resident_id", "", "", store=sinks.publish)
+    edited = sinks.current(spark, path).withColumn("phone", F.when(F.col("resident_id") == "2", "edited").otherwise(F.col("phone")))
+    sinks.undo(ledger, "r", edited, path, "resident_id", "sheet_row", store=sinks.publish)
+    assert cells(sinks.current(spark, path), "resident_id", "phone") == [("1", ""), ("2", "edited")]
+    assert ledger.open_snapshots("r").count() == 1
+
+
+def test_rows_are_moved_and_moved_back(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    shape = "sheet string, sheet_row int, resident_id string, zone string, phone string"
+    spark.createDataFrame([("A", 2, "1", "A", "5"), ("A", 3, "2", "A", "6")], shape).write.parquet(a)
+    spark.createDataFrame([("B", 2, "9", "B", "7")], shape).write.parquet(b)
+    source, destination = spark.read.parquet(a), spark.read.parquet(b)
+    ids = spark.createDataFrame([(1, "2"), (2, "2"), (3, "")], "proposal_id int, identity string")
+    plan = live.moves(source, destination, ids, {"zone": "B", "sheet": "B"})
+    plan = spark.createDataFrame(plan.collect(), plan.schema)
+    rows = live.deletes(source, plan.filter("action = 'move'").select("proposal_id", "identity"), order="sheet_row")
+    sinks.apply_rows(ledger, "m-to", destination, plan, b, "resident_id", "sheet_row")
+    sinks.apply_rows(ledger, "m-from", source, rows, a, "resident_id", "sheet_row")
+    assert cells(spark.read.parquet(a), "resident_id", "sheet_row") == [("1", 2)]
+    assert cells(spark.read.parquet(b), "sheet", "resident_id", "zone", "sheet_row", "phone") == [("B", "2", "B", 3, "6"), ("B", "9", "B", 2, "7")]
+    sinks.undo(ledger, "m-to", spark.read.parquet(b), b, "resident_id", "sheet_row")
+    sinks.undo(ledger, "m-from", spark.read.parquet(a), a, "resident_id", "sheet_row")
+    assert cells(spark.read.parquet(a), "resident_id", "phone") == [("1", "5"), ("2", "6")]
+    assert cells(spark.read.parquet(b), "resident_id") == [("9",)]
+    assert ledger.open_snapshots("m-to").count() == ledger.open_snapshots("m-from").count() == 0
+
+
+def test_conflicts_are_applied_and_resolved(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    path = f"file://{tmp_path}/master"
+    spark.createDataFrame([(2, "1", "5"), (3, "2", "6")], "src_row int, resident_id string, phone string").write.parquet(path)
+    logged = spark.createDataFrame([("r", "s", "1", "phone", "5", "55", "open", 1), ("r", "s", "2", "phone", "old", "66", "open", 1), ("r", "s", "3", "phone", "", "77", "open", 1)], "run_id string, sheet string, identity string, column string, existing string, incoming string, status string, seq bigint")
+    ledger.append("conflicts", logged)
+    done = sinks.apply_conflicts(ledger, "c1", spark.read.parquet(path), ledger.open_conflicts(), path, "resident_id", "src_row")
+    assert cells(done, "identity", "type") == [("1", "overwrite"), ("2", "conflict"), ("3", "skip")]
+    assert cells(spark.read.parquet(path), "resident_id", "phone") == [("1", "55"), ("2", "6")]
+    assert cells(ledger.open_conflicts(), "identity") == [("2",), ("3",)]
+    ledger.resolve(ledger.open_conflicts().filter("identity = '3'"), "dismissed")
+    assert cells(ledger.open_conflicts(), "identity") == [("2",)]
+    sinks.undo(ledger, "c1", spark.read.parquet(path), path, "resident_id", "src_row")
+    assert cells(spark.read.parquet(path), "resident_id", "phone") == [("1", "5"), ("2", "6")]
+
+
+def test_settings_and_reports(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.seed({"a": "1", "b": "2"}) and not ledger.seed({"c": "3"})
+    ledger.put("a", "9")
+    ledger.put("b", None)
+    assert cells(ledger.settings(), "name", "value") == [("a", "9")]
+    folder = f"file://{tmp_path}/reports"
+    for n in (1, 2):
+        sinks.report_with_latest({"overview": spark.range(n)}, folder)
+    assert sinks.latest_report(spark, folder, "overview").count() == 2
+    sinks.capture({"x": spark.range(3)}, f"file://{tmp_path}/json")
+    assert spark.read.json(f"file://{tmp_path}/json/x").count() == 3
+    for name in ("b", "A"):
+        (tmp_path / "sheets").mkdir(exist_ok=True)
+        (tmp_path / "sheets" / f"{name}.csv").write_text("h\n1\n")
+    sheets = f"file://{tmp_path}/sheets"
+    assert grids.choose(spark, sheets)[0] == "A" and grids.choose(spark, sheets, " b ")[0] == "b"
+    with pytest.raises(ValueError):
+        grids.choose(spark, sheets, "c")
+    assert [(r["sheet"], r["bytes"]) for r in grids.metadata(spark, sheets).orderBy("ordinal").collect()] == [("A", 4), ("b", 4)]
+
+
+def test_headers_of_zones_and_settings_of_fields():
+    fields = [H.Field("Latitude", ("lat",)), H.Field("NC Name", ("Captain",)), H.Field("resident_id")]
+    assert H.zone_fields(["Resident ID", "LAT", "captain", "Phone"], fields) == {"lat": "LAT", "lon": None, "zone": None, "contact_name": "captain", "contact_phone": None, "contact_email": None, "id": "Resident ID", "name": None}
+    assert H.schema_names([("a", "b"), ("c", ""), ("x", "b"), ("", "")]) == ["b", "c"]
+    from gridwise.operators import impact
+    from gridwise.plans.config import Config
+
+    c = Config([H.Field("b"), H.Field("A")], {"w": {"b": "x"}}, {"w": {"b": "never"}}, ["b"])
+    c.put(H.Field("b", ("bee",)))
+    assert [f.name for f in c.alphabetical()] == ["A", "b"] and c.fields[0].aliases == ("bee",)
+    assert c.remove("b") and not c.remove("b") and c.mappings == {"w": {}} and c.sensitive == []
+    assert impact.sentence({"filled": 1200, "conflicts": 1, "skipped": 0}, {"filled": "cell", "conflicts": "conflict", "skipped": "skip"}) == "1,200 cells and 1 conflict"
+    assert impact.listed([]) == "nothing" and impact.listed(["a", "b", "c"]) == "a, b and c"
+
+
+def test_readiness_reads_headers(spark):
+    m = spark.createDataFrame([("1", "z")], "resident_id string, zone string")
+    assert [c.message for c in workflows.readiness("push_missing", {"master": m, "sheets": m.drop("zone")})] == ["sheets lacks zone"]
+    got = workflows.readiness("import_feed", {"target": m, "source": m, "columns": {"zone": "new", "gone": "zone"}, "source_key": "resident_id", "target_key": "nothing"})
+    assert [(c.state, c.message) for c in got] == [("error", "target lacks nothing"), ("error", "source lacks mapped columns: gone"), ("warning", "target gets new columns: new")]
+    assert workflows.readiness("pull_to_master", {"master": m, "sheets": m, "columns": {"zone": "zone"}})[0].state == "ok"
+
+
+def test_a_grid_cell_follows_the_zones(spark):
+    z = spark.createDataFrame([(0, "A", [[ring((0, 0), (1e6, 0), (1e6, 1e6), (0, 1e6))]]), (1, "B", [[ring((1e6, 0), (2e6, 0), (2e6, 1e6), (1e6, 1e6))]])], f"ordinal int, zone string, geometry {zones.GEOMETRY}")
+    assert zones.cell_of(zones.with_box(z)) == 5e5
+    p = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.5e6, 10.0), (3, 3e6, 1.0)], "k int, lon double, lat double")
+    assert cells(zones.first_hit(p, z, "k").select("k", "z.zone"), "k", "zone") == [(1, "A"), (2, "B")]
