@@ -29,7 +29,7 @@ from .content_store import with_end
 SIZE = 4096
 END_ID = 2
 #: Tasks whose open sequences go to one.
-MERGED = 32
+MERGED = 8
 SCHEMA = "sequence_id bigint, offset bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, by_rule boolean"
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "by_rule")
 
