@@ -51,10 +51,14 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of every node of ``edges`` (a, b: bigint); loops count for nothing."""
+    """node, label (the least node of its component) of every node of ``edges`` (a, b: bigint); loops count for nothing.
+
+    A written table, which the caller may drop."""
     now = scratch.table(_pointed(edges), "edges")
     while not _settled(now):
         now, old = scratch.table(_small(_large(now)), "edges"), now
         scratch.drop(old)
     roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label")))
+    out = scratch.table(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label"))), "labels")
+    scratch.drop(now)
+    return out

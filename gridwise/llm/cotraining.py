@@ -224,6 +224,7 @@ def _confident(every: DataFrame, model: Model, taken: list[set[int]], most: tupl
     sure = scratch.table(free.mapInArrow(best, "view int, good int, doc_id bigint, rank double"), "confident")
     tops = [sure.filter((F.col("view") == k) & (F.col("good") == good)).groupBy("view", "good", "doc_id").agg(F.min("rank").alias("rank")).orderBy("rank", "doc_id").limit(most[good]) for k in (0, 1) for good in (0, 1)]
     top = [(r["view"], r["good"], r["doc_id"]) for x in tops for r in x.collect()]  # about 2 * PER_ROUND rows
+    scratch.drop(sure)
     ids = every.sparkSession.createDataFrame(top, "view int, good int, doc_id bigint")
     return free.join(F.broadcast(ids), "doc_id").dropDuplicates(["view", "doc_id"]).toPandas().sort_values(["view", "good", "doc_id"])
 
@@ -255,7 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", names: tupl
     every = scratch.table(features.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1))), "features")
     rows = every.filter("label >= 0").dropDuplicates(["doc_id"]).toPandas()
     values = {c: sorted(str(r[0]) for r in every.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES).collect()) for c in names}
-    return Model(rows, every, values, length)
+    model = Model(rows, every, values, length)
+    scratch.drop(every)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:

@@ -198,8 +198,8 @@ def _verify(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "doc_id", "item_id", "n_matched", "item_words", "doc_start", "doc_end"])
 
 
-def _found(plain: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """key, and the columns of SCHEMA. ``plain``: key (a hash of doc_id and text), id, text."""
+def _found(plain: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key and the columns of SCHEMA, tables that it reads). ``plain``: key (a hash of doc_id and text), id, text."""
     items = _items(benchmark)
     asked = scratch.table(items.select("item", "words").mapInArrow(_item_windows, WINDOW).withColumnsRenamed({"key": "item", "at": "item_at", "run": "item_run"}), "item-windows")
     bits = sieve.make(asked, "h")
@@ -210,11 +210,11 @@ def _found(plain: DataFrame, benchmark: DataFrame) -> DataFrame:
     lo, hi = F.col("at") - F.col("item_at") - F.col("item_run") + 1, F.col("at") + F.col("run") - 1 - F.col("item_at")
     pairs = probes.join(dealt, ["h", "salt"]).groupBy("key", "item").agg(F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("lays"))
     named = pairs.join(items, "item").groupBy("key", F.pmod("item", F.lit(ITEM_GROUPS)).alias("g")).agg(F.collect_list(F.struct("item_id", "words", "lays")).alias("items"))
-    named = scratch.table(named.drop("g"), "hits")
-    scratch.drop(asked, probes)
-    near = plain.filter(sieve.may_have(sieve.make(named, "key"), F.col("key")))
-    rows = near.join(named.hint("merge"), "key").select("key", "id", "text", "items")
-    return rows.mapInArrow(_verify, f"key bigint, {SCHEMA}")
+    hits = scratch.table(named.drop("g"), "hits")
+    scratch.drop(asked, probes, items)
+    near = plain.filter(sieve.may_have(sieve.make(hits, "key"), F.col("key")))
+    rows = near.join(hits.hint("merge"), "key").select("key", "id", "text", "items")
+    return rows.mapInArrow(_verify, f"key bigint, {SCHEMA}"), [hits]
 
 
 def _plain(docs: DataFrame) -> list:
@@ -223,12 +223,14 @@ def _plain(docs: DataFrame) -> list:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each contaminated document and item, with the stretch of the document's words (from 0)."""
-    return _found(docs.select(*_plain(docs)), benchmark).drop("key")
+    return _found(docs.select(*_plain(docs)), benchmark)[0].drop("key")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with all their columns. Only those that share a sieve's bit are shuffled."""
-    bad = scratch.table(_found(docs.select(*_plain(docs)), benchmark).select(F.col("key").alias("bad"), F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    found, read = _found(docs.select(*_plain(docs)), benchmark)
+    bad = scratch.table(found.select(F.col("key").alias("bad"), F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    scratch.drop(*read)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_plain(docs)[:2])
     marked = marked.withColumn("near", sieve.may_have(sieve.make(bad, "bad"), F.col("key")))
     left = marked.filter("near").join(bad.hint("merge"), (F.col("key") == F.col("bad")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti")

@@ -75,15 +75,18 @@ def _pack(bits: int):
     return run
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest) of all rows; (digest, class_id, links, copies, class) of all texts."""
+def _classes(docs: DataFrame, with_rows: bool) -> tuple[DataFrame | None, DataFrame]:
+    """(doc_id, digest) of all rows, if asked for; (digest, class_id, links, copies, class) of all texts. Written tables."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = scratch.table(plain.mapInArrow(_sign, "doc_id bigint, digest binary, weight bigint, bands binary"), "signed")
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("weight").alias("weight"), F.max("bands").alias("bands"))
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
     packed = nodes.filter("bands is not null").select("node", "bands").mapInArrow(_pack(minhash.part_bits(docs.sparkSession)), minhash.PACKED)
-    coarse = minhash.candidates(packed).withColumnRenamed("label", "comp")
-    wanted = scratch.table(nodes.join(coarse, "node").select("node", "comp", "weight", "digest", "doc_id"), "wanted")
+    rows = scratch.table(signed.select("doc_id", "digest"), "rows") if with_rows else None
+    scratch.drop(signed)
+    coarse = minhash.candidates(packed)
+    wanted = scratch.table(nodes.join(coarse, "node").select("node", F.col("label").alias("comp"), "weight", "digest", "doc_id"), "wanted")
+    scratch.drop(coarse)
     bodies = plain.select(F.col("doc_id").alias("_d"), F.unhex(F.md5("text")).alias("_h"), "text")
     # Both lists that texts are joined with grow with the input: never broadcast.
     found = bodies.join(wanted.hint("merge"), (F.col("_h") == F.col("digest")) & F.col("_d").eqNullSafe(F.col("doc_id")))
@@ -92,18 +95,20 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = nodes.select("node", "digest", "doc_id", "copies").join(counts, "node", "left").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     first = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     texts = named.join(first, "class").select("digest", "class", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "copies")
-    return signed.select("doc_id", "digest"), scratch.table(texts, "classes")
+    texts = scratch.table(texts, "classes")
+    scratch.drop(nodes, wanted, counts, labels)
+    return rows, texts
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links (different texts that it is linked to), n_copies (other rows with its text): a row per document."""
-    rows, texts = _classes(docs)
+    rows, texts = _classes(docs, True)
     return rows.join(texts, "digest").select("doc_id", "class_id", F.col("links").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without the others of each class: that of least doc_id stays (of rows equal in doc_id, the least digest)."""
-    _, texts = _classes(docs)
+    _, texts = _classes(docs, False)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("digest"), F.col("doc_id").cast("bigint").alias("key"))
     rows = marked.groupBy("digest", "key").agg(F.count("*").alias("n")).join(texts.select("digest", "class"), "digest")
     rows = scratch.table(rows, "members")

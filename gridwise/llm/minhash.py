@@ -132,7 +132,7 @@ def _stars(batches):
 
 
 def candidates(packed: DataFrame) -> DataFrame:
-    """node, comp: the coarse component of each node that shares a band with another."""
+    """node, label: the coarse component of each node that shares a band with another. A written table."""
     return components(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_stars, "a bigint, b bigint"))
 
 
@@ -214,7 +214,7 @@ def links(members: DataFrame, shingles: Callable, threshold: float, most: int =
     """(node, links: how many it has; node, label: its component over links). ``members``: node, comp, weight, text.
 
     ``shingles`` gives keys and begins for bytes and offsets; ``weight`` is the number of keys. Nodes without a link are in
-    neither table.
+    neither table. Both are written tables, which the caller may drop.
     """
     size = members.groupBy("comp").agg(F.sum("weight").alias("w"))
     cut = size.filter(F.col("w") > most).select("comp", F.ceil(F.col("w") / most).cast("int").alias("k"))
@@ -224,5 +224,7 @@ def links(members: DataFrame, shingles: Callable, threshold: float, most: int =
     paired = paired.select("comp", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "node", "chunk", "text")
     dealt = paired.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node")
     found = scratch.table(dealt.mapInArrow(_compare(shingles, threshold), "node bigint, links bigint, near bigint"), "links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    return counts, components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    counts = scratch.table(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
+    labels = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    scratch.drop(found)
+    return counts, labels
