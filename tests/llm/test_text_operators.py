@@ -406,6 +406,49 @@ def test_cotraining_learns_from_all_unlabelled_documents(spark):
     assert model.pages.values["source"] == ["common", "last", "rare"]
 
 
+def test_cotraining_rejects_toxic_documents(spark):
+    r = random.Random(10)
+    rows_ = []
+    for k in range(600):
+        t = prose(r, r.randint(30, 120))
+        if k % 5 == 0:
+            words = t.split(" ")
+            for _ in range(4):
+                words[r.randrange(len(words))] = r.choice(["Vilest", "vermin", "wretch"])
+            t = " ".join(words)
+        rows_.append((k, t, "en", f"src{k % 3}", len(t), "a", k))
+    rows_ += [(k, junk(r), "en", "src1", 50, "a", k) for k in range(600, 750)] + [(None, None, None, None, None, None, None), (900, "", "en", "x", 0, "a", 1)]
+    docs = frame(spark, rows_)
+    known = [(k, int(k < 600), int(k < 600 and k % 5 == 0)) for k in range(750) if k % 2] + [(3, None, None), (None, 1, 1)]
+    labels = spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")
+    got = {x["doc_id"]: x for x in cotraining.classify(docs, labels).collect()}
+    toxic = [got[k] for k in range(0, 600, 10)]
+    clean = [got[k] for k in range(0, 600, 2) if k % 5]
+    assert sum(not x["kept"] for x in toxic) / len(toxic) > 0.9
+    assert sum(x["kept"] for x in clean) / len(clean) > 0.97
+    assert all(x["kept"] == (x["score"] >= 0.5 and x["toxic_score"] < 0.5) for x in got.values())
+    assert {x["doc_id"] for x in cotraining.keep(docs, labels).collect()} == {k for k, x in got.items() if x["kept"]}
+    # Without the second column of labels nothing counts as toxic.
+    assert all(x["toxic_score"] == 0 for x in cotraining.classify(docs, labels.drop("toxic")).collect())
+
+
+def test_cotraining_fits_the_same_threshold_on_a_sample_of_labels(spark):
+    r = random.Random(11)
+    docs = frame(spark, [(k, prose(r, 20) if k % 10 else junk(r), "en", "s", 9, "a", k) for k in range(1000)])
+    labels = spark.createDataFrame([(k, int(k % 10 > 0)) for k in range(1000)], "doc_id bigint, quality int")
+    every, some = ({x["doc_id"]: x["kept"] for x in cotraining.classify(docs, labels, labelled=n).collect()} for n in (4000, 160))
+    assert sum(every[k] == some[k] for k in every) / len(every) > 0.98
+
+
+def test_cotraining_query_on_held_out_toxic_labels(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = cotraining.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.filter("doc_id % 4 > 0")).join(labels.filter("doc_id % 4 = 0"), "doc_id").collect()
+    toxic, clean = ([x["kept"] for x in got if x["toxic"] == t and x["quality"] == 1] for t in (1, 0))
+    assert sum(toxic) / len(toxic) < 0.3
+    assert sum(clean) / len(clean) > 0.97
+
+
 def test_cotraining_query_on_held_out_labels(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
