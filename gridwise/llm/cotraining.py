@@ -23,6 +23,7 @@ both classes every document is kept with the score 1.0, and toxic with the score
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ ROUNDS, PER_ROUND = 5, 200
 VALUES, SHARED = 256, 32
 THRESHOLD = 0.5
 BUCKETS = 64
+#: Rows of the table of features that a task scores at once.
+PIECE = 2048
 #: Words of a target that the text view looks for, and labelled documents that hold such a word at least.
 TELLING, LEAST_DOCS = 128, 5
 #: Least chi-square of such a word; about 1 of 10,000 words without any tie exceeds it.
@@ -206,22 +209,23 @@ def _numbers(rows: pd.DataFrame, telling: np.ndarray) -> np.ndarray:
     return np.column_stack([np.array(rows["x"].tolist(), float), _bits(list(rows["w"]), telling)])
 
 
-def _read(batch: pa.RecordBatch, telling: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
-    """Text features and the other columns of a batch of the table of features."""
-    x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False)
-    bits = _bits(batch.column(batch.schema.get_field_index("w")).to_pylist(), telling)
-    return np.column_stack([x.reshape(batch.num_rows, -1), bits]), batch.select([c for c in batch.schema.names if c not in ("x", "w")]).to_pandas()
+def _read(batches, telling: np.ndarray):
+    """Text features and the other columns of the table of features, ``PIECE`` rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, PIECE):
+            batch = whole.slice(at, PIECE)
+            x = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False)
+            bits = _bits(batch.column(batch.schema.get_field_index("w")).to_pylist(), telling)
+            yield np.column_stack([x.reshape(batch.num_rows, -1), bits]), batch.select([c for c in batch.schema.names if c not in ("x", "w")]).to_pandas()
 
 
 def _moments(every: DataFrame, pages: Pages, telling: np.ndarray) -> list[Scaler]:
     """Scalers of both views by all documents."""
 
     def add(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, rows = _read(batch, telling)
-                for k, v in enumerate((x, pages(rows))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(v.shape[1], k), pa.int32()), pa.array(np.arange(v.shape[1]), pa.int32()), pa.array(np.full(v.shape[1], float(len(v)))), pa.array(v.sum(0)), pa.array((v**2).sum(0))], ["view", "at", "n", "s", "q"])
+        for x, rows in _read(batches, telling):
+            for k, v in enumerate((x, pages(rows))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(v.shape[1], k), pa.int32()), pa.array(np.arange(v.shape[1]), pa.int32()), pa.array(np.full(v.shape[1], float(len(v)))), pa.array(v.sum(0)), pa.array((v**2).sum(0))], ["view", "at", "n", "s", "q"])
 
     got = every.mapInArrow(add, "view int, at int, n double, s double, q double").groupBy("view", "at").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas().sort_values("at")  # a row for each feature
     out = []
@@ -238,10 +242,7 @@ def _confident(every: DataFrame, model: Model, taken: list[set[int]], most: tupl
 
     def best(batches):
         found = {(k, good): pd.DataFrame({"doc_id": np.zeros(0, np.int64), "rank": np.zeros(0)}) for k in (0, 1) for good in (0, 1)}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, rows = _read(batch, model.telling)
+        for x, rows in _read(batches, model.telling):
             ids = rows["doc_id"].to_numpy(np.int64)
             for k, v in enumerate(model.scaled(x, rows)):
                 z = model.views[k](v)
@@ -255,7 +256,7 @@ def _confident(every: DataFrame, model: Model, taken: list[set[int]], most: tupl
 
     sure = scratch.table(free.mapInArrow(best, "view int, good int, doc_id bigint, rank double"), "confident")
     tops = [sure.filter((F.col("view") == k) & (F.col("good") == good)).groupBy("view", "good", "doc_id").agg(F.min("rank").alias("rank")).orderBy("rank", "doc_id").limit(most[good]) for k in (0, 1) for good in (0, 1)]
-    top = [(r["view"], r["good"], r["doc_id"]) for x in tops for r in x.collect()]  # about 2 * PER_ROUND rows
+    top = [(r["view"], r["good"], r["doc_id"]) for r in reduce(DataFrame.unionByName, tops).collect()]  # about 2 * PER_ROUND rows
     scratch.drop(sure)
     ids = every.sparkSession.createDataFrame(top, "view int, good int, doc_id bigint")
     return free.join(F.broadcast(ids), "doc_id").dropDuplicates(["view", "doc_id"]).toPandas().sort_values(["view", "good", "doc_id"])
