@@ -88,6 +88,24 @@ def op9_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bin_completion
+
+    return bin_completion.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import turn_repair
+
+    return turn_repair.digests(turn_repair.damaged(table(spark, sf_dir, "conversations")), table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join,
@@ -100,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_fuzzy_line_dedup,
         op9_cotraining_quality,
         op10_sum_of_squares_packing,
+        op11_bin_completion,
+        op12_importance_resampling,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
