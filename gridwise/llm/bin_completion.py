@@ -9,8 +9,8 @@ are numbered where they were written (task by task, then the tasks' counts are a
 fillings around it, those of least waste first, each applied as often as the counts allow, and once. A branch is pruned when the
 waste so far exceeds what a better packing may waste, or when its bins and the lower bound of what is left reach the incumbent.
 Incumbents are best-fit-decreasing solutions of what is left at a node; the search ends when one meets the lower bound.
-Without a limit it is exact (the tests let it run); production gives up after ``NODES`` nodes with the best incumbent, which is never worse
-than best-fit decreasing. The limit bounds the search's time and drops nothing.
+Without limits it is exact (the tests let it run); production looks at ``TRIED`` fillings a node and gives up after ``NODES`` nodes with the best incumbent, which is never worse
+than best-fit decreasing. The limits bound the search's time and memory and drop nothing.
 
 Defined results: a null text is empty (one piece, the end id); null and repeated doc_ids are packed as they come; a doc_id that
 isn't an integer is an error; an empty table gives no pieces; other columns are not read.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ NODES = 10_000
 #: Where many lengths are left, so many levels go by between two bounds and incumbents; the bound by waste is taken at each.
 EVERY = 64
 #: Fillings of one node that are tried.
-BRANCHES = 16
+BRANCHES = 4
+#: Multisets of one node that are looked at.
+TRIED = 64
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, part int, number bigint, ids binary"
 #: Bits of a sequence's number within a length's key.
@@ -116,12 +119,15 @@ def best_fit(counts: dict[int, int], size: int) -> Packing:
     return out
 
 
-def fillings(counts: dict[int, int], room: int) -> Iterator[Filling]:
-    """Undominated multisets of at most ``room`` in all, those of least waste first.
+def fillings(counts: dict[int, int], room: int, tried: int | None = None) -> Iterator[Filling]:
+    """Undominated multisets of at most ``room`` in all, those of least waste first; with ``tried`` only those among as many multisets.
 
     Sums that the lengths from some place on can reach are bit sets, so no path of the enumeration is in vain. A filling is
     dominated if lengths in it can be swapped for one, not in it, that is at least as long as they are together and still fits.
     """
+    if counts.get(room):
+        yield (room,)  # all others go into it
+        return
     lengths = sorted((x for x in counts if x <= room), reverse=True)
     mask = (1 << (room + 1)) - 1
     reach = [1]
@@ -154,6 +160,10 @@ def fillings(counts: dict[int, int], room: int) -> Iterator[Filling]:
     for total in range(room, -1, -1):
         if reach[0] >> total & 1:
             for filling in exact(0, total):
+                if tried is not None:
+                    if not tried:
+                        return
+                    tried -= 1
                 if not _dominated(filling, counts, ascending, room - total):
                     yield filling
 
@@ -176,7 +186,7 @@ def _dominated(filling: Filling, counts: dict[int, int], ascending: list[int], s
     return False
 
 
-def solve(counts: dict[int, int], size: int = SIZE, nodes: int | None = NODES, branches: int | None = BRANCHES) -> Packing:
+def solve(counts: dict[int, int], size: int = SIZE, nodes: int | None = NODES, branches: int | None = BRANCHES, tried: int | None = TRIED) -> Packing:
     """Fillings, and how often each is used, that hold exactly ``counts`` (length: number)."""
     if any(x < 1 or x > size for x in counts):
         raise ValueError(f"lengths must be from 1 to {size}")
@@ -187,21 +197,21 @@ def solve(counts: dict[int, int], size: int = SIZE, nodes: int | None = NODES, b
     if most == least:
         return best
 
-    def opened(left: dict[int, int]) -> Iterator[tuple[Filling, int]]:
+    def opened() -> Iterator[tuple[Filling, int]]:
+        """The branches of what is left now; only they are held while the search is below, not what they were found with."""
         top = max(left)
         rest = {x: c - (x == top) for x, c in left.items() if c - (x == top)}
-        for k, filling in enumerate(fillings(rest, size - top)):
-            if k == branches:
-                return
+        found = []
+        for filling in islice(fillings(rest, size - top, tried), branches):
             whole = (top, *filling)
             n = min(left[x] // whole.count(x) for x in set(whole))
-            yield whole, n
-            if n > 1:
-                yield whole, 1
+            found += [(whole, n), (whole, 1)][: 1 + (n > 1)]
+        return iter(found)
 
     chosen: Packing = []
-    left, used, waste, seen = dict(counts), 0, 0, 0
-    stack = [opened(left)]
+    left = dict(counts)
+    used = waste = seen = 0
+    stack = [opened()]
     while stack:
         step = next(stack[-1], None)
         if step is None:
@@ -231,7 +241,7 @@ def solve(counts: dict[int, int], size: int = SIZE, nodes: int | None = NODES, b
                 open_ = used + lower_bound(left, size) < most
         if most == least or (nodes is not None and seen >= nodes):
             return best
-        stack.append(opened(dict(left)) if left and open_ else iter(()))
+        stack.append(opened() if left and open_ else iter(()))
     return best
 
 

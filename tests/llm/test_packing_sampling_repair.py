@@ -61,7 +61,7 @@ def test_search_is_exact_on_small_instances():
     for _ in range(400):
         size = r.choice([10, 20, 30, 60])
         counts = Counter(r.randint(1, size) if r.random() < 0.3 else r.randint(max(1, size // 6), size // 2 + 1) for _ in range(r.randint(0, 13)))
-        packing, first = (f(dict(counts), size, *more) for f, more in ((bin_completion.solve, (None, None)), (bin_completion.best_fit, ())))
+        packing, first = (f(dict(counts), size, *more) for f, more in ((bin_completion.solve, (None, None, None)), (bin_completion.best_fit, ())))
         assert held(packing, size) == counts == held(first, size)
         least = fewest(list(counts.elements()), size)
         assert bin_completion.lower_bound(counts, size) <= bin_completion.bins(packing) == least
