@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import values as V
+from ..sources import working
 from . import audit, fill, guard, keyed
 
 
@@ -71,15 +72,17 @@ def pull_folder(master: DataFrame, sheets: DataFrame, columns: Mapping[str, str]
 def numbered(new: DataFrame, target: DataFrame, order: str, by: tuple[str, ...] = ("sheet", "sheet_row")) -> DataFrame:
     """New rows with the row numbers (``order``) that follow the target's last.
 
-    Numbers are counted up part by part: rows are ranked within range parts, and each part starts after those before it.
+    A prefix sum in two phases: range parts are sorted and written once, each row with its part and its place there; a part starts
+    after those before it. Places and sizes are read from the same written table, so no new deal of rows can part them.
     """
     last = target.agg(F.coalesce(F.max(order), F.lit(1)).cast("long")).first()[0]
-    parts = new.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
-    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
-    sizes = ranked.groupBy("_part").agg(F.max("_rank").alias("_n"))
+    # The id holds the part in its upper bits and the place in the part in the lower 33.
+    sorted_ = new.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    written = working.table(sorted_, "numbered").withColumn("_part", F.shiftright("_at", 33))
+    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row a part
-    out = ranked.join(F.broadcast(starts), "_part")
-    return out.withColumn(order, F.lit(last) + F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    out = written.join(F.broadcast(starts), "_part")
+    return out.withColumn(order, F.lit(last) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_before")
 
 
 def verdicts(master: DataFrame, sheets: DataFrame, key: str = "resident_id", name: str = "resident_name") -> DataFrame:

@@ -1,8 +1,9 @@
 """Zones: points in polygons, and what the polygons say about a roster.
 
 A zone is an ordinal, a multipolygon (polygons of rings of points; the first ring is the shell, others are holes), and
-properties. Points are binned into the cells of a grid and joined with the cells that zones' boxes touch, so the join is an
-equi-join at any scale; the exact ray cast follows. A zone with a huge box is cut by the grid, too.
+properties. Boxes lie in a grid of many levels: each at the level whose cells are as wide as its longer side, where it touches
+four cells at most, however the sizes of zones differ. Points are looked up at each level in use, so the join is an equi-join
+at any scale; the exact ray cast follows. :func:`prepared` gives polygons of very many vertices an index of their edges.
 """
 
 from __future__ import annotations
@@ -74,19 +75,91 @@ def cell_of(boxed: DataFrame) -> float:
     return typical / 2 if typical and typical > 0 else 1.0
 
 
+#: The finest level of the grid: cells of 2 ** -30.
+FINEST = -30
+
+
+def with_level(boxed: DataFrame, cell: float | None = None) -> DataFrame:
+    """``level``: cells are 2 ** level wide, no narrower than the box's longer side, 2 ** FINEST and ``cell``."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(cell or 0.0), F.lit(2.0**FINEST))
+    return boxed.withColumn("level", F.ceil(F.log2(side)).cast("int"))
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level))
+
+
+def cells(boxed: DataFrame) -> DataFrame:
+    """A row for each cell (_cx, _cy at ``level``) that a box touches: two in each direction at most."""
+    wide = boxed.withColumn("_cx", F.explode(F.array_distinct(F.array(_cell(F.col("x0"), F.col("level")), _cell(F.col("x1"), F.col("level"))))))
+    return wide.withColumn("_cy", F.explode(F.array_distinct(F.array(_cell(F.col("y0"), F.col("level")), _cell(F.col("y1"), F.col("level"))))))
+
+
 def hits(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat", cell: float | None = None) -> DataFrame:
-    """All pairs of a point and a zone that holds it: the points' columns and ``z`` (the zone's)."""
-    boxed = with_box(zones)
-    cell = cell or cell_of(boxed)
-    z = boxed.select(F.struct(*zones.columns).alias("z"), "x0", "y0", "x1", "y1")
-
-    def cells(a: str, b: str) -> Column:
-        return F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-
-    binned = z.withColumn("_cx", F.explode(cells("x0", "x1"))).withColumn("_cy", F.explode(cells("y0", "y1")))
-    p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_cx": F.floor(F.col(x) / cell), "_cy": F.floor(F.col(y) / cell)})
-    near = p.join(binned, ["_cx", "_cy"]).filter(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
-    return near.filter(in_multipolygon(F.col("z.geometry"), F.col(x), F.col(y))).select(*points.columns, "z")
+    """All pairs of a point and a zone that holds it: the points' columns and ``z`` (the zone's). ``cell``: width of the finest cells."""
+    boxed = with_level(with_box(zones), cell)
+    z = boxed.select(F.struct(*zones.columns).alias("z"), "x0", "y0", "x1", "y1", "level")
+    levels = boxed.agg(F.collect_set("level").alias("levels")).scalar()  # as many as widths differ by powers of two
+    p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("level", F.explode(levels))
+    p = p.withColumns({"_cx": _cell(F.col(x), F.col("level")), "_cy": _cell(F.col(y), F.col("level"))})
+    near = p.join(cells(z), ["level", "_cx", "_cy"]).filter(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1")))
+    inside = in_strips(F.col("z.strips"), F.col("z.low"), F.col("z.high"), F.col(x), F.col(y)) if "strips" in zones.columns else in_multipolygon(F.col("z.geometry"), F.col(x), F.col(y))
+    return near.filter(inside).select(*points.columns, "z")
+
+
+def prepared(zones: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """The zones with an index of their edges (``strips``, ``low``, ``high``) for :func:`hits`; ``ordinal`` tells zones apart.
+
+    The height of a zone is halved again and again into strips, down to about one strip an edge; the strips of all levels are
+    numbered as in a heap (1; 2, 3; 4 to 7). An edge lies at the deepest level whose strips are no lower than itself, in two strips at
+    most, so the index grows with the edges, and a point reads one strip a level instead of all edges. An edge is stored
+    as (polygon, ring, ax, ay, bx, by); those along the horizontal cross no ray and are left out.
+    """
+    rings = zones.select("ordinal", F.posexplode(geometry).alias("polygon", "p")).select("ordinal", "polygon", F.posexplode("p").alias("ring", "r"))
+    around = F.zip_with("r", F.concat(F.slice("r", F.size("r"), F.lit(1)), F.slice("r", F.lit(1), F.greatest(F.size("r") - 1, F.lit(0)))), lambda b, a: F.struct(b.alias("a"), a.alias("b")))
+    ends = rings.filter(F.size("r") > 0).select("ordinal", "polygon", "ring", F.explode(around).alias("e"))
+    edges = ends.select("ordinal", F.struct("polygon", "ring", F.col("e.a")[0].alias("ax"), F.col("e.a")[1].alias("ay"), F.col("e.b")[0].alias("bx"), F.col("e.b")[1].alias("by")).alias("edge"))
+    edges = edges.withColumns({"_low": F.least("edge.ay", "edge.by"), "_high": F.greatest("edge.ay", "edge.by")})
+    spans = edges.groupBy("ordinal").agg(F.min("_low").alias("low"), F.max("_high").alias("high"), F.ceil(F.log2(F.count("*"))).cast("int").alias("depth"))
+    placed = edges.filter("_low < _high").join(spans, "ordinal")
+    share = (F.col("_high") - F.col("_low")) / (F.col("high") - F.col("low"))
+    placed = placed.withColumn("at", F.least("depth", F.floor(-F.log2(share)).cast("int")))
+    touched = F.array_distinct(F.array(*[_strip(F.col(c), F.col("low"), F.col("high"), F.col("at")) for c in ("_low", "_high")]))
+    held = placed.select("ordinal", F.explode(touched).alias("slot"), "edge")
+    # Every slot has a row, so that a slot's number is its place in the array.
+    empty = spans.select("ordinal", F.explode(F.sequence(F.lit(1), _power(F.col("depth") + 1) - 1)).alias("slot"))
+    slots = held.unionByName(empty, allowMissingColumns=True).groupBy("ordinal", "slot").agg(F.collect_list("edge").alias("edges"))
+    index = slots.groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "edges"))), lambda s: s["edges"]).alias("strips"))
+    return zones.join(index.join(spans.select("ordinal", "low", "high"), "ordinal"), "ordinal", "left").select(*zones.columns, "strips", "low", "high")
+
+
+def _power(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level).cast("int")
+
+
+def _strip(y: Column, low: Column, high: Column, level: Column) -> Column:
+    """The number of the strip of a level that y lies in."""
+    n = _power(level)
+    return n + F.least(F.greatest(F.floor((y - low) / (high - low) * n).cast("int"), F.lit(0)), n - 1)
+
+
+def in_strips(strips: Column, low: Column, high: Column, x: Column, y: Column) -> Column:
+    """What :func:`in_multipolygon` says, from the edges of the strips that y lies in."""
+
+    def crosses(e: Column) -> Column:
+        dy = F.when(e["by"] - e["ay"] == 0, 1e-12).otherwise(e["by"] - e["ay"])
+        return ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / dy + e["ax"])
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.size(strips))).cast("int"))
+    crossed = F.flatten(F.transform(levels, lambda k: F.filter(F.element_at(strips, _strip(y, low, high, k)), crosses)))
+
+    def odd(edges: Column) -> Column:
+        """Rings (polygon, ring) that are crossed an odd number of times."""
+        rings = F.transform(edges, lambda e: F.struct(e["polygon"].alias("polygon"), e["ring"].alias("ring")))
+        return F.filter(F.array_distinct(rings), lambda r: F.size(F.filter(rings, lambda s: s == r)) % 2 == 1)
+
+    inside = odd(crossed)
+    return F.coalesce((low < high) & (y >= low) & (y <= high) & F.exists(inside, lambda r: (r["ring"] == 0) & ~F.exists(inside, lambda h: (h["polygon"] == r["polygon"]) & (h["ring"] > 0))), F.lit(False))
 
 
 def first_hit(points: DataFrame, zones: DataFrame, key: str, x: str = "lon", y: str = "lat", cell: float | None = None) -> DataFrame:
