@@ -190,6 +190,19 @@ def _check_chunks(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], ["digest", "crc", "good"])
 
 
+def _cut_up(batches):
+    """row, digest and the bytes of ids that follow (zeros) of each chunk in recipes (row, chunks)."""
+    for batch in batches:
+        chunks = batch.column(1)
+        if isinstance(chunks, pa.ChunkedArray):
+            chunks = chunks.combine_chunks()
+        each = chunks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = chunks.flatten()
+        upto = np.cumsum(flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(each) - 1  # a recipe has a chunk at least
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(each)), each))), flat.field("digest"), pa.array(4 * (np.repeat(upto[ends], each) - upto))], ["row", "digest", "zeros"])
+
+
 def _shift(batches):
     for batch in batches:
         crc, zeros = batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_numpy()
@@ -248,8 +261,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "width", "data").mapInArrow(_check_chunks, "digest binary, crc bigint, good boolean")
     row = (F.col("part").cast("bigint") * F.lit(1 << 40) + F.col("index")).alias("row")
-    after = F.expr("transform(chunks, (c, i) -> struct(c.digest as digest, aggregate(slice(chunks, i + 2, size(chunks)), 0L, (a, x) -> a + 4L * x.n) as zeros))")
-    parts = recipes.select(row, F.explode(after).alias("c")).select("row", "c.digest", "c.zeros")
+    parts = recipes.select(row, "chunks").mapInArrow(_cut_up, "row bigint, digest binary, zeros bigint")
     joined = parts.join(chunks, "digest", "left").select("row", "crc", "zeros", F.coalesce("good", F.lit(False)).alias("good"))
     whole = joined.mapInArrow(_shift, "row bigint, crc bigint, good boolean").groupBy("row").agg(F.bit_xor("crc").alias("ids_crc32"), F.count_if(~F.col("good")).alias("bad"), F.count("*").alias("n_chunks"))
     rows = recipes.select(row, "doc_id", "n_tokens", "part", "before").join(F.broadcast(starts(recipes)), "part")  # a row per part file

@@ -3,13 +3,16 @@
 The folder is ``spark.checkpoint.dir``. Where that is unset, a local session (tests, a laptop) gets a temporary folder, and
 a cluster an error, since its executors share no local folder. A written table cuts lineage and survives lost executors,
 and Parquet keeps column pruning, which a checkpoint lacks. Operators drop the tables that no later plan reads; those that
-a result still reads stay until :func:`clear`.
+a result still reads stay until :func:`clear`. Shuffle files go as soon as the table that they were for is written.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +34,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Executions in this block leave no shuffle files; the written table replaces them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it again."""
     path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -42,7 +58,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def extend(df: DataFrame, more: DataFrame) -> None:
     """Append rows to a table that :func:`table` wrote; :func:`again` reads it with them."""
-    more.select(*df.columns).write.mode("append").option("compression", "zstd").parquet(df._scratch)
+    with tidy(df.sparkSession):
+        more.select(*df.columns).write.mode("append").option("compression", "zstd").parquet(df._scratch)
 
 
 def again(df: DataFrame) -> DataFrame:
@@ -62,9 +79,14 @@ def drop(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._scratch)
 
 
+def prefix(spark: SparkSession) -> str:
+    """How the names of this application's bucketed tables in the catalog begin."""
+    return "gridwise_scratch_" + re.sub("[^a-z0-9]", "_", spark.sparkContext.applicationId.lower()) + "_"
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application wrote; results that still read them are lost."""
     for row in spark.catalog.listTables():
-        if row.name.startswith("gridwise_scratch_"):
+        if row.name.startswith(prefix(spark)):
             spark.sql(f"drop table {row.name}")
     _delete(spark, root(spark))

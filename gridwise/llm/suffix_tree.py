@@ -271,8 +271,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
 
     def bucketed(df: DataFrame, kind: str) -> DataFrame:
         """Written by block, so that a join by block shuffles nothing."""
-        name = f"gridwise_scratch_{kind}_{uuid.uuid4().hex[:12]}"
-        df.write.bucketBy(buckets, "block").option("path", scratch.folder(spark, kind)).option("compression", "zstd").saveAsTable(name)
+        name = f"{scratch.prefix(spark)}{kind}_{uuid.uuid4().hex[:12]}"
+        with scratch.tidy(spark):
+            df.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch.folder(spark, kind)).option("compression", "zstd").saveAsTable(name)
         return spark.table(name)
 
     blocks = bucketed(chosen.mapInArrow(_encode, BLOCK), "blocks")
@@ -283,7 +284,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
         """The blocks, each with all answers so far."""
         every = blocks
         for level, x in answers.items():
-            every = every.join(x.select("block", F.col("told").alias(f"told{level}")).hint("shuffle_hash"), "block", "left")
+            every = every.join(x.select("block", F.col("told").alias(f"told{level}")).hint("merge"), "block", "left")
         return every
 
     def ask(level: int, n: int = 0) -> None:
