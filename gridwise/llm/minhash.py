@@ -177,13 +177,36 @@ def distinct_sets(keys: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[new], np.searchsorted(own[new], np.arange(len(begin)))
 
 
+#: Rows, and bytes of text, of the groups that are split into n-grams together.
+GATHERED_ROWS, GATHERED_BYTES = 4096, 4 << 20
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole groups (comp, i, j), several at once: their rows, and where each group begins; a large group comes alone."""
+    held: list[pa.RecordBatch] = []
+    at, size = [0], 0
+    for rows in groups(batches, 3):
+        own = sum(r.nbytes for r in rows)
+        if held and (at[-1] >= GATHERED_ROWS or size + own > GATHERED_BYTES):
+            yield pa.Table.from_batches(held).combine_chunks(), at
+            held, at, size = [], [0], 0
+        held += rows
+        at.append(at[-1] + sum(r.num_rows for r in rows))
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), at
+
+
 def _compare(shingles: Callable, threshold: float):
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(rows).combine_chunks()
-        node, side = whole["node"].to_numpy(), whole["chunk"].to_numpy()
-        across = whole["i"][0].as_py() != whole["j"][0].as_py()
-        buf, offsets = text.flat(whole["text"])
-        sets = distinct_sets(*shingles(buf, offsets))
+    def group(node: np.ndarray, side: np.ndarray, across: bool, sets: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(places of the nodes with links, how many they have, the least place that each is joined with)."""
+        if len(node) == 2:
+            # Most groups: one pair, whose sets are sorted and without repeats.
+            x, y = sets[0][: sets[1][1]], sets[0][sets[1][1] :]
+            both = len(x) + len(y) - len(np.unique(sets[0]))
+            if both >= threshold * (len(x) + len(y) - both) - 1e-9 and both and not (across and side[0] == side[1]):
+                return np.arange(2), np.ones(2, np.int64), [0, 0]
+            return np.arange(0), np.zeros(0, np.int64), []
         root = list(range(len(node)))
 
         def find(x: int) -> int:
@@ -201,11 +224,21 @@ def _compare(shingles: Callable, threshold: float):
                     root[max(r, at)] = min(r, at)
                     at = min(r, at)
         hit = np.flatnonzero(count)
-        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit]), pa.array(node[[find(x) for x in hit.tolist()]], pa.int64())], ["node", "links", "near"])
+        return hit, count[hit], [find(x) for x in hit.tolist()]
 
     def run(batches):
-        for rows in groups(batches, 3):
-            yield block(rows)
+        for whole, at in _gathered(batches):
+            node, side = whole["node"].to_numpy(), whole["chunk"].to_numpy()
+            across = whole["i"].to_numpy() != whole["j"].to_numpy()
+            keys, begin = distinct_sets(*shingles(*text.flat(whole["text"])))
+            nodes, counts, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(at, at[1:], strict=False):
+                if b - a > 1:
+                    hit, links, least = group(node[a:b], side[a:b], bool(across[a]), (keys[begin[a] : begin[b]], begin[a : b + 1] - begin[a]))
+                    nodes.append(node[a:b][hit])
+                    counts.append(links)
+                    near.append(node[a:b][least])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (nodes, counts, near)], ["node", "links", "near"])
 
     return run
 

@@ -37,7 +37,7 @@ from . import minhash, scratch, text
 DEPTH = 3
 MIN_CONTEXT, MIN_NEXT, MIN_DIVERGENCE, MU = 32, 4, 0.05, 1.0
 HELD_OUT, FOLDS = 2, 7
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 3 << 20
 
 END = np.uint64(0x5EED0FE2D0C5AB1E)
 BLOCK = "block bigint, ids array<bigint>, held binary, first binary, codes binary, words binary"
