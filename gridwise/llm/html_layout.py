@@ -3,9 +3,10 @@
 A tree builder reads tags and adds those that HTML implies (ends of paragraphs, items, cells and rows; rows and cells that
 a table lacks; ends of what is still open), and a renderer writes what its open elements make visible: blocks on lines of
 their own, a blank line around paragraphs, headings, lists and tables, list items with markers and indents, preformatted
-text as it stands, and table cells padded so that columns align. A line of more than WIDEST characters in a cell moves only
-what follows it in its own row, and columns that begin beyond WIDEST_TABLE aren't padded, so padding stays in proportion to
-the page. Both work on explicit stacks, so depth is no limit.
+text as it stands, and table cells padded so that columns align. ``Limits`` keep padding in proportion to the page: a line of more than
+``widest`` characters in a cell moves only what follows it in its own row, columns that begin beyond ``widest_table`` aren't
+padded, and items and quotes are indented by ``deepest`` characters at most; with ``EXACT`` limits all padding is
+drawn, however much that is. Both work on explicit stacks, so depth is no limit.
 
 Invisible: head, title, script, style, template, noscript, comments, elements with ``hidden``, ``display: none``, and,
 unless something inside is ``visible``, ``visibility: hidden``. Style sheets aren't applied. No visible text is dropped.
@@ -33,6 +34,7 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote figure for
 BLOCK = SPACED | frozenset(
     "html body div section article aside nav header footer main address center details summary dialog figcaption hgroup legend li dt dd tr caption option optgroup search textarea".split()
 )
+LISTS = frozenset("ol ul menu dir".split())
 #: What an open p doesn't outlast.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split()
@@ -56,8 +58,6 @@ IMPLIED = {
 #: An end tag doesn't reach past these.
 BARRIERS = frozenset("table td th caption".split())
 MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
-#: Characters of a cell, and of the columns before one, for which others are padded.
-WIDEST, WIDEST_TABLE = 100, 400
 
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -68,11 +68,57 @@ _VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)")
 _PRE = re.compile(r"white-space\s*:\s*(pre|pre-wrap|break-spaces|pre-line)\b")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Characters of a cell's line, and of the columns before a cell, for which others are padded; and of an indent. None: no limit."""
+
+    widest: int | None = 100
+    widest_table: int | None = 400
+    deepest: int | None = 40
+
+
+EXACT = Limits(None, None, None)
+
+
+@dataclass
+class Group:
+    """Lines and groups behind a marker, which stands before the first line; the others are indented by its width."""
+
+    marker: str
+    items: list[str | Group]
+
+
+def flat(items: list[str | Group], deepest: int | None) -> list[str]:
+    """The lines of all groups; each line is put together once, however deep it lies."""
+    out: list[str] = []
+    # What is left at each depth, its indent, and what stands before its first line (None once that was written).
+    stack: list[list] = [[iter(items), 0, None]]
+    while stack:
+        top = stack[-1]
+        x = next(top[0], None)
+        if x is None:
+            stack.pop()
+            continue
+        before, top[2] = top[2], None
+        if isinstance(x, str):
+            out.append(("".join(before) if before is not None else " " * top[1]) + x if x else "")
+            continue
+        indent = top[1] + len(x.marker)
+        indent = indent if deepest is None else min(indent, deepest)
+        before = before if before is not None else [" " * top[1]]
+        if len(before) == 1 and not x.marker.strip():
+            before = [" " * indent]
+        else:
+            before.append(x.marker)
+        stack.append([iter(x.items), indent, before])
+    return out
+
+
 class Canvas:
     """Lines of text that grow downwards; blank lines and spaces are only written before what follows them."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list[str | Group] = []
         self.now: list[str] = []
         self.space = False
         self.blank = False
@@ -124,14 +170,14 @@ class Canvas:
         self.line()
         self.blank = True
 
-    def put(self, lines: list[str]) -> None:
-        """Whole lines."""
+    def put(self, lines: list[str | Group]) -> None:
+        """Whole lines and groups of lines."""
         self.line()
         if lines:
             self._begin()
             self.lines += lines
 
-    def done(self) -> list[str]:
+    def done(self) -> list[str | Group]:
         self.line()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
@@ -144,56 +190,56 @@ class Table:
 
     rows: list[dict[int, tuple[int, list[str]]]] = field(default_factory=list)
     taken: dict[int, int] = field(default_factory=dict)  # column -> rows that a cell above still takes
+    pending: dict[int, int] = field(default_factory=dict)  # the same from this row's cells, which hold from the next row on
     above: list[str] = field(default_factory=list)
+    free: int = 0  # the column after this row's last cell
 
     def row(self) -> None:
         if self.rows:
             self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
         self.rows.append({})
+        self.free = 0
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
-        at, row = 0, self.rows[-1]
-        if row:
-            last = max(row)
-            at = last + row[last][0]
-        while at in self.taken and at not in row:
+        at = self.free
+        while at in self.taken:
             at += 1
-        row[at] = (across, lines)
+        self.rows[-1][at] = (across, lines)
+        self.free = at + across
         if down > 1:
-            self.pending = getattr(self, "pending", {})
             for c in range(at, at + across):
                 self.pending[c] = down
 
     def end_row(self) -> None:
-        for c, n in getattr(self, "pending", {}).items():
-            self.taken[c] = n
+        self.taken.update(self.pending)
         self.pending = {}
 
-    def lines(self) -> list[str]:
+    def lines(self, limits: Limits) -> list[str]:
         width: dict[int, int] = {}
         for row in self.rows:
             for c, (across, lines) in row.items():
                 if across == 1:
-                    width[c] = max(width.get(c, 0), max((len(x) for x in lines if len(x) <= WIDEST), default=0))
+                    width[c] = max(width.get(c, 0), max((len(x) for x in lines if limits.widest is None or len(x) <= limits.widest), default=0))
                 else:
                     width.setdefault(c, 0)
-        columns = sorted(width)
         start, at = {}, 0
-        for c in columns:
-            start[c] = at if at <= WIDEST_TABLE else 0
+        for c in sorted(width):
+            start[c] = at if limits.widest_table is None or at <= limits.widest_table else 0
             at += width[c] + 2 if width[c] else 0
         out = list(self.above)
         for row in self.rows:
-            high = max((len(lines) for _, lines in row.values()), default=0)
-            for k in range(high):
-                line = ""
-                for c in sorted(row):
-                    lines = row[c][1]
-                    if k < len(lines) and lines[k]:
-                        if line and len(line) + 2 > start[c]:
-                            line += "  "
-                        line = line.ljust(start[c]) + lines[k]
-                out.append(line.rstrip())
+            left = [(start[c], row[c][1]) for c in sorted(row) if row[c][1]]
+            k = 0
+            while left:
+                parts, size = [], 0
+                for begin, lines in left:
+                    if lines[k]:
+                        pad = max(begin - size, 2 if size else 0)
+                        parts += [" " * pad, lines[k]]
+                        size += pad + len(lines[k])
+                out.append("".join(parts).rstrip())
+                k += 1
+                left = [x for x in left if len(x[1]) > k]
         return out
 
 
@@ -220,8 +266,10 @@ def _number(value: str | None, least: int, most: int, otherwise: int) -> int:
 class Page:
     """Open elements, and what they have written."""
 
-    def __init__(self) -> None:
+    def __init__(self, limits: Limits = Limits()) -> None:
+        self.limits = limits
         self.root = Canvas()
+        self.lists: list[Element] = []  # open ones
         self.open = [Element("", True, True, False)]
         self.canvases = [self.root]
         self.tables: list[Table] = []
@@ -262,7 +310,7 @@ class Page:
     def close(self) -> str:
         while len(self.open) > 1:
             self._pop()
-        return "\n".join(self.root.done())
+        return "\n".join(flat(self.root.done(), self.limits.deepest))
 
     def _near(self, name: str, stop: str) -> bool:
         for e in reversed(self.open):
@@ -295,6 +343,9 @@ class Page:
         e = Element(name, shown, exists, up.pre or name in ("pre", "textarea", "xmp") or bool(_PRE.search(style)))
         self.open.append(e)
         self.held[name] = self.held.get(name, 0) + 1
+        around = self.lists[-1] if self.lists else None
+        if name in LISTS:
+            self.lists.append(e)
         if name in BARRIERS:
             e.paragraphs, self.held["p"] = self.held.get("p", 0), 0
         if not exists:
@@ -302,15 +353,14 @@ class Page:
         canvas = self.canvases[-1]
         if name == "br":
             canvas.newline()
-        elif name in SPACED and not (name in ("ul", "ol", "menu", "dir") and self.held.get("li")):
+        elif name in SPACED and not (name in LISTS and self.held.get("li")):
             canvas.gap()
         elif name in BLOCK or (display and display[1] in ("block", "list-item", "flex", "grid", "table")):
             canvas.line()
-        if name in ("ol", "ul", "menu", "dir"):
+        if name in LISTS:
             e.step = -1 if "reversed" in attributes else 1
             e.number = _number(attributes.get("start"), -(10**9), 10**9, 1)
         elif name == "li":
-            around = next((x for x in reversed(self.open[:-1]) if x.name in ("ol", "ul", "menu", "dir")), None)
             if around is not None and around.name == "ol":
                 around.number = _number(attributes.get("value"), -(10**9), 10**9, around.number)
                 e.marker = f"{around.number}. "
@@ -333,6 +383,8 @@ class Page:
     def _pop(self) -> None:
         e = self.open.pop()
         self.held[e.name] -= 1
+        if e.name in LISTS:
+            self.lists.pop()
         if e.name in BARRIERS:
             self.held["p"] = e.paragraphs
         if not e.exists:
@@ -341,20 +393,18 @@ class Page:
             lines = self.canvases.pop().done()
             canvas = self.canvases[-1]
             if e.name in ("td", "th"):
-                self.tables[-1].cell(lines, *e.span)
+                self.tables[-1].cell(flat(lines, self.limits.deepest), *e.span)
             elif e.name == "caption":
-                self.tables[-1].above += lines
+                self.tables[-1].above += flat(lines, self.limits.deepest)
             elif lines:
-                first = e.marker if e.marker.strip() else " " * len(e.marker)
-                rest = " " * len(e.marker)
-                canvas.put([(first if k == 0 else rest) + x if x else "" for k, x in enumerate(lines)])
+                canvas.put([Group(e.marker, lines)])
         canvas = self.canvases[-1]
         if e.name == "tr" and self.tables:
             self.tables[-1].end_row()
         if e.table is not None:
             self.tables.pop()
-            canvas.put(e.table.lines())
-        if e.name in SPACED and not (e.name in ("ul", "ol", "menu", "dir") and self.held.get("li")):
+            canvas.put(e.table.lines(self.limits))
+        if e.name in SPACED and not (e.name in LISTS and self.held.get("li")):
             canvas.gap()
         elif e.name in BLOCK:
             canvas.line()
@@ -385,9 +435,9 @@ def _tag_end(page: str, at: int, missing: set[str]) -> int:
     return -1
 
 
-def render(page: str) -> str:
+def render(page: str, limits: Limits = Limits()) -> str:
     """The visible text of a page."""
-    out, at, size, missing = Page(), 0, len(page), set()
+    out, at, size, missing = Page(limits), 0, len(page), set()
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -431,14 +481,14 @@ def render(page: str) -> str:
     return out.close()
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", body: str = "html") -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", body: str = "html", limits: Limits = Limits()) -> DataFrame:
     """page_id, text: the layout of each page's visible text."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = [None if x is None else render(x) for x in part.column(1).to_pylist()]
+                texts = [None if x is None else render(x, limits) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
 
     return pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(body).cast("string").alias("html")).mapInArrow(run, "page_id bigint, text string")
