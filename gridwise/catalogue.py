@@ -19,7 +19,6 @@ SQL: dict[str, str] = {}
 TEXTS = [None, "", " ", "TRUE", "false", "007", "1.50", "-0", "1e5", "13/45/2024", "2024-13-45", "3/4/2021", " x ", "Abc", "+5", ".5", "12345678", "0.1", "-2.750", "100000"]
 LABELS = [None, "", "Fill Blank", "fill-blank-only", " REPLACE ", "overwrite", "log only", "Conflict", "ignore", "never", "whatever"]
 HEADERS = [None, "", "Resident ID", "resident_id", "NC  Name*", "_SitusHouseNo", "Größe", "Phone #2"]
-ADDRESSES = [("12", "n", "Main st.", "", "town", "ca", "90001-1234"), ("12", "NORTH", "main  STREET", "", "Town", "CA", "90001"), ("", "", "", "", "", "", ""), ("7", "", "Oak Park Ave", "#2", "x", "ca", "9"), ("7-Feb", "sw", "Elm Blvd", "1/2", "y", "CA", "")]
 COLUMNS = {"phone": "phone", "damage": "damage", "email": "email", "apn": "apn"}
 RULES = {"phone": "fill_blank", "damage": "overwrite", "email": "conflict", "apn": "never"}
 MASTER_HEADERS = ["zone", "resident_id", "resident_name", "apn", "house", "street", "phone", "damage", "email", "lat", "lon"]
@@ -46,6 +45,31 @@ def rows_of(values: list, name: str = "x") -> str:
     return " union all ".join(f"select {k} as k, {literal(v)} as {name}" for k, v in enumerate(values))
 
 
+# What people type into cells, from an order's own values.
+_DAY = [f"cast({part}(o_orderdate) as varchar(40))" for part in ("month", "day", "year")]
+_LATE = ["cast(month(o_orderdate) + 5 as varchar(40))", "cast(day(o_orderdate) + 20 as varchar(40))", _DAY[2]]
+TYPED = [
+    *(f"concat({m}, '/', {d}, '/', {y})" for m, d, y in (_DAY, _LATE)), *(f"concat({y}, '-', {m}, '-', {d})" for m, d, y in (_DAY, _LATE)),
+    "cast(30000 + o_custkey as varchar(40))", "concat(cast(30000 + o_custkey as varchar(40)), '.75')", "cast(cast(floor(o_totalprice) as bigint) as varchar(40))", "concat('-', cast(o_custkey as varchar(40)), '.50')",
+    "concat('  ', o_orderstatus, ' ')", "o_orderpriority", "concat(o_orderstatus, '  — ', o_orderpriority)", "concat('1,', cast(o_custkey as varchar(40)))",
+]
+
+
+def picked(values: list, by: str = "o_orderkey", name: str = "x", typed: list[str] = TYPED) -> str:
+    """One of some texts, or of the typed ones, for each order."""
+    every = [*map(literal, values), *typed]
+    return f"case {by} % {len(every)} " + " ".join(f"when {k} then {e}" for k, e in enumerate(every)) + f" end as {name}"
+
+
+def cells(values: list, typed: list[str] = TYPED) -> str:
+    """A cell for each order: one of some texts, or one made from the order's values."""
+    return f"select o_orderkey as k, {picked(values, typed=typed)} from orders"
+
+
+def of_orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("from orders", f"from parquet.`{sf_dir}/orders.parquet`"))
+
+
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return fixtures.view(spark, sf_dir, name)
 
@@ -111,45 +135,44 @@ CTE = fixtures.ctes
 
 
 # Values, guard, headers.
-@query(f"select k, {sql_key('x')} as cmp_key from ({rows_of(TEXTS)}) t")
+@query(f"select k, {sql_key('x')} as cmp_key from ({cells(TEXTS)}) t")
 def values_cmp_key(spark, sf_dir):
-    return spark.sql(rows_of(TEXTS)).select("k", V.key(F.col("x")).alias("cmp_key"))
+    return of_orders(spark, sf_dir, cells(TEXTS)).select("k", V.key(F.col("x")).alias("cmp_key"))
 
 
-@query(f"select k, x is null or x = '' as target_blank, x is null or x = '' as source_blank, coalesce({sql_trim('x')}, '') = '' as audit_blank from ({rows_of(TEXTS)}) t")
+@query(f"select k, x is null or x = '' as target_blank, x is null or x = '' as source_blank, coalesce({sql_trim('x')}, '') = '' as audit_blank from ({cells(TEXTS)}) t")
 def blank_rules(spark, sf_dir):
     x = F.col("x")
-    return spark.sql(rows_of(TEXTS)).select("k", V.target_blank(x).alias("target_blank"), V.source_blank(x).alias("source_blank"), V.audit_blank(x).alias("audit_blank"))
+    return of_orders(spark, sf_dir, cells(TEXTS)).select("k", V.target_blank(x).alias("target_blank"), V.source_blank(x).alias("source_blank"), V.audit_blank(x).alias("audit_blank"))
 
 
 _RULES = ["fill_blank", "overwrite", "conflict", "never", "other"]
-_GUARD = f"select p.k * 10000 + t.k * 100 + s.k as k, t.x as target, s.x as source, p.x as policy from ({rows_of(TEXTS)}) t cross join ({rows_of(TEXTS)}) s cross join ({rows_of(_RULES)}) p"
+_GUARD = f"select o_orderkey as k, {picked(TEXTS, name='target')}, {picked(TEXTS, 'o_custkey', 'source')}, {picked(_RULES, '(o_orderkey + o_custkey)', 'policy', [])} from orders"
 
 
 @query(f"select k, {sql_decide('target', 'source', 'policy')} as action, {sql_decide('target', 'source', 'policy', 'reason')} as reason from ({_GUARD}) q")
 def guard_truth_table(spark, sf_dir):
-    cases = spark.range(1).select(F.posexplode(F.array(*map(F.lit, TEXTS))).alias("t", "target"))
-    cases = cases.select("*", F.posexplode(F.array(*map(F.lit, TEXTS))).alias("s", "source")).select("*", F.posexplode(F.array(*map(F.lit, _RULES))).alias("p", "policy"))
+    cases = of_orders(spark, sf_dir, _GUARD)
     v = guard.decide(F.col("target"), F.col("source"), F.col("policy"))
-    return cases.withColumn("v", v).select((F.col("p") * 10000 + F.col("t") * 100 + F.col("s")).alias("k"), "v.action", "v.reason")
+    return cases.withColumn("v", v).select("k", "v.action", "v.reason")
 
 
 @query(f"""select k, case when p in ('fill', 'fill_blank', 'fill_blanks', 'fill_blank_only') then 'fill_blank' when p in ('overwrite', 'replace') then 'overwrite'
   when p in ('conflict', 'log_conflict', 'log_only') then 'conflict' when p in ('never', 'skip', 'ignore') then 'never' else '' end as policy
-  from (select k, regexp_replace(lower({sql_trim("coalesce(x, '')")}), '[\\s-]+', '_', 'g') as p from ({rows_of(LABELS)}) t) q""")
+  from (select k, regexp_replace(lower({sql_trim("coalesce(x, '')")}), '[\\s-]+', '_', 'g') as p from ({cells(LABELS)}) t) q""")
 def policy_normalize(spark, sf_dir):
-    return spark.sql(rows_of(LABELS)).select("k", guard.policy(F.col("x")).alias("policy"))
+    return of_orders(spark, sf_dir, cells(LABELS)).select("k", guard.policy(F.col("x")).alias("policy"))
 
 
-@query(f"select k, regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]', '', 'g') as header from ({rows_of(HEADERS)}) t")
+@query(f"select k, regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]', '', 'g') as header from ({cells(HEADERS)}) t")
 def header_normalize(spark, sf_dir):
-    return spark.sql(rows_of(HEADERS)).select("k", V.normal_key(F.col("x")).alias("header"))
+    return of_orders(spark, sf_dir, cells(HEADERS)).select("k", V.normal_key(F.col("x")).alias("header"))
 
 
-@query("""select i, concat(case when i >= 702 then chr(cast(65 + ((i // 26 - 1) // 26 - 1) % 26 as int)) else '' end, case when i >= 26 then chr(cast(65 + (i // 26 - 1) % 26 as int)) else '' end, chr(cast(65 + i % 26 as int))) as letter
-  from range(0, 1500) t(i)""")
+@query("""select k, concat(case when i >= 702 then chr(cast(65 + ((i // 26 - 1) // 26 - 1) % 26 as int)) else '' end, case when i >= 26 then chr(cast(65 + (i // 26 - 1) % 26 as int)) else '' end, chr(cast(65 + i % 26 as int))) as letter
+  from (select o_orderkey as k, o_orderkey % 18000 as i from orders) t""")
 def column_letter(spark, sf_dir):
-    return spark.range(1500).select(F.col("id").alias("i"), V.column_letter(F.col("id")).alias("letter"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), V.column_letter(F.col("o_orderkey") % 18000).alias("letter"))
 
 
 # Lookups and cell fill.
@@ -580,7 +603,12 @@ def _loose(e: str) -> str:
 
 
 _PARTS = ("house", "pre", "street", "unit", "city", "state", "zip")
-_ADDRESS = " union all ".join("select " + f"{k} as k, " + ", ".join(f"{literal(v)} as {n}" for n, v in zip(_PARTS, row, strict=True)) for k, row in enumerate(ADDRESSES))
+# Each order has a place: spellings of one house, direction, street, unit, city, state and code.
+_SPELLED = {
+    "house": ["12", "7-Feb", " 12.", "", "0012"], "pre": ["n", "NORTH", "sw", "", "South West", "east"], "street": ["Main st.", "main  STREET", "Oak Park Ave", "Elm Blvd", "", "Broadway", "n. 5th ln"],
+    "unit": ["", "#2", "1/2"], "city": ["town", "Town ", "x", ""], "state": ["ca", "CA", ""], "zip": ["90001-1234", "90001", "9", "", "90001-12"],
+}
+_ADDRESS = "select o_orderkey as k, " + ", ".join(picked(v, f"(o_orderkey + {k} * o_custkey)", n, []) for k, (n, v) in enumerate(_SPELLED.items())) + " from orders"
 
 
 def _case(e: str, values: dict[str, str]) -> str:
@@ -593,7 +621,7 @@ _ZIP = f"case when regexp_full_match(trim(zip), '\\d{{5}}(-\\d{{4}})?') then lef
 
 @query(f"select k, case when concat(house, pre, street, unit, city, state, zip) = '' then '' else concat_ws('|', {_loose('house')}, {_case(_loose('pre'), A.DIRECTIONS)}, {_STREET}, {_loose('unit')}, {_loose('city')}, {_loose('state')}, {_ZIP}) end as address_key from ({_ADDRESS}) t")
 def address_key(spark, sf_dir):
-    return spark.sql(_ADDRESS).select("k", A.composite(*[F.col(c) for c in _PARTS]).alias("address_key"))
+    return of_orders(spark, sf_dir, _ADDRESS).select("k", A.composite(*[F.col(c) for c in _PARTS]).alias("address_key"))
 
 
 @query(CTE("fx_master") + """, g as (select lower(concat(house, ' ', street)) as "key", count(*) as n_rows, min(src_row) as first_row, coalesce(string_agg(distinct apn, ', ' order by apn) filter (apn <> ''), '') as ids, count(distinct apn) filter (apn <> '') as n from fx_master group by lower(concat(house, ' ', street)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import (
     _DOUBLED, _FILL, _FOLDER, _HITS, _IDS, _OVERVIEW, _OWN, _PULL, _PULLED, _PUSH, _RECONCILED, _SUMMARY, _WINS, COLUMNS, CTE, MASTER_HEADERS, NAMES, PLANNED, RULES, _doubled, _edited, _ids, _reconciled,
-    captain, cell_fill_plan, fx, literal, master, polygons, pull_folder_changes, query, rows_of, sql_changes, sql_key, sql_trim, table,
+    captain, cell_fill_plan, fx, literal, cells, master, of_orders, picked, polygons, pull_folder_changes, query, sql_changes, sql_key, sql_trim, table,
 )
 from .functions import values as V
 from .operators import address_ids, audit, fill, impact, ledger, live, pull, schema_ops, zones
@@ -285,48 +285,59 @@ _SWITCHES = ["", "yes", "No", " Y ", "TRUE", "off", "Enabled", "1"]
 _IDS_SHOWN = ["123e4567-e89b-12d3-a456-426614174000", "123E4567-E89B-12D3-A456-426614174000", "123e4567e89b12d3a456426614174000", "", "R1"]
 
 
-@query(f"select k, case when {sql_trim('x')} in ('45000', '45000.75') then '2023-03-15' when {sql_trim('x')} = '3/4/2021' then '2021-03-04' when {sql_trim('x')} = '13/45/2024' then '2025-02-14' when {sql_trim('x')} = '2024-2-30' then '2024-03-01' when {sql_trim('x')} = '1/2/2020' then '2020-01-02' end as d from ({rows_of(_DATES)}) t")
+_US, _ISO = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+
+
+def _rolled(pattern: str, y: int, m: int, d: int) -> str:
+    part = {k: f"cast(regexp_extract(t, '{pattern}', {n}) as int)" for k, n in (("y", y), ("m", m), ("d", d))}
+    return f"when regexp_matches(t, '{pattern}') then cast(make_date({part['y']}, 1, 1) + to_months({part['m']} - 1) + to_days({part['d']} - 1) as date)"
+
+
+@query(f"""select k, cast(case when regexp_full_match(t, '\\d+(\\.\\d+)?') then case when cast(t as double) >= 1 and cast(t as double) <= {V.MOST_SERIAL} then cast(date '{V.EPOCH}' + to_days(cast(floor(cast(t as double)) as int)) as date) end
+  {_rolled(_US, 3, 1, 2)} {_rolled(_ISO, 1, 2, 3)} end as varchar) as d from (select k, {sql_trim('x')} as t from ({cells(_DATES)}) c) q""")
 def dates_of_cells(spark, sf_dir):
-    return spark.sql(rows_of(_DATES)).select("k", V.to_date(F.col("x")).cast("string").alias("d"))
+    return of_orders(spark, sf_dir, cells(_DATES)).select("k", V.to_date(F.col("x")).cast("string").alias("d"))
 
 
-@query(f"select k, case when regexp_full_match({sql_trim('x')}, '[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?') then cast({sql_trim('x')} as double) end as n from ({rows_of(_NUMBERS)}) t")
+@query(f"select k, case when regexp_full_match({sql_trim('x')}, '[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?') then cast({sql_trim('x')} as double) end as n from ({cells(_NUMBERS)}) t")
 def numbers_of_cells(spark, sf_dir):
-    return spark.sql(rows_of(_NUMBERS)).select("k", V.to_number(F.col("x")).alias("n"))
+    return of_orders(spark, sf_dir, cells(_NUMBERS)).select("k", V.to_number(F.col("x")).alias("n"))
 
 
-@query(f"select k, regexp_replace(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from ({rows_of(_DASHES)}) t")
+@query(f"select k, regexp_replace(regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from ({cells(_DASHES)}) t")
 def slugs(spark, sf_dir):
-    return spark.sql(rows_of(_DASHES)).select("k", V.slug(F.col("x")).alias("slug"))
+    return of_orders(spark, sf_dir, cells(_DASHES)).select("k", V.slug(F.col("x")).alias("slug"))
 
 
-@query(f"select k, regexp_full_match(lower(x), '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') as is_id from ({rows_of(_IDS_SHOWN)}) t")
+@query(f"select k, regexp_full_match(lower(coalesce(x, '')), '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') as is_id from ({cells(_IDS_SHOWN)}) t")
 def uuid_shapes(spark, sf_dir):
-    return spark.sql(rows_of(_IDS_SHOWN)).select("k", V.is_uuid(F.col("x")).alias("is_id"))
+    return of_orders(spark, sf_dir, cells(_IDS_SHOWN)).select("k", V.is_uuid(F.col("x")).alias("is_id"))
 
 
-@query(f"select k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(x), '[‐-―]', '-', 'g'), '\\s+', ' ', 'g'), '\\s*-\\s*', '-', 'g'), '[^a-z0-9 -]', '', 'g')) as header from ({rows_of(_DASHES)}) t")
+@query(f"select k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(x, '')), '[‐-―]', '-', 'g'), '\\s+', ' ', 'g'), '\\s*-\\s*', '-', 'g'), '[^a-z0-9 -]', '', 'g')) as header from ({cells(_DASHES)}) t")
 def header_with_dashes(spark, sf_dir):
-    return spark.createDataFrame([(k, H.with_dashes(x)) for k, x in enumerate(_DASHES)], "k int, header string")
+    return of_orders(spark, sf_dir, cells(_DASHES)).select("k", V.with_dashes(F.col("x")).alias("header"))
 
 
-@query(f"select k, lower(trim(x)) in ('', 'yes', 'y', 'true', 'enabled') as is_on from ({rows_of(_SWITCHES)}) t")
+@query(f"select k, lower(trim(coalesce(x, ''))) in ('', 'yes', 'y', 'true', 'enabled') as is_on from ({cells(_SWITCHES)}) t")
 def switches(spark, sf_dir):
-    return spark.createDataFrame([(k, H.yes(x)) for k, x in enumerate(_SWITCHES)], "k int, is_on boolean")
+    return of_orders(spark, sf_dir, cells(_SWITCHES)).select("k", V.is_on(F.col("x")).alias("is_on"))
+
+
+_TABS = "select o_orderkey as k, case o_orderkey % 3 when 0 then '' when 1 then concat(chr(39), o_orderstatus) else concat(o_orderpriority, chr(39), chr(39), 's') end as x from orders"
 
 
-@query(f"select k, concat('''', replace(x, '''', ''''''), '''!A1:B2') as a1 from ({rows_of(['Tab', chr(39) + 's', ''])}) t")
+@query(f"select k, concat(chr(39), replace(x, chr(39), concat(chr(39), chr(39))), chr(39), '!A1:B2') as a1 from ({_TABS}) t")
 def ranges_with_tabs(spark, sf_dir):
-    return spark.createDataFrame([(k, H.a1(x, "A1:B2")) for k, x in enumerate(["Tab", "'s", ""])], "k int, a1 string")
+    return of_orders(spark, sf_dir, _TABS).select("k", V.in_tab(F.col("x"), "A1:B2").alias("a1"))
 
 
-def _pairs(rows: list[tuple[str, str]]) -> str:
-    return " union all ".join(f"select {k} as k, {literal(a)} as a, {literal(b)} as b" for k, (a, b) in enumerate(rows))
+_REPORT = f"select o_orderkey as k, {picked([a for a, _ in _MESSAGES], name='a')}, {picked([b for _, b in _MESSAGES], 'o_custkey', 'b', ['o_orderstatus'])} from orders"
 
 
-@query(f"select k from ({_pairs(_MESSAGES)}) t where not ((a <> '')::int + (b <> '')::int <= 1 and (trim(a) = '' or regexp_matches(trim(a), '(?i)^no .*found\\.?$') or regexp_matches(trim(a), '(?i)skipped')))")
+@query(f"select k from ({_REPORT}) t where not ((a <> '')::int + (b <> '')::int <= 1 and (trim(a) = '' or regexp_matches(trim(a), '(?i)^no .*found\\.?$') or regexp_matches(trim(a), '(?i)skipped')))")
 def report_rows(spark, sf_dir):
-    return grids.report_rows(spark.sql(_pairs(_MESSAGES)).select("a", "b", "k"), ["a", "b"]).select("k")
+    return grids.report_rows(of_orders(spark, sf_dir, _REPORT).select("a", "b", "k"), ["a", "b"]).select("k")
 
 
 @query(CTE("fx_captain") + " select sheet, sheet_row, case when phone <> '' then phone when email <> '' then email else '' end as contact from fx_captain where phone <> '' or email <> ''")

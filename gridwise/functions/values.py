@@ -186,3 +186,20 @@ def is_uuid(c: Column) -> Column:
 def strictly_true(c: Column, kind: str) -> Column:
     """Whether a cell is a boolean true; the text TRUE and the number 1 aren't."""
     return F.coalesce(c, F.lit(False)) if kind == "boolean" else F.lit(False)
+
+
+def with_dashes(c: Column) -> Column:
+    """Lower case with dashes and single spaces kept: dashes of any kind are one, without spaces around."""
+    t = F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), "[\u2010-\u2015]", "-")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\s*-\s*", "-"), "[^a-z0-9 -]", ""))
+
+
+def is_on(c: Column) -> Column:
+    """A switch of a settings table; blank is on."""
+    return F.lower(trim(F.coalesce(c.cast("string"), F.lit("")))).isin("", "yes", "y", "true", "enabled")
+
+
+def in_tab(tab: Column, range_: str) -> Column:
+    """A range with its quoted tab."""
+    quoted = F.concat(F.lit("'"), F.replace(F.coalesce(tab, F.lit("")), F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.concat(quoted, F.lit(f"!{range_}")) if range_ else quoted
