@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import CTE, captain, master, query, table
+from .catalogue import _PULL, _PULLED, CTE, captain, master, pull_plan, query, table
 from .operators import pull, zones
 from .sources import json_grids, working
 
@@ -76,3 +76,12 @@ def json_grid_rows(spark, sf_dir):
 def json_grid_statuses(spark, sf_dir):
     found = json_grids.statuses(json_grids.parsed(spark, _grid_folder(spark, sf_dir)))
     return found.select("error", F.when(F.col("error") != json_grids.NOT_JSON, F.col("sheet")).alias("sheet"), "data_rows")
+
+
+_WORDS = ", ".join(f"cast(sum(cast(concat('0x', substr(h, {8 * k + 1}, 8)) as bigint)) % 4294967296 as varchar)" for k in range(8))
+
+
+@query(f"""{_PULL}, l as (select sheet, sha256(concat(identity, chr(9), "column", chr(9), incoming)) as h from ({_PULLED}) p where will_write)
+  select sheet, count(*) as n, sha256(concat_ws('|', cast(count(*) as varchar), {_WORDS})) as fingerprint from l group by sheet""")
+def pull_multiset_fingerprint(spark, sf_dir):
+    return pull.multiset_fingerprint(pull_plan(spark, sf_dir), "sheet")

@@ -148,10 +148,8 @@ def overview(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> DataFr
     own = [c for c in sheets.columns if c not in ("sheet", "sheet_row")]
     verdicts = {s: status(H.missing(h, n.master_headers), H.missing(n.master_headers, h)) for s, h in n.sheet_headers.items()}
     common = status(H.missing(own, n.master_headers), H.missing(n.master_headers, own))
-    verdict = F.lit(common)
-    for s, v in verdicts.items():
-        verdict = F.when(F.col("sheet") == s, v).otherwise(verdict)
-    return out.withColumn("status", verdict)
+    known = F.create_map(*[F.lit(x) for pair in verdicts.items() for x in pair]) if verdicts else None  # an entry a sheet
+    return out.withColumn("status", F.coalesce(F.try_element_at(known, F.col("sheet")), F.lit(common)) if verdicts else F.lit(common))
 
 
 def summary(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -31,5 +31,11 @@ def with_requested(found: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, zone: str, path: str, fmt: str = "parquet") -> None:
-    """A folder for each zone; rows of one zone are dealt over several files if they are many."""
-    rows.repartition(F.col(zone)).write.partitionBy(zone).mode("overwrite").format(fmt).option("maxRecordsPerFile", 1_000_000).save(path)
+    """A folder for each zone. Rows are dealt by zone, but a zone with many of them is split over several tasks."""
+    rows.hint("rebalance", F.col(zone)).write.partitionBy(zone).mode("overwrite").format(fmt).option("maxRecordsPerFile", 1_000_000).save(path)
+
+
+def written(spark: SparkSession, zone: str, path: str, fmt: str = "parquet") -> DataFrame:
+    """zone, n_rows, n_files of what :func:`write` wrote, from the files."""
+    found = spark.read.format(fmt).load(path).select(F.col(zone).cast("string").alias("zone"), F.col("_metadata.file_path").alias("file"))
+    return found.groupBy("zone", "file").agg(F.count("*").alias("n")).groupBy("zone").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_files"))

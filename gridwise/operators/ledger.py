@@ -6,6 +6,7 @@ before its target changes, so an interrupted run can always be undone.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,19 @@ class Ledger:
         row = self.spark.createDataFrame([(run_id, seq, workflow, status, dry, fingerprint)], "run_id string, seq bigint, workflow string, status string, dry boolean, fingerprint string")
         self.append("runs", row.withColumn("at", F.current_timestamp()))
 
+    def claim(self, run_id: str) -> None:
+        """Take a run for this caller: a file of its name is made, which only one of several callers can do."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{hashlib.sha256(run_id.encode()).hexdigest()}")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(where, False)
+        except Exception as e:
+            if fs.exists(where):
+                raise ValueError(f"run {run_id} was applied already") from e
+            raise
+        out.write(bytearray(run_id.encode()))
+        out.close()
+
     def interrupt(self) -> None:
         """After a restart, runs that hadn't ended are interrupted."""
         open_ = latest(self.read("runs"), "run_id").filter(~F.col("status").isin(*ENDED))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import values as V
 from ..sources import working
@@ -72,17 +71,11 @@ def pull_folder(master: DataFrame, sheets: DataFrame, columns: Mapping[str, str]
 def numbered(new: DataFrame, target: DataFrame, order: str, by: tuple[str, ...] = ("sheet", "sheet_row")) -> DataFrame:
     """New rows with the row numbers (``order``) that follow the target's last.
 
-    A prefix sum in two phases: range parts are sorted and written once, each row with its part and its place there; a part starts
-    after those before it. Places and sizes are read from the same written table, so no new deal of rows can part them.
+    Range parts are sorted and written once, and places are counted up over the parts (:func:`working.placed`).
     """
     last = target.agg(F.coalesce(F.max(order), F.lit(1)).cast("long")).first()[0]
-    # The id holds the part in its upper bits and the place in the part in the lower 33.
-    sorted_ = new.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    written = working.table(sorted_, "numbered").withColumn("_part", F.shiftright("_at", 33))
-    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row a part
-    out = written.join(F.broadcast(starts), "_part")
-    return out.withColumn(order, F.lit(last) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_before")
+    placed = working.placed(new.repartitionByRange(*by).sortWithinPartitions(*by), "_place")
+    return placed.withColumn(order, F.lit(last) + F.col("_place") + 1).drop("_place")
 
 
 def verdicts(master: DataFrame, sheets: DataFrame, key: str = "resident_id", name: str = "resident_name") -> DataFrame:
@@ -109,6 +102,20 @@ def fingerprint(changes: DataFrame, *by: str) -> DataFrame:
     return parts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(whole, "\n"), 256).alias("fingerprint"))
 
 
+def multiset_fingerprint(changes: DataFrame, *by: str) -> DataFrame:
+    """by, n, fingerprint: of a plan's writes as :func:`fingerprint` takes them, by sums that need no order and no list.
+
+    The eight 32-bit words of each line's SHA-256 are added up modulo 2 ** 32, so tasks hold eight numbers a group and pass these
+    on; a line that is changed, added or doubled changes a sum. The fingerprint is the SHA-256 of the count and the sums.
+    """
+    line = F.concat_ws("\t", "identity", "column", V.text(F.col("incoming")))
+    hashed = changes.filter("will_write").select(*by, F.sha2(line, 256).alias("h"))
+    words = [F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(10,0)") for k in range(8)]
+    sums = hashed.groupBy(*by).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).alias(f"_{k}") for k, w in enumerate(words)])
+    parts = [(F.col(f"_{k}") % 4294967296).cast("long").cast("string") for k in range(8)]
+    return sums.select(*by, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *parts), 256).alias("fingerprint"))
+
+
 def push_rows(master: DataFrame, planned: DataFrame, columns: Iterable[str], key: str = "resident_id", order: str = "src_row") -> DataFrame:
     """sheet and ``columns`` (a copy's headers) of the rows that :func:`push_missing` appends; the master's columns by header."""
     new = planned.filter("action = 'append'").select("sheet", "master_row")
@@ -131,7 +138,8 @@ def new_residents(master: DataFrame, sheet: DataFrame, key: str = "resident_id",
     """sheet, sheet_row, resident_id, risk, reason, matched_id, missing, property, filled_columns: residents that the master lacks, screened.
 
     The first of these decides: name and parcel on the master, email on the master, name and parcel on an earlier row of
-    the batch, email on an earlier row, name on the master (possible). All else is none.
+    the batch, email on an earlier row, name on the master (possible). All else is none. Wide rows are shuffled twice, by sheet and
+    id and by id, once few are left; the keys of all rules are looked up in one join of narrow rows, and the least rule with a hit counts.
     """
 
     def keyed_columns(df: DataFrame) -> DataFrame:
@@ -139,29 +147,45 @@ def new_residents(master: DataFrame, sheet: DataFrame, key: str = "resident_id",
         return df.withColumns({"_id": V.identity(F.col(key)), "_name": F.nullif(a, F.lit("")), "_email": F.nullif(c, F.lit("")), "_np": F.when((a != "") & (b != ""), F.concat_ws("|", a, b))})
 
     known = keyed_columns(master).filter("_id <> ''")
-    strangers = keyed_columns(sheet).filter("_id <> ''").join(known.select("_id").distinct(), "_id", "left_anti")
-    group = ["sheet"] if per_sheet else []
-    first = strangers.groupBy(*group, "_id").agg(F.min("sheet_row").alias("sheet_row"))
-    out = strangers.join(first, [*group, "_id", "sheet_row"])
-    for column, as_ in (("_np", "m_np"), ("_email", "m_email"), ("_name", "m_name")):
-        found = known.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min_by("_id", order).alias(as_))
-        out = out.join(found, column, "left")
-    for column, as_ in (("_np", "b_np"), ("_email", "b_email")):
-        # The first row of the batch with this key; it is an earlier one unless it is the row itself.
-        found = out.filter(F.col(column).isNotNull()).groupBy(*group, column).agg(F.min(F.struct("sheet_row", "_id")).alias(as_))
-        out = out.join(found, [*group, column], "left").withColumn(as_, F.when(F.col(f"{as_}.sheet_row") < F.col("sheet_row"), F.col(f"{as_}._id")))
-    rules = [
-        ("m_np", "likely", "name and parcel on the master"),
-        ("m_email", "likely", "email on the master"),
-        ("b_np", "likely", "name and parcel earlier in the batch"),
-        ("b_email", "likely", "email earlier in the batch"),
-        ("m_name", "possible", "name on the master, at another parcel"),
-    ]
-    hit = F.coalesce(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(r).alias("risk"), F.lit(t).alias("reason"), F.col(c).alias("id"))) for c, r, t in rules], F.struct(F.lit("none").alias("risk"), F.lit("").alias("reason"), F.lit("").alias("id")))
+    # Of equal ids of a sheet the first row, picked in each task before it is shuffled; then those that the master lacks.
+    rows = keyed_columns(sheet).filter("_id <> ''").select(F.struct("sheet_row", *[F.col(f"`{c}`") for c in sheet.columns if c != "sheet_row"], "_name", "_email", "_np").alias("r"), "_id", "sheet")
+    strangers = rows.groupBy("_id", *(["sheet"] if per_sheet else [])).agg(F.min("r").alias("r")).join(known.select("_id"), "_id", "left_anti").select("_id", "r.*")
     lacking = F.array_join(F.array_compact(F.array(*[F.when(V.text(F.col(c)) == "", F.lit(c)) for c in required])), ", ")
     # The first of several columns that is filled; columns that the sheet lacks don't count.
     at = V.trim(F.concat_ws(" ", *(V.first_filled(*[F.col(c) for c in names if c in sheet.columns]) for names in (house, street))))
     parcel = V.text(F.col(apn))
     place = F.concat_ws(" · ", F.nullif(at, F.lit("")), F.when(parcel != "", F.concat(F.lit("APN "), parcel)))
     filled = sum((F.when(V.text(F.col(c)) != "", 1).otherwise(0) for c in master.columns if c in sheet.columns), F.lit(0))
-    return out.withColumn("hit", hit).select("sheet", "sheet_row", F.col("_id").alias("resident_id"), "hit.risk", "hit.reason", F.col("hit.id").alias("matched_id"), lacking.alias("missing"), place.alias("property"), filled.alias("filled_columns"))
+    own = strangers.select("_id", "sheet", "sheet_row", "_np", "_email", "_name", F.struct(lacking.alias("missing"), place.alias("property"), filled.alias("filled_columns")).alias("payload"))
+    # Rules in their order: where a key is looked up (the master, or the batch), by which column, and what a hit says.
+    rules = [
+        ("master", "_np", "likely", "name and parcel on the master"),
+        ("master", "_email", "likely", "email on the master"),
+        ("batch", "_np", "likely", "name and parcel earlier in the batch"),
+        ("batch", "_email", "likely", "email earlier in the batch"),
+        ("master", "_name", "possible", "name on the master, at another parcel"),
+    ]
+    scope = F.col("sheet") if per_sheet else F.lit("")
+
+    def entry(k: int) -> Column:
+        where, column, *_ = rules[k]
+        return F.struct(F.lit(k).alias("rule"), (scope if where == "batch" else F.lit("")).alias("scope"), F.col(column).alias("key"))
+
+    def exploded(df: DataFrame, which: list[int], at: str) -> DataFrame:
+        entries = F.filter(F.array(*[entry(k) for k in which]), lambda e: e["key"].isNotNull())
+        return df.select(F.struct(F.col(at).cast("long").alias("at"), F.col("_id").alias("id")).alias("found"), F.inline(entries))
+
+    by = {w: [k for k, r in enumerate(rules) if r[0] == w] for w in ("master", "batch")}
+    firsts = exploded(known.withColumn("sheet", F.lit("")), by["master"], order).unionByName(exploded(own, by["batch"], "sheet_row")).groupBy("rule", "scope", "key").agg(F.min("found").alias("found"))
+    # Every row asks by each of its keys, and once more with what it brings along, under its id.
+    asked = F.concat(F.filter(F.array(*[entry(k) for k in range(len(rules))]), lambda e: e["key"].isNotNull()), F.array(F.struct(F.lit(len(rules)).alias("rule"), F.lit("").alias("scope"), F.col("_id").alias("key"))))
+    asks = own.select("_id", "sheet", "sheet_row", "payload", F.inline(asked)).withColumn("payload", F.when(F.col("rule") == len(rules), F.col("payload")))
+    told = asks.join(firsts, ["rule", "scope", "key"], "left")
+    earlier = F.col("rule").isin(by["master"]) | (F.col("found.at") < F.col("sheet_row"))
+    hit = F.when(F.col("found").isNotNull() & earlier, F.struct("rule", F.col("found.id").alias("id")))
+    out = told.groupBy("sheet", "sheet_row", "_id").agg(F.min(hit).alias("hit"), F.first("payload", ignorenulls=True).alias("p"))
+
+    def said(k: int, otherwise: str) -> Column:
+        return F.coalesce(F.get(F.array(*[F.lit(r[k]) for r in rules]), F.col("hit.rule")), F.lit(otherwise))
+
+    return out.select("sheet", "sheet_row", F.col("_id").alias("resident_id"), said(2, "none").alias("risk"), said(3, "").alias("reason"), F.coalesce("hit.id", F.lit("")).alias("matched_id"), "p.missing", "p.property", "p.filled_columns")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import values as V
 from ..operators import headers as H
+from . import working
 
 FORMATS = ("csv", "json", "parquet", "orc")
 STATUS = "sheet string, path string, ordinal int, error string"
@@ -47,11 +48,17 @@ def read(spark: SparkSession, path: str, fmt: str = "csv", sheet: str = "") -> D
         df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
-        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns])
-    cells = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns}
-    numbered = df.withColumn("_at", F.monotonically_increasing_id()).withColumns(cells)
-    # One grid file is one sheet of bounded size; its rows are numbered in file order.
-    return numbered.select(F.lit(sheet).alias("sheet"), (F.row_number().over(Window.orderBy("_at")) + 1).cast("int").alias("sheet_row"), *cells)
+        at = {"_file": F.col("_file"), "_block": F.col("_block"), "_at": F.monotonically_increasing_id()}
+        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    cells = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns if fmt == "csv" or c not in ("_file", "_block")}
+    if fmt == "csv":
+        # One CSV file is one sheet of bounded size; its rows are numbered in file order.
+        numbered = df.withColumns(cells).withColumn("_place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    else:
+        # A table of any size: in the order of its files and of the rows in them.
+        keys = ("_file", "_block", "_at")
+        numbered = working.placed(df.withColumns(cells).withColumns(at).repartitionByRange(*keys).sortWithinPartitions(*keys), "_place")
+    return numbered.select(F.lit(sheet).alias("sheet"), (F.col("_place") + 2).cast("int").alias("sheet_row"), *[F.col(f"`{c}`") for c in cells])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", sheet: str = "sheet") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -35,15 +35,18 @@ def swap(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Append whole rows; an error if fewer arrived."""
+    """Append whole rows; an error if fewer arrived. Rows are counted as they are written, and again in the new files only."""
     spark = df.sparkSession
-    _, fs = _fs(spark, path)
-    before = spark.read.format(fmt).load(path).count() if fs.exists(_fs(spark, path)[0]) else 0
-    expected = df.count()
-    df.write.mode("append").format(fmt).save(path)
-    after = spark.read.format(fmt).load(path).count()
-    if after - before != expected:
-        raise OSError(f"{expected} rows were to be appended, {after - before} arrived")
+    at, fs = _fs(spark, path)
+    before = set(spark.read.format(fmt).load(path).inputFiles()) if fs.exists(at) else set()
+    sent = Observation()
+    df.observe(sent, F.count(F.lit(1)).alias("n")).write.mode("append").format(fmt).save(path)
+    expected = sent.get["n"]
+    found = spark.read.format(fmt).load(path)
+    new = sorted(set(found.inputFiles()) - before)
+    arrived = spark.read.schema(found.schema).format(fmt).load(new).count() if new else 0
+    if arrived != expected:
+        raise OSError(f"{expected} rows were to be appended, {arrived} arrived")
     return expected
 
 
@@ -95,6 +98,7 @@ def _begin(ledger: Ledger, run_id: str, workflow: str, fingerprint: str = "") ->
     """A run is applied once."""
     if not ledger.read("runs").filter(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"run {run_id} was applied already")
+    ledger.claim(run_id)
     ledger.record(run_id, 1, workflow, "running", fingerprint=fingerprint)
 
 

@@ -9,6 +9,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own: dict[str, str] = {}
 
@@ -31,6 +33,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column of each row's place over all its partitions, from 0, in the order that the partitions have.
+
+    A prefix sum in two phases: rows are written once, each with its part and its place there; a part starts after those before it.
+    Places and sizes are read from the same written table, so no new deal of rows can part them.
+    """
+    # The id holds the part in its upper bits and the place in the part in the lower 33.
+    written = table(df.withColumn("_at", F.monotonically_increasing_id()), "placed").withColumn("_part", F.shiftright("_at", 33))
+    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row a part
+    out = written.join(F.broadcast(starts), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's working tables; results that still read them are lost."""
     where = spark._jvm.org.apache.hadoop.fs.Path(root(spark))

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridwise.operators import live, pull, zones
-from gridwise.sources import json_grids, sinks, working
+from gridwise.operators import export, live, pull, zones
+from gridwise.sources import grids, json_grids, sinks, working
 from gridwise.operators.ledger import Ledger
 
 
@@ -131,3 +131,56 @@ def test_grids_written_and_read(spark, tmp_path):
     json_grids.write_folder(spark.createDataFrame(rows, "sheet string, sheet_row int, id string, text string"), f"file://{tmp_path}/out", ["id", "text"])
     back = json_grids.read_folder(spark, f"file://{tmp_path}/out")[0]
     assert sorted(tuple(r) for r in back.select("sheet", "sheet_row", "id", "text").collect()) == sorted((s, k, i or "", t) for s, k, i, t in rows)
+
+
+def test_an_append_evaluates_its_plan_once_and_counts_what_arrived(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            calls.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).mapInArrow(count, "id bigint")
+    path = f"file://{tmp_path}/t"
+    assert sinks.append(df, path) == 1000 and calls.value == 1000
+    assert sinks.append(df.filter("id < 10"), path) == 10 and spark.read.parquet(path).count() == 1010
+    assert sinks.append(df.filter("id < 0"), path) == 0
+
+
+def test_a_run_is_claimed_by_one_caller(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.claim("r/1 ä")
+    with pytest.raises(ValueError, match="applied already"):
+        Ledger(spark, f"file://{tmp_path}/ledger").claim("r/1 ä")
+    ledger.claim("r2")
+
+
+def test_a_large_zone_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(300_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("z"), F.col("id") % 7)).otherwise("hot").alias("zone"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        export.write(rows, "zone", f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    got = {r["zone"]: (r["n_rows"], r["n_files"]) for r in export.written(spark, "zone", f"file://{tmp_path}/out").collect()}
+    assert got["hot"][0] == 270_000 and got["hot"][1] > 3 and sum(n for n, _ in got.values()) == 300_000
+
+
+def test_rows_of_a_table_are_numbered_by_file(spark, tmp_path):
+    spark.range(5000).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(f"file://{tmp_path}/grid")
+    got = grids.read(spark, f"file://{tmp_path}/grid", "parquet", "s").collect()
+    assert [r["sheet_row"] for r in sorted(got, key=lambda r: int(r["id"]))] == list(range(2, 5002)) and got[0].asDict().keys() == {"sheet", "sheet_row", "id"}
+
+
+def test_a_multiset_fingerprint_tells_what_changed(spark):
+    rows = [("a", "c", "1", True), ("b", "c", "2", True), ("b", "d", None, True), ("x", "y", "z", False)]
+    schema = "identity string, column string, incoming string, will_write boolean"
+
+    def of(rows, n=2):
+        return tuple(pull.multiset_fingerprint(spark.createDataFrame(rows, schema).repartition(n)).first())
+
+    whole = of(rows)
+    assert whole == of(rows[::-1], 3) == of(rows[:3], 1) and whole[0] == 3
+    changed = [[("a", "c", "3", True), *rows[1:]], [*rows, ("a", "c", "1", True)], rows[1:], [*rows, ("n", "c", "1", True)]]
+    assert len({whole, *map(of, changed)}) == 5 and of([])[0] == 0
