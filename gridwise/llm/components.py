@@ -2,11 +2,13 @@
 
 A node with very many edges is no hot key: a key's rows are dealt over SALTS tasks, each of which finds its own least, and the
 least of these goes back to just those tasks. The edges are written after each round, which cuts lineage and survives lost
-executors. The number of rounds grows with the logarithm of the longest path; every round but the last changes an edge.
+executors. The number of rounds grows with the logarithm of the longest path; components that have become stars leave them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,22 +45,34 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.select("e.*").filter("a <> b").distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether all edges go from a node to its root."""
+def _split(edges: DataFrame) -> DataFrame:
+    """a, b, settled: whether the edge's component is a star already, all of whose edges go from a node to its root.
+
+    A node is open if it has two edges out, or edges both out and in; an edge isn't settled if it, or another edge to its lower end,
+    begins at an open node, or if its lower end is open."""
     ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("in")))
     nodes = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
-    return not nodes.agg(F.max((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0)))).first()[0]
+    open_ = nodes.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).select("a", F.lit(True).alias("open"))
+    marked = edges.join(open_, "a", "left")
+    touched = marked.filter("open").select("b").unionByName(open_.select(F.col("a").alias("b"))).distinct().withColumn("touched", F.lit(True))
+    return marked.join(touched, "b", "left").select("a", "b", (F.col("open").isNull() & F.col("touched").isNull()).alias("settled"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of every node of ``edges`` (a, b: bigint); loops count for nothing.
 
-    A written table, which the caller may drop."""
-    now = scratch.table(_pointed(edges), "edges")
-    while not _settled(now):
-        now, old = scratch.table(_small(_large(now)), "edges"), now
-        scratch.drop(old)
-    roots = now.select(F.col("b").alias("node")).distinct()
-    out = scratch.table(now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label"))), "labels")
-    scratch.drop(now)
+    Components that are stars are put aside, so a round works on what isn't settled only. A written table, which the caller may drop."""
+    now, settled = scratch.table(_pointed(edges), "edges"), []
+    while True:
+        split = scratch.table(_split(now), "edges")
+        scratch.drop(now)
+        settled.append(split)
+        left = split.filter("not settled").select("a", "b")
+        if left.isEmpty():
+            break
+        now = scratch.table(_small(_large(left)), "edges")
+    stars = reduce(DataFrame.unionByName, [s.filter("settled").select("a", "b") for s in settled])
+    roots = stars.select(F.col("b").alias("node")).distinct()
+    out = scratch.table(stars.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label"))), "labels")
+    scratch.drop(*settled)
     return out
