@@ -330,9 +330,9 @@ def sheets_by_weight(spark, sf_dir):
 
 
 # Audit.
-_MISSING = f"""{_MODE}, missing as (select d.sheet, d.zone, m.resident_id, m.resident_name, m.src_row as master_row from modes d join fx_master m on m.zone = d.zone where not exists (select 1 from fx_captain c where c.sheet = d.sheet and c.resident_id = m.resident_id))"""
-_EXTRA = """extra as (select c.sheet, c.sheet_row, d.zone, c.resident_id, case when m.resident_id is null then 'Not in master' else 'Wrong zone' end as reason, case when m.resident_id is null then '' when m.zone = '' then '(unassigned)' else m.zone end as other_zone
-  from (select sheet, resident_id, max(sheet_row) sheet_row from fx_captain group by sheet, resident_id) c join modes d on d.sheet = c.sheet left join fx_master m on m.resident_id = c.resident_id where m.zone is null or m.zone <> d.zone)"""
+_MISSING = f"""{_MODE}, missing as (select d.sheet, d.zone, m.resident_id, m.resident_name, trim(concat(m.house, ' ', m.street)) as address, m.src_row as master_row from modes d join fx_master m on m.zone = d.zone where not exists (select 1 from fx_captain c where c.sheet = d.sheet and c.resident_id = m.resident_id))"""
+_EXTRA = """extra as (select c.sheet, c.sheet_row, d.zone, c.resident_id, c.resident_name, c.address, case when m.resident_id is null then 'Not in master' else 'Wrong zone' end as reason, case when m.resident_id is null then '' when m.zone = '' then '(unassigned)' else m.zone end as other_zone
+  from (select sheet, resident_id, max(sheet_row) sheet_row, arg_max(resident_name, sheet_row) resident_name, arg_max(trim(concat(house, ' ', street)), sheet_row) address from fx_captain group by sheet, resident_id) c join modes d on d.sheet = c.sheet left join fx_master m on m.resident_id = c.resident_id where m.zone is null or m.zone <> d.zone)"""
 _APN = """grouped as (select sheet, lower(concat(house, ' ', street)) k, arg_min(concat(house, ' ', street), sheet_row) as address, count(*) as data_rows, count(*) filter (apn <> '') as with_apn, count(*) filter (apn = '') as without_apn,
   coalesce(string_agg(distinct apn, ', ' order by apn) filter (apn <> ''), '') as apns, string_agg(cast(sheet_row as varchar), ', ' order by sheet_row) as sheet_rows, count(distinct apn) filter (apn <> '') as n_apns from fx_captain where house <> '' and street <> '' group by sheet, lower(concat(house, ' ', street))),
   inconsistent as (select sheet, address, data_rows, with_apn, without_apn, apns, sheet_rows, concat_ws(' + ', case when with_apn > 0 and without_apn > 0 then 'Mixed completeness' end, case when n_apns > 1 then 'Multiple APNs' end) as reason from grouped where data_rows >= 2 and ((with_apn > 0 and without_apn > 0) or n_apns > 1))"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as A
 from ..functions import values as V
+from ..sources import working
 from . import headers as H
 from . import keyed
 
@@ -41,10 +42,19 @@ def roster(master: DataFrame, n: Names = Names()) -> DataFrame:
     return master.select(V.text(F.col(n.zone)).alias("zone"), V.identity(F.col(n.id)).alias("id")).filter("zone <> '' and id <> ''").distinct()
 
 
+def _shown(df: DataFrame, n: Names) -> Column:
+    """A row's address as an audit shows it: house and street, as far as the table has them."""
+    return F.trim(F.concat_ws(" ", *[V.text(F.col(c)) for c in (n.house, n.street) if c in df.columns]))
+
+
+def _named(df: DataFrame, n: Names) -> Column:
+    return V.text(F.col(n.name)) if n.name in df.columns else F.lit("")
+
+
 def residents(master: DataFrame, n: Names = Names(), order: str = "src_row") -> DataFrame:
-    """id, zone, name, row: the last row of each id."""
-    rows = master.select(V.identity(F.col(n.id)).alias("id"), V.text(F.col(n.zone)).alias("zone"), V.text(F.col(n.name)).alias("name"), F.col(order).alias("row")).filter("id <> ''")
-    return rows.groupBy("id").agg(F.max(F.struct("row", "zone", "name")).alias("r")).select("id", "r.zone", "r.name", "r.row")
+    """id, zone, name, address, row: the last row of each id."""
+    rows = master.select(V.identity(F.col(n.id)).alias("id"), V.text(F.col(n.zone)).alias("zone"), _named(master, n).alias("name"), _shown(master, n).alias("address"), F.col(order).alias("row")).filter("id <> ''")
+    return rows.groupBy("id").agg(F.max(F.struct("row", "zone", "name", "address")).alias("r")).select("id", "r.zone", "r.name", "r.address", "r.row")
 
 
 def zones(sheets: DataFrame, n: Names = Names()) -> DataFrame:
@@ -53,25 +63,26 @@ def zones(sheets: DataFrame, n: Names = Names()) -> DataFrame:
 
 
 def _ids(sheets: DataFrame, n: Names) -> DataFrame:
-    rows = sheets.select("sheet", V.identity(F.col(n.id)).alias("id"), "sheet_row").filter("id <> ''")
-    return rows.groupBy("sheet", "id").agg(F.max("sheet_row").alias("sheet_row"))
+    """sheet, id, sheet_row, name, address: the last row of each id of a sheet."""
+    rows = sheets.select("sheet", V.identity(F.col(n.id)).alias("id"), "sheet_row", _named(sheets, n).alias("name"), _shown(sheets, n).alias("address")).filter("id <> ''")
+    return rows.groupBy("sheet", "id").agg(F.max(F.struct("sheet_row", "name", "address")).alias("r")).select("sheet", "id", "r.*")
 
 
 def missing_rows(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> DataFrame:
-    """sheet, zone, resident_id, resident_name, master_row: on the zone's roster, not on its sheet."""
+    """sheet, zone, resident_id, resident_name, address, master_row: on the zone's roster, not on its sheet; as the master has them."""
     expected = zones(sheets, n).join(roster(master, n), "zone")
     absent = expected.join(_ids(sheets, n).select("sheet", "id"), ["sheet", "id"], "left_anti")
-    return absent.join(residents(master, n).drop("zone"), "id").select("sheet", "zone", F.col("id").alias("resident_id"), F.col("name").alias("resident_name"), F.col("row").alias("master_row"))
+    return absent.join(residents(master, n).drop("zone"), "id").select("sheet", "zone", F.col("id").alias("resident_id"), F.col("name").alias("resident_name"), "address", F.col("row").alias("master_row"))
 
 
 def extra_rows(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> DataFrame:
-    """sheet, sheet_row, zone, resident_id, reason, other_zone: on the sheet, not on its zone's roster."""
+    """sheet, sheet_row, zone, resident_id, resident_name, address, reason, other_zone: on the sheet, not on its zone's roster; as the sheet has them."""
     placed = _ids(sheets, n).join(zones(sheets, n), "sheet")
     strangers = placed.join(roster(master, n), ["zone", "id"], "left_anti")
     known = strangers.join(residents(master, n).select("id", F.col("zone").alias("home")), "id", "left")
     reason = F.when(F.col("home").isNull(), "Not in master").otherwise("Wrong zone")
     other = F.when(F.col("home").isNull(), "").when(F.col("home") == "", "(unassigned)").otherwise(F.col("home"))
-    return known.select("sheet", "sheet_row", "zone", F.col("id").alias("resident_id"), reason.alias("reason"), other.alias("other_zone"))
+    return known.select("sheet", "sheet_row", "zone", F.col("id").alias("resident_id"), F.col("name").alias("resident_name"), "address", reason.alias("reason"), other.alias("other_zone"))
 
 
 def duplicates(sheets: DataFrame, n: Names = Names()) -> DataFrame:
@@ -101,29 +112,41 @@ def missing_situs(sheets: DataFrame, n: Names = Names()) -> DataFrame:
     return rows.filter("missing <> ''")
 
 
-def _addressed(sheets: DataFrame, n: Names) -> DataFrame:
+def _address(n: Names) -> Column:
     def cell(name: str | None) -> Column:
         return F.col(name) if name else F.lit("")
 
-    key = A.situs(cell(n.house), cell(n.street), cell(n.situs_house), cell(n.situs_street), cell(n.address))
-    return sheets.select("sheet", "sheet_row", V.text(F.col(n.apn)).alias("apn"), key.alias("a")).filter("a is not null")
+    return A.situs(cell(n.house), cell(n.street), cell(n.situs_house), cell(n.situs_street), cell(n.address))
+
+
+def _addressed(sheets: DataFrame, n: Names) -> DataFrame:
+    return sheets.select("sheet", "sheet_row", V.text(F.col(n.apn)).alias("apn"), _address(n).alias("a")).filter("a is not null")
+
+
+def _mixed(n: Column, with_apn: Column) -> Column:
+    return (with_apn > 0) & (with_apn < n)
 
 
 def apn_inconsistencies(sheets: DataFrame, n: Names = Names()) -> DataFrame:
-    """sheet, address, data_rows, with_apn, without_apn, apns, sheet_rows, reason: addresses of two rows or more that don't agree."""
-    rows = _addressed(sheets, n)
-    grouped = rows.groupBy("sheet", "a.key").agg(
-        F.min_by("a.display", "sheet_row").alias("address"),
-        F.count("*").alias("data_rows"),
-        F.count_if(F.col("apn") != "").alias("with_apn"),
-        F.count_if(F.col("apn") == "").alias("without_apn"),
-        F.array_sort(F.collect_set(F.when(F.col("apn") != "", F.col("apn")))).alias("apns"),
-        F.array_sort(F.collect_list("sheet_row")).alias("rows"),
-    )
-    mixed, several = (F.col("with_apn") > 0) & (F.col("without_apn") > 0), F.size("apns") > 1
+    """sheet, address, data_rows, with_apn, without_apn, apns, sheet_rows, reason: addresses of two rows or more that don't agree.
+
+    Whether an address agrees is seen from numbers and from its least and greatest parcel number; rows are only listed of
+    addresses that don't. ``apn_rows`` has these rows one by one, for addresses that very many rows share.
+    """
+    rows = apn_rows(sheets, n)
+    mixed, several = _mixed(F.col("data_rows"), F.col("with_apn")), F.col("lo") != F.col("hi")
     reason = F.array_join(F.array_compact(F.array(F.when(mixed, "Mixed completeness"), F.when(several, "Multiple APNs"))), " + ")
-    out = grouped.filter((F.col("data_rows") >= 2) & (mixed | several))
-    return out.select("sheet", "address", "data_rows", "with_apn", "without_apn", F.array_join("apns", ", ").alias("apns"), F.array_join(F.col("rows").cast("array<string>"), ", ").alias("sheet_rows"), reason.alias("reason"))
+    lists = rows.groupBy("sheet", "key", "address", "data_rows", "with_apn", "lo", "hi").agg(F.array_sort(F.collect_set(F.when(F.col("apn") != "", F.col("apn")))).alias("apns"), F.array_sort(F.collect_list("sheet_row")).alias("rows"))
+    return lists.select("sheet", "address", "data_rows", "with_apn", (F.col("data_rows") - F.col("with_apn")).alias("without_apn"), F.array_join("apns", ", ").alias("apns"), F.array_join(F.col("rows").cast("array<string>"), ", ").alias("sheet_rows"), reason.alias("reason"))
+
+
+def apn_rows(sheets: DataFrame, n: Names = Names()) -> DataFrame:
+    """sheet, key, address, data_rows, with_apn, lo, hi, sheet_row, apn: every row of an address whose rows don't agree."""
+    rows = _addressed(sheets, n).select("sheet", "sheet_row", "apn", "a.key", "a.display")
+    given = F.when(F.col("apn") != "", F.col("apn"))
+    counted = rows.groupBy("sheet", "key").agg(F.min_by("display", "sheet_row").alias("address"), F.count("*").alias("data_rows"), F.count(given).alias("with_apn"), F.min(given).alias("lo"), F.max(given).alias("hi"))
+    odd = counted.filter((F.col("data_rows") >= 2) & (_mixed(F.col("data_rows"), F.col("with_apn")) | (F.col("lo") != F.col("hi"))))
+    return rows.drop("display").join(odd, ["sheet", "key"]).select(*odd.columns, "sheet_row", "apn")
 
 
 def status(lacking: list[str], extra: list[str], rows: int = 1) -> str:
@@ -133,18 +156,57 @@ def status(lacking: list[str], extra: list[str], rows: int = 1) -> str:
     return "Missing + Extra" if lacking and extra else "Missing Columns" if lacking else "Extra Columns" if extra else "Match"
 
 
+def facts(sheets: DataFrame, n: Names = Names()) -> DataFrame:
+    """sheet, kind, key, n, first, a, b, lo, hi: what an audit counts, in one pass over the sheets.
+
+    Each row stands for itself (kind ``row``), its zone, its id and its address; equal ones are counted in each task before they
+    meet. a: rows with a parcel number; b: rows with damage; lo and hi: the least and the greatest parcel number.
+    """
+    apn, address = V.text(F.col(n.apn)), _address(n)
+    given = F.when(apn != "", apn)
+
+    def fact(kind: str, key: Column, a: Column, b: Column = F.lit(False)) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), a.alias("a"), b.alias("b"))
+
+    every = [
+        fact("row", F.lit(""), ~V.source_blank(F.col(n.apn)), ~V.source_blank(F.col(n.damage))),
+        F.when(V.text(F.col(n.zone)) != "", fact("zone", V.text(F.col(n.zone)), F.lit(False))),
+        F.when(V.identity(F.col(n.id)) != "", fact("id", V.identity(F.col(n.id)), F.lit(False))),
+        F.when(address.isNotNull(), fact("address", address["key"], given.isNotNull())),
+    ]
+    rows = sheets.select("sheet", "sheet_row", given.alias("_apn"), F.inline(F.array_compact(F.array(*every))))
+    mine = F.when(F.col("kind") == "address", F.col("_apn"))
+    return rows.groupBy("sheet", "kind", "key").agg(F.count("*").alias("n"), F.min("sheet_row").alias("first"), F.count_if("a").alias("a"), F.count_if("b").alias("b"), F.min(mine).alias("lo"), F.max(mine).alias("hi"))
+
+
+def _counts(master: DataFrame, sheets: DataFrame, n: Names, order: str = "src_row") -> DataFrame:
+    """The numbers of :func:`overview`: the sheets and the master are read once each, and their facts are written once.
+
+    A sheet lacks the roster of its zone but for the ids that it shares with it, so no roster is laid out for each sheet.
+    """
+    seen = working.table(facts(sheets, n), "facts")
+    zoned = V.text(F.col(n.zone))
+    rows = master.select(V.identity(F.col(n.id)).alias("key"), zoned.alias("zone"), F.col(order).alias("row")).filter("key <> ''")
+    known = working.table(rows.groupBy("key").agg(F.collect_set(F.when(F.col("zone") != "", F.col("zone"))).alias("zones"), F.max_by("zone", "row").alias("home")), "known")  # an id's zones
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    c = F.col
+    disagree = (c("n") >= 2) & (_mixed(c("n"), c("a")) | F.coalesce(c("lo") != c("hi"), F.lit(False)))
+    out = seen.groupBy("sheet").agg(
+        F.sum(of("row", c("n"))).alias("data_rows"), F.sum(of("row", c("a"))).alias("apn_values"), F.sum(of("row", c("b"))).alias("damage_values"), F.count_if(of("address", c("a") < c("n"))).alias("addresses_missing_apn"),
+        F.min(of("zone", keyed.mode_rank(c("key"), c("n"), c("first")))).alias("r"), F.count_if(of("address", disagree)).alias("apn_inconsistent"),
+    ).select("*", c("r.v").alias("zone")).drop("r")
+    sizes = known.select(F.explode("zones").alias("zone")).groupBy("zone").agg(F.count("*").alias("_size"))
+    placed = seen.filter("kind = 'id'").select("sheet", "key").join(out.select("sheet", "zone").filter("zone is not null"), "sheet").join(known, "key", "left")
+    on = F.coalesce(F.array_contains("zones", c("zone")), F.lit(False))
+    members = placed.groupBy("sheet").agg(F.count_if(on).alias("_on"), F.count_if(c("home").isNull()).alias("extra_not_in_master"), F.count_if(~on & c("home").isNotNull()).alias("extra_wrong_zone"))
+    out = out.join(members, "sheet", "left").join(sizes, "zone", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0)).cast("long")
+    return out.select("sheet", "data_rows", "apn_values", "damage_values", "addresses_missing_apn", F.coalesce("zone", F.lit("")).alias("zone"), "apn_inconsistent", (zero("_size") - zero("_on")).alias("missing_rows"), zero("extra_not_in_master").alias("extra_not_in_master"), zero("extra_wrong_zone").alias("extra_wrong_zone"))
+
+
 def overview(master: DataFrame, sheets: DataFrame, n: Names = Names()) -> DataFrame:
     """A row for each sheet: rows, completeness, zone, membership and drift."""
-    counted = sheets.groupBy("sheet").agg(F.count("*").alias("data_rows"), F.count_if(~V.source_blank(F.col(n.apn))).alias("apn_values"), F.count_if(~V.source_blank(F.col(n.damage))).alias("damage_values"))
-    no_apn = _addressed(sheets, n).filter("apn = ''").groupBy("sheet").agg(F.countDistinct("a.key").alias("addresses_missing_apn"))
-    apn = apn_inconsistencies(sheets, n).groupBy("sheet").agg(F.count("*").alias("apn_inconsistent"))
-    absent = missing_rows(master, sheets, n).groupBy("sheet").agg(F.count("*").alias("missing_rows"))
-    extra = extra_rows(master, sheets, n).groupBy("sheet").agg(F.count_if(F.col("reason") == "Not in master").alias("extra_not_in_master"), F.count_if(F.col("reason") == "Wrong zone").alias("extra_wrong_zone"))
-    out = counted
-    for part in (no_apn, zones(sheets, n), apn, absent, extra):
-        out = out.join(part, "sheet", "left")
-    numbers = ["addresses_missing_apn", "apn_inconsistent", "missing_rows", "extra_not_in_master", "extra_wrong_zone"]
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in numbers} | {"zone": F.coalesce("zone", F.lit(""))})
+    out = _counts(master, sheets, n)
     own = [c for c in sheets.columns if c not in ("sheet", "sheet_row")]
     verdicts = {s: status(H.missing(h, n.master_headers), H.missing(n.master_headers, h)) for s, h in n.sheet_headers.items()}
     common = status(H.missing(own, n.master_headers), H.missing(n.master_headers, own))
@@ -179,7 +241,7 @@ def full_overview(master: DataFrame, sheets: DataFrame, n: Names, statuses: Data
     spark = master.sparkSession
     rows = [(s, len([x for x in h if x]), H.missing(h, n.master_headers), [x for x in H.missing(n.master_headers, h)]) for s, h in n.sheet_headers.items()]
     heads = spark.createDataFrame(rows, "sheet string, total_columns int, missing_columns array<string>, extra_columns array<string>")  # a row a sheet
-    counts = overview(master, sheets, Names(**{**n.__dict__, "sheet_headers": {}})).drop("status")
+    counts = _counts(master, sheets, n)
     out = statuses.select("sheet", "url", "error").join(heads, "sheet", "left").join(counts, "sheet", "left")
     lacking, extra, bad, empty = F.size("missing_columns") > 0, F.size("extra_columns") > 0, F.col("error") != "", F.col("data_rows").isNull()
     verdict = F.when(bad, "ERROR").when(empty, "Empty").when(lacking & extra, "Missing + Extra").when(lacking, "Missing Columns").when(extra, "Extra Columns").otherwise("Match")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -26,13 +26,15 @@ def multiplicity(rows: DataFrame, key: str, order: str, within: list[str] | None
     return got.select("_row.*", "_n").select(*rows.columns, "_n")
 
 
-def mode(rows: DataFrame, value: str, order: str, by: str = "sheet") -> DataFrame:
-    """by, value, n: the most frequent non-blank value of each sheet.
+def mode_rank(value: Column, n: Column, first: Column) -> Column:
+    """struct(n, t, w, first, v) whose least is the mode: whole numbers first, the least of them; then what comes first."""
+    whole = F.when(value.rlike(r"^(0|[1-9]\d{0,9})$"), value.cast("long"))
+    return F.struct((-n).alias("n"), whole.isNull().alias("t"), F.coalesce(whole, F.lit(0)).alias("w"), first.alias("first"), value.alias("v"))
+
 
-    Of equally frequent ones: whole numbers first, the least of them; then what the sheet has first.
-    """
+def mode(rows: DataFrame, value: str, order: str, by: str = "sheet") -> DataFrame:
+    """by, value, n: the most frequent non-blank value of each sheet; of equally frequent ones as :func:`mode_rank` has it."""
     t = V.text(F.col(value))
     counted = rows.withColumn("_v", t).filter("_v <> ''").groupBy(by, "_v").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    whole = F.when(F.col("_v").rlike(r"^(0|[1-9]\d{0,9})$"), F.col("_v").cast("long"))
-    rank = F.struct((-F.col("n")).alias("n"), whole.isNull().alias("t"), F.coalesce(whole, F.lit(0)).alias("w"), F.col("first"), F.col("_v").alias("v"))
+    rank = mode_rank(F.col("_v"), F.col("n"), F.col("first"))
     return counted.groupBy(by).agg(F.min(rank).alias("r")).select(by, F.col("r.v").alias(value), (-F.col("r.n")).alias("n"))
