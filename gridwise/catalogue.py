@@ -650,12 +650,12 @@ def schema_rename(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue_runs, catalogue_scale  # noqa: F401  (registers the queries of applied plans, undo, impacts and full reports, and of scale)
+    from . import catalogue_runs, catalogue_scale, catalogue_state  # noqa: F401  (registers the queries of applied plans, undo, impacts and full reports, and of scale)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_runs, catalogue_scale  # noqa: F401
+    from . import catalogue_runs, catalogue_scale, catalogue_state  # noqa: F401
 
     return dict(SQL)

@@ -203,3 +203,26 @@ def in_tab(tab: Column, range_: str) -> Column:
     """A range with its quoted tab."""
     quoted = F.concat(F.lit("'"), F.replace(F.coalesce(tab, F.lit("")), F.lit("'"), F.lit("''")), F.lit("'"))
     return F.concat(quoted, F.lit(f"!{range_}")) if range_ else quoted
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+
+
+def encoded_apart(kind: T.DataType) -> bool:
+    """Whether a cast to text and back wouldn't keep values of the type."""
+    return _nested(kind) or isinstance(kind, T.BinaryType)
+
+
+def encoded(c: Column, kind: T.DataType) -> Column:
+    """A cell of any type as a text that :func:`decoded` reads back; null stays null. Nested values are JSON, bytes are base 64."""
+    if _nested(kind):
+        return F.to_json(c, {"ignoreNullFields": "false"})
+    return F.base64(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+
+
+def decoded(c: Column, kind: T.DataType) -> Column:
+    """What :func:`encoded` made a text of; a text that isn't a value of the type is null."""
+    if _nested(kind):
+        return F.from_json(c, kind)
+    return F.unbase64(c) if isinstance(kind, T.BinaryType) else c.try_cast(kind)

@@ -30,6 +30,12 @@ def shared_ids(rows: DataFrame, key: str, existing: str) -> DataFrame:
     return t.groupBy("id").agg(F.countDistinct("key").alias("n_keys")).filter("n_keys > 1")
 
 
+def blocks(rows: DataFrame, key: str, existing: str, order: str) -> DataFrame:
+    """kind, name, n: what stands in the way of :func:`backfill`: addresses with n ids, and ids of n addresses."""
+    several = groups(rows, key, existing, order).filter("status = 'conflict'").select(F.lit("address with several ids").alias("kind"), F.col("key").alias("name"), F.size(F.split("ids", ", ")).cast("long").alias("n"))
+    return several.unionByName(shared_ids(rows, key, existing).select(F.lit("id of several addresses").alias("kind"), F.col("id").alias("name"), F.col("n_keys").alias("n")))
+
+
 def backfill(rows: DataFrame, key: str, existing: str, order: str) -> DataFrame:
     """The rows with blank ids filled; an error if any address or id is in conflict."""
     plan = groups(rows, key, existing, order)

@@ -141,5 +141,7 @@ def apply(target: DataFrame, changes: DataFrame, key: str, by_sheet: bool | None
     joined = target.withColumn("identity", V.identity(F.col(key))).join(writes, [*by, "identity"], "left")
     names = [c for c in target.columns if c not in ("sheet", "sheet_row", key)]
     has = lambda c: F.coalesce(F.map_contains_key("_new", c), F.lit(False))
-    cells = {c: F.when(has(c), F.try_element_at("_new", F.lit(c)).cast(target.schema[c].dataType)).otherwise(F.col(c)) for c in names}
+    new = lambda c: F.try_element_at("_new", F.lit(c))
+    typed = lambda c: V.decoded(new(c), target.schema[c].dataType) if V.encoded_apart(target.schema[c].dataType) else new(c).cast(target.schema[c].dataType)
+    cells = {c: F.when(has(c), typed(c)).otherwise(F.col(c)) for c in names}
     return joined.withColumns(cells).select(*target.columns)

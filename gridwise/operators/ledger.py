@@ -7,9 +7,10 @@ before its target changes, so an interrupted run can always be undone.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A run's states, and those that end it.
@@ -28,10 +29,11 @@ SCHEMAS = {
 
 @dataclass
 class Ledger:
-    """The event tables under ``path``."""
+    """The event tables under ``path``. ``clock`` gives the time that events carry; a literal makes runs that can be compared."""
 
     spark: SparkSession
     path: str
+    clock: Callable[[], Column] = F.current_timestamp
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}") if self._has(table) else self.spark.createDataFrame([], SCHEMAS[table])
@@ -48,7 +50,7 @@ class Ledger:
         if status not in STATES:
             raise ValueError(f"no such state: {status}")
         row = self.spark.createDataFrame([(run_id, seq, workflow, status, dry, fingerprint)], "run_id string, seq bigint, workflow string, status string, dry boolean, fingerprint string")
-        self.append("runs", row.withColumn("at", F.current_timestamp()))
+        self.append("runs", row.withColumn("at", self.clock()))
 
     def claim(self, run_id: str) -> None:
         """Take a run for this caller: a file of its name is made, which only one of several callers can do."""
@@ -66,7 +68,7 @@ class Ledger:
     def interrupt(self) -> None:
         """After a restart, runs that hadn't ended are interrupted."""
         open_ = latest(self.read("runs"), "run_id").filter(~F.col("status").isin(*ENDED))
-        self.append("runs", open_.withColumns({"status": F.lit("interrupted"), "seq": F.col("seq") + 1, "at": F.current_timestamp()}))
+        self.append("runs", open_.withColumns({"status": F.lit("interrupted"), "seq": F.col("seq") + 1, "at": self.clock()}))
 
     def open_snapshots(self, run_id: str) -> DataFrame:
         """Snapshots of a run that no revert names."""
@@ -78,7 +80,7 @@ class Ledger:
         """Set one setting; a null takes it away."""
         seq = (self.read("settings").filter(F.col("name") == name).agg(F.max("seq")).first()[0] or 0) + 1
         row = self.spark.createDataFrame([(name, value, seq)], "name string, value string, seq bigint")
-        self.append("settings", row.withColumn("at", F.current_timestamp()))
+        self.append("settings", row.withColumn("at", self.clock()))
 
     def settings(self) -> DataFrame:
         return latest(self.read("settings"), "name").filter("value is not null").select("name", "value")
@@ -88,14 +90,14 @@ class Ledger:
         if not values or not self.read("settings").isEmpty():
             return False
         rows = [(k, v, 1) for k, v in values.items()]
-        self.append("settings", self.spark.createDataFrame(rows, "name string, value string, seq bigint").withColumn("at", F.current_timestamp()))
+        self.append("settings", self.spark.createDataFrame(rows, "name string, value string, seq bigint").withColumn("at", self.clock()))
         return True
 
     def resolve(self, conflicts: DataFrame, status: str = "resolved") -> None:
         """A new state for conflicts (run_id, sheet, identity, column), whatever they were."""
         known = latest(self.read("conflicts"), "run_id", "sheet", "identity", "column")
         chosen = known.join(conflicts.select("run_id", "sheet", "identity", "column").distinct(), ["run_id", "sheet", "identity", "column"], "left_semi")
-        self.append("conflicts", chosen.withColumns({"status": F.lit(status), "seq": F.col("seq") + 1, "at": F.current_timestamp()}))
+        self.append("conflicts", chosen.withColumns({"status": F.lit(status), "seq": F.col("seq") + 1, "at": self.clock()}))
 
     def open_conflicts(self) -> DataFrame:
         return latest(self.read("conflicts"), "run_id", "sheet", "identity", "column").filter("status = 'open'")

@@ -1,7 +1,8 @@
 """Guarded plans against a target's present state: writes, appends, deletes, moves, and their undoing.
 
 All address rows by identity, never by position. Every proposal comes back with an action and a reason, so nothing is
-skipped silently. Snapshots carry cells and rows as text, by column name.
+skipped silently. Snapshots carry cells and rows as texts of :func:`values.encoded`, by column name, so that a table of any
+types gets its values back, nulls included.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from . import guard, pull
 
 def _state(target: DataFrame, key: str, order: str, asked: DataFrame) -> DataFrame:
     """identity, n, row: how many rows have an identity that is asked for, and the first of them as a map of texts."""
-    cells = F.create_map(*[x for c in target.columns for x in (F.lit(c), F.col(c).cast("string"))])
+    cells = F.create_map(*[x for c in target.columns for x in (F.lit(c), V.encoded(F.col(c), target.schema[c].dataType))])
     rows = target.withColumn("_identity", V.identity(F.col(key))).join(asked.select(F.col("identity").alias("_identity")).filter("_identity <> ''").distinct(), "_identity", "left_semi")
     return rows.select(F.col("_identity").alias("identity"), F.col(order).alias("o"), cells.alias("cells")).groupBy("identity").agg(F.count("*").alias("n"), F.min_by("cells", "o").alias("row"))
 
@@ -62,7 +63,7 @@ def appends(target: DataFrame, rows: DataFrame, key: str = "resident_id", order:
     named = _with_again(named, by, "identity")
     joined = named.join(here, "identity", "left")
     kept = [c for c in target.columns if c in rows.columns]
-    cells = F.map_filter(F.create_map(*[x for c in kept for x in (F.lit(c), F.when(guard.decide_append(F.col(c), V.kind_of(rows.schema[c].dataType))["will_write"], F.col(c).cast("string")))]), lambda _, v: v.isNotNull())
+    cells = F.map_filter(F.create_map(*[x for c in kept for x in (F.lit(c), F.when(guard.decide_append(F.col(c), V.kind_of(rows.schema[c].dataType))["will_write"], V.encoded(F.col(c), rows.schema[c].dataType)))]), lambda _, v: v.isNotNull())
     reasons = [(F.col("identity") == "", "skip", f"no {key}"), (F.col("here").isNotNull() | F.col("again"), "skip", f"{key} in the target already")]
     return _out(joined.withColumn("cells", cells), reasons, ("append", ""), [by, "identity", "cells"])
 
@@ -173,8 +174,8 @@ def conflicts(target: DataFrame, logged: DataFrame, key: str = "resident_id", or
 def _as_rows(cells: Column, target: DataFrame) -> list[Column]:
     """A map of texts as the target's columns; what it lacks is an empty text, or null where the column isn't one."""
     def cell(c: str) -> Column:
-        kind, value = target.schema[c].dataType.simpleString(), F.try_element_at(cells, F.lit(c))
-        return F.coalesce(value, F.lit("")) if kind == "string" else value.try_cast(kind)
+        kind, value = target.schema[c].dataType, F.try_element_at(cells, F.lit(c))
+        return F.when(F.map_contains_key(cells, F.lit(c)), value).otherwise(F.lit("")) if kind.simpleString() == "string" else V.decoded(value, kind)
 
     return [cell(c).alias(c) for c in target.columns]
 

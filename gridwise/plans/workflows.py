@@ -7,8 +7,11 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import address_ids, audit, export, fill, live, pull, schema_ops, zones
+from ..operators import address_ids, audit, export, fill, ledger, live, pull, schema_ops, zones
+from ..operators.ledger import Ledger
+from ..sources import sinks
 
 
 @dataclass(frozen=True)
@@ -58,8 +61,26 @@ WORKFLOWS = {
 }
 
 
-#: How a run of each kind is undone.
-REVERTS = {"push_master": "revert_cells", "pull_to_master": "revert_cells", "zone_enrichment": "revert_cells", "guarded_writes": "revert_cells", "push_missing": "revert_appends", "append_missing": "revert_appends", "guarded_appends": "revert_appends", "guarded_deletes": "restore_rows", "guarded_moves": "restore_rows"}
+#: How a run of each kind is undone; runs of other workflows write nothing, or can't be taken back.
+REVERTS = {
+    "push_master": "revert_cells", "import_feed": "revert_cells", "pull_to_master": "revert_cells", "pull_folder": "revert_cells", "zone_enrichment": "revert_cells", "guarded_writes": "revert_cells", "apply": "revert_cells", "conflicts": "revert_cells",
+    "push_missing": "revert_appends", "append_missing": "revert_appends", "guarded_appends": "revert_appends", "guarded_deletes": "restore_rows", "guarded_moves": "both sides", "rows": "both sides",
+}
+#: The snapshots that a run of such a kind may have stored.
+HOLDS = {"revert_cells": ("cell_update",), "revert_appends": ("row_append",), "restore_rows": ("row_delete",), "both sides": ("row_append", "row_delete")}
+
+
+def undo(store: Ledger, run_id: str, target: DataFrame, path: str, key: str, order: str, **options: Any) -> DataFrame:
+    """Take a run back by what its kind is (``sinks.undo``); refused are unknown runs, kinds without an undo, and runs whose snapshots aren't of their kind."""
+    kind = ledger.latest(store.read("runs").filter(F.col("run_id") == run_id), "run_id").select("workflow").first()
+    if kind is None:
+        raise ValueError(f"no such run: {run_id}")
+    if kind[0] not in REVERTS:
+        raise ValueError(f"a run of {kind[0]} can't be taken back")
+    strange = store.open_snapshots(run_id).filter(~F.col("operation").isin(*HOLDS[REVERTS[kind[0]]]))
+    if not strange.isEmpty():
+        raise ValueError(f"a run of {kind[0]} holds snapshots of another kind")
+    return sinks.undo(store, run_id, target, path, key, order, **options)
 
 
 #: Columns that a workflow reads under fixed names, by option; ``key``, ``x`` and ``y`` rename ids and coordinates.

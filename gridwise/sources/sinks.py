@@ -111,7 +111,7 @@ def _end(ledger: Ledger, run_id: str, workflow: str, act: Callable[[], None], fi
     ledger.record(run_id, 2, workflow, "succeeded", fingerprint=fingerprint)
 
 
-def apply_plan(ledger: Ledger, run_id: str, target: DataFrame, changes: DataFrame, path: str, key: str, fingerprint: str, fresh: str, by_sheet: bool | None = None, store: Callable[[DataFrame, str], object] = swap) -> None:
+def apply_plan(ledger: Ledger, run_id: str, target: DataFrame, changes: DataFrame, path: str, key: str, fingerprint: str, fresh: str, by_sheet: bool | None = None, store: Callable[[DataFrame, str], object] = swap, workflow: str = "apply") -> None:
     """Store snapshots and conflicts of a plan, then write its changes.
 
     Refused are a stale plan, a run that was applied before, and a plan with cells that the target doesn't have. ``by_sheet``
@@ -121,8 +121,8 @@ def apply_plan(ledger: Ledger, run_id: str, target: DataFrame, changes: DataFram
         raise ValueError("the data changed after the plan was made")
     if lost := fill.unapplied(target, changes, key, by_sheet).count():
         raise ValueError(f"{lost} planned cells have no row or column in the target")
-    _begin(ledger, run_id, "apply", fingerprint)
-    at = F.current_timestamp()
+    _begin(ledger, run_id, workflow, fingerprint)
+    at = ledger.clock()
     by = fill._by_sheet(target, by_sheet)
     keys = [*by, "identity", "column"]
     writes = fill.winners(changes, by)
@@ -134,20 +134,20 @@ def apply_plan(ledger: Ledger, run_id: str, target: DataFrame, changes: DataFram
     ledger.append("conflicts", changes.filter("action = 'conflict'").select(F.lit(run_id).alias("run_id"), "sheet", "identity", "column", "existing", "incoming", F.lit("open").alias("status"), F.lit(1).cast("long").alias("seq"), at.alias("at")))
     ledger.append("log", changes.select(F.lit(run_id).alias("run_id"), F.xxhash64("sheet", "identity", "column").alias("entry_id"), F.col("action").alias("type"), "identity", "column", F.col("reason").alias("message"), at.alias("at")))
     ledger.append("log", fill.losers(changes, by).select(F.lit(run_id).alias("run_id"), F.xxhash64("sheet", "identity", "column").alias("entry_id"), F.lit("skip").alias("type"), "identity", "column", F.lit("an earlier row writes this cell").alias("message"), at.alias("at")))
-    _end(ledger, run_id, "apply", lambda: store(fill.apply(target, changes, key, by_sheet), path), fingerprint)
+    _end(ledger, run_id, workflow, lambda: store(fill.apply(target, changes, key, by_sheet), path), fingerprint)
 
 
-def apply_rows(ledger: Ledger, run_id: str, target: DataFrame, plan: DataFrame, path: str, key: str, order: str, store: Callable[[DataFrame, str], object] = swap) -> None:
+def apply_rows(ledger: Ledger, run_id: str, target: DataFrame, plan: DataFrame, path: str, key: str, order: str, store: Callable[[DataFrame, str], object] = swap, workflow: str = "rows") -> None:
     """Store snapshots of a plan of whole rows (of :func:`live.appends`, ``deletes`` or one side of ``moves``), then write it.
 
     Rows with the action append or move are added where the plan has ``cells``; with delete or move they go where it has ``row``.
     """
-    _begin(ledger, run_id, "rows")
-    at, adds = F.current_timestamp(), "cells" in plan.columns
+    _begin(ledger, run_id, workflow)
+    at, adds = ledger.clock(), "cells" in plan.columns
     acting = plan.filter(F.col("action").isin("append", "delete", "move"))
     ledger.append("snapshots", acting.select(F.lit(run_id).alias("run_id"), F.xxhash64("identity").alias("snapshot_id"), F.lit("row_append" if adds else "row_delete").alias("operation"), F.lit("").alias("sheet"), "identity", F.col("cells" if adds else "row").alias("cells"), at.alias("at")))
     ledger.append("log", plan.select(F.lit(run_id).alias("run_id"), F.xxhash64("identity").alias("entry_id"), F.col("action").alias("type"), "identity", F.col("reason").alias("message"), at.alias("at")))
-    _end(ledger, run_id, "rows", lambda: store(live.appended(target, plan, order, "identity") if adds else live.deleted(target, plan, key), path))
+    _end(ledger, run_id, workflow, lambda: store(live.appended(target, plan, order, "identity") if adds else live.deleted(target, plan, key), path))
 
 
 def apply_conflicts(ledger: Ledger, run_id: str, target: DataFrame, chosen: DataFrame, path: str, key: str, order: str, store: Callable[[DataFrame, str], object] = swap) -> DataFrame:
@@ -157,7 +157,7 @@ def apply_conflicts(ledger: Ledger, run_id: str, target: DataFrame, chosen: Data
     """
     _begin(ledger, run_id, "conflicts")
     plan = live.conflicts(target, chosen, key, order)
-    at = F.current_timestamp()
+    at = ledger.clock()
     ledger.append("log", plan.select(F.lit(run_id).alias("run_id"), F.xxhash64("sheet", "identity", "column").alias("entry_id"), F.col("action").alias("type"), "identity", "column", F.col("reason").alias("message"), at.alias("at")))
     writes = plan.filter("will_write")
     ledger.append("snapshots", writes.select(F.lit(run_id).alias("run_id"), F.xxhash64("identity", "column").alias("snapshot_id"), F.lit("cell_update").alias("operation"), F.lit("").alias("sheet"), "identity", "column", F.col("existing").alias("before"), F.col("incoming").alias("after"), at.alias("at")))
@@ -172,7 +172,7 @@ def undo(ledger: Ledger, run_id: str, target: DataFrame, path: str, key: str, or
     """Take back what a run did, where the target still holds it; the run's log says what became of each snapshot.
 
     Cells get their values back (nulls, too), appended rows go, deleted rows return. Only what is really taken back counts as
-    reverted. Each kind of snapshot has its own planner (``workflows.REVERTS`` names it by workflow).
+    reverted. Each kind of snapshot has its own planner; ``workflows.undo`` asks first what kind of run it was.
     """
     snaps = ledger.open_snapshots(run_id)
     cells = snaps.filter("operation = 'cell_update'").select("snapshot_id", "sheet", "identity", "column", "before", "after")
@@ -181,7 +181,7 @@ def undo(ledger: Ledger, run_id: str, target: DataFrame, path: str, key: str, or
     added, gone = (snaps.filter(F.col("operation") == x).select("snapshot_id", "identity", "cells") for x in ("row_append", "row_delete"))
     plans = [plan.select("snapshot_id", "identity", "column", "action", "reason"), *(f(target, x, key, order).select("snapshot_id", "identity", F.lit("").alias("column"), "action", "reason") for f, x in ((live.revert_appends, added), (live.restore_rows, gone)))]
     every = reduce(DataFrame.unionByName, plans)
-    columns = [F.lit(f"undo {run_id}").alias("run_id"), F.col("snapshot_id").alias("entry_id"), F.col("action").alias("type"), "identity", "column", F.col("reason").alias("message"), F.current_timestamp().alias("at")]
+    columns = [F.lit(f"undo {run_id}").alias("run_id"), F.col("snapshot_id").alias("entry_id"), F.col("action").alias("type"), "identity", "column", F.col("reason").alias("message"), ledger.clock().alias("at")]
     ledger.append("log", every.select(*columns))
     done = ledger.read("log").filter(F.col("run_id") == f"undo {run_id}")
     acted = done.filter("type in ('restore', 'delete', 'append')").select(F.col("entry_id").alias("snapshot_id"), "type")
@@ -192,5 +192,5 @@ def undo(ledger: Ledger, run_id: str, target: DataFrame, path: str, key: str, or
     if not back.isEmpty():
         out = live.appended(out, back, order, "identity")
     store(out, path)
-    ledger.append("reverts", acted.select(F.lit(run_id).alias("run_id"), "snapshot_id", F.current_timestamp().alias("at")))
+    ledger.append("reverts", acted.select(F.lit(run_id).alias("run_id"), "snapshot_id", ledger.clock().alias("at")))
     return done
