@@ -38,6 +38,8 @@ DEPTH = 3
 MIN_CONTEXT, MIN_NEXT, MIN_DIVERGENCE, MU = 32, 4, 0.05, 1.0
 HELD_OUT, FOLDS = 2, 7
 BLOCK_BYTES = 3 << 20
+#: Row groups end at 16 MB, asked at every row: else a task that writes or reads blocks holds 100 of them before it looks at their size.
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
 
 END = np.uint64(0x5EED0FE2D0C5AB1E)
 BLOCK = "block bigint, ids array<bigint>, held binary, first binary, codes binary, words binary"
@@ -273,7 +275,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
         """Written by block, so that a join by block shuffles nothing."""
         name = f"{scratch.prefix(spark)}{kind}_{uuid.uuid4().hex[:12]}"
         with scratch.tidy(spark):
-            df.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch.folder(spark, kind)).option("compression", "zstd").saveAsTable(name)
+            df.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch.folder(spark, kind)).option("compression", "zstd").options(**ROW_GROUPS).saveAsTable(name)
         return spark.table(name)
 
     blocks = bucketed(chosen.mapInArrow(_encode, BLOCK), "blocks")
