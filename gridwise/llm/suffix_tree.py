@@ -23,6 +23,7 @@ each; with an empty training set c and N are 0; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections import defaultdict
@@ -123,7 +124,9 @@ class Block:
         self.told = defaultdict(lambda: np.zeros(0, np.uint32))  # where a block had nothing to ask
         for name, parts in row.items():
             if name.startswith("told") and parts:
-                self.told[int(name[4:])] = np.concatenate([unplanes(x["counts"]) for x in sorted(parts, key=lambda x: x["part"])])
+                parts.sort(key=lambda x: x["part"])
+                self.told[int(name[4:])] = np.concatenate([unplanes(x["counts"]) for x in parts])
+                parts.clear()
         word = self.words[self.codes]
         self.keys, self.totals = {1: word}, {}
         self.word = word
@@ -139,8 +142,9 @@ class Block:
         at = np.flatnonzero(alive)
         keys = text.mix(self.keys[k - 1][at - 1] * np.uint64(0x9E3779B97F4A7C15) + self.word[at])
         distinct, code = np.unique(keys, return_inverse=True)
-        self.keys[k] = np.zeros(len(self.codes), np.uint64)
-        self.keys[k][at] = keys
+        if k <= DEPTH:
+            self.keys[k] = np.zeros(len(self.codes), np.uint64)
+            self.keys[k][at] = keys
         return at, distinct, code
 
     def learn(self, upto: int) -> None:
@@ -148,7 +152,7 @@ class Block:
         for k in range(2, upto + 1):
             at, _, code = self.grams(k)
             self.totals[k] = np.zeros(len(self.codes), np.uint32)
-            self.totals[k][at] = self.told[k][code]
+            self.totals[k][at] = self.told.pop(k)[code] if len(at) else 0
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions of the word after it, distinct keys, numbers) of candidate contexts of length k."""
@@ -187,9 +191,30 @@ class Block:
 
 
 def _rows(batch: pa.RecordBatch):
-    """The rows one by one: a row is a block."""
+    """The rows one by one: a row is a block. Large bytes are read where the batch holds them, and memory of the block before
+    is given back first, which else stays with the worker in pieces."""
     for i in range(batch.num_rows):
-        yield {k: c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
+        give_back()
+        yield {k: c[i].as_buffer() if c.type == pa.binary() else c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _each(of_row):
+    """Apply ``of_row`` to every row; what it holds of a block goes before the next one is read."""
+
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                yield from of_row(row)
+
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray | None, k: int = 0) -> pa.RecordBatch:
@@ -203,20 +228,18 @@ def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np
 def _ask(bits: int, level: int, n: int = 0):
     """Sends of all blocks for n-grams of length ``level``, or for contexts of all lengths."""
 
-    def run(batches):
-        for batch in batches:
-            for row in _rows(batch):
-                block = Block(row, n)
-                if level < CONTEXTS:
-                    block.learn(level - 1)
-                    at, keys, code = block.grams(level)
-                    yield _send(bits, row["block"], keys, np.bincount(code[block.train[at]], minlength=len(keys)), None)
-                else:
-                    block.learn(DEPTH + 1)
-                    for k in range(1, DEPTH + 1):
-                        yield _send(bits, row["block"], *block.divergences(k, n), k)
+    def sends(row: dict):
+        block = Block(row, n)
+        if level < CONTEXTS:
+            block.learn(level - 1)
+            at, keys, code = block.grams(level)
+            yield _send(bits, row["block"], keys, np.bincount(code[block.train[at]], minlength=len(keys)), None)
+        else:
+            block.learn(DEPTH + 1)
+            for k in range(1, DEPTH + 1):
+                yield _send(bits, row["block"], *block.divergences(k, n), k)
 
-    return run
+    return _each(sends)
 
 
 def _add_up(totals: bool):
@@ -252,17 +275,15 @@ def _add_up(totals: bool):
 
 
 def _score(n: int, v: int):
-    def run(batches):
-        for batch in batches:
-            for row in _rows(batch):
-                block = Block(row, n)
-                block.learn(DEPTH + 1)
-                at = block.first[:-1]
-                base, p = (np.add.reduceat(np.log10(x), at) for x in block.probabilities(n, v))
-                known = np.add.reduceat((block.totals[1] > 0).astype(np.int64), at)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.held), pa.array(np.diff(block.first)), pa.array(known), pa.array(np.full(len(at), n)), pa.array(base), pa.array(p)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return run
+    def scores(row: dict):
+        block = Block(row, n)
+        block.learn(DEPTH + 1)
+        at = block.first[:-1]
+        base, p = (np.add.reduceat(np.log10(x), at) for x in block.probabilities(n, v))
+        known = np.add.reduceat((block.totals[1] > 0).astype(np.int64), at)
+        yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.held), pa.array(np.diff(block.first)), pa.array(known), pa.array(np.full(len(at), n)), pa.array(base), pa.array(p)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return _each(scores)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
