@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalogue import _PULL, _PULLED, CTE, captain, master, pull_plan, query, table
+from .catalogue import _HITS, _MODE, _PULL, _PULLED, _RECONCILED, CTE, captain, master, polygons, pull_plan, query, table
 from .operators import pull, zones
 from .sources import json_grids, working
 
@@ -85,3 +85,25 @@ _WORDS = ", ".join(f"cast(sum(cast(concat('0x', substr(h, {8 * k + 1}, 8)) as bi
   select sheet, count(*) as n, sha256(concat_ws('|', cast(count(*) as varchar), {_WORDS})) as fingerprint from l group by sheet""")
 def pull_multiset_fingerprint(spark, sf_dir):
     return pull.multiset_fingerprint(pull_plan(spark, sf_dir), "sheet")
+
+
+_MOVES = _RECONCILED.replace(_HITS, CTE("fx_captain", "fx_zone_hits"), 1) + f""", {_MODE}, takes as (select zone, min(sheet) as destination from modes group by zone),
+  s as (select c.sheet, c.sheet_row, c.resident_id, d.zone as from_zone, coalesce(r.computed_zone, '') as computed_zone, r.contact_name, t.destination,
+    case when r.outcome is null or r.outcome = 'missing_coords' then 'no coordinates' when r.outcome = 'unassigned' then 'in no zone' when r.multi_zone then 'in several zones' when d.zone is null then 'sheet without a zone' when t.destination is null then 'no sheet of this zone' else '' end as reason
+    from fx_captain c left join rec r on r.resident_id = c.resident_id left join modes d on d.sheet = c.sheet left join takes t on t.zone = r.computed_zone),
+  moved as (select sheet, sheet_row, resident_id, case when reason = '' then 'move' else 'skip' end as action, reason, coalesce(from_zone, '') as from_zone, computed_zone, case when reason = '' then destination else '' end as destination, case when reason = '' then contact_name else '' end as contact_name
+    from s where reason <> '' or computed_zone <> from_zone)"""
+
+
+def _folder_moves(spark, sf_dir):
+    return zones.folder_moves(captain(spark, sf_dir), master(spark, sf_dir), polygons(spark, sf_dir))
+
+
+@query(_MOVES + " select * from moved")
+def folder_moves(spark, sf_dir):
+    return _folder_moves(spark, sf_dir).select("sheet", "sheet_row", "resident_id", "action", "reason", "from_zone", "computed_zone", "destination", "contact_name")
+
+
+@query(_MOVES + " select sheet, destination, reason, count(*) as n from moved group by sheet, destination, reason")
+def folder_move_totals(spark, sf_dir):
+    return zones.move_totals(_folder_moves(spark, sf_dir))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from . import guard
+from . import guard, keyed
 from .fill import CHANGES
 
 GEOMETRY = "array<array<array<array<double>>>>"
@@ -236,18 +236,53 @@ def moves(sheet: DataFrame, master: DataFrame, zones: DataFrame, to_zone: str, k
 
     The sheet's own coordinates (``x``, ``y``, if it has them) count only for ids that the master lacks.
     """
-    own = [F.col(c).cast("double") if c in sheet.columns else F.lit(None).cast("double") for c in (x, y)]
-    rows = sheet.select(F.col(row).alias("sheet_row"), V.text(F.col(key)).alias("resident_id"), own[0].alias("sx"), own[1].alias("sy")).filter("resident_id <> ''")
+    out = _stand(sheet, master, zones, [], key, row, x, y, cell)
+    out = out.select("resident_id", "sheet_row", F.when(F.col("reason") == "", "move").otherwise("skip").alias("action"), "reason", "computed_zone")
+    return out.filter((F.col("action") == "skip") | (F.col("computed_zone") == to_zone))
+
+
+def folder_moves(sheets: DataFrame, master: DataFrame, zones: DataFrame, zone: str = "zone", key: str = "resident_id", row: str = "sheet_row", x: str = "lon", y: str = "lat", cell: float | None = None) -> DataFrame:
+    """The moves between all copies of a folder at once: sheet, sheet_row, resident_id, action (move or skip), reason, from_zone,
+    computed_zone, destination (a sheet) and FIELDS but the zone (what the row takes from the zone that it moves to).
+
+    A sheet's zone is the most frequent one in its column ``zone``; of sheets with one zone the first by name takes the rows. Who stands in the zone of
+    their own sheet isn't listed. Skipped is also who stands in a zone without a sheet, or on a sheet without a zone.
+    """
+    named = keyed.mode(sheets, zone, row).select("sheet", F.col(zone).alias("from_zone"))
+    takes = named.groupBy(F.col("from_zone").alias("computed_zone")).agg(F.min("sheet").alias("destination"))
+    stand = _stand(sheets, master, zones, ["sheet"], key, row, x, y, cell).join(named, "sheet", "left").join(takes, "computed_zone", "left")
+    reason = (
+        F.when(F.col("reason") != "", F.col("reason"))
+        .when(F.col("from_zone").isNull(), "sheet without a zone")
+        .when(F.col("destination").isNull(), "no sheet of this zone")
+        .otherwise("")
+    )
+    listed = stand.withColumn("reason", reason).filter("reason <> '' or computed_zone <> from_zone")
+    moved = F.col("reason") == ""
+    fields = [F.when(moved, V.text(F.col(f"z.{f}")) if f in zones.columns else F.lit("")).otherwise("").alias(f) for f in FIELDS[1:]]
+    return listed.select("sheet", "sheet_row", "resident_id", F.when(moved, "move").otherwise("skip").alias("action"), "reason", F.coalesce("from_zone", F.lit("")).alias("from_zone"), "computed_zone", F.when(moved, F.col("destination")).otherwise("").alias("destination"), *fields)
+
+
+def move_totals(moves: DataFrame) -> DataFrame:
+    """sheet, destination, reason, n: how many rows of :func:`folder_moves` go from each sheet to each other, or stay and why."""
+    return moves.groupBy("sheet", "destination", "reason").agg(F.count("*").alias("n"))
+
+
+def _stand(sheets: DataFrame, master: DataFrame, zones: DataFrame, by: list[str], key: str, row: str, x: str, y: str, cell: float | None) -> DataFrame:
+    """``by``, sheet_row, resident_id, computed_zone, reason (why no one zone is theirs), z: where each row's resident stands; ``by`` and the row tell rows apart."""
+    own = [F.col(c).cast("double") if c in sheets.columns else F.lit(None).cast("double") for c in (x, y)]
+    rows = sheets.select(*by, F.col(row).alias("sheet_row"), V.text(F.col(key)).alias("resident_id"), own[0].alias("sx"), own[1].alias("sy")).filter("resident_id <> ''")
     first = master.select(V.text(F.col(key)).alias("resident_id"), F.struct(F.col("src_row"), F.col(x).alias("x"), F.col(y).alias("y")).alias("m")).groupBy("resident_id").agg(F.min("m").alias("m"))
     placed = rows.join(first, "resident_id", "left")
-    placed = placed.select("sheet_row", "resident_id", F.when(F.col("m").isNotNull(), F.col("m.x")).otherwise(F.col("sx")).alias("x"), F.when(F.col("m").isNotNull(), F.col("m.y")).otherwise(F.col("sy")).alias("y"))
-    found = placed.join(first_hit(placed, zones, "sheet_row", "x", "y", cell), "sheet_row", "left")
+    at = F.struct(*by, "sheet_row").alias("at")
+    placed = placed.select(at, "resident_id", F.when(F.col("m").isNotNull(), F.col("m.x")).otherwise(F.col("sx")).alias("x"), F.when(F.col("m").isNotNull(), F.col("m.y")).otherwise(F.col("sy")).alias("y"))
+    found = placed.join(first_hit(placed, zones, "at", "x", "y", cell), "at", "left")
     zone = V.text(F.col("z.zone"))
     reason = (
         F.when(F.col("x").isNull() | F.col("y").isNull(), "no coordinates")
         .when(F.col("z").isNull(), "in no zone")
         .when(F.col("n_zones") > 1, "in several zones")
         .when(zone == "", "zone without a name")
+        .otherwise("")
     )
-    out = found.select("resident_id", "sheet_row", F.when(reason.isNull(), "move").otherwise("skip").alias("action"), F.coalesce(reason, F.lit("")).alias("reason"), F.coalesce(zone, F.lit("")).alias("computed_zone"))
-    return out.filter((F.col("action") == "skip") | (F.col("computed_zone") == to_zone))
+    return found.select("at.*", "resident_id", F.coalesce(zone, F.lit("")).alias("computed_zone"), reason.alias("reason"), "z")

@@ -47,6 +47,7 @@ WORKFLOWS = {
         Workflow("zone_check", zones.reconcile, ("master", "zones", "current"), "what polygons say about the master's zones"),
         Workflow("zone_enrichment", lambda **o: zones.enrichment(zones.reconcile(**o)), ("master", "zones", "current"), "blank zone fields to fill"),
         Workflow("zone_moves", zones.moves, ("sheet", "master", "zones", "to_zone"), "residents of a copy who stand in another zone"),
+        Workflow("folder_moves", zones.folder_moves, ("sheets", "master", "zones"), "residents of any copy who stand in another copy's zone"),
         Workflow("guarded_writes", live.writes, ("target", "proposals"), "approved cells against the present target"),
         Workflow("guarded_appends", live.appends, ("target", "rows"), "new rows against the present target"),
         Workflow("guarded_deletes", live.deletes, ("target", "ids"), "rows to delete"),
@@ -96,6 +97,7 @@ READS = {
     "zone_check": {"master": ["resident_id", "lon", "lat"], "zones": ["ordinal", "geometry"]},
     "zone_enrichment": {"master": ["resident_id", "lon", "lat"], "zones": ["ordinal", "geometry"]},
     "zone_moves": {"sheet": ["resident_id"], "master": ["resident_id", "lon", "lat"], "zones": ["ordinal", "geometry"]},
+    "folder_moves": {"sheets": ["sheet", "sheet_row", "resident_id", "zone"], "master": ["resident_id", "lon", "lat"], "zones": ["ordinal", "geometry"]},
     "guarded_writes": {"proposals": ["proposal_id", "identity", "column", "incoming", "policy"]},
     "guarded_deletes": {"ids": ["proposal_id", "identity"]},
     "guarded_moves": {"ids": ["proposal_id", "identity"]},

@@ -184,3 +184,24 @@ def test_a_multiset_fingerprint_tells_what_changed(spark):
     assert whole == of(rows[::-1], 3) == of(rows[:3], 1) and whole[0] == 3
     changed = [[("a", "c", "3", True), *rows[1:]], [*rows, ("a", "c", "1", True)], rows[1:], [*rows, ("n", "c", "1", True)]]
     assert len({whole, *map(of, changed)}) == 5 and of([])[0] == 0
+
+
+def test_moves_between_all_sheets_of_a_folder(spark):
+    z = spark.createDataFrame([(i, name, f"c{name}", float(i)) for i, name in enumerate("ABC")], "ordinal int, zone string, contact_name string, x0 double")
+    z = z.select("ordinal", "zone", "contact_name", F.array(F.array(zones.box(F.col("x0"), F.lit(0.0), F.col("x0") + 1, F.lit(1.0)))).alias("geometry"))
+    master = spark.createDataFrame([(2, "1", 0.5, 0.5), (3, "2", 1.5, 0.5), (4, "3", 2.5, 0.5), (5, "4", 9.0, 9.0), (6, "2", 0.5, 0.5), (7, "6", None, 0.5)], "src_row int, resident_id string, lon double, lat double")
+    rows = [("s1", 2, "1", "A", 1.5), ("s1", 3, "2", "A", None), ("s1", 4, "3", "A", None), ("s1", 5, "4", "", None), ("s2", 2, "5", "B", 0.5), ("s2", 3, "6", "B", 0.5), ("s0", 2, "1", "B", None), ("s9", 2, "2", "", None), ("s2", 4, " ", "B", 0.5)]
+    sheets = spark.createDataFrame(rows, "sheet string, sheet_row int, resident_id string, zone string, lon double").withColumn("lat", F.lit(0.5))
+    out = zones.folder_moves(sheets, master, z)
+    got = {(r.sheet, r.sheet_row): (r.action, r.reason, r.from_zone, r.destination, r.contact_name) for r in out.collect()}
+    assert got == {
+        ("s1", 3): ("move", "", "A", "s0", "cB"),  # the first of the two sheets of B; the id's first row on the master counts
+        ("s1", 4): ("skip", "no sheet of this zone", "A", "", ""),
+        ("s1", 5): ("skip", "in no zone", "A", "", ""),
+        ("s2", 2): ("move", "", "B", "s1", "cA"),  # by its own coordinates
+        ("s2", 3): ("skip", "no coordinates", "B", "", ""),  # the master's count where it has the id
+        ("s0", 2): ("move", "", "B", "s1", "cA"),
+        ("s9", 2): ("skip", "sheet without a zone", "", "", ""),
+    }
+    assert {(r.sheet, r.destination, r.reason): r.n for r in zones.move_totals(out).collect()}["s0", "s1", ""] == 1
+    assert zones.folder_moves(sheets.limit(0), master, z).count() == 0
