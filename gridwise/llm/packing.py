@@ -5,7 +5,7 @@ whole sequences first; what remains goes to the fill level that leaves the least
 open sequences at that level. The level array has SIZE + 1 places.
 
 What is open when a task's documents are through is carried on: the pieces in the open sequences of MERGED tasks, and nothing
-else, are shuffled to one, where each is placed anew by the same rule, and so on in rounds until one task is left. (Placed as
+else, are shuffled to one group, where each is placed anew by the same rule, and so on in rounds until one group is left. (Placed as
 whole sequences they would find no fitting level.) Only what is still open there is cut: pieces are joined so that all sequences but the last get full, and the last is cut into runs whose lengths
 are powers of two, which need no padding. ``by_rule`` tells where the rule alone filled a sequence.
 
@@ -117,23 +117,33 @@ class Packer:
 
 
 def _merge(round_: int, last: bool, size: int):
-    """Place the pieces of open sequences anew; the last round cuts what stays open."""
+    """Place the pieces of open sequences anew, those of each ``group`` by themselves; the last round cuts what stays open.
+
+    A task may hold several groups, one after another; each is a part of its own.
+    """
 
     def run(batches):
-        from pyspark import TaskContext
+        group, number, packer = None, 0, Packer(size)
+
+        def done():
+            if last:
+                packer.close()
+            else:
+                packer.carry()
+            return packer.rows((round_ << 24) + group, number)
 
-        part, number, packer = (round_ << 24) + TaskContext.get().partitionId(), 0, Packer(size)
         for batch in batches:
             for x in batch.to_pylist():
+                if x["group"] != group:
+                    if group is not None:
+                        yield done()
+                    group, number, packer = x["group"], 0, Packer(size)
                 packer.place(((x["doc_id"], x["doc_tokens"]), x["start"], np.frombuffer(x["ids"], "<u4")))
             full = len(packer.out)
-            yield packer.rows(part, number)
+            yield packer.rows((round_ << 24) + group, number)
             number += full
-        if last:
-            packer.close()
-        else:
-            packer.carry()
-        yield packer.rows(part, number)
+        if group is not None:
+            yield done()
 
     return run
 
@@ -160,13 +170,15 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID, d
     held = f"{SCHEMA}, ids binary"
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).cast("string").alias("text"))
     now, out, round_ = scratch.table(chosen.mapInArrow(run, held), "packed"), [], 0
+    # Who meets whom is told by the parts' own numbers, not by tasks: Spark may deal a round over any number of these.
+    part = F.shiftright("sequence_id", 32).bitwiseAND((1 << 24) - 1)
     while True:
         out.append(now.filter("by_rule is not null").select(*COLUMNS))
         left = now.filter("by_rule is null")
-        tasks = left.select(F.shiftright("sequence_id", 32).alias("t")).distinct().count()
-        if not tasks:
+        top = left.agg(F.max(part)).first()[0]
+        if top is None:
             break
-        n, round_ = -(-tasks // MERGED), round_ + 1
-        dealt = left.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+        n, round_ = top // MERGED + 1, round_ + 1
+        dealt = left.withColumn("group", F.floor(part / MERGED)).repartition(n, "group").sortWithinPartitions("group", "sequence_id", "offset")
         now = scratch.table(dealt.mapInArrow(_merge(round_, n == 1, size), held), "packed")
     return reduce(DataFrame.unionByName, out)

@@ -1,5 +1,6 @@
 """Ops 7 and 10 and the tokenizer kernel: exact round trips; and the pipeline, stage by stage."""
 
+import random
 import zlib
 
 import numpy as np
@@ -123,6 +124,22 @@ def test_what_tasks_leave_open_is_placed_by_the_rule(spark):
     assert tokens_[True] > 5 * tokens_[False]  # of each task alone, less than half
 
 
+def test_rounds_end_over_any_number_of_tasks(spark, monkeypatch):
+    rows = [(k, prose(random.Random(k), 30 + k % 50)) for k in range(300)]
+    docs, deal, rounds = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(20), type(spark.range(1)).repartition, []
+
+    def wider(df, n, *by):
+        """A cluster that deals by a key over 32 tasks at least."""
+        rounds.append(n)
+        assert len(rounds) < 5
+        return deal(df, max(n, 32), *by)
+
+    monkeypatch.setattr(type(docs), "repartition", wider)
+    pieces = packing.pack(docs, WORDS).collect()
+    assert rounds == [3, 1]
+    assert check_packing(pieces, [(k, [*ids, 2]) for (k, _), ids in zip(rows, plain(WORDS, [t for _, t in rows]), strict=True)]) < 0.01
+
+
 def test_sum_of_squares_level_is_the_best():
     r = np.random.default_rng(3)
     p = packing.Packer(32)
