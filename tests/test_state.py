@@ -33,6 +33,16 @@ def test_later_batches_respect_what_was_taken(spark, tmp_path):
     assert spark.conf.get(folders.ROCKS[0]) != folders.ROCKS[1]  # the session keeps its own store
 
 
+def test_a_batch_is_taken_without_python(spark):
+    batch = spark.createDataFrame([("B", 3, "1", "b"), ("B", 2, "1", "z"), ("B", 2, "1", None), ("A", 9, " 2", "edited"), ("A", 8, "2", "other row"), (None, None, "3", "n"), ("C", 1, "3", "c"), ("C", 2, " ", "no id")], SCHEMA)
+    before = spark.createDataFrame([("2", "A", 9), ("4", "A", 1), ("3", None, None)], "_id string, sheet string, sheet_row int")
+    got = folders.taken(batch, before)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["('A', 9, ' 2', 'edited')", "('B', 2, '1', None)", "(None, None, '3', 'n')"]
+    assert len(folders.taken(batch, None).collect()) == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_a_run_is_undone_by_its_kind(spark, tmp_path):
     path, ledger = f"file://{tmp_path}/t", Ledger(spark, f"file://{tmp_path}/ledger")
     kinds = "src_row int, resident_id string, price double, tags array<string>, note string"
