@@ -191,6 +191,40 @@ def test_one_group_of_very_many_copies(spark):
     assert got == {k: [0] if k else [] for k in range(2000)}
 
 
+def test_union_find_takes_few_stages(spark):
+    """The work of a round is one shuffle, and rows that are left meet: not ten shuffles a round, whatever is left."""
+    pairs = [(k, k + 1) for k in range(60)]
+    random.Random(3).shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(8)
+    spark.sparkContext.setJobGroup("union-find", "stages of the union-find")
+    try:
+        assert {tuple(r) for r in components(edges).collect()} == {(k, 0) for k in range(61)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    assert sum(len(told.getJobInfo(j).stageIds) for j in told.getJobIdsForGroup("union-find")) < 50
+
+
+def test_few_and_many_sets_are_compared_alike(spark):
+    """Small groups are counted at once, larger ones set by set, by bits or by keys: the same pairs as one by one."""
+    r = random.Random(8)
+    texts, at = [], [0]
+    for n in (2, 1, 5, 16, 17, 40, 3):
+        base = prose(r, 30).replace("\n", " ")
+        texts += [changed(r, base, k % 4) for k in range(n)]
+        at.append(len(texts))
+    keys, begin = lines.shingles(*text.flat(pa.array(texts)))
+    sets = [set(keys[a:b].tolist()) for a, b in itertools.pairwise(begin.tolist())]
+    x, y = minhash.few_linked(keys, begin, np.array(at), 0.8)
+    small = [(a + i, a + j) for a, b in itertools.pairwise(at) if b - a <= minhash.FEW for i, j in similar(sets[a:b])]
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(small) and small
+    once = minhash.distinct_sets(keys, begin)
+    wide = minhash.distinct_sets(np.concatenate((keys, np.repeat(np.arange(9000, dtype=np.uint64), 2))), np.append(begin, [begin[-1] + 9000, begin[-1] + 18000]))
+    for got in (once, wide):
+        pairs = {(i, j) for i, others in minhash.linked(got, np.zeros(len(got[1]) - 1, np.int64), False, 0.8) for j in others.tolist() if i < j and j < len(texts)}
+        assert pairs == set(similar(sets))
+
+
 def test_lines_query_on_the_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     gone, texts = expected_lines(rows), dict(rows)
