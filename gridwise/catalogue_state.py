@@ -52,10 +52,12 @@ def _typed(spark, sf_dir):
 @query(f"with {_LISTED}, kept as (select * from typed where src_row % 5 <> 0), back as (select * replace (cast((select max(src_row) from kept) + row_number() over (order by resident_id) as int) as src_row) from typed where src_row % 5 = 0) select {_SHOWN} from (select * from kept union all select * from back) t")
 def typed_rows_deleted_and_restored(spark, sf_dir):
     rows = _typed(spark, sf_dir)
-    plan = live.deletes(rows, rows.filter("src_row % 5 = 0").select(F.col("src_row").alias("proposal_id"), F.col("resident_id").alias("identity")))
-    left = live.deleted(rows, plan)
+    # What later steps read more than once is written, so no step's tasks hold the sorts of those before it.
+    plan = working.table(live.deletes(rows, rows.filter("src_row % 5 = 0").select(F.col("src_row").alias("proposal_id"), F.col("resident_id").alias("identity"))), "plan")
+    left = working.table(live.deleted(rows, plan), "left")
     snaps = plan.filter("action = 'delete'").select(F.col("proposal_id").alias("snapshot_id"), "identity", F.col("row").alias("cells"))
-    back = live.restore_rows(left, snaps).filter("action = 'append'").select("snapshot_id", "identity", "action").join(snaps.drop("identity"), "snapshot_id")
+    restored = working.table(live.restore_rows(left, snaps).filter("action = 'append'").select("snapshot_id", "identity", "action"), "restored")
+    back = working.table(restored.join(snaps.drop("identity"), "snapshot_id"), "back")
     return live.appended(left, back, by="identity").select("resident_id", "src_row", "price", F.col("day").cast("string").alias("day"), "big", F.array_join("tags", "|").alias("tags"), "note")
 
 

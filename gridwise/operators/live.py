@@ -18,9 +18,11 @@ from . import guard, pull
 
 def _state(target: DataFrame, key: str, order: str, asked: DataFrame) -> DataFrame:
     """identity, n, row: how many rows have an identity that is asked for, and the first of them as a map of texts."""
-    cells = F.create_map(*[x for c in target.columns for x in (F.lit(c), V.encoded(F.col(c), target.schema[c].dataType))])
     rows = target.withColumn("_identity", V.identity(F.col(key))).join(asked.select(F.col("identity").alias("_identity")).filter("_identity <> ''").distinct(), "_identity", "left_semi")
-    return rows.select(F.col("_identity").alias("identity"), F.col(order).alias("o"), cells.alias("cells")).groupBy("identity").agg(F.count("*").alias("n"), F.min_by("cells", "o").alias("row"))
+    # Rows are grouped as they are; as maps of texts they are several times as long.
+    first = rows.select(F.col("_identity").alias("identity"), F.col(order).alias("o"), F.struct(*[F.col(c) for c in target.columns]).alias("cells")).groupBy("identity").agg(F.count("*").alias("n"), F.min_by("cells", "o").alias("cells"))
+    texts = F.create_map(*[x for f in target.schema for x in (F.lit(f.name), V.encoded(F.col("cells").getField(f.name), f.dataType))])
+    return first.select("identity", "n", F.when(F.col("cells").isNotNull(), texts).alias("row"))
 
 
 def _with_again(named: DataFrame, order: str, *by: str) -> DataFrame:

@@ -229,3 +229,13 @@ def test_edges_as_rows_say_what_the_plain_ray_cast_says(spark):
     p = spark.createDataFrame([*at, (7, 1.0, 1.0), (7, 1.0, 1.0), (8, None, 1.0)], "k int, lon double, lat double")
     plain, by_rows = (sorted(tuple(x) for x in df.collect()) for df in (zones.hits(p, z).select("k", "z.ordinal"), zones.edge_hits(p, zones.edges(z)).select("k", "ordinal")))
     assert plain == by_rows and len(plain) > 400
+
+
+def test_state_is_grouped_as_rows_not_as_maps_of_texts(spark):
+    """What is sorted and grouped by identity is the rows themselves; texts are made of the one row that is left."""
+    target = spark.createDataFrame([("R1", 3, 1.5), ("R1", 2, None), ("R2", 4, 2.5)], "resident_id string, src_row int, price double")
+    plan = live.deletes(target, spark.createDataFrame([(1, "R1"), (2, "R2"), (3, "R3")], "proposal_id int, identity string"))
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in shown[shown.index("min_by") :] and "map(" in shown
+    got = {r["identity"]: (r["action"], r["row"]) for r in plan.collect()}
+    assert got == {"R1": ("skip", {"resident_id": "R1", "src_row": "2", "price": None}), "R2": ("delete", {"resident_id": "R2", "src_row": "4", "price": "2.5"}), "R3": ("skip", None)}
