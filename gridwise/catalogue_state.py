@@ -68,11 +68,11 @@ def typed_cells_written_and_reverted(spark, sf_dir):
     k = F.col("src_row") % 4
     named = F.struct(F.when(k == 0, "price").when(k == 1, "tags").when(k == 2, "day").alias("column"), F.when(k == 0, "1.5").when(k == 1, '["a","\\"b\\""]').otherwise("2020-02-29").alias("incoming"))
     asked = rows.select(F.col("src_row").alias("proposal_id"), F.col("resident_id").alias("identity"), named.alias("c"), F.lit("overwrite").alias("policy")).filter("c.column is not null").select("proposal_id", "identity", "c.*", "policy")
-    plan = live.writes(rows, asked).filter(F.col("action").isin("fill", "overwrite")).withColumn("will_write", F.lit(True))
-    after = fill.apply(rows, plan, "resident_id")
+    plan = working.table(live.writes(rows, asked).filter(F.col("action").isin("fill", "overwrite")).withColumn("will_write", F.lit(True)), "plan")
+    after = working.table(fill.apply(rows, plan, "resident_id"), "after")
     snaps = plan.select(F.col("proposal_id").alias("snapshot_id"), "identity", "column", F.col("existing").alias("before"), F.col("incoming").alias("after"))
-    undone = live.revert_cells(after, snaps).filter("action = 'restore'").select("identity", "column", F.col("before").alias("incoming"), F.lit(True).alias("will_write"))
-    back = fill.apply(after, undone, "resident_id")
+    undone = working.table(live.revert_cells(after, snaps).filter("action = 'restore'").select("identity", "column", F.col("before").alias("incoming"), F.lit(True).alias("will_write")), "undone")
+    back = working.table(fill.apply(after, undone, "resident_id"), "back")
     shown = lambda df, end: df.select("resident_id", F.col("price").alias(f"price{end}"), F.array_join("tags", "|").alias(f"tags{end}"), F.col("day").cast("string").alias(f"day{end}"))
     return shown(back, "").join(shown(after, "_written"), "resident_id")
 
