@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text
+from .workers import lean
 
 LABELLED = 4000
 ROUNDS, PER_ROUND = 5, 200
@@ -227,7 +228,7 @@ def _moments(every: DataFrame, pages: Pages, telling: np.ndarray) -> list[Scaler
             for k, v in enumerate((x, pages(rows))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(v.shape[1], k), pa.int32()), pa.array(np.arange(v.shape[1]), pa.int32()), pa.array(np.full(v.shape[1], float(len(v)))), pa.array(v.sum(0)), pa.array((v**2).sum(0))], ["view", "at", "n", "s", "q"])
 
-    got = every.mapInArrow(add, "view int, at int, n double, s double, q double").groupBy("view", "at").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas().sort_values("at")  # a row for each feature
+    got = every.mapInArrow(lean(add), "view int, at int, n double, s double, q double").groupBy("view", "at").agg(*(F.sum(c).alias(c) for c in "nsq")).toPandas().sort_values("at")  # a row for each feature
     out = []
     for k in (0, 1):
         n, s, q = (got.loc[got["view"] == k, c].to_numpy() for c in "nsq")
@@ -254,7 +255,7 @@ def _confident(every: DataFrame, model: Model, taken: list[set[int]], most: tupl
         for (k, good), x in found.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), pa.array(np.full(len(x), good), pa.int32()), pa.array(x["doc_id"].to_numpy()), pa.array(x["rank"].to_numpy())], ["view", "good", "doc_id", "rank"])
 
-    sure = scratch.table(free.mapInArrow(best, "view int, good int, doc_id bigint, rank double"), "confident")
+    sure = scratch.table(free.mapInArrow(lean(best), "view int, good int, doc_id bigint, rank double"), "confident")
     tops = [sure.filter((F.col("view") == k) & (F.col("good") == good)).groupBy("view", "good", "doc_id").agg(F.min("rank").alias("rank")).orderBy("rank", "doc_id").limit(most[good]) for k in (0, 1) for good in (0, 1)]
     top = [(r["view"], r["good"], r["doc_id"]) for r in reduce(DataFrame.unionByName, tops).collect()]  # about 2 * PER_ROUND rows
     scratch.drop(sure)
@@ -304,7 +305,7 @@ def _telling(plain: DataFrame, known: DataFrame, n: int) -> np.ndarray:
                     words = pd.DataFrame({"h": h, "y": own})[own >= 0].groupby(["h", "y"]).size().reset_index(name="n")
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), k), pa.int32()), pa.array(words["h"].to_numpy(np.int64)), pa.array(words["y"].to_numpy(np.int32)), pa.array(words["n"].to_numpy(np.int64))], ["target", "h", "y", "n"])
 
-    counts = read.select("doc_id", "text", *names).mapInArrow(split, "target int, h bigint, y int, n bigint")
+    counts = read.select("doc_id", "text", *names).mapInArrow(lean(split), "target int, h bigint, y int, n bigint")
     per = counts.groupBy("target", "h").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("double").alias("b")).filter(F.col("a") + F.col("b") >= LEAST_DOCS)
     words = scratch.table(per, "words")
     total = read.agg(*[F.count_if(F.col(c) == y).alias(f"{c}_{y}") for c in names for y in (0, 1)]).first()
@@ -336,7 +337,7 @@ def fit_all(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], names:
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.ListArray.from_arrays(cut, pa.array(x.ravel())), bits], ["doc_id", *meta, "x", "w"])
 
     kinds = ", ".join(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in meta)
-    features = plain.mapInArrow(extract, f"doc_id bigint, {kinds + ', ' if meta else ''}x array<double>, w binary")
+    features = plain.mapInArrow(lean(extract), f"doc_id bigint, {kinds + ', ' if meta else ''}x array<double>, w binary")
     labelled_as = [F.coalesce(f"label{k}", F.lit(-1)).alias(f"label{k}") for k in range(len(targets))]
     every = scratch.table(features.join(known, "doc_id", "left").select("doc_id", *meta, "x", "w", *labelled_as), "features")
     values = {c: sorted(str(r[0]) for r in every.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES).collect()) for c in names}
@@ -385,7 +386,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
                 got = verdict(buf, offsets, pages.iloc[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, got)], ["doc_id", "text_score", "page_score", "score", "toxic_score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta).mapInArrow(score, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta).mapInArrow(lean(score), SCHEMA)
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fitting) -> DataFrame:
@@ -399,4 +400,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fit
             for a, b, buf, offsets in text.slices(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(verdict(buf, offsets, pages.iloc[a:b])[-1]))
 
-    return docs.mapInArrow(chosen, docs.schema)
+    return docs.mapInArrow(lean(chosen), docs.schema)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, sieve, text
 from .components import SALTS
+from .workers import lean
 
 # Positions that count (1) in each window.
 MASKS = ("111011001101", "110101110011", "101110011011", "110011101101", "11111111")
@@ -122,7 +123,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
                 words = [h[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words, pa.binary())], ["item_id", "words"])
 
-    found = known.select("item_id", "text").mapInArrow(hashed, "item_id bigint, words binary").filter("length(words) > 0")
+    found = known.select("item_id", "text").mapInArrow(lean(hashed), "item_id bigint, words binary").filter("length(words) > 0")
     return scratch.table(found.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
@@ -201,9 +202,9 @@ def _verify(batches):
 def _found(plain: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(key and the columns of SCHEMA, tables that it reads). ``plain``: key (a hash of doc_id and text), id, text."""
     items = _items(benchmark)
-    asked = scratch.table(items.select("item", "words").mapInArrow(_item_windows, WINDOW).withColumnsRenamed({"key": "item", "at": "item_at", "run": "item_run"}), "item-windows")
+    asked = scratch.table(items.select("item", "words").mapInArrow(lean(_item_windows), WINDOW).withColumnsRenamed({"key": "item", "at": "item_at", "run": "item_run"}), "item-windows")
     bits = sieve.make(asked, "h")
-    probes = plain.select("key", "text").filter("text is not null").mapInArrow(_probe(bits), WINDOW)
+    probes = plain.select("key", "text").filter("text is not null").mapInArrow(lean(_probe(bits)), WINDOW)
     probes = scratch.table(probes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "probes")
     salts = probes.groupBy("h").agg(F.collect_set("salt").alias("salts"))  # SALTS at most
     dealt = asked.join(salts, "h").select("h", F.explode("salts").alias("salt"), "item", "item_at", "item_run")
@@ -214,7 +215,7 @@ def _found(plain: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[Data
     scratch.drop(asked, probes, items)
     near = plain.filter(sieve.may_have(sieve.make(hits, "key"), F.col("key")))
     rows = near.join(hits.hint("merge"), "key").select("key", "id", "text", "items")
-    return rows.mapInArrow(_verify, f"key bigint, {SCHEMA}"), [hits]
+    return rows.mapInArrow(lean(_verify), f"key bigint, {SCHEMA}"), [hits]
 
 
 def _plain(docs: DataFrame) -> list:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import minhash, scratch, text
 from .components import with_least
+from .workers import lean
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BANDS, ROWS = minhash.bands(THRESHOLD, RECALL, 5)
@@ -78,10 +79,10 @@ def _pack(bits: int):
 def _classes(docs: DataFrame, with_rows: bool) -> tuple[DataFrame | None, DataFrame]:
     """(doc_id, digest) of all rows, if asked for; (digest, class_id, links, copies, class) of all texts. Written tables."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = scratch.table(plain.mapInArrow(_sign, "doc_id bigint, digest binary, weight bigint, bands binary"), "signed")
+    signed = scratch.table(plain.mapInArrow(lean(_sign), "doc_id bigint, digest binary, weight bigint, bands binary"), "signed")
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("weight").alias("weight"), F.max("bands").alias("bands"))
     nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
-    packed = nodes.filter("bands is not null").select("node", "bands").mapInArrow(_pack(minhash.part_bits(docs.sparkSession)), minhash.PACKED)
+    packed = nodes.filter("bands is not null").select("node", "bands").mapInArrow(lean(_pack(minhash.part_bits(docs.sparkSession))), minhash.PACKED)
     rows = scratch.table(signed.select("doc_id", "digest"), "rows") if with_rows else None
     scratch.drop(signed)
     coarse = minhash.candidates(packed)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens
 from .content_store import with_end
+from .workers import lean
 
 SIZE = 4096
 END_ID = 2
@@ -169,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID, d
 
     held = f"{SCHEMA}, ids binary"
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).cast("string").alias("text"))
-    now, out, round_ = scratch.table(chosen.mapInArrow(run, held), "packed"), [], 0
+    now, out, round_ = scratch.table(chosen.mapInArrow(lean(run, encoding=True), held), "packed"), [], 0
     # Who meets whom is told by the parts' own numbers, not by tasks: Spark may deal a round over any number of these.
     part = F.shiftright("sequence_id", 32).bitwiseAND((1 << 24) - 1)
     while True:
@@ -180,5 +181,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID, d
             break
         n, round_ = top // MERGED + 1, round_ + 1
         dealt = left.withColumn("group", F.floor(part / MERGED)).repartition(n, "group").sortWithinPartitions("group", "sequence_id", "offset")
-        now = scratch.table(dealt.mapInArrow(_merge(round_, n == 1, size), held), "packed")
+        now = scratch.table(dealt.mapInArrow(lean(_merge(round_, n == 1, size)), held), "packed")
     return reduce(DataFrame.unionByName, out)

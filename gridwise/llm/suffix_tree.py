@@ -23,7 +23,6 @@ each; with an empty training set c and N are 0; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 import zlib
 from collections import defaultdict
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, scratch, text
+from .workers import give_back
 
 DEPTH = 3
 MIN_CONTEXT, MIN_NEXT, MIN_DIVERGENCE, MU = 32, 4, 0.05, 1.0
@@ -209,14 +209,6 @@ def _each(of_row):
     return run
 
 
-def give_back() -> None:
-    """Return freed memory to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray | None, k: int = 0) -> pa.RecordBatch:
     """Rows of SENT; ``keys`` are sorted. Parts of contexts of length ``k`` come after those of shorter ones."""
     parts = (keys >> np.uint64(64 - bits)).astype(np.int32) + np.int32(k << bits)
