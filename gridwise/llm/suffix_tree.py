@@ -13,7 +13,8 @@ How it runs: texts are coded in blocks of about ``BLOCK_BYTES``, kept as a table
 them without a shuffle. A pass counts the n-grams of one length: every block sends each distinct n-gram once, with its
 count, to the part of its hash; the part adds up and answers every block. A block sends an n-gram only if both its
 (n-1)-grams are frequent enough, which the pass before told it. One more pass adds up divergences by context and answers what
-is listed at the retained ones. Answers are shuffled once, into tables bucketed like the blocks. No vocabulary
+is listed at the retained ones; there a context is known by its rank among its part's, which came with its count, and what an
+n-gram adds is sent by the first block that holds it alone. Answers are shuffled once, into tables bucketed like the blocks. No vocabulary
 or model is broadcast or collected: a task holds a block and the answers about its own n-grams, or a part. N-grams are
 known by 64-bit hashes.
 
@@ -45,7 +46,7 @@ ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.
 END = np.uint64(0x5EED0FE2D0C5AB1E)
 BLOCK = "block bigint, ids array<bigint>, held binary, first binary, codes binary, words binary"
 SENT = "part int, block bigint, keys binary, counts binary, sums binary"
-ANSWER = "block bigint, part int, counts binary, totals binary"
+ANSWER = "block bigint, part int, counts binary, ranks binary, first binary, totals binary"
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 #: Of the answer with the totals over all words.
 ALL = -1
@@ -76,6 +77,15 @@ def unplanes_of_keys(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
+def ranked(ranks: np.ndarray) -> bytes:
+    """Ascending numbers, as steps."""
+    return planes(np.diff(ranks, prepend=ranks.dtype.type(0)))
+
+
+def unranked(b: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(b), dtype=np.uint64)
+
+
 def _encode(batches):
     from pyspark import TaskContext
 
@@ -122,13 +132,19 @@ class Block:
         self.place = np.arange(len(self.codes)) - np.repeat(self.first[:-1], size)
         self.train = np.repeat(~self.held, size)
         self.told = defaultdict(lambda: np.zeros(0, np.uint32))  # where a block had nothing to ask
+        self.numbers, self.firsts = defaultdict(lambda: np.zeros(0, np.uint64)), defaultdict(lambda: np.zeros(0, bool))
         for name, parts in row.items():
             if name.startswith("told") and parts:
                 parts.sort(key=lambda x: x["part"])
-                self.told[int(name[4:])] = np.concatenate([unplanes(x["counts"]) for x in parts])
+                counts, level = [unplanes(x["counts"]) for x in parts], int(name[4:])
+                self.told[level] = np.concatenate(counts)
+                if level < CONTEXTS:
+                    self.numbers[level] = np.concatenate([unranked(x["ranks"]) + np.uint64(x["part"] << 32) for x in parts])
+                    self.firsts[level] = np.concatenate([np.unpackbits(np.frombuffer(x["first"], np.uint8), count=len(c)).view(bool) for x, c in zip(parts, counts, strict=True)])
                 parts.clear()
         word = self.words[self.codes]
         self.keys, self.totals = {1: word}, {}
+        self.ids, self.own = {}, {}
         self.word = word
         if 1 in self.told:
             self.totals[1] = self.told[1][self.codes]  # a block has a word at least, its end
@@ -148,30 +164,47 @@ class Block:
         return at, distinct, code
 
     def learn(self, upto: int) -> None:
-        """Put in place the totals of all lengths up to ``upto``."""
-        for k in range(2, upto + 1):
-            at, _, code = self.grams(k)
-            self.totals[k] = np.zeros(len(self.codes), np.uint32)
-            self.totals[k][at] = self.told.pop(k)[code] if len(at) else 0
+        """Put in place the totals of all lengths up to ``upto``; with all of them, also the contexts' numbers, and a place of
+        each n-gram that this block is the first to hold."""
+        for k in range(1 if upto > DEPTH else 2, upto + 1):
+            at, distinct, code = self.grams(k)
+            told = self.told.pop(k) if len(at) else np.zeros(0, np.uint32)
+            if k > 1:
+                self.totals[k] = np.zeros(len(self.codes), np.uint32)
+                self.totals[k][at] = told[code]
+            if upto > DEPTH:
+                if k <= DEPTH:
+                    number = np.zeros(len(distinct), np.uint64)
+                    number[told >= self.min_context] = self.numbers.pop(k) if len(at) else 0
+                    self.ids[k] = np.zeros(len(self.codes), np.uint64)
+                    self.ids[k][at] = number[code]
+                place = np.zeros(len(distinct), np.int64)
+                place[code[::-1]] = at[::-1]
+                self.own[k] = place[self.firsts.pop(k)] if len(at) else place
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions of the word after it, distinct keys, numbers) of candidate contexts of length k."""
+        """(positions of the word after it, distinct numbers, which of these) of candidate contexts of length k."""
         alive = self.place >= k
         alive[1:] &= self.totals[k][:-1] >= self.min_context
         at = np.flatnonzero(alive)
-        distinct, code = np.unique(text.mix(self.keys[k][at - 1] + np.uint64(k)), return_inverse=True)
+        distinct, code = np.unique(self.ids[k][at - 1], return_inverse=True)
         return at, distinct, code
 
     def divergences(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, listed occurrences, summed log ratios less what all occurrences ask) of this block's training tokens after
-        contexts of length k. Over all blocks a sum of 0 or more retains the context."""
+        """(numbers, listed occurrences, summed log ratios less what all occurrences ask) of contexts of length k, of the
+        n-grams that this block is the first to hold. Over all blocks a sum of 0 or more retains the context."""
         at, distinct, code = self.contexts(k)
-        listed = self.train[at] & (self.totals[k + 1][at] >= self.min_next)
-        i, c = at[listed], code[listed]
+        which = np.zeros(len(self.codes), np.int64)
+        which[at] = code
+        i = self.own[k + 1]
+        i = i[self.totals[k + 1][i] >= self.min_next]
+        times = self.totals[k + 1][i]
         shorter = self.totals[k - 1][i - 1] if k > 1 else n
-        ratio = np.log(self.totals[k + 1][i] / self.totals[k][i - 1]) - np.log(self.totals[k][i] / shorter)
-        asked = MIN_DIVERGENCE * np.bincount(code[self.train[at]], minlength=len(distinct))
-        return distinct, np.bincount(c, minlength=len(distinct)), np.bincount(c, ratio, minlength=len(distinct)) - asked
+        ratio = times * (np.log(times / self.totals[k][i - 1]) - np.log(self.totals[k][i] / shorter))
+        j = self.own[k]
+        j = j[(self.totals[k][j] >= self.min_context) & (self.word[j] != END)]  # nothing follows an end
+        asked = MIN_DIVERGENCE * np.bincount(which[j + 1], self.totals[k][j], minlength=len(distinct))
+        return distinct, np.bincount(which[i], times, minlength=len(distinct)), np.bincount(which[i], ratio, minlength=len(distinct)) - asked
 
     def probabilities(self, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
         """Base and model probability of each token."""
@@ -210,11 +243,13 @@ def _each(of_row):
 
 
 def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray | None, k: int = 0) -> pa.RecordBatch:
-    """Rows of SENT; ``keys`` are sorted. Parts of contexts of length ``k`` come after those of shorter ones."""
-    parts = (keys >> np.uint64(64 - bits)).astype(np.int32) + np.int32(k << bits)
+    """Rows of SENT; ``keys`` are sorted. Of contexts of length ``k`` (with ``sums``) they are the numbers (part, rank there) that
+    their counts came with; parts of contexts come after those of shorter ones."""
+    parts = (keys >> np.uint64(32 if k else 64 - bits)).astype(np.int32) + np.int32(k << bits)
+    coded = (lambda x: ranked(x & np.uint64(0xFFFFFFFF))) if k else key_planes
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, np.int64)
     cut = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
-    return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), pa.array(np.full(len(at), number)), pa.array([key_planes(keys[a:b]) for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "block", "keys", "counts", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), pa.array(np.full(len(at), number)), pa.array([coded(keys[a:b]) for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "block", "keys", "counts", "sums"])
 
 
 def _ask(bits: int, level: int, n: int = 0):
@@ -234,10 +269,11 @@ def _ask(bits: int, level: int, n: int = 0):
     return _each(sends)
 
 
-def _add_up(totals: bool):
+def _add_up(level: int):
     def part(rows: list[dict]) -> pa.RecordBatch:
         rows.sort(key=lambda x: x["block"])
-        keys = np.concatenate([unplanes_of_keys(x["keys"]) for x in rows])
+        each = [(unplanes_of_keys if level < CONTEXTS else unranked)(x["keys"]) for x in rows]
+        keys = np.concatenate(each)
         counts = np.concatenate([unplanes(x["counts"]) for x in rows]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         new = np.ones(len(keys), bool)
@@ -248,16 +284,21 @@ def _add_up(totals: bool):
         sums = np.concatenate([np.frombuffer(x["sums"], np.float64) for x in rows])
         if len(sums):
             total[np.add.reduceat(sums[order], starts) < 0] = 0
-        ends = np.cumsum([len(x["keys"]) // 8 for x in rows])
-        out = [[], [], [], []]
-        for x, b in zip(rows, ends.tolist(), strict=True):
-            own = group[b - len(x["keys"]) // 8 : b]
-            for c, y in zip(out, (x["block"], x["part"], planes(total[own]), b""), strict=True):
+        first = np.zeros(len(keys), bool)
+        first[order[starts]] = True  # of equal keys that of the least block
+        often = total >= least_counts(0)[0]
+        rank = np.cumsum(often) - 1
+        out, b = [[], [], [], [], [], []], 0
+        for x, mine in zip(rows, each, strict=True):
+            a, b = b, b + len(mine)
+            own = group[a:b]
+            ranks = ranked(rank[own][often[own]]) if level <= DEPTH else b""
+            for c, y in zip(out, (x["block"], x["part"], planes(total[own]), ranks, np.packbits(first[a:b]).tobytes() if level < CONTEXTS else b"", b""), strict=True):
                 c.append(y)
-        if totals:
-            for c, y in zip(out, (ALL, rows[0]["part"], b"", np.array([total.sum(), (total > 0).sum()], float).tobytes()), strict=True):
+        if level == 1:
+            for c, y in zip(out, (ALL, rows[0]["part"], b"", b"", b"", np.array([total.sum(), (total > 0).sum()], float).tobytes()), strict=True):
                 c.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["block", "part", "counts", "totals"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])], ["block", "part", "counts", "ranks", "first", "totals"])
 
     def run(batches):
         for rows in minhash.groups(batches, 1):
@@ -303,8 +344,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
         return every
 
     def ask(level: int, n: int = 0) -> None:
-        added = told().mapInArrow(_ask(bits, level, n), SENT).repartition("part").sortWithinPartitions("part").mapInArrow(_add_up(level == 1), ANSWER)
-        lists = added.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "totals")).alias("told"))
+        added = told().mapInArrow(_ask(bits, level, n), SENT).repartition("part").sortWithinPartitions("part").mapInArrow(_add_up(level), ANSWER)
+        lists = added.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "ranks", "first", "totals")).alias("told"))
         answers[level] = bucketed(lists, f"level{level}")
 
     ask(1)

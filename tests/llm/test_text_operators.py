@@ -456,3 +456,11 @@ def test_cotraining_query_on_held_out_labels(spark):
     got = cotraining.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), half).collect()
     right = [r["kept"] == bool(labels[r["doc_id"]]) for r in got if r["doc_id"] in labels and r["doc_id"] % 2 == 0]
     assert sum(right) / len(right) > 0.93
+
+
+def test_suffix_tree_sends_contexts_by_rank():
+    ids = (np.uint64(3) << np.uint64(32)) + np.array([2, 5, 700], np.uint64)
+    sent = suffix_tree._send(8, 1, ids, np.zeros(3), np.zeros(3), 2).to_pylist()
+    assert [x["part"] for x in sent] == [3 + (2 << 8)]
+    assert suffix_tree.unranked(sent[0]["keys"]).tolist() == [2, 5, 700]
+    assert len(sent[0]["keys"]) == 12  # 24 as hashes

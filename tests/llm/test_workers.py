@@ -33,7 +33,7 @@ def test_freed_memory_goes_back_after_the_last_batch():
     before = held()
     batch = pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
     assert list(workers.lean(pieces)([batch, batch])) == [batch, batch]
-    assert held() - before < 100  # 256 MB without
+    assert held() - before < 100  # 244 without
 
 
 def test_a_tokenizer_stays_open_for_its_own_tasks_only():
