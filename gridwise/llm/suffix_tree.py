@@ -11,12 +11,14 @@ The longest retained context at each token scores it; its shorter retained suffi
 
 How it runs: texts are coded in blocks of about ``BLOCK_BYTES``, kept as a table bucketed by block, so later passes read
 them without a shuffle. A pass counts the n-grams of one length: every block sends each distinct n-gram once, with its
-count, to the part of its hash; the part adds up and answers every block. A block sends an n-gram only if both its
-(n-1)-grams are frequent enough, which the pass before told it. One more pass adds up divergences by context and answers what
-is listed at the retained ones; there a context is known by its rank among its part's, which came with its count, and what an
-n-gram adds is sent by the first block that holds it alone. Answers are shuffled once, into tables bucketed like the blocks. No vocabulary
-or model is broadcast or collected: a task holds a block and the answers about its own n-grams, or a part. N-grams are
-known by 64-bit hashes.
+count, to a part; the part adds up and answers every block. A block sends an n-gram only if both its (n-1)-grams are frequent
+enough, which the pass before told it. Words are known by 64-bit hashes, whose leading bits are their part. With its count a
+frequent one gets its rank among its part's, and from then on goes by part and rank: the blocks are written again without
+hashes. A longer n-gram is known by the part and rank of what precedes its last word and by those of that word; the sum of
+both parts is its own, so one of them needn't be sent. Counts that no later step asks for are answered as 0. One more
+pass adds up divergences by context, known by part and rank, and answers what is listed at the retained ones; what an n-gram
+adds is sent by the first block that holds it alone. Answers are shuffled once, into tables bucketed like the blocks. No
+vocabulary or model is broadcast or collected: a task holds a block and the answers about its own n-grams, or a part.
 
 Defined results: a null text is empty (the end alone); a null doc_id is trained on; repeated rows count and are scored
 each; with an empty training set c and N are 0; an empty table gives no rows; other columns are not read.
@@ -77,6 +79,20 @@ def unplanes_of_keys(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
 
 
+def stepped(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as steps, in as many bytes each as the largest needs: that number, then all last bytes first."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    size = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([size]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def unstepped(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : b[0]] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def ranked(ranks: np.ndarray) -> bytes:
     """Ascending numbers, as steps."""
     return planes(np.diff(ranks, prepend=ranks.dtype.type(0)))
@@ -95,7 +111,7 @@ def _encode(batches):
     def block():
         words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
         n = np.array([len(x) for x in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([[y for x in ids for y in x]], pa.list_(pa.int64())), pa.array([np.concatenate([x[1] for x in held]).tobytes()]), pa.array([np.concatenate(([0], np.cumsum(np.concatenate([x[0] for x in held])))).astype(np.int64).tobytes()]), pa.array([codes.astype(np.int32).tobytes()]), pa.array([words.tobytes()])], ["block", "ids", "held", "first", "codes", "words"]) if len(n) else None
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([[y for x in ids for y in x]], pa.list_(pa.int64())), pa.array([np.concatenate([x[1] for x in held]).tobytes()]), pa.array([np.concatenate(([0], np.cumsum(np.concatenate([x[0] for x in held])))).astype(np.int64).tobytes()]), pa.array([codes.astype(np.int32).tobytes()]), pa.array([key_planes(words)])], ["block", "ids", "held", "first", "codes", "words"]) if len(n) else None
 
     for batch in batches:
         for a, b, buf, offsets in text.slices(batch.column(1)):
@@ -119,18 +135,39 @@ def _encode(batches):
         yield block()
 
 
+def _least_of_ranked(level: int) -> int:
+    """How often words or n-grams occur that get a rank: as a next word, or as a context."""
+    return least_counts(0)[1 if level == 1 else 0]
+
+
+def _joined(before: np.ndarray, word: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Keys of n-grams from the numbers (part, rank there) of what precedes the last word and of that word. The leading bits are the
+    part, the sum of both; what follows tells rank and part of the former and the rank of the word, so the word's part too."""
+    rank, low = np.uint64(0xFFFFFFFF), np.uint64(32)
+    if len(before) and int((before & rank).max()).bit_length() + bits + width > 64 - bits:
+        raise OverflowError("too many contexts in a part: raise spark.sql.shuffle.partitions")
+    part = ((before >> low) + (word >> low)) & np.uint64((1 << bits) - 1)
+    rest = ((before & rank) << np.uint64(bits) | before >> low) << np.uint64(width) | word & rank
+    return part << np.uint64(64 - bits) | rest
+
+
 class Block:
-    """A block's tokens, and what the passes so far have told about its n-grams (by position of their last word)."""
+    """A block's tokens, and what the passes so far have told about its n-grams (by position of their last word).
 
-    def __init__(self, row: dict, n: int) -> None:
+    ``bits`` tell a part; ``width`` is how many bits the ranks of words need."""
+
+    def __init__(self, row: dict, n: int, bits: int = 8, width: int = 32) -> None:
         self.min_context, self.min_next = least_counts(n)
+        self.bits, self.width = bits, width
         self.first = np.frombuffer(row["first"], np.int64)
         self.codes = np.frombuffer(row["codes"], np.int32)
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.words = unplanes_of_keys(row["words"]) if "words" in row else None  # until they are counted
         self.held = np.frombuffer(row["held"], bool)
         size = np.diff(self.first)
         self.place = np.arange(len(self.codes)) - np.repeat(self.first[:-1], size)
         self.train = np.repeat(~self.held, size)
+        self.ends = np.zeros(len(self.codes), bool)
+        self.ends[self.first[1:] - 1] = True
         self.told = defaultdict(lambda: np.zeros(0, np.uint32))  # where a block had nothing to ask
         self.numbers, self.firsts = defaultdict(lambda: np.zeros(0, np.uint64)), defaultdict(lambda: np.zeros(0, bool))
         for name, parts in row.items():
@@ -140,47 +177,37 @@ class Block:
                 self.told[level] = np.concatenate(counts)
                 if level < CONTEXTS:
                     self.numbers[level] = np.concatenate([unranked(x["ranks"]) + np.uint64(x["part"] << 32) for x in parts])
-                    self.firsts[level] = np.concatenate([np.unpackbits(np.frombuffer(x["first"], np.uint8), count=len(c)).view(bool) for x, c in zip(parts, counts, strict=True)])
+                    self.firsts[level] = np.concatenate([np.unpackbits(np.frombuffer(x["first"], np.uint8), count=np.count_nonzero(c >= self.min_next)).view(bool) for x, c in zip(parts, counts, strict=True)])
                 parts.clear()
-        word = self.words[self.codes]
-        self.keys, self.totals = {1: word}, {}
-        self.ids, self.own = {}, {}
-        self.word = word
-        if 1 in self.told:
-            self.totals[1] = self.told[1][self.codes]  # a block has a word at least, its end
-
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.totals, self.ids, self.own = {}, {}, {}
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """(positions, distinct keys, number of each position's key) of the n-grams of length k that are asked about."""
         if k == 1:
             return np.arange(len(self.codes)), self.words, self.codes
         alive = self.place >= k - 1
         alive[1:] &= (self.totals[k - 1][:-1] >= self.min_context) & (self.totals[k - 1][1:] >= self.min_next)
         at = np.flatnonzero(alive)
-        keys = text.mix(self.keys[k - 1][at - 1] * np.uint64(0x9E3779B97F4A7C15) + self.word[at])
-        distinct, code = np.unique(keys, return_inverse=True)
-        if k <= DEPTH:
-            self.keys[k] = np.zeros(len(self.codes), np.uint64)
-            self.keys[k][at] = keys
-        return at, distinct, code
+        keys = _joined(self.ids[k - 1][at - 1], self.ids[1][at], self.bits, self.width)
+        return at, *np.unique(keys, return_inverse=True)
 
     def learn(self, upto: int) -> None:
-        """Put in place the totals of all lengths up to ``upto``; with all of them, also the contexts' numbers, and a place of
-        each n-gram that this block is the first to hold."""
-        for k in range(1 if upto > DEPTH else 2, upto + 1):
-            at, distinct, code = self.grams(k)
+        """Put in place the totals of all lengths up to ``upto`` and the numbers of what is frequent; with all of them, also a
+        place of each n-gram that this block is the first to hold."""
+        for k in range(1, upto + 1):
+            at, _, code = self.grams(k)
             told = self.told.pop(k) if len(at) else np.zeros(0, np.uint32)
-            if k > 1:
-                self.totals[k] = np.zeros(len(self.codes), np.uint32)
-                self.totals[k][at] = told[code]
+            self.totals[k] = np.zeros(len(self.codes), np.uint32)
+            self.totals[k][at] = told[code]
+            if k <= DEPTH:
+                number = np.zeros(len(told), np.uint64)
+                number[told >= _least_of_ranked(k)] = self.numbers.pop(k) if len(at) else 0
+                self.ids[k] = np.zeros(len(self.codes), np.uint64)
+                self.ids[k][at] = number[code]
             if upto > DEPTH:
-                if k <= DEPTH:
-                    number = np.zeros(len(distinct), np.uint64)
-                    number[told >= self.min_context] = self.numbers.pop(k) if len(at) else 0
-                    self.ids[k] = np.zeros(len(self.codes), np.uint64)
-                    self.ids[k][at] = number[code]
-                place = np.zeros(len(distinct), np.int64)
+                place = np.zeros(len(told), np.int64)
                 place[code[::-1]] = at[::-1]
-                self.own[k] = place[self.firsts.pop(k)] if len(at) else place
+                self.own[k] = place[told >= self.min_next][self.firsts.pop(k)] if len(at) else place
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions of the word after it, distinct numbers, which of these) of candidate contexts of length k."""
@@ -202,7 +229,7 @@ class Block:
         shorter = self.totals[k - 1][i - 1] if k > 1 else n
         ratio = times * (np.log(times / self.totals[k][i - 1]) - np.log(self.totals[k][i] / shorter))
         j = self.own[k]
-        j = j[(self.totals[k][j] >= self.min_context) & (self.word[j] != END)]  # nothing follows an end
+        j = j[(self.totals[k][j] >= self.min_context) & ~self.ends[j]]  # nothing follows an end
         asked = MIN_DIVERGENCE * np.bincount(which[j + 1], self.totals[k][j], minlength=len(distinct))
         return distinct, np.bincount(which[i], times, minlength=len(distinct)), np.bincount(which[i], ratio, minlength=len(distinct)) - asked
 
@@ -242,25 +269,28 @@ def _each(of_row):
     return run
 
 
-def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray | None, k: int = 0) -> pa.RecordBatch:
-    """Rows of SENT; ``keys`` are sorted. Of contexts of length ``k`` (with ``sums``) they are the numbers (part, rank there) that
+def _send(bits: int, number: int, keys: np.ndarray, counts: np.ndarray, sums: np.ndarray | None, k: int = 0, level: int = 1) -> pa.RecordBatch:
+    """Rows of SENT; ``keys`` of n-grams of length ``level`` are sorted. Of contexts of length ``k`` (with ``sums``) they are the numbers (part, rank there) that
     their counts came with; parts of contexts come after those of shorter ones."""
     parts = (keys >> np.uint64(32 if k else 64 - bits)).astype(np.int32) + np.int32(k << bits)
-    coded = (lambda x: ranked(x & np.uint64(0xFFFFFFFF))) if k else key_planes
+    if k:
+        coded = lambda x: ranked(x & np.uint64(0xFFFFFFFF))
+    else:
+        coded = key_planes if level == 1 else lambda x: stepped(x & np.uint64((1 << (64 - bits)) - 1))
     at = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, np.int64)
     cut = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
     return pa.RecordBatch.from_arrays([pa.array(parts[at], pa.int32()), pa.array(np.full(len(at), number)), pa.array([coded(keys[a:b]) for a, b in cut], pa.binary()), pa.array([planes(counts[a:b]) for a, b in cut], pa.binary()), pa.array([b"" if sums is None else sums[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "block", "keys", "counts", "sums"])
 
 
-def _ask(bits: int, level: int, n: int = 0):
+def _ask(bits: int, level: int, n: int = 0, width: int = 32):
     """Sends of all blocks for n-grams of length ``level``, or for contexts of all lengths."""
 
     def sends(row: dict):
-        block = Block(row, n)
+        block = Block(row, n, bits, width)
         if level < CONTEXTS:
             block.learn(level - 1)
             at, keys, code = block.grams(level)
-            yield _send(bits, row["block"], keys, np.bincount(code[block.train[at]], minlength=len(keys)), None)
+            yield _send(bits, row["block"], keys, np.bincount(code[block.train[at]], minlength=len(keys)), None, level=level)
         else:
             block.learn(DEPTH + 1)
             for k in range(1, DEPTH + 1):
@@ -270,9 +300,12 @@ def _ask(bits: int, level: int, n: int = 0):
 
 
 def _add_up(level: int):
+    read = unplanes_of_keys if level == 1 else unstepped if level < CONTEXTS else unranked
+    min_next = least_counts(0)[1]
+
     def part(rows: list[dict]) -> pa.RecordBatch:
         rows.sort(key=lambda x: x["block"])
-        each = [(unplanes_of_keys if level < CONTEXTS else unranked)(x["keys"]) for x in rows]
+        each = [read(x["keys"]) for x in rows]
         keys = np.concatenate(each)
         counts = np.concatenate([unplanes(x["counts"]) for x in rows]).astype(np.int64)
         order = np.argsort(keys, kind="stable")
@@ -284,19 +317,21 @@ def _add_up(level: int):
         sums = np.concatenate([np.frombuffer(x["sums"], np.float64) for x in rows])
         if len(sums):
             total[np.add.reduceat(sums[order], starts) < 0] = 0
+        elif level > 1:
+            total[total < min_next] = 0  # nothing asks for these counts
         first = np.zeros(len(keys), bool)
         first[order[starts]] = True  # of equal keys that of the least block
-        often = total >= least_counts(0)[0]
+        often = total >= _least_of_ranked(level)
         rank = np.cumsum(often) - 1
         out, b = [[], [], [], [], [], []], 0
         for x, mine in zip(rows, each, strict=True):
             a, b = b, b + len(mine)
             own = group[a:b]
             ranks = ranked(rank[own][often[own]]) if level <= DEPTH else b""
-            for c, y in zip(out, (x["block"], x["part"], planes(total[own]), ranks, np.packbits(first[a:b]).tobytes() if level < CONTEXTS else b"", b""), strict=True):
+            for c, y in zip(out, (x["block"], x["part"], planes(total[own]), ranks, np.packbits(first[a:b][total[own] >= min_next]).tobytes() if level < CONTEXTS else b"", b""), strict=True):
                 c.append(y)
         if level == 1:
-            for c, y in zip(out, (ALL, rows[0]["part"], b"", b"", b"", np.array([total.sum(), (total > 0).sum()], float).tobytes()), strict=True):
+            for c, y in zip(out, (ALL, rows[0]["part"], b"", b"", b"", np.array([total.sum(), (total > 0).sum(), often.sum()], float).tobytes()), strict=True):
                 c.append(y)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])], ["block", "part", "counts", "ranks", "first", "totals"])
 
@@ -307,9 +342,9 @@ def _add_up(level: int):
     return run
 
 
-def _score(n: int, v: int):
+def _score(n: int, v: int, bits: int, width: int):
     def scores(row: dict):
-        block = Block(row, n)
+        block = Block(row, n, bits, width)
         block.learn(DEPTH + 1)
         at = block.first[:-1]
         base, p = (np.add.reduceat(np.log10(x), at) for x in block.probabilities(n, v))
@@ -327,30 +362,39 @@ def score(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFr
 
     def bucketed(df: DataFrame, kind: str) -> DataFrame:
         """Written by block, so that a join by block shuffles nothing."""
-        name = f"{scratch.prefix(spark)}{kind}_{uuid.uuid4().hex[:12]}"
+        name, path = f"{scratch.prefix(spark)}{kind}_{uuid.uuid4().hex[:12]}", scratch.folder(spark, kind)
         with scratch.tidy(spark):
-            df.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch.folder(spark, kind)).option("compression", "zstd").options(**ROW_GROUPS).saveAsTable(name)
-        return spark.table(name)
+            df.write.bucketBy(buckets, "block").sortBy("block").option("path", path).option("compression", "zstd").options(**ROW_GROUPS).saveAsTable(name)
+        out = spark.table(name)
+        out._name, out._scratch = name, path
+        return out
 
-    blocks = bucketed(chosen.mapInArrow(_encode, BLOCK), "blocks")
+    def drop(*tables: DataFrame) -> None:
+        for x in tables:
+            spark.sql(f"drop table {x._name}")
+        scratch.drop(*tables)
+
+    coded = bucketed(chosen.mapInArrow(_encode, BLOCK), "coded")
     bits = minhash.part_bits(spark)
-    answers: dict[int, DataFrame] = {}
 
-    def told() -> DataFrame:
+    def told(blocks: DataFrame, answers: dict[int, DataFrame]) -> DataFrame:
         """The blocks, each with all answers so far."""
-        every = blocks
         for level, x in answers.items():
-            every = every.join(x.select("block", F.col("told").alias(f"told{level}")).hint("merge"), "block", "left")
-        return every
+            blocks = blocks.join(x.select("block", F.col("told").alias(f"told{level}")).hint("merge"), "block", "left")
+        return blocks
 
-    def ask(level: int, n: int = 0) -> None:
-        added = told().mapInArrow(_ask(bits, level, n), SENT).repartition("part").sortWithinPartitions("part").mapInArrow(_add_up(level), ANSWER)
+    def ask(every: DataFrame, level: int, n: int = 0, width: int = 32) -> DataFrame:
+        added = every.mapInArrow(_ask(bits, level, n, width), SENT).repartition("part").sortWithinPartitions("part").mapInArrow(_add_up(level), ANSWER)
         lists = added.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "ranks", "first", "totals")).alias("told"))
-        answers[level] = bucketed(lists, f"level{level}")
+        return bucketed(lists, f"level{level}")
 
-    ask(1)
-    sizes = [np.frombuffer(x["totals"]) for r in answers[1].filter(F.col("block") == ALL).collect() for x in r["told"]]  # one for each part
+    words = ask(coded, 1)
+    sizes = [np.frombuffer(x["totals"]) for r in words.filter(F.col("block") == ALL).collect() for x in r["told"]]  # one for each part
     n, v = (int(sum(x[k] for x in sizes)) for k in (0, 1))
+    width = int(max((x[2] for x in sizes), default=0)).bit_length()
+    blocks = bucketed(told(coded.drop("words"), {1: words}), "blocks")
+    drop(coded, words)
+    answers: dict[int, DataFrame] = {}
     for k in range(2, CONTEXTS + 1):
-        ask(k, n)
-    return told().mapInArrow(_score(n, v), SCHEMA)
+        answers[k] = ask(told(blocks, answers), k, n, width)
+    return told(blocks, answers).mapInArrow(_score(n, v, bits, width), SCHEMA)

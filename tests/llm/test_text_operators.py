@@ -464,3 +464,31 @@ def test_suffix_tree_sends_contexts_by_rank():
     assert [x["part"] for x in sent] == [3 + (2 << 8)]
     assert suffix_tree.unranked(sent[0]["keys"]).tolist() == [2, 5, 700]
     assert len(sent[0]["keys"]) == 12  # 24 as hashes
+
+
+def test_suffix_tree_sends_n_grams_by_part_and_rank():
+    rng = np.random.default_rng(1)
+    bits, width = 8, 11
+    number = lambda most: (rng.integers(0, 1 << bits, 200_000).astype(np.uint64) << np.uint64(32)) + rng.integers(0, most, 200_000).astype(np.uint64)
+    before, word = number(900), number(1500)
+    keys, code = np.unique(suffix_tree._joined(before, word, bits, width), return_inverse=True)
+    assert len(keys) == len(set(zip(before.tolist(), word.tolist(), strict=True)))
+    assert all(np.unique(x[np.argsort(code)][np.flatnonzero(np.diff(np.sort(code), prepend=-1))][code] == x) for x in (before, word))
+    sent = suffix_tree._send(bits, 1, keys, np.ones(len(keys)), None, level=2).to_pylist()
+    read = [suffix_tree.unstepped(x["keys"]) + np.uint64(x["part"] << (64 - bits)) for x in sent]
+    assert np.array_equal(np.concatenate(read), keys)
+    assert sum(len(x["keys"]) for x in sent) < 3.1 * len(keys)  # 8 as hashes
+    with pytest.raises(OverflowError):
+        suffix_tree._joined(np.array([1 << 31], np.uint64), word[:1], bits, 30)
+
+
+def test_suffix_tree_keeps_no_hash_of_a_counted_word(spark):
+    before = {x.name for x in spark.catalog.listTables()}
+    docs = [(k, f"the license says that all of the text may be used word{k % 30}") for k in range(60)]
+    assert suffix_tree.score(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).count() == 60
+    kept = {x.name for x in spark.catalog.listTables()} - before
+    assert len(kept) == suffix_tree.DEPTH + 2  # the blocks, and the answers after those about words
+    assert not any("words" in spark.table(x).columns for x in kept)
+    told = [y for x in kept if "level2" in x for r in spark.table(x).collect() for y in r["told"]]
+    counts = np.concatenate([suffix_tree.unplanes(y["counts"]) for y in told])
+    assert len(counts) and not ((counts > 0) & (counts < suffix_tree.MIN_NEXT)).any()  # such counts change nothing
