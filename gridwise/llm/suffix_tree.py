@@ -111,7 +111,7 @@ def _encode(batches):
     def block():
         words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
         n = np.array([len(x) for x in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([[y for x in ids for y in x]], pa.list_(pa.int64())), pa.array([np.concatenate([x[1] for x in held]).tobytes()]), pa.array([np.concatenate(([0], np.cumsum(np.concatenate([x[0] for x in held])))).astype(np.int64).tobytes()]), pa.array([codes.astype(np.int32).tobytes()]), pa.array([key_planes(words)])], ["block", "ids", "held", "first", "codes", "words"]) if len(n) else None
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([[y for x in ids for y in x]], pa.list_(pa.int64())), pa.array([np.concatenate([x[1] for x in held]).tobytes()]), pa.array([np.concatenate(([0], np.cumsum(np.concatenate([x[0] for x in held])))).astype(np.int64).tobytes()]), pa.array([planes(codes)]), pa.array([key_planes(words)])], ["block", "ids", "held", "first", "codes", "words"]) if len(n) else None
 
     for batch in batches:
         for a, b, buf, offsets in text.slices(batch.column(1)):
@@ -160,7 +160,7 @@ class Block:
         self.min_context, self.min_next = least_counts(n)
         self.bits, self.width = bits, width
         self.first = np.frombuffer(row["first"], np.int64)
-        self.codes = np.frombuffer(row["codes"], np.int32)
+        self.codes = unplanes(row["codes"]).view(np.int32)
         self.words = unplanes_of_keys(row["words"]) if "words" in row else None  # until they are counted
         self.held = np.frombuffer(row["held"], bool)
         size = np.diff(self.first)

@@ -489,6 +489,9 @@ def test_suffix_tree_keeps_no_hash_of_a_counted_word(spark):
     kept = {x.name for x in spark.catalog.listTables()} - before
     assert len(kept) == suffix_tree.DEPTH + 2  # the blocks, and the answers after those about words
     assert not any("words" in spark.table(x).columns for x in kept)
+    for r in next(spark.table(x) for x in kept if "blocks" in x).collect():
+        codes = suffix_tree.unplanes(r["codes"])
+        assert len(np.unique(codes)) == codes.max() + 1  # all last bytes first, which compresses better
     told = [y for x in kept if "level2" in x for r in spark.table(x).collect() for y in r["told"]]
     counts = np.concatenate([suffix_tree.unplanes(y["counts"]) for y in told])
     assert len(counts) and not ((counts > 0) & (counts < suffix_tree.MIN_NEXT)).any()  # such counts change nothing
