@@ -225,6 +225,30 @@ def test_few_and_many_sets_are_compared_alike(spark):
         assert pairs == set(similar(sets))
 
 
+def test_a_large_group_takes_no_bit_for_each_key(monkeypatch):
+    """What a group's sets share with few others is counted pair by pair; a bit for each such key and pair of sets made large groups slow."""
+    r = random.Random(12)
+    bases = [[f"w{k}{j}" for j in range(60)] for k in range(2)]
+    swaps = [[f"own{k}" for k in range(400)] for _ in range(60)]
+    texts = []
+    for k in range(300):
+        words = list(bases[k % 2][: 60 - k % 7])
+        for _ in range(k % 14):
+            j = r.randrange(len(words))
+            words[j] = r.choice(swaps[j])
+        texts.append(" ".join(words))
+    keys, begin = minhash.distinct_sets(*lines.shingles(*text.flat(pa.array(texts))))
+    pairs = similar([set(keys[a:b].tolist()) for a, b in itertools.pairwise(begin.tolist())])
+    words, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: words.append(x.size) or count(x))
+    side = np.arange(300) % 3
+    for across in (False, True):
+        found = sorted((i, j) for i, others in minhash.linked((keys, begin), side, across, 0.8) for j in others.tolist())
+        wanted = [(a, b) for a, b in pairs if not (across and side[a] == side[b])]
+        assert found == sorted(wanted + [(b, a) for a, b in wanted]) and wanted
+    assert sum(words) < 2 * 300 * 300 * 20
+
+
 def test_lines_query_on_the_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     gone, texts = expected_lines(rows), dict(rows)
