@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text
+from .workers import lean
 
 BUCKETS, GRAMS, LEAST, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 #: Text bytes of a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 18
+#: Spark decodes a row group's rows at once, up to 4,096 blocks of any size: so row groups are small, whatever a task reads.
+ROW_GROUP = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 4}
 #: Bytes of a feature that are hashed together with all others'; longer ones are hashed one by one.
 SHORT = 64
 
@@ -98,7 +101,7 @@ def matrix(docs: DataFrame, buckets: int = BUCKETS, grams: int = GRAMS, doc_id:
                 block += 1
 
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(body).cast("string").alias("text"))
-    return scratch.table(chosen.mapInArrow(run, _BLOCK), "matrix")
+    return scratch.table(chosen.mapInArrow(lean(run), _BLOCK), "matrix", **ROW_GROUP)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -113,7 +116,7 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(sums[held])], ["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in blocks.select("buckets", "counts").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # buckets rows at most
+    for r in blocks.select("buckets", "counts").mapInArrow(lean(run), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # buckets rows at most
         out[r["bucket"]] = r["n"]
     return out
 
@@ -138,7 +141,7 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
                 place = (block[0].as_py() << 32) + np.arange(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part[0].as_py(), np.int32)), pa.array(place), ids.flatten(), n_words.flatten(), pa.array(many[first[1:]] - many[first[:-1]]), pa.array(total[first[1:]] - total[first[:-1]])], ["part", "place", "doc_id", "n_words", "n_features", "weight"])
 
-    return blocks.mapInArrow(run, "part int, place bigint, doc_id bigint, n_words bigint, n_features bigint, weight bigint")
+    return blocks.mapInArrow(lean(run), "part int, place bigint, doc_id bigint, n_words bigint, n_features bigint, weight bigint")
 
 
 def noise(doc_id: str, seed: int) -> F.Column:
@@ -166,7 +169,7 @@ def drawn(weighed: DataFrame, least: int = LEAST, percent: int = PERCENT, seed:
     able = scored.filter(F.col("n_words") >= least).repartitionByRange(*order).sortWithinPartitions(*order)
     kept = able.select("doc_id", "n_features", "weight", "score")
     names = "doc_id bigint, n_features bigint, weight bigint, score bigint"
-    ordered = scratch.table(kept.mapInArrow(_numbered, f"{names}, sorted int, index bigint"), "ranked")
+    ordered = scratch.table(kept.mapInArrow(lean(_numbered), f"{names}, sorted int, index bigint"), "ranked")
     sizes = {r["sorted"]: r["n"] for r in ordered.groupBy("sorted").agg(F.count("*").alias("n")).collect()}  # a row a part
     last = max(sizes, default=-1) + 1
     before = np.concatenate(([0], np.cumsum([sizes.get(k, 0) for k in range(last)]))).tolist()

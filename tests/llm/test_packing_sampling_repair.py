@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from gridwise.llm import bin_completion, importance, queries, tokens, turn_repair
@@ -332,3 +334,14 @@ def test_repair_query(spark, sf_dir):
     got = queries.op13_conversation_repair(spark, sf_dir)
     assert [t for _, t in got.dtypes] == ["bigint"] * 7 + ["string"] * 2
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == expected
+
+
+def test_row_groups_of_the_matrix_are_small(spark):
+    """Spark decodes up to 4,096 rows of a row group at once, here blocks of a quarter of a megabyte of text."""
+    words = "concat_ws(' ', transform(sequence(1, 700), k -> substring(sha2(concat(id, ' ', k), 256), 1, 7)))"
+    blocks = importance.matrix(spark.range(6000).coalesce(1).selectExpr("id as doc_id", f"{words} as text"))
+    files = Path(blocks._scratch.removeprefix("file://")).glob("*.parquet")
+    groups = [m.row_group(k) for m in (pq.ParquetFile(f).metadata for f in files) for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == blocks.count() > 100
+    assert max(g.total_byte_size for g in groups) < 6 << 20
+    assert blocks.selectExpr("sum(size(doc_ids))").first()[0] == 6000
